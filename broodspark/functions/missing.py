@@ -1,27 +1,23 @@
-"""Missing-value rules: a missing input makes the result missing unless asked otherwise."""
+"""Missing-value rules as SQL expressions: a missing input makes the result missing."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, WindowSpec
-from pyspark.sql import functions as F
 
-
-def strict(aggregate: Column, column: Column | str) -> Column:
+def strict(aggregate: str, column: str, over: str = "") -> str:
     """``aggregate``, or NULL as soon as one value of ``column`` in the group is NULL."""
-    return F.when(F.count(column) == F.count(F.lit(1)), aggregate)
+    return f"CASE WHEN count({column}) {over} = count(1) {over} THEN {aggregate} {over} END"
 
 
-def running_sum(column: Column | str, so_far: WindowSpec) -> Column:
+def running_sum(column: str, so_far: str) -> str:
     """Running sum that stays NULL from the first NULL on (plain ``sum`` would skip it)."""
-    complete = F.count(column).over(so_far) == F.count(F.lit(1)).over(so_far)
-    return F.when(complete, F.sum(column).over(so_far))
+    return strict(f"sum({column})", column, so_far)
 
 
-def ratio(numerator: Column | str, denominator: Column | str) -> Column:
+def ratio(numerator: str, denominator: str) -> str:
     """Division that is NULL at a zero denominator instead of failing."""
-    return F.try_divide(numerator, denominator)
+    return f"try_divide({numerator}, {denominator})"
 
 
-def half_even(column: Column | str, digits: int = 0) -> Column:
+def half_even(expression: str, digits: int = 0) -> str:
     """Rounding with ties to the even neighbour."""
-    return F.bround(column, digits)
+    return f"bround({expression}, {digits})"

@@ -9,16 +9,21 @@ from pyspark.sql import functions as F
 SMALL_ROWS = 50_000
 
 
+def _cell(value, kind: str) -> str:
+    quoted = "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'" if isinstance(value, str) else value
+    return f"CAST({'NULL' if value is None else quoted} AS {kind})"
+
+
 def literal_table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
     """Rows known on the driver as a table; its size is bounded right here."""
     if len(rows) > SMALL_ROWS:
         raise ValueError(f"{len(rows)} literal rows; write them to a file and read it instead")
     fields = [part.strip().rsplit(" ", 1) for part in schema.split(",")]
-    structs = [
-        F.struct(*[F.lit(row[name]).cast(kind).alias(name) for name, kind in fields])
-        for row in rows
-    ]
-    return spark.range(1, numPartitions=1).select(F.inline(F.array(*structs)))
+    values = ", ".join(
+        "(" + ", ".join(_cell(row[name], kind) for name, kind in fields) + ")" for row in rows
+    )
+    names = ", ".join(name for name, _ in fields)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t({names})")
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:

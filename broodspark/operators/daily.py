@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from broodspark.functions.frames import by_day, so_far, whole_flock
-from broodspark.functions.missing import half_even, ratio, running_sum
+from broodspark.functions.frames import by_day, derive, so_far, whole_flock
+from broodspark.functions.missing import half_even, ratio, running_sum, strict
 from broodspark.operators import production as production_ops
 from broodspark.schema import FLOCK, REQUIRED_COUNTS, drop_existing, require_columns
 
@@ -22,67 +21,46 @@ def tidy(counts: DataFrame) -> DataFrame:
 
 def flock_measures(daily: DataFrame) -> DataFrame:
     """Measures that do not depend on growth: shares, lesions, signs, start of treatment."""
-    birds, lesions = F.col("total_birds"), F.col("B") + F.col("RL")
-    shares = daily.withColumns(
-        {
-            "normal_growing_birds": F.col("NG") + F.col("NGi") + F.col("NGr"),
-            "p_IB": ratio("red_grow_IB", birds),
-            "p_B": ratio("red_grow_B", birds),
-            "p_lesions": ratio(lesions, birds),
-            "p_no_lesions": ratio(birds - lesions, birds),
-            "mortality": F.col("percentage_mortality") / 100,
-            "resp_signs": F.col("percentage_total_resp_signs") / 100,
-        }
-    ).withColumn("p_normal", ratio("normal_growing_birds", birds))
-    signs, untreated = F.col("resp_signs"), F.col("not_yet_treated")
-    everywhere = whole_flock()
-    return shares.withColumns(
-        {
-            "p_tot": half_even(F.col("p_normal") + F.col("p_IB") + F.col("p_B")),
-            # A missing share on one day makes the peak missing.
-            "peak_resp_signs": F.when(
-                F.count(signs).over(everywhere) == F.count(F.lit(1)).over(everywhere),
-                F.max(signs).over(everywhere),
-            ),
-            "treatment_start": (
-                (untreated == 0) & (F.lag(untreated, 1, 1).over(by_day()) == 1)
-            ).cast("int"),
-        }
+    shares = derive(
+        daily,
+        normal_growing_birds="NG + NGi + NGr",
+        p_normal=ratio("NG + NGi + NGr", "total_birds"),
+        p_IB=ratio("red_grow_IB", "total_birds"),
+        p_B=ratio("red_grow_B", "total_birds"),
+        p_lesions=ratio("B + RL", "total_birds"),
+        p_no_lesions=ratio("total_birds - (B + RL)", "total_birds"),
+        mortality="percentage_mortality / 100",
+        resp_signs="percentage_total_resp_signs / 100",
+    )
+    started = f"not_yet_treated = 0 AND lag(not_yet_treated, 1, 1) {by_day()} = 1"
+    return derive(
+        shares,
+        p_tot=half_even("p_normal + p_IB + p_B"),
+        peak_resp_signs=strict("max(resp_signs)", "resp_signs", whole_flock()),
+        treatment_start=f"CAST({started} AS INT)",
     ).drop("not_yet_treated")
 
 
 def growth_measures(daily: DataFrame, keys: list[str]) -> DataFrame:
     """Weight, feed and feed conversion; ``daily`` carries the production columns."""
-    window = so_far(keys)
-    gains = daily.withColumns(
-        {
-            "DG_per_bird": F.col("p_normal") * F.col("DG_healthy")
-            + F.col("p_IB") * F.col("DG_IB")
-            + F.col("p_B") * F.col("DG_B"),
-            "total_daily_FI": (
-                F.col("normal_growing_birds") * F.col("FI_healthy")
-                + F.col("red_grow_IB") * F.col("FI_IB")
-                + F.col("red_grow_B") * F.col("FI_B")
-            )
-            / 1000,
-        }
-    )
-    summed = gains.withColumns(
-        {
-            "weight_per_bird": running_sum("DG_per_bird", window) / 1000,
-            "cum_FI": running_sum("total_daily_FI", window),
-        }
+    gains = derive(
+        daily,
+        DG_per_bird="p_normal * DG_healthy + p_IB * DG_IB + p_B * DG_B",
+        total_daily_FI="""(normal_growing_birds * FI_healthy + red_grow_IB * FI_IB
+            + red_grow_B * FI_B) / 1000""",
     )
-    weighed = summed.withColumns(
-        {
-            "total_weight": F.col("weight_per_bird") * F.col("total_birds"),
-            # Thinned birds are valued at the weight of the current day.
-            "thinned_weight": F.col("weight_per_bird") * F.col("cum_thinning"),
-        }
+    summed = derive(
+        gains,
+        weight_per_bird=f"{running_sum('DG_per_bird', so_far(keys))} / 1000",
+        cum_FI=running_sum("total_daily_FI", so_far(keys)),
     )
-    return weighed.withColumn(
-        "FCR_daily", ratio("cum_FI", F.col("total_weight") + F.col("thinned_weight"))
+    weighed = derive(
+        summed,
+        total_weight="weight_per_bird * total_birds",
+        # Thinned birds are valued at the weight of the current day.
+        thinned_weight="weight_per_bird * cum_thinning",
     )
+    return derive(weighed, FCR_daily=ratio("cum_FI", "total_weight + thinned_weight"))
 
 
 def grain_keys(growth: str | list[str]) -> list[str]:

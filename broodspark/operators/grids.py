@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from math import prod
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
+from broodspark.functions.frames import derive, rederive
 from broodspark.functions.small import literal_table
 
 # The factorial scenario grid, in nesting order.
@@ -69,9 +69,9 @@ def scenario_grid(spark: SparkSession, lists: dict[str, list] | None = None) ->
     size = block
     for name, values in lists.items():
         block //= len(values)
-        digit = (F.floor(F.col("id") / block) % len(values)).cast("int")
-        columns.append(F.get(F.array(*[F.lit(v) for v in values]), digit).alias(name))
-    return spark.range(size).select((F.col("id") + 1).cast("int").alias("folder"), *columns)
+        options = ", ".join(f"{v}D" if isinstance(v, float) else str(v) for v in values)
+        columns.append(f"array({options})[CAST(id DIV {block} % {len(values)} AS INT)] AS {name}")
+    return spark.range(size).selectExpr("CAST(id + 1 AS INT) AS folder", *columns)
 
 
 def oat_grid(
@@ -93,42 +93,42 @@ def oat_grid(
         )
     ]
     table = literal_table(spark, rows, "folder int, varied_param string, varied_value double")
+    fixed = {n: f"{v}D" if isinstance(v, float) else str(v) for n, v in defaults.items()}
     varied = {
-        name: F.when(F.col("varied_param") == name, F.col("varied_value")) for name in variations
+        name: f"IF(varied_param = '{name}', varied_value, CAST(NULL AS DOUBLE))"
+        for name in variations
     }
-    return table.withColumns({n: F.lit(v) for n, v in defaults.items()} | varied)
+    return derive(table, **fixed, **varied)
 
 
-def _by_vaccination(values: dict[float, float], otherwise: float = 0.0) -> Column:
-    column = F.lit(otherwise)
-    for scenario, value in values.items():
-        column = F.when(F.col("vaccination_scenario") == scenario, value).otherwise(column)
-    return column
+def _by_vaccination(values: dict[float, float], otherwise: float) -> str:
+    cases = " ".join(f"WHEN {scenario}D THEN {value}D" for scenario, value in values.items())
+    return f"CASE vaccination_scenario {cases} ELSE {otherwise}D END"
 
 
-def derive_parameters(grid: DataFrame) -> DataFrame:
+def derive_parameters(grid: DataFrame, given: list[str] | None = None) -> DataFrame:
     """Disease parameters of each row from its vaccination scenario and factors.
 
     The columns that ``VARIATIONS`` names are optional; where one is there and not NULL, it
-    overrides the default.
+    overrides the default. ``given`` lists those that the grid has, if known beforehand.
     """
-
-    def given(name: str, default: float | Column) -> Column:
-        default = F.lit(default) if not isinstance(default, Column) else default
-        return F.coalesce(F.col(name), default) if name in grid.columns else default
-
-    recovery = F.lit(1.0) / _by_vaccination(INFECTIOUS_DAYS, 1.0)
-    return grid.withColumns(
-        {
-            "beta": given("beta_factor", 1.0) * _by_vaccination(BETA),
-            "recovery": given("recovery_factor", 1.0)
-            * F.when(F.col("vaccination_scenario").isin(*INFECTIOUS_DAYS), recovery).otherwise(0.0),
-            "prop_clinical": given("prop_clinical_base", PROP_CLINICAL_BASE)
-            - _by_vaccination(PROP_CLINICAL_DROP),
-            "prop_bact_inf_I0": F.col("prop_bact_factor") * PROP_BACT_I0,
-            "prop_bact_inf_I": F.col("prop_bact_factor") * PROP_BACT_I,
-            "mortality_I": given("mortality_I", F.lit(MORTALITY_I_RATIO) * NORMAL_MORTALITY),
-            "mortality_B": given("mortality_B", F.lit(MORTALITY_B[0]) / MORTALITY_B[1]),
-        }
-        | {name: given(name, days).cast("int") for name, days in DURATIONS.items()}
-    )
+    given = [c for c in grid.columns if c in VARIATIONS] if given is None else given
+
+    def default(name: str, value: str) -> str:
+        return f"coalesce({name}, {value})" if name in given else value
+
+    known = " OR ".join(f"vaccination_scenario = {v}D" for v in INFECTIOUS_DAYS)
+    recovery = f"IF({known}, 1D / {_by_vaccination(INFECTIOUS_DAYS, 1.0)}, 0D)"
+    clinical = default("prop_clinical_base", f"{PROP_CLINICAL_BASE}D")
+    parameters = {
+        "beta": f"{default('beta_factor', '1D')} * {_by_vaccination(BETA, 0.0)}",
+        "recovery": f"{default('recovery_factor', '1D')} * {recovery}",
+        "prop_clinical": f"{clinical} - {_by_vaccination(PROP_CLINICAL_DROP, 0.0)}",
+        "prop_bact_inf_I0": f"prop_bact_factor * {PROP_BACT_I0}D",
+        "prop_bact_inf_I": f"prop_bact_factor * {PROP_BACT_I}D",
+        "mortality_I": default("mortality_I", f"{MORTALITY_I_RATIO}D * {NORMAL_MORTALITY}D"),
+        "mortality_B": default("mortality_B", f"{MORTALITY_B[0]}D / {MORTALITY_B[1]}"),
+    }
+    for name, days in DURATIONS.items():
+        parameters[name] = f"CAST({default(name, str(days))} AS INT)"
+    return rederive(grid, **parameters) if given else derive(grid, **parameters)

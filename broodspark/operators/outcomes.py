@@ -10,10 +10,10 @@ from __future__ import annotations
 
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from broodspark.functions.frames import whole_flock
+from broodspark.functions.frames import derive, named, whole_flock
 from broodspark.functions.missing import ratio
 from broodspark.operators.grids import DEFAULT_SCENARIO
 from broodspark.schema import FLOCK, LAST_DAY, drop_existing
@@ -38,8 +38,9 @@ class Economics:
     vaccine_price_per_chick: float = 0.01
     n_birds: int = 30000
 
-    def columns(self) -> dict[str, Column]:
-        return {name: F.lit(value) for name, value in asdict(self).items()}
+    def columns(self) -> dict[str, str]:
+        values = asdict(self).items()
+        return {name: f"{v!r}D" if isinstance(v, float) else str(v) for name, v in values}
 
 
 ECONOMIC_COLUMNS = list(asdict(Economics()))
@@ -54,17 +55,14 @@ THINNING_VALUES = {
     "p_lesions": "p_lesions_thinning",
     "p_no_lesions": "p_no_lesions_thinning",
 }
-
-
-def untreated() -> dict[str, Column]:
-    """Treatment columns of a flock that got none."""
-    return {
-        "treatment_day": F.lit(None).cast("int"),
-        "treated": F.lit(0),
-        "treated_flock_size": F.lit(0),
-        "treated_kg": F.lit(0.0),
-        "treated_days": F.lit(0),
-    }
+# Treatment columns of a flock that got none.
+UNTREATED = {
+    "treatment_day": "CAST(NULL AS INT)",
+    "treated": "0",
+    "treated_flock_size": "0",
+    "treated_kg": "0D",
+    "treated_days": "0",
+}
 
 
 # --- single pass -------------------------------------------------------------------
@@ -74,38 +72,31 @@ def collapse(daily: DataFrame, keys: list[str] = FLOCK) -> DataFrame:
     """The last day of each flock with its thinning and treatment values; no prices yet."""
     everywhere = whole_flock(keys)
     # Fixed at slaughter: the thinning time that the last day holds.
-    marked = daily.withColumns(
-        {
-            "_last_day": F.max("day").over(everywhere),
-            "_thinned_on": F.max_by("thinning_time", "day").over(everywhere),
-        }
+    marked = derive(
+        daily,
+        _last_day=f"max(day) {everywhere}",
+        _thinned_on=f"max_by(thinning_time, day) {everywhere}",
     )
-    thinned = F.col("day") == F.col("_thinned_on")
-    start_day = F.when(F.col("treatment_start") == 1, F.col("day"))
     picked = {
-        name: F.max(F.when(thinned, F.col(source))).over(everywhere)
-        for source, name in THINNING_VALUES.items()
+        name: f"max(IF(day = _thinned_on, {column}, NULL)) {everywhere}"
+        for column, name in THINNING_VALUES.items()
     }
+    start = "IF(treatment_start = 1, day, NULL)"
     picked |= {
-        "treatment_day": F.min(start_day).over(everywhere),
-        "_treated_birds": F.min_by("total_birds", start_day).over(everywhere),
-        "_treated_kg": F.min_by("total_weight", start_day).over(everywhere),
+        "treatment_day": f"min({start}) {everywhere}",
+        "_treated_birds": f"min_by(total_birds, {start}) {everywhere}",
+        "_treated_kg": f"min_by(total_weight, {start}) {everywhere}",
     }
-    treated = F.col("treatment_day").isNotNull()
-    return (
-        # One step, so that no pick sees the column that another pick replaces.
-        marked.withColumns(picked)
-        .filter(F.col("day") == F.col("_last_day"))
-        .withColumns(
-            {
-                "treated": F.when(treated, 1).otherwise(0),
-                "treated_flock_size": F.when(treated, F.col("_treated_birds")).otherwise(0),
-                "treated_kg": F.when(treated, F.col("_treated_kg")).otherwise(0.0),
-                "treated_days": F.when(treated, TREATED_DAYS).otherwise(0),
-            }
-        )
-        .drop("_last_day", "_thinned_on", "_treated_birds", "_treated_kg")
-    )
+    last = marked.selectExpr("* EXCEPT (thinned_weight)", *named(picked)).filter("day = _last_day")
+    # A treated flock keeps its own values, also missing ones.
+    treated = {
+        "treated": "1",
+        "treated_flock_size": "_treated_birds",
+        "treated_kg": "_treated_kg",
+        "treated_days": str(TREATED_DAYS),
+    }
+    values = {c: f"IF(treatment_day IS NOT NULL, {v}, {UNTREATED[c]})" for c, v in treated.items()}
+    return derive(last, **values).drop("_last_day", "_thinned_on", "_treated_birds", "_treated_kg")
 
 
 def economics(collapsed: DataFrame) -> DataFrame:
@@ -115,63 +106,45 @@ def economics(collapsed: DataFrame) -> DataFrame:
     ``Economics``, as literals or from a joined parameter table.
     """
 
-    def condemned(suffix: str = "") -> Column:
-        return F.col("condemnation_B") * F.col(f"p_lesions{suffix}") + F.col(
-            "condemnation_base"
-        ) * F.col(f"p_no_lesions{suffix}")
-
-    def delivered(weight: str) -> Column:
-        return F.col(weight) - F.col("DOA") * F.col(weight)
-
-    birds, treated = F.col("n_thinned") + F.col("total_birds"), F.col("treated") == 1
-    shares = collapsed.withColumns(
-        {
-            "condemned_thinning": condemned("_thinning"),
-            "condemned_end": condemned(),
-            "delivered_weight_thinning": delivered("thinned_weight"),
-            "delivered_weight_end": delivered("total_weight"),
-            "treatment_cost": F.when(
-                treated,
-                F.col("ab_price_per_chick") * F.col("treated_flock_size")
-                + F.col("ab_price_constant"),
-            ).otherwise(0.0),
-            "vaccination_cost": F.when(F.col("vaccination_scenario") == 0, 0.0).otherwise(
-                F.col("vaccine_price_per_chick") * F.col("n_birds")
-            ),
-            "feed_cost": F.col("cum_FI") * F.col("feed_price"),
-            "avg_BW": ratio(F.col("thinned_weight") + F.col("total_weight"), birds),
-            "DDD_year": ratio("treated_days", "day") * 365,
-            "early_thinning_triggered": (F.col("thinning_day") < PLANNED_THINNING).cast("int"),
-            "early_slaughter_triggered": (F.col("day") < PLANNED_SLAUGHTER).cast("int"),
-        }
+    def condemned(suffix: str = "") -> str:
+        return f"condemnation_B * p_lesions{suffix} + condemnation_base * p_no_lesions{suffix}"
+
+    shares = derive(
+        collapsed,
+        condemned_thinning=condemned("_thinning"),
+        condemned_end=condemned(),
+        delivered_weight_thinning="thinned_weight - DOA * thinned_weight",
+        delivered_weight_end="total_weight - DOA * total_weight",
+        treatment_cost="""IF(treated = 1,
+            ab_price_per_chick * treated_flock_size + ab_price_constant, 0D)""",
+        vaccination_cost="IF(vaccination_scenario = 0, 0D, vaccine_price_per_chick * n_birds)",
+        feed_cost="cum_FI * feed_price",
+        avg_BW=ratio("thinned_weight + total_weight", "n_thinned + total_birds"),
+        DDD_year=f"{ratio('treated_days', 'day')} * 365",
+        early_thinning_triggered=f"CAST(thinning_day < {PLANNED_THINNING} AS INT)",
+        early_slaughter_triggered=f"CAST(day < {PLANNED_SLAUGHTER} AS INT)",
+    )
+    weights = derive(
+        shares,
+        n_condemned_thinning="condemned_thinning * n_thinned",
+        n_condemned_end="condemned_end * total_birds",
+        slaughter_weight_thinning="(1 - condemned_thinning) * delivered_weight_thinning",
+        slaughter_weight_end="(1 - condemned_end) * delivered_weight_end",
     )
-    weights = shares.withColumns(
-        {
-            "n_condemned_thinning": F.col("condemned_thinning") * F.col("n_thinned"),
-            "n_condemned_end": F.col("condemned_end") * F.col("total_birds"),
-            "slaughter_weight_thinning": (1 - F.col("condemned_thinning"))
-            * F.col("delivered_weight_thinning"),
-            "slaughter_weight_end": (1 - F.col("condemned_end")) * F.col("delivered_weight_end"),
-        }
+    totals = derive(
+        weights,
+        condemned_total=ratio("n_condemned_thinning + n_condemned_end", "n_thinned + total_birds"),
+        slaughter_weight_total="slaughter_weight_thinning + slaughter_weight_end",
+        weight_revenue="(slaughter_weight_thinning + slaughter_weight_end) * slaughter_price",
     )
-    totals = weights.withColumns(
-        {
-            "condemned_total": ratio(
-                F.col("n_condemned_thinning") + F.col("n_condemned_end"), birds
-            ),
-            "slaughter_weight_total": F.col("slaughter_weight_thinning")
-            + F.col("slaughter_weight_end"),
-        }
-    ).withColumn("weight_revenue", F.col("slaughter_weight_total") * F.col("slaughter_price"))
-    costs = F.col("feed_cost") + F.col("treatment_cost") + F.col("vaccination_cost")
-    return totals.withColumn("delta", F.col("weight_revenue") - costs)
+    return derive(totals, delta="weight_revenue - feed_cost - treatment_cost - vaccination_cost")
 
 
 def per_simulation(
     daily: DataFrame, prices: Economics = Economics(), keys: list[str] = FLOCK
 ) -> DataFrame:
     """One row per flock: its last day, thinning, treatment and economics."""
-    return economics(collapse(daily, keys).withColumns(prices.columns()))
+    return economics(derive(collapse(daily, keys), **prices.columns()))
 
 
 # --- joined form -------------------------------------------------------------------
@@ -179,12 +152,9 @@ def per_simulation(
 
 def thinning_rows(daily: DataFrame, keys: list[str] = FLOCK) -> DataFrame:
     """Values on the thinning day, for the flocks that reach it."""
-    thinned_on = F.max_by("thinning_time", "day").over(whole_flock(keys))
-    return (
-        daily.withColumn("_thinned_on", thinned_on)
-        .filter(F.col("day") == F.col("_thinned_on"))
-        .select(*keys, *[F.col(c).alias(name) for c, name in THINNING_VALUES.items()])
-    )
+    marked = derive(daily, _thinned_on=f"max_by(thinning_time, day) {whole_flock(keys)}")
+    values = [f"{c} AS {name}" for c, name in THINNING_VALUES.items()]
+    return marked.filter("day = _thinned_on").selectExpr(*keys, *values)
 
 
 def treatment_rows(daily: DataFrame, keys: list[str] = FLOCK) -> DataFrame:
@@ -232,17 +202,17 @@ def per_simulation_joined(
     daily: DataFrame, prices: Economics = Economics(), keys: list[str] = FLOCK
 ) -> DataFrame:
     """Same rows as ``per_simulation``, from joins of three views of the daily frame."""
-    defaults = daily.select(*keys).distinct().withColumns(untreated())
+    defaults = derive(daily.select(*keys).distinct(), **UNTREATED)
     treatment = keyed_update(defaults, treatment_rows(daily, keys), keys)
     end = drop_existing(last_rows(daily, keys), "thinned_weight")
     joined = end.join(thinning_rows(daily, keys), keys, "left").join(treatment, keys, "left")
-    return economics(joined.withColumns(prices.columns()))
+    return economics(derive(joined, **prices.columns()))
 
 
 def default_scenario(df: DataFrame, parameters: dict[str, float] | None = None) -> DataFrame:
     """Rows of the default scenario, by its parameters."""
     for name, value in (parameters or DEFAULT_SCENARIO).items():
-        df = df.filter(F.col(name) == value)
+        df = df.filter(f"{name} = {value!r}")
     return df
 
 

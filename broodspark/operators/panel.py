@@ -6,10 +6,17 @@ so a chain of these operators costs one exchange.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from broodspark.functions.frames import by_day, last_days, so_far, whole_flock
+from broodspark.functions.frames import (
+    by_day,
+    derive,
+    last_days,
+    rederive,
+    so_far,
+    whole_flock,
+)
 from broodspark.functions.missing import half_even, ratio
 from broodspark.schema import FLOCK
 
@@ -34,8 +41,8 @@ def co_occurrence(log: DataFrame, first: str, second: str, keys: list[str] = FLO
 
 def cumulative_entries(daily: DataFrame, counters: dict[str, str]) -> DataFrame:
     """Running totals: ``counters`` maps a column of daily entries to its counter's name."""
-    return daily.withColumns(
-        {total: F.sum(entry).over(so_far()) for entry, total in counters.items()}
+    return derive(
+        daily, **{total: f"sum({entry}) {so_far()}" for entry, total in counters.items()}
     )
 
 
@@ -44,58 +51,49 @@ def dwell_occupancy(daily: DataFrame, durations: dict[str, tuple[str, int]]) ->
 
     ``durations`` maps the new column to (entry column, days). Needs a row for every day.
     """
-    return daily.withColumns(
-        {
-            name: F.sum(entry).over(last_days(days))
-            for name, (entry, days) in durations.items()
-        }
+    return derive(
+        daily,
+        **{name: f"sum({entry}) {last_days(days)}" for name, (entry, days) in durations.items()},
     )
 
 
 def occupancy_from_log(
-    log: DataFrame, days: int | Column, last_day: int, exit_day: Column | None = None
+    log: DataFrame, days: int | str, last_day: int, exit_day: str | None = None
 ) -> DataFrame:
     """Birds present per flock and day from a log of entries (key, day, ``n`` birds).
 
-    Each entry stays ``days`` days, or until ``exit_day`` if that comes first. Entries are
-    first added up per flock, day and stay, then turned into one arrival and one departure;
-    days in between follow from a running sum, so rows never multiply by the stay length.
+    Each entry stays ``days`` days, or until the day in column ``exit_day`` if that comes
+    first. Entries are first added up per flock, day and stay, then turned into one arrival
+    and one departure; days in between follow from a running sum, so rows never multiply by
+    the stay length.
     """
-    leave = F.col("day") + days
+    leave = f"day + {days}"
     if exit_day is not None:
-        leave = F.greatest(F.least(leave, exit_day), F.col("day"))
+        leave = f"greatest(least({leave}, {exit_day}), day)"
+    stays = log.selectExpr(*FLOCK, "day", f"{leave} AS _leave", "n")
     moves = (
-        log.groupBy(*FLOCK, "day", leave.alias("_leave"))
+        stays.groupBy(*FLOCK, "day", "_leave")
         .agg(F.sum("n").alias("n"))
-        .select(
+        .selectExpr(
             *FLOCK,
-            F.inline(
-                F.array(
-                    F.struct(F.col("day").alias("day"), F.col("n").alias("change")),
-                    F.struct(F.col("_leave").alias("day"), (-F.col("n")).alias("change")),
-                )
-            ),
+            "inline(array(struct(day AS day, n AS change), struct(_leave AS day, -n AS change)))",
         )
         .groupBy(*FLOCK, "day")
         .agg(F.sum("change").alias("change"))
     )
-    w = by_day()
-    present = moves.withColumns(
-        {
-            "present": F.sum("change").over(so_far()),
-            "_until": F.least(F.lead("day", 1, last_day + 1).over(w) - 1, F.lit(last_day)),
-        }
-    ).filter((F.col("present") > 0) & (F.col("day") <= F.col("_until")))
-    return present.select(
-        *FLOCK, F.explode(F.sequence("day", "_until")).alias("day"), "present"
-    )
+    present = derive(
+        moves,
+        present=f"sum(change) {so_far()}",
+        _until=f"least(lead(day, 1, {last_day + 1}) {by_day()} - 1, {last_day})",
+    ).filter("present > 0 AND day <= _until")
+    return present.selectExpr(*FLOCK, "explode(sequence(day, _until)) AS day", "present")
 
 
 # --- rates -------------------------------------------------------------------------
 
 
 def flock_size(panel: DataFrame, initial_birds: int) -> DataFrame:
-    return panel.withColumn("flock_size", initial_birds - F.col("cum_mort") - F.col("cum_thinning"))
+    return derive(panel, flock_size=f"{initial_birds} - cum_mort - cum_thinning")
 
 
 def daily_mortality(panel: DataFrame, initial_birds: int, lag_days: int = 0) -> DataFrame:
@@ -104,55 +102,42 @@ def daily_mortality(panel: DataFrame, initial_birds: int, lag_days: int = 0) ->
     The first day has no day before: NULL. ``lag_days=1`` gives the value one day late, as
     the simulation runs export it.
     """
-    w = by_day()
-    previous = flock_size(panel, initial_birds).withColumns(
-        {
-            "_deaths": F.col("cum_mort") - F.lag("cum_mort").over(w),
-            "previous_flock_size": F.lag("flock_size").over(w),
-        }
+    previous = rederive(
+        flock_size(panel, initial_birds),
+        _deaths=f"cum_mort - lag(cum_mort) {by_day()}",
+        previous_flock_size=f"lag(flock_size) {by_day()}",
     )
-    rate = previous.withColumn("daily_mortality", ratio("_deaths", "previous_flock_size"))
+    rate = rederive(previous, daily_mortality=ratio("_deaths", "previous_flock_size"))
     if lag_days:
-        rate = rate.withColumn("daily_mortality", F.lag("daily_mortality", lag_days).over(w))
-    return rate.withColumn("percentage_daily_mortality", F.col("daily_mortality") * 100).drop(
-        "_deaths"
-    )
+        rate = rederive(rate, daily_mortality=f"lag(daily_mortality, {lag_days}) {by_day()}")
+    return rederive(rate, percentage_daily_mortality="100 * daily_mortality").drop("_deaths")
 
 
 def birds_with_signs(panel: DataFrame) -> DataFrame:
     """Birds with respiratory signs of either kind, those with both counted once."""
-    return panel.withColumn(
-        "total_resp_signs", F.col("RS") + F.col("B") - F.col("B_and_RS")
-    )
+    return derive(panel, total_resp_signs="RS + B - B_and_RS")
 
 
 def percent_measures(panel: DataFrame, initial_birds: int) -> DataFrame:
-    """The percent measures of the panel; mortality is relative to the initial flock."""
-
-    def percent(part: Column | str, whole: Column | str = "P") -> Column:
-        part = F.col(part) if isinstance(part, str) else part
-        return ratio(part * 100, whole)
-
-    measured = birds_with_signs(panel).withColumns(
-        {
-            "percentage_prevalence": percent(F.col("I0") + F.col("I")),
-            "percentage_prevalence_secondary": percent("B"),
-            "percentage_prevalence_recovered_lesions": percent("RL"),
-            "percentage_mortality": percent("cum_mort", F.lit(initial_birds)),
-            "percentage_total_resp_signs": percent("total_resp_signs"),
-        }
+    """The percent measures of the panel; mortality is relative to the initial flock.
+
+    Needs ``daily_mortality``, as ``daily_mortality()`` adds it.
+    """
+    return derive(
+        birds_with_signs(panel),
+        percentage_prevalence=ratio("100 * (I0 + I)", "P"),
+        percentage_prevalence_secondary=ratio("100 * B", "P"),
+        percentage_prevalence_recovered_lesions=ratio("100 * RL", "P"),
+        percentage_mortality=ratio("100 * cum_mort", str(initial_birds)),
+        percentage_total_resp_signs=ratio("100 * (RS + B - B_and_RS)", "P"),
+        percentage_daily_mortality="100 * daily_mortality",
     )
-    if "daily_mortality" in panel.columns:
-        measured = measured.withColumn(
-            "percentage_daily_mortality", F.col("daily_mortality") * 100
-        )
-    return measured
 
 
 def force_of_infection(panel: DataFrame) -> DataFrame:
     """Infectious birds, and the transmission rate times their share of the flock."""
-    return panel.withColumn("infectious", F.col("I0") + F.col("I")).withColumn(
-        "force_of_infection", ratio(F.col("beta") * F.col("infectious"), "P")
+    return derive(
+        panel, infectious="I0 + I", force_of_infection=ratio("beta * (I0 + I)", "P")
     )
 
 
@@ -161,34 +146,26 @@ def force_of_infection(panel: DataFrame) -> DataFrame:
 
 def mortality_alarm(panel: DataFrame) -> DataFrame:
     """Latched alarm: on from the first day that ``daily_mortality`` exceeds the trigger."""
-    over = F.col("daily_mortality") > F.col("treatment_trigger")
-    return panel.withColumns(
-        {
-            "alarm": F.coalesce(F.max(over.cast("int")).over(so_far()), F.lit(0)),
-            "alarm_day": F.min(F.when(over, F.col("day"))).over(whole_flock()),
-        }
+    over = "daily_mortality > treatment_trigger"
+    return derive(
+        panel,
+        alarm=f"coalesce(max(IF({over}, 1, 0)) {so_far()}, 0)",
+        alarm_day=f"min(IF({over}, day, NULL)) {whole_flock()}",
     )
 
 
-def treatment_permitted(
-    thinning: Column | str = "thinning_time",
-    slaughter: Column | str = "slaughter_time",
-    day: Column | str = "day",
-) -> Column:
-    """False in the days up to and on thinning, and from a few days before slaughter on."""
-    thinning, slaughter, day = (F.col(c) if isinstance(c, str) else c for c in (thinning, slaughter, day))
-    before_thinning = (day > thinning - WITHDRAWAL_DAYS) & (day <= thinning)
-    return ~(before_thinning | (day > slaughter - WITHDRAWAL_DAYS))
+def permitted_when(thinning: int | str = "thinning_time", slaughter: int | str = "slaughter_time") -> str:
+    """Condition for a treatment to start: not in the days up to and on thinning, nor in the
+    last days before slaughter or later."""
+    return f"""NOT ((day > {thinning} - {WITHDRAWAL_DAYS} AND day <= {thinning})
+        OR day > {slaughter} - {WITHDRAWAL_DAYS})"""
 
 
 def treatment_day(panel: DataFrame) -> DataFrame:
     """First permitted day with the alarm on, and the flag that drops to 0 from then on."""
-    start = F.min(
-        F.when((F.col("alarm") == 1) & treatment_permitted(), F.col("day"))
-    ).over(whole_flock())
-    return panel.withColumn("treatment_day", start).withColumn(
-        "not_yet_treated",
-        F.when(F.col("day") >= F.col("treatment_day"), 0).otherwise(1),
+    start = f"min(IF(alarm = 1 AND {permitted_when()}, day, NULL)) {whole_flock()}"
+    return derive(
+        derive(panel, treatment_day=start), not_yet_treated="IF(day >= treatment_day, 0, 1)"
     )
 
 
@@ -199,36 +176,25 @@ def early_removal(panel: DataFrame, thinning: int, slaughter: int) -> DataFrame:
     (or else slaughtered) the day after the first such day inside the few days before
     the planned date. At most one of the two happens.
     """
-    planned_thinning, planned_slaughter = F.lit(thinning), F.lit(slaughter)
-    permitted = treatment_permitted(planned_thinning, planned_slaughter)
-    treated = F.max(((F.col("alarm") == 1) & permitted).cast("int")).over(so_far())
-    waiting = panel.withColumn(
-        "_waiting", (F.col("early_slaughter") == 1) & (F.col("alarm") == 1) & (treated == 0)
-    )
+    treated = f"max(IF(alarm = 1 AND {permitted_when(thinning, slaughter)}, 1, 0)) {so_far()}"
+    waiting = derive(panel, _waiting=f"early_slaughter = 1 AND alarm = 1 AND {treated} = 0")
 
-    def first_day_before(date: Column) -> Column:
-        near = (F.col("day") > date - WITHDRAWAL_DAYS) & (F.col("day") < date)
-        return F.min(F.when(F.col("_waiting") & near, F.col("day"))).over(whole_flock())
+    def first_day_before(date: int) -> str:
+        near = f"day > {date - WITHDRAWAL_DAYS} AND day < {date}"
+        return f"min(IF(_waiting AND {near}, day, NULL)) {whole_flock()}"
 
-    decided = waiting.withColumns(
-        {
-            "_thin": first_day_before(planned_thinning),
-            "_slaughter": first_day_before(planned_slaughter),
-        }
+    decided = derive(
+        waiting, _thin=first_day_before(thinning), _slaughter=first_day_before(slaughter)
     )
-    no_thinning = F.col("_thin").isNull()
-    return decided.withColumns(
-        {
-            "thinning_time": F.coalesce(F.col("_thin") + 1, planned_thinning),
-            "slaughter_time": F.when(
-                no_thinning, F.coalesce(F.col("_slaughter") + 1, planned_slaughter)
-            ).otherwise(planned_slaughter),
-        }
+    return derive(
+        decided,
+        thinning_time=f"coalesce(_thin + 1, {thinning})",
+        slaughter_time=f"IF(_thin IS NULL, coalesce(_slaughter + 1, {slaughter}), {slaughter})",
     ).drop("_waiting", "_thin", "_slaughter")
 
 
 def truncate_at_slaughter(panel: DataFrame) -> DataFrame:
-    return panel.filter(F.col("day") <= F.col("slaughter_time"))
+    return panel.filter("day <= slaughter_time")
 
 
 def removal_by_stratum(panel: DataFrame, strata: list[str], number: int) -> DataFrame:
@@ -236,15 +202,9 @@ def removal_by_stratum(panel: DataFrame, strata: list[str], number: int) -> Data
 
     One row per flock, thinning day and stratum. Ties in rounding go to the even number.
     """
-    on_day = panel.filter(F.col("day") == F.col("thinning_time"))
-    total = sum((F.col(s) for s in strata[1:]), F.col(strata[0]))
-    rows = on_day.select(
-        *FLOCK,
-        "day",
-        total.alias("total"),
-        F.inline(
-            F.array(*[F.struct(F.lit(s).alias("stratum"), F.col(s).alias("birds")) for s in strata])
-        ),
+    classes = ", ".join(f"struct('{s}' AS stratum, {s} AS birds)" for s in strata)
+    rows = panel.filter("day = thinning_time").selectExpr(
+        *FLOCK, "day", f"{' + '.join(strata)} AS total", f"inline(array({classes}))"
     )
-    quota = half_even(ratio(F.col("birds") * number, "total")).cast("int")
-    return rows.withColumn("removed", quota)
+    quota = half_even(ratio(f"birds * {number}D", "total"))
+    return derive(rows, removed=f"CAST({quota} AS INT)")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from broodspark.functions.frames import derive, named
 from broodspark.functions.small import broadcast_if_small, literal_table
 
 # Response of gain and feed conversion, and its strength per growth factor.
@@ -16,39 +17,30 @@ DISEASE_RESPONSE = {
 }
 GROWTH_STRENGTH = {"low": 0.5, "middle": 1.0, "high": 2.0}
 HATCH_WEIGHT = 44.0
-DAYS_WITHOUT_FEED = (0, 1)
+LAST_DAY_WITHOUT_FEED = 1
 RESPONSES = ["DG_IB", "DG_B", "FI_IB", "FI_B"]
 
 
 def multipliers(spark: SparkSession, response: dict[str, float] | None = None) -> DataFrame:
     """Per growth factor: multipliers of gain, feed conversion and feed intake by class."""
     response = response or DISEASE_RESPONSE
-    strengths = literal_table(
-        spark,
-        [{"growth_factor": name, "strength": s} for name, s in GROWTH_STRENGTH.items()],
-        "growth_factor string, strength double",
-    )
-    columns: dict[str, Column] = {}
-    for group in ("IB", "B"):
-        gain = F.lit(1.0) + F.col("strength") * response[f"DG_change_{group}"]
-        conversion = F.lit(1.0) + F.col("strength") * response[f"FCR_change_{group}"]
-        columns |= {
-            f"dg_mult_{group}": gain,
-            f"fcr_mult_{group}": conversion,
-            f"fi_mult_{group}": gain * conversion,
-        }
-    return strengths.withColumns(columns)
+    rows = [{"growth_factor": name, "strength": s} for name, s in GROWTH_STRENGTH.items()]
+    strengths = literal_table(spark, rows, "growth_factor string, strength double")
+    single = {
+        f"{kind}_mult_{group}": f"1 + strength * {response[f'{change}_change_{group}']}D"
+        for group in ("IB", "B")
+        for kind, change in (("dg", "DG"), ("fcr", "FCR"))
+    }
+    feed = {f"fi_mult_{g}": f"dg_mult_{g} * fcr_mult_{g}" for g in ("IB", "B")}
+    return derive(derive(strengths, **single), **feed)
 
 
 def healthy_table(healthy: DataFrame) -> DataFrame:
     """Rename the input columns; day 0 gains the hatch weight, the first days eat nothing."""
-    day = F.col("day")
-    return healthy.select(
-        day,
-        F.when(day == 0, HATCH_WEIGHT).otherwise(F.col("healthy_DG")).alias("DG_healthy"),
-        F.when(day.isin(*DAYS_WITHOUT_FEED), 0.0)
-        .otherwise(F.col("healthy_intake"))
-        .alias("FI_healthy"),
+    return healthy.selectExpr(
+        "day",
+        f"IF(day = 0, {HATCH_WEIGHT}D, healthy_DG) AS DG_healthy",
+        f"IF(day BETWEEN 0 AND {LAST_DAY_WITHOUT_FEED}, 0D, healthy_intake) AS FI_healthy",
     )
 
 
@@ -57,55 +49,47 @@ def production_table(
 ) -> DataFrame:
     """Long form: one row per day and growth factor.
 
-    The three growth factors are spread from an array on each day, not cross joined.
+    Each day is spread over the factors and joined with their multipliers. The result has
+    three rows per day; it is counted and marked for broadcast here, once, so that the
+    joins with it need no check of their own.
     """
-    response = response or DISEASE_RESPONSE
-    strength = F.get(
-        F.array(*[F.lit(s) for s in GROWTH_STRENGTH.values()]), F.col("_position")
-    )
-    rows = healthy_table(healthy).select(
-        "*",
-        F.posexplode(F.array(*[F.lit(g) for g in GROWTH_STRENGTH])).alias(
-            "_position", "growth_factor"
-        ),
-    ).withColumn("_strength", strength)
-    columns: dict[str, Column] = {}
+    factors = ", ".join(f"'{g}'" for g in GROWTH_STRENGTH)
+    per_factor = derive(healthy_table(healthy), growth_factor=f"explode(array({factors}))")
+    # One row per growth factor, known on the driver.
+    joined = per_factor.join(F.broadcast(multipliers(spark, response)), "growth_factor")
+    diseased = {}
     for group in ("IB", "B"):
-        gain = F.lit(1.0) + F.col("_strength") * response[f"DG_change_{group}"]
-        conversion = F.lit(1.0) + F.col("_strength") * response[f"FCR_change_{group}"]
-        columns[f"DG_{group}"] = F.when(F.col("day") == 0, HATCH_WEIGHT).otherwise(
-            gain * F.col("DG_healthy")
-        )
-        columns[f"FI_{group}"] = gain * conversion * F.col("FI_healthy")
-    return rows.withColumns(columns).select(
-        "day", "growth_factor", "DG_healthy", "FI_healthy", *RESPONSES
+        gain = f"IF(day = 0, {HATCH_WEIGHT}D, dg_mult_{group} * DG_healthy)"
+        diseased |= {f"DG_{group}": gain, f"FI_{group}": f"fi_mult_{group} * FI_healthy"}
+    ordered = {c: diseased[c] for c in RESPONSES}
+    return broadcast_if_small(
+        joined.selectExpr("day", "growth_factor", "DG_healthy", "FI_healthy", *named(ordered))
     )
 
 
 def wide(production: DataFrame) -> DataFrame:
     """One row per day; low and high responses as suffixed columns, middle without suffix."""
 
-    def pick(column: str, factor: str) -> Column:
-        return F.max(F.when(F.col("growth_factor") == factor, F.col(column)))
+    def pick(column: str, factor: str, name: str) -> str:
+        return f"max(IF(growth_factor = '{factor}', {column}, NULL)) AS {name}"
 
-    return production.groupBy("day").agg(
-        *[pick(c, "middle").alias(c) for c in ("DG_healthy", "FI_healthy", *RESPONSES)],
-        *[pick(c, f).alias(f"{c}_{f}") for f in ("low", "high") for c in RESPONSES],
+    columns = [pick(c, "middle", c) for c in ("DG_healthy", "FI_healthy", *RESPONSES)]
+    columns += [pick(c, f, f"{c}_{f}") for f in ("low", "high") for c in RESPONSES]
+    return production.sparkSession.sql(
+        f"SELECT day, {', '.join(columns)} FROM {{production}} GROUP BY day", production=production
     )
 
 
 def long(wide_table: DataFrame) -> DataFrame:
     """The long form back from the wide one, e.g. after reading a wide CSV."""
-    options = [
-        F.struct(
-            F.lit(factor).alias("growth_factor"),
-            *[F.col(c + suffix).alias(c) for c in RESPONSES],
-        )
+    options = ", ".join(
+        f"struct('{factor}' AS growth_factor, "
+        + ", ".join(f"{c}{suffix} AS {c}" for c in RESPONSES)
+        + ")"
         for factor, suffix in (("low", "_low"), ("middle", ""), ("high", "_high"))
-    ]
-    return wide_table.select("day", "DG_healthy", "FI_healthy", F.inline(F.array(*options))).select(
-        "day", "growth_factor", "DG_healthy", "FI_healthy", *RESPONSES
     )
+    spread = wide_table.selectExpr("day", "DG_healthy", "FI_healthy", f"inline(array({options}))")
+    return spread.select("day", "growth_factor", "DG_healthy", "FI_healthy", *RESPONSES)
 
 
 def attach(
@@ -113,6 +97,9 @@ def attach(
 ) -> DataFrame:
     """Left join on ``day``; a list of growth factors repeats each row once per factor.
 
+    The production table comes marked for broadcast if it was found small where it was made
+    or read; otherwise Spark chooses the join from its statistics.
+
     ``as_written=True`` keeps the middle responses whatever the growth factor, which is what
     the published results used; the factor is then only a label.
     """
@@ -123,16 +110,15 @@ def attach(
     shared = (set(daily.columns) & set(production.columns)) - {"day"}
     if shared:
         raise ValueError(f"columns in both tables: {', '.join(sorted(shared))}")
-    if as_written:
-        labels = F.explode(F.array(*[F.lit(f) for f in factors]))
-        table = production.filter(F.col("growth_factor") == "middle").withColumn(
-            "growth_factor", labels
-        )
-    else:
-        table = production.filter(F.col("growth_factor").isin(*factors))
+    quoted = ", ".join(f"'{f}'" for f in factors)
+    responses = ["day", "DG_healthy", "FI_healthy", *RESPONSES]
+    chosen = "'middle'" if as_written else quoted
+    table = production.filter(f"growth_factor IN ({chosen})")
     if len(factors) == 1:
+        joined = daily.join(table.select(responses), "day", "left")
         # A label that is always there, also on days that the production table lacks.
-        joined = daily.join(broadcast_if_small(table.drop("growth_factor")), "day", "left")
-        return joined.withColumn("growth_factor", F.lit(factors[0]))
-    per_factor = daily.withColumn("growth_factor", F.explode(F.array(*[F.lit(f) for f in factors])))
-    return per_factor.join(broadcast_if_small(table), ["day", "growth_factor"], "left")
+        return derive(joined, growth_factor=quoted)
+    if as_written:
+        table = derive(table.select(responses), growth_factor=f"explode(array({quoted}))")
+    per_factor = derive(daily, growth_factor=f"explode(array({quoted}))")
+    return per_factor.join(table, ["day", "growth_factor"], "left")

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from broodspark.functions.frames import by_day
+from broodspark.functions.frames import by_day, derive
 from broodspark.schema import FLOCK, SCENARIO_INPUTS
 
 # Tolerance when a number is read as an integer: the square root of the double epsilon.
@@ -102,15 +102,15 @@ def duplicate_days(panel: DataFrame) -> DataFrame:
 def falling_counters(panel: DataFrame) -> DataFrame:
     """Days on which a running total is lower than on the flock's day before."""
     counters = ["cum_I", "cum_B", "cum_mort", "cum_thinning"]
-    before = panel.withColumns({f"_{c}": F.lag(c).over(by_day()) for c in counters})
-    falls = [F.when(F.col(c) < F.col(f"_{c}"), F.lit(f"{c}_falls")) for c in counters]
-    return before.select(*FLOCK, "day", F.explode(F.array_compact(F.array(*falls))).alias("rule"))
+    before = derive(panel, **{f"_{c}": f"lag({c}) {by_day()}" for c in counters})
+    falls = ", ".join(f"IF({c} < _{c}, '{c}_falls', NULL)" for c in counters)
+    return before.selectExpr(*FLOCK, "day", f"explode(array_compact(array({falls}))) AS rule")
 
 
 def wrong_shares(panel: DataFrame) -> DataFrame:
     """Days on which the growth classes do not add up to the birds present."""
-    classes = F.col("NG") + F.col("NGi") + F.col("NGr") + F.col("RGi") + F.col("RGb")
-    return panel.filter(classes != F.col("P")).select(*FLOCK, "day", F.lit("shares").alias("rule"))
+    off = panel.filter("NG + NGi + NGr + RGi + RGb <> P")
+    return off.selectExpr(*FLOCK, "day", "'shares' AS rule")
 
 
 def panel_violations(panel: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from broodspark.functions.frames import named
+from broodspark.functions.missing import ratio
 from broodspark.operators.outcomes import PLANNED_SLAUGHTER, PLANNED_THINNING
 from broodspark.schema import SCENARIO_INPUTS
 
@@ -43,15 +45,15 @@ SPREAD = {
 PERCENT = ("p_prevalence", "p_secondary")
 
 
-def _mean_only() -> dict[str, Column]:
-    return {
-        "mean_thinned_weight": F.col("thinned_weight"),
-        "early_thinning_triggered": (F.col("thinning_day") < PLANNED_THINNING).cast("int"),
-        "early_slaughter_triggered": (F.col("day") < PLANNED_SLAUGHTER).cast("int"),
-        "vaccination_cost": F.col("vaccination_cost"),
-        "fraction_treatment_triggered": F.col("treatment_triggered"),
-        "fraction_treated": F.col("treated"),
-    }
+# Means only: name in the summary -> expression over the outcome table.
+MEANS = {
+    "mean_thinned_weight": "thinned_weight",
+    "early_thinning_triggered": f"CAST(thinning_day < {PLANNED_THINNING} AS INT)",
+    "early_slaughter_triggered": f"CAST(day < {PLANNED_SLAUGHTER} AS INT)",
+    "vaccination_cost": "vaccination_cost",
+    "fraction_treatment_triggered": "treatment_triggered",
+    "fraction_treated": "treated",
+}
 
 
 def summary_columns() -> list[str]:
@@ -90,45 +92,50 @@ def per_scenario(
     from their counts.
     """
     keys = ["scenario", *(by or []), *ECHOED]
-    means = _mean_only()
-    numbers = {name: F.col(c) for name, c in SPREAD.items()}
-
-    parts = [F.count(F.lit(1)).alias("n"), F.min("simu_id").alias("_first")]
-    for name, column in (numbers | means).items():
-        parts += [F.sum(column).alias(f"_sum_{name}"), F.count(column).alias(f"_count_{name}")]
-    for name, column in numbers.items():
-        parts += [F.min(column).alias(f"_min_{name}"), F.max(column).alias(f"_max_{name}")]
-    parts += [F.min_by(c, "simu_id").alias(f"_id_{c}") for c in SCENARIO_INPUTS]
-    per_day = outcomes.groupBy(*keys, "treatment_day").agg(*parts)
-
-    def guarded(value: Column, counted: Column) -> Column:
-        return value if na_rm else F.when(counted == F.sum("n"), value)
-
-    def mean(name: str) -> Column:
-        counted = F.sum(f"_count_{name}")
-        return guarded(F.try_divide(F.sum(f"_sum_{name}"), counted), counted)
-
-    merged = {"n": F.sum("n")}
-    merged |= {c: F.min_by(f"_id_{c}", "_first") for c in SCENARIO_INPUTS}
-    for name in numbers:
-        scale = 100 if name in PERCENT else 1
-        counted = F.sum(f"_count_{name}")
-        low, high = F.min(f"_min_{name}"), F.max(f"_max_{name}")
+    parts = ["count(1) AS n", "min(simu_id) AS _first"]
+    parts += [f"min_by({c}, simu_id) AS _id_{c}" for c in SCENARIO_INPUTS]
+    for name, value in (SPREAD | MEANS).items():
+        parts += [f"sum({value}) AS _sum_{name}", f"count({value}) AS _count_{name}"]
+    for name, column in SPREAD.items():
+        parts += [f"min({column}) AS _min_{name}", f"max({column}) AS _max_{name}"]
+
+    def guarded(value: str, counted: str) -> str:
+        return value if na_rm else f"IF({counted} = sum(n), {value}, NULL)"
+
+    def mean(name: str) -> str:
+        counted = f"sum(_count_{name})"
+        return guarded(ratio(f"sum(_sum_{name})", counted), counted)
+
+    merged = {"n": "sum(n)"} | {c: f"min_by(_id_{c}, _first)" for c in SCENARIO_INPUTS}
+    for name in SPREAD:
+        scale = " / 100" if name in PERCENT else ""
+        counted = f"sum(_count_{name})"
         merged |= {
-            f"mean_{name}": mean(name) / scale if scale > 1 else mean(name),
-            f"min_{name}": guarded(low / scale if scale > 1 else low, counted),
-            f"max_{name}": guarded(high / scale if scale > 1 else high, counted),
+            f"mean_{name}": mean(name) + scale,
+            f"min_{name}": guarded(f"min(_min_{name})", counted) + scale,
+            f"max_{name}": guarded(f"max(_max_{name})", counted) + scale,
         }
-    merged |= {name: mean(name) for name in means}
-    day = F.col("treatment_day")
-    with_day = F.sum(F.when(day.isNotNull(), F.col("n")).otherwise(0))
+    merged |= {name: mean(name) for name in MEANS}
+    with_day = "sum(IF(treatment_day IS NULL, 0, n))"
     merged |= {
-        "median_treatment_day": guarded(F.percentile(day, F.lit(0.5), F.col("n")), with_day),
-        "min_treatment_day": guarded(F.min(day), with_day),
-        "max_treatment_day": guarded(F.max(day), with_day),
+        "median_treatment_day": guarded("percentile(treatment_day, 0.5, n)", with_day),
+        "min_treatment_day": guarded("min(treatment_day)", with_day),
+        "max_treatment_day": guarded("max(treatment_day)", with_day),
     }
-    table = per_day.groupBy(*keys).agg(*[c.alias(name) for name, c in merged.items()])
-    return table.withColumnsRenamed(ECHOED).select(*(by or []), *summary_columns())
+    grouped = ", ".join(keys)
+    columns = {name: c for c, name in ECHOED.items()} | {"scenario": "scenario"} | merged
+    wanted = [*(by or []), *named({c: columns[c] for c in summary_columns()})]
+    return outcomes.sparkSession.sql(
+        f"""
+        SELECT {', '.join(wanted)}
+        FROM (
+          SELECT {grouped}, treatment_day, {', '.join(parts)}
+          FROM {{outcomes}} GROUP BY {grouped}, treatment_day
+        )
+        GROUP BY {grouped}
+        """,
+        outcomes=outcomes,
+    )
 
 
 def check(summary: DataFrame) -> DataFrame:

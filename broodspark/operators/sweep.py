@@ -7,6 +7,7 @@ from dataclasses import asdict
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from broodspark.functions.frames import derive
 from broodspark.functions.small import literal_table
 from broodspark.operators import daily as daily_ops
 from broodspark.operators import outcomes as outcome_ops
@@ -97,17 +98,16 @@ def simulator_sweep(
 
 def continue_numbering(economic: DataFrame, simulator_runs: int) -> DataFrame:
     """Number the economic rows on from the simulator runs; the base row gets no number."""
-    number = F.when(F.col("param_id") > 0, F.col("param_id") + simulator_runs)
-    return economic.withColumn("run", number)
+    return derive(economic, run=f"IF(param_id > 0, param_id + {simulator_runs}, NULL)")
 
 
 def combined_sensitivity(
     simulator: DataFrame, economic: DataFrame, simulator_runs: int
 ) -> DataFrame:
     """Both sensitivity summaries in one table; the base row is not part of it."""
-    numbered = continue_numbering(economic, simulator_runs).filter(F.col("param_id") > 0)
+    numbered = continue_numbering(economic, simulator_runs).filter("param_id > 0")
     return summary_ops.combine(
-        simulator.withColumns({"run": F.col("scenario").cast("int"), "kind": F.lit("simulator")}),
-        numbered.withColumn("kind", F.lit("economic")),
+        derive(simulator, run="CAST(scenario AS INT)", kind="'simulator'"),
+        derive(numbered, kind="'economic'"),
     )
 

@@ -8,12 +8,12 @@ from __future__ import annotations
 
 import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from broodspark.functions.frames import by_day, last_days, so_far, whole_flock
+from broodspark.functions.frames import by_day, derive, last_days, named, so_far, whole_flock
+from broodspark.functions.missing import ratio
 from broodspark.operators.grids import DURATION_RESP_SIGNS, DURATIONS, derive_parameters
-from broodspark.operators.panel import percent_measures
+from broodspark.operators.panel import percent_measures, permitted_when
 from broodspark.schema import COUNTS_SCHEMA, FLOCK, LAST_DAY
 
 # Fixed values of the derived panel.
@@ -30,33 +30,20 @@ TREATMENT_TRIGGER = 0.002
 INTRODUCTION_TIME = 14
 ENTRIES = ["new_i", "new_b", "new_d", "new_s"]
 
+FLOCK_OF_USER = {
+    "scenario": f"CAST(user_id % {SCENARIOS} AS STRING)",
+    "simu_id": f"CAST(user_id DIV {SCENARIOS} AS INT)",
+}
+EVENT_DAY = f"date_diff(CAST(ts AS DATE), DATE '{FEED_START}') + {FIRST_EVENT_DAY}"
+
 
 def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet")
 
 
-def event_day(ts: Column | str = "ts") -> Column:
-    return F.date_diff(F.to_date(ts), F.lit(FEED_START)) + FIRST_EVENT_DAY
-
-
-def flock_of(user: Column | str = "user_id") -> dict[str, Column]:
-    user = F.col(user) if isinstance(user, str) else user
-    scenario = user % SCENARIOS
-    return {
-        "scenario": scenario.cast("string"),
-        "simu_id": ((user - scenario) / SCENARIOS).cast("int"),
-    }
-
-
 def entry_log(events: DataFrame) -> DataFrame:
     """(scenario, simu_id, day, state): one row per entry of a bird group into a state."""
-    flock = flock_of()
-    return events.select(
-        flock["scenario"].alias("scenario"),
-        flock["simu_id"].alias("simu_id"),
-        event_day().alias("day"),
-        F.col("event_type").alias("state"),
-    )
+    return events.selectExpr(*named(FLOCK_OF_USER), f"{EVENT_DAY} AS day", "event_type AS state")
 
 
 def daily_entries(log: DataFrame) -> DataFrame:
@@ -65,11 +52,14 @@ def daily_entries(log: DataFrame) -> DataFrame:
     The count is combined on the map side, so a flock with a third of all events still
     sends at most one row per day and task through the exchange.
     """
-    return log.groupBy(*FLOCK, "day").agg(
-        *[
-            (F.count_if(F.col("state") == event) * birds).cast("int").alias(ENTRY_NAMES[event])
-            for event, birds in BIRDS_PER_EVENT.items()
-        ]
+    entered = [
+        f"CAST({birds} * count_if(state = '{event}') AS INT) AS {ENTRY_NAMES[event]}"
+        for event, birds in BIRDS_PER_EVENT.items()
+    ]
+    return log.sparkSession.sql(
+        f"SELECT {', '.join(FLOCK)}, day, {', '.join(entered)} FROM {{log}} "
+        f"GROUP BY {', '.join(FLOCK)}, day",
+        log=log,
     )
 
 
@@ -80,126 +70,91 @@ def on_every_day(
 
     Each row spreads over the days up to the next row of its flock; no spine join.
     """
-    w = by_day()
-    rows = daily.filter(F.col("day").between(first, last)).withColumns(
-        {
-            "_from": F.when(F.row_number().over(w) == 1, first).otherwise(F.col("day")),
-            "_until": F.lead("day", 1, last + 1).over(w) - 1,
-        }
+    rows = daily.filter(f"day BETWEEN {first} AND {last}").selectExpr(
+        *FLOCK, "day AS _event_day", *columns,
+        f"IF(row_number() {by_day()} = 1, {first}, day) AS _from",
+        f"lead(day, 1, {last + 1}) {by_day()} - 1 AS _until",
     )
-    spread = rows.withColumn("_day", F.explode(F.sequence("_from", "_until")))
-    return spread.select(
-        *FLOCK,
-        F.col("_day").alias("day"),
-        *[F.when(F.col("_day") == F.col("day"), F.col(c)).otherwise(0).alias(c) for c in columns],
+    return derive(rows, day="explode(sequence(_from, _until))").selectExpr(
+        *FLOCK, "day", *[f"IF(day = _event_day, {c}, 0) AS {c}" for c in columns]
     )
 
 
-def _sum_or_zero(column: str, window) -> Column:
-    return F.coalesce(F.sum(column).over(window), F.lit(0)).cast("int")
-
-
 def derived_panel(events: DataFrame, truncate: bool = True) -> DataFrame:
     """The counts table of the raw schema, plus ``scenario``, built from the feed."""
     entries = on_every_day(daily_entries(entry_log(events)), ENTRIES)
-    dwell = DURATIONS["time_before_reduced_growth"]
-    reduced = by_day().rowsBetween(1 - dwell - DURATIONS["duration_reduced_growth"], -dwell)
-    counted = entries.withColumns(
-        {
-            "cum_I": _sum_or_zero("new_i", so_far()),
-            "cum_B": _sum_or_zero("new_b", so_far()),
-            "cum_mort": _sum_or_zero("new_d", so_far()),
-            "NGi": _sum_or_zero("new_i", last_days(dwell)),
-            "RGi": _sum_or_zero("new_i", reduced),
-            "B": _sum_or_zero("new_b", last_days(DURATIONS["length_B"])),
-            "RS": _sum_or_zero("new_s", last_days(DURATION_RESP_SIGNS)),
-        }
-    )
-    day, scenario = F.col("day"), F.col("scenario").cast("int")
-    flock_before = (
-        INITIAL_BIRDS
-        - (F.col("cum_mort") - F.col("new_d"))
-        - F.when(day - 1 >= THINNING_TIME, THINNING_NUMBER).otherwise(0)
+    dwell, reduced = DURATIONS["time_before_reduced_growth"], DURATIONS["duration_reduced_growth"]
+    counted = derive(
+        entries,
+        cum_I=f"sum(new_i) {so_far()}",
+        cum_B=f"sum(new_b) {so_far()}",
+        cum_mort=f"sum(new_d) {so_far()}",
+        NGi=f"sum(new_i) {last_days(dwell)}",
+        RGi=f"coalesce(sum(new_i) {last_days(reduced, skip=dwell)}, 0)",
+        B=f"sum(new_b) {last_days(DURATIONS['length_B'])}",
+        RS=f"sum(new_s) {last_days(DURATION_RESP_SIGNS)}",
     )
-    over_trigger = (day > 0) & (F.col("new_d") > F.lit(TREATMENT_TRIGGER) * flock_before)
-    alarmed = counted.withColumns(
-        {
-            "alarm": F.min(F.when(over_trigger, day)).over(whole_flock()),
-            "early_slaughter": F.when(scenario >= 3, 1).otherwise(0),
-            "vaccination_scenario": (scenario % 3) / F.lit(2.0),
-        }
+    # Deaths of the day against the flock of the day before, planned thinning included.
+    birds_before = f"""({INITIAL_BIRDS} - (cum_mort - new_d)
+        - IF(day - 1 >= {THINNING_TIME}, {THINNING_NUMBER}, 0))"""
+    over_trigger = f"day > 0 AND new_d > {TREATMENT_TRIGGER}D * {birds_before}"
+    alarmed = derive(
+        counted,
+        alarm=f"min(IF({over_trigger}, day, NULL)) {whole_flock()}",
+        early_slaughter="IF(CAST(scenario AS INT) >= 3, 1, 0)",
+        vaccination_scenario="(CAST(scenario AS INT) % 3) / 2D",
     )
-    alarm, early = F.col("alarm"), F.col("early_slaughter") == 1
-    dated = alarmed.withColumns(
-        {
-            "thinning_time": F.when(
-                early & alarm.between(THINNING_TIME - 4, THINNING_TIME - 1), alarm + 1
-            ).otherwise(THINNING_TIME),
-            "slaughter_time": F.when(
-                early & alarm.between(SLAUGHTER_TIME - 4, SLAUGHTER_TIME - 1), alarm + 1
-            ).otherwise(SLAUGHTER_TIME),
-        }
+
+    def early(date: int) -> str:
+        return f"IF(early_slaughter = 1 AND alarm BETWEEN {date - 4} AND {date - 1}, alarm + 1, {date})"
+
+    dated = derive(
+        alarmed, thinning_time=early(THINNING_TIME), slaughter_time=early(SLAUGHTER_TIME)
     )
-    thinning, slaughter = F.col("thinning_time"), F.col("slaughter_time")
-    forbidden = ((day > thinning - 5) & (day <= thinning)) | (day > slaughter - 5)
-    flagged = dated.withColumns(
-        {
-            "treatment_allowed": F.when(forbidden, 0).otherwise(1),
-            "treatment_triggered": F.when(day >= alarm, 1).otherwise(0),
-            "cum_thinning": F.when(day >= thinning, THINNING_NUMBER).otherwise(0),
-            "previous_flock_size": F.when(
-                day > 0,
-                INITIAL_BIRDS
-                - (F.col("cum_mort") - F.col("new_d"))
-                - F.when(day > thinning, THINNING_NUMBER).otherwise(0),
-            ).otherwise(0),
-        }
-    ).withColumn(
-        "not_yet_treated",
-        1 - F.max(F.col("treatment_allowed") * F.col("treatment_triggered")).over(so_far()),
+    flagged = derive(
+        dated,
+        treatment_allowed=f"IF({permitted_when()}, 1, 0)",
+        treatment_triggered="IF(day >= alarm, 1, 0)",
+        cum_thinning=f"IF(day >= thinning_time, {THINNING_NUMBER}, 0)",
+        previous_flock_size=f"""IF(day > 0, {INITIAL_BIRDS} - (cum_mort - new_d)
+            - IF(day > thinning_time, {THINNING_NUMBER}, 0), 0)""",
     )
-    if truncate:
-        flagged = flagged.filter(day <= slaughter)
-    birds = INITIAL_BIRDS - F.col("cum_mort") - F.col("cum_thinning")
-    grid_inputs = flagged.withColumns(
-        {
-            "prop_bact_factor": F.lit(1.0),
-            "introduction_time": F.lit(INTRODUCTION_TIME),
-        }
+    sized = derive(
+        flagged,
+        not_yet_treated=f"1 - max(treatment_allowed * treatment_triggered) {so_far()}",
+        P=f"{INITIAL_BIRDS} - cum_mort - cum_thinning",
+        I0="0",
+        I="NGi + RGi",
+        RL="cum_B - B",
+        B_and_RS="0",
+        daily_mortality="IF(day > 0, " + ratio("new_d", "previous_flock_size") + ", NULL)",
+        prop_bact_factor="1D",
+        introduction_time=str(INTRODUCTION_TIME),
+        treatment_trigger=f"{TREATMENT_TRIGGER}D",
     )
-    sized = derive_parameters(grid_inputs).withColumns(
-        {
-            "step": day,
-            "level": F.lit("population"),
-            "agent_id": F.lit(0),
-            "De": F.lit(0),
-            "NGr": F.lit(0),
-            "I0": F.lit(0),
-            "I": F.col("NGi") + F.col("RGi"),
-            "RGb": F.col("B"),
-            "RL": F.col("cum_B") - F.col("B"),
-            "P": birds,
-            "NG": birds - F.col("NGi") - F.col("RGi") - F.col("B"),
-            "B_and_RS": F.lit(0),
-            "treatment_trigger": F.lit(TREATMENT_TRIGGER),
-            "daily_mortality": F.when(
-                day > 0, F.try_divide(F.col("new_d"), F.col("previous_flock_size"))
-            ),
-        }
+    kept = sized.filter("day <= slaughter_time") if truncate else sized
+    measured = percent_measures(derive_parameters(kept, given=[]), initial_birds=INITIAL_BIRDS)
+    constant = {
+        "step": "day",
+        "level": "'population'",
+        "agent_id": "0",
+        "De": "0",
+        "NGr": "0",
+        "RGb": "B",
+        "NG": "P - NGi - RGi - B",
+    }
+    return measured.selectExpr(
+        "scenario",
+        *[
+            f"CAST({constant.get(field.name, field.name)} AS {field.dataType.simpleString()}) "
+            f"AS {field.name}"
+            for field in COUNTS_SCHEMA.fields
+        ],
     )
-    measured = percent_measures(sized, initial_birds=INITIAL_BIRDS)
-    return measured.select("scenario", *[F.col(n).cast(t) for n, t in _raw_columns()])
-
-
-def _raw_columns():
-    return [(field.name, field.dataType) for field in COUNTS_SCHEMA.fields]
 
 
 def healthy_production(spark: SparkSession) -> DataFrame:
     """Synthetic growth and feed of healthy birds, one row per day (grams per bird)."""
-    day = F.col("id").cast("int")
-    return spark.range(LAST_DAY + 1, numPartitions=1).select(
-        day.alias("day"),
-        (13 + day * 2.6).alias("healthy_DG"),
-        (10 + day * 4.0).alias("healthy_intake"),
+    return spark.range(LAST_DAY + 1, numPartitions=1).selectExpr(
+        "CAST(id AS INT) AS day", "13 + id * 2.6D AS healthy_DG", "10 + id * 4D AS healthy_intake"
     )

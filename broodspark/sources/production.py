@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from broodspark.functions.small import broadcast_if_small
 from broodspark.operators.production import RESPONSES, long
 from broodspark.schema import require_columns
 
@@ -31,6 +32,5 @@ def read_production(spark: SparkSession, path: str) -> DataFrame:
     found = require_columns(
         spark.read.csv(path, header=True, nullValue="NA"), ["day", *WIDE_COLUMNS]
     )
-    return long(
-        found.select(F.col("day").cast("int"), *[F.col(c).cast("double") for c in WIDE_COLUMNS])
-    )
+    typed = found.select(F.col("day").cast("int"), *[F.col(c).cast("double") for c in WIDE_COLUMNS])
+    return broadcast_if_small(long(typed))

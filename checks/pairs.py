@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from broodspark.functions.frames import by_day, so_far, whole_flock
+from broodspark.functions.frames import by_day, derive, named, so_far, whole_flock
 from broodspark.operators import daily as daily_ops
 from broodspark.operators import grids, outcomes, panel, production, quality, summary, sweep
 from broodspark.schema import FLOCK, REQUIRED_COUNTS, drop_existing
@@ -41,10 +41,8 @@ def query(name: str, sql: str | None = None) -> Callable[[Run], Run]:
 
 def pick(df: DataFrame, keys: str, measures: str = "", digits: int = 6) -> DataFrame:
     """Key columns as they are, measures as rounded doubles."""
-    return df.select(
-        *keys.split(),
-        *[F.round(F.col(m).cast("double"), digits).alias(m) for m in measures.split()],
-    )
+    rounded = [f"round(CAST({m} AS DOUBLE), {digits}) AS {m}" for m in measures.split()]
+    return df.selectExpr(*keys.split(), *rounded)
 
 
 def cols(keys: str, measures: str = "", digits: int = 6) -> str:
@@ -287,7 +285,7 @@ same(
 )
 def p05(spark, sf):
     flocks = counts(spark, sf).select(*FLOCK).distinct()
-    return flocks.withColumns(outcomes.untreated())
+    return derive(flocks, **outcomes.UNTREATED)
 
 
 PUBLISHED = ["mean_delta", "mean_avg_BW", "mean_mort", "mean_cond", "mean_DDD_year"]
@@ -339,8 +337,8 @@ def f03(spark, sf):
     "WHERE p.scenario = d.scenario AND p.simu_id = d.simu_id)",
 )
 def f04(spark, sf):
-    final = F.max_by("thinning_time", "day").over(whole_flock())
-    rows = daily(spark, sf).withColumn("_final", final).filter(F.col("day") == F.col("_final"))
+    final = f"max_by(thinning_time, day) {whole_flock()}"
+    rows = derive(daily(spark, sf), _final=final).filter("day = _final")
     return pick(rows, f"{DAY} thinning_time", "total_weight thinned_weight")
 
 
@@ -412,7 +410,7 @@ TREATMENT = "treatment_day treated treated_flock_size treated_days"
 )
 def j04(spark, sf):
     days = daily(spark, sf)
-    defaults = days.select(*FLOCK).distinct().withColumns(outcomes.untreated())
+    defaults = derive(days.select(*FLOCK).distinct(), **outcomes.UNTREATED)
     updated = outcomes.keyed_update(defaults, outcomes.treatment_rows(days), FLOCK)
     return pick(updated, f"{KEY} {TREATMENT}", "treated_kg")
 
@@ -595,8 +593,8 @@ same("w04_treatment_start_edge", daily, "daily", f"{DAY} treatment_start")
     "OVER (PARTITION BY scenario, simu_id) AS last_thinning_time FROM panel",
 )
 def w05(spark, sf):
-    final = F.max_by("thinning_time", "step").over(whole_flock(day="step"))
-    return counts(spark, sf).select(*FLOCK, "step", final.alias("last_thinning_time"))
+    final = f"max_by(thinning_time, step) {whole_flock(day='step')} AS last_thinning_time"
+    return counts(spark, sf).selectExpr(*FLOCK, "step", final)
 
 
 @query(
@@ -607,8 +605,8 @@ def w05(spark, sf):
 )
 def w06(spark, sf):
     # The flag column is gone from the daily grain: a started treatment stays started.
-    started = F.max("treatment_start").over(so_far())
-    after = daily(spark, sf).withColumn("_started", started).filter(F.col("_started") == 1)
+    started = f"max(treatment_start) {so_far()}"
+    after = derive(daily(spark, sf), _started=started).filter("_started = 1")
     return after.groupBy(*FLOCK).agg(
         F.min("day").alias("first_day"),
         F.min_by("total_birds", "day").alias("first_birds"),
@@ -987,12 +985,11 @@ same(
 )
 def r07(spark, sf):
     prompt = panel.daily_mortality(by_days(spark, sf), feed.INITIAL_BIRDS)
-    late = F.lag("daily_mortality").over(by_day())
-    return prompt.select(
+    return prompt.selectExpr(
         *FLOCK, "day",
-        F.round("daily_mortality", 8).alias("daily_mortality"),
-        F.round("percentage_daily_mortality", 6).alias("percentage_daily_mortality"),
-        F.round(late, 8).alias("late_mortality"),
+        "round(daily_mortality, 8) AS daily_mortality",
+        "round(percentage_daily_mortality, 6) AS percentage_daily_mortality",
+        f"round(lag(daily_mortality) {by_day()}, 8) AS late_mortality",
     )
 
 
@@ -1003,7 +1000,8 @@ PERCENTAGES = (
 same(
     "r08_percent_measures",
     lambda spark, sf: panel.percent_measures(
-        by_days(spark, sf).drop(*PERCENTAGES.split()).withColumn("B_and_RS", F.lit(0)),
+        derive(by_days(spark, sf), B_and_RS="0", daily_mortality="percentage_daily_mortality / 100")
+        .drop(*PERCENTAGES.split(), "percentage_daily_mortality"),
         feed.INITIAL_BIRDS,
     ),
     "panel",
@@ -1087,8 +1085,8 @@ same(
 
 @query("r13_treatment_permitted", "SELECT scenario, simu_id, day, treatment_allowed FROM panel")
 def r13(spark, sf):
-    permitted = panel.treatment_permitted().cast("int").alias("treatment_allowed")
-    return by_days(spark, sf).select(*FLOCK, "day", permitted)
+    permitted = f"IF({panel.permitted_when()}, 1, 0) AS treatment_allowed"
+    return by_days(spark, sf).selectExpr(*FLOCK, "day", permitted)
 
 
 @query(
@@ -1172,7 +1170,7 @@ def r19(spark, sf):
     # Entries are one row per flock and day before this join, so no flock is large in it.
     entered = bacterial_entries(spark, sf).join(treated, FLOCK, "left")
     return panel.occupancy_from_log(
-        entered, grids.DURATIONS["length_B"], last_day=42, exit_day=F.col("treated_on")
+        entered, grids.DURATIONS["length_B"], last_day=42, exit_day="treated_on"
     )
 
 
@@ -1225,12 +1223,10 @@ def r20_parameters(spark, sf):
 def r21(spark, sf):
     schema = feed.read_events(spark, sf).schema
     files = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    flock = feed.flock_of()
-    deaths = files.filter(F.col("event_type") == "error").select(
-        F.col("ts").cast("timestamp").alias("ts"),
-        flock["scenario"].alias("scenario"),
-        flock["simu_id"].alias("simu_id"),
-        F.lit(feed.BIRDS_PER_EVENT["error"]).alias("deaths"),
+    deaths = files.filter("event_type = 'error'").selectExpr(
+        "CAST(ts AS TIMESTAMP) AS ts",
+        *named(feed.FLOCK_OF_USER),
+        f"{feed.BIRDS_PER_EVENT['error']} AS deaths",
     )
     rule = alarm_stream.AlarmRule(
         feed.INITIAL_BIRDS, feed.TREATMENT_TRIGGER, feed.THINNING_TIME, feed.THINNING_NUMBER
