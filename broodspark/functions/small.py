@@ -26,9 +26,11 @@ def literal_table(spark: SparkSession, rows: list[dict], schema: str) -> DataFra
     return spark.sql(f"SELECT * FROM VALUES {values} AS t({names})")
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting; a larger table keeps the shuffle join.
+def is_small(df: DataFrame, max_rows: int = SMALL_ROWS) -> bool:
+    """Whether the frame has at most ``max_rows`` rows; counting stops there."""
+    return df.limit(max_rows + 1).count() <= max_rows
+
 
-    The count stops at ``max_rows + 1`` rows, so the check is cheap at any size.
-    """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+def broadcast_if_small(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
+    """Hint a broadcast only after counting; a larger table keeps the shuffle join."""
+    return F.broadcast(df) if is_small(df, max_rows) else df

@@ -41,26 +41,51 @@ def flock_measures(daily: DataFrame) -> DataFrame:
     ).drop("not_yet_treated")
 
 
-def growth_measures(daily: DataFrame, keys: list[str]) -> DataFrame:
-    """Weight, feed and feed conversion; ``daily`` carries the production columns."""
-    gains = derive(
-        daily,
-        DG_per_bird="p_normal * DG_healthy + p_IB * DG_IB + p_B * DG_B",
-        total_daily_FI="""(normal_growing_birds * FI_healthy + red_grow_IB * FI_IB
-            + red_grow_B * FI_B) / 1000""",
+# Columns that depend on the growth factor.
+GROWN = [
+    "DG_per_bird", "total_daily_FI", "weight_per_bird", "cum_FI", "total_weight",
+    "thinned_weight", "FCR_daily",
+]
+
+
+def growth_measures(
+    daily: DataFrame, keys: list[str] = FLOCK, suffixes: tuple[str, ...] = ("",)
+) -> DataFrame:
+    """Weight, feed and feed conversion; ``daily`` carries the production columns.
+
+    With several suffixes, the responses and the results have one column each per suffix:
+    one window pass accumulates all of them.
+    """
+
+    def columns(of_suffix) -> dict[str, str]:
+        return {f"{name}{s}": e for s in suffixes for name, e in of_suffix(s).items()}
+
+    gains = columns(
+        lambda s: {
+            "DG_per_bird": f"p_normal * DG_healthy + p_IB * DG_IB{s} + p_B * DG_B{s}",
+            "total_daily_FI": f"""(normal_growing_birds * FI_healthy + red_grow_IB * FI_IB{s}
+                + red_grow_B * FI_B{s}) / 1000""",
+        }
+    )
+    sums = columns(
+        lambda s: {
+            "weight_per_bird": f"{running_sum(f'DG_per_bird{s}', so_far(keys))} / 1000",
+            "cum_FI": running_sum(f"total_daily_FI{s}", so_far(keys)),
+        }
     )
-    summed = derive(
-        gains,
-        weight_per_bird=f"{running_sum('DG_per_bird', so_far(keys))} / 1000",
-        cum_FI=running_sum("total_daily_FI", so_far(keys)),
+    weights = columns(
+        lambda s: {
+            "total_weight": f"weight_per_bird{s} * total_birds",
+            # Thinned birds are valued at the weight of the current day.
+            "thinned_weight": f"weight_per_bird{s} * cum_thinning",
+        }
     )
-    weighed = derive(
-        summed,
-        total_weight="weight_per_bird * total_birds",
-        # Thinned birds are valued at the weight of the current day.
-        thinned_weight="weight_per_bird * cum_thinning",
+    conversion = columns(
+        lambda s: {"FCR_daily": ratio(f"cum_FI{s}", f"total_weight{s} + thinned_weight{s}")}
     )
-    return derive(weighed, FCR_daily=ratio("cum_FI", "total_weight + thinned_weight"))
+    for step in (gains, sums, weights, conversion):
+        daily = derive(daily, **step)
+    return daily
 
 
 def grain_keys(growth: str | list[str]) -> list[str]:
@@ -82,3 +107,13 @@ def interpret(
     flock = flock_measures(tidy(counts))
     grown = production_ops.attach(flock, production, growth, as_written)
     return growth_measures(grown, grain_keys(growth))
+
+
+def interpret_wide(counts: DataFrame, production: DataFrame, factors: list[str]) -> DataFrame:
+    """The daily grain with the ``GROWN`` columns once per growth factor (``_<factor>``).
+
+    Rows are not repeated per factor, so neither the sort nor the windows grow with them.
+    """
+    flock = flock_measures(tidy(counts))
+    grown = production_ops.attach_wide(flock, production, factors)
+    return growth_measures(grown, suffixes=tuple(f"_{f}" for f in factors))

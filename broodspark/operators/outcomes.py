@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from broodspark.functions.frames import derive, named, whole_flock
 from broodspark.functions.missing import ratio
+from broodspark.operators.daily import GROWN
 from broodspark.operators.grids import DEFAULT_SCENARIO
 from broodspark.schema import FLOCK, LAST_DAY, drop_existing
 
@@ -68,8 +69,13 @@ UNTREATED = {
 # --- single pass -------------------------------------------------------------------
 
 
-def collapse(daily: DataFrame, keys: list[str] = FLOCK) -> DataFrame:
-    """The last day of each flock with its thinning and treatment values; no prices yet."""
+def collapse(
+    daily: DataFrame, keys: list[str] = FLOCK, suffixes: tuple[str, ...] = ("",)
+) -> DataFrame:
+    """The last day of each flock with its thinning and treatment values; no prices yet.
+
+    ``suffixes`` as in ``growth_measures``: growth-dependent values are picked once each.
+    """
     everywhere = whole_flock(keys)
     # Fixed at slaughter: the thinning time that the last day holds.
     marked = derive(
@@ -78,25 +84,41 @@ def collapse(daily: DataFrame, keys: list[str] = FLOCK) -> DataFrame:
         _thinned_on=f"max_by(thinning_time, day) {everywhere}",
     )
     picked = {
-        name: f"max(IF(day = _thinned_on, {column}, NULL)) {everywhere}"
+        f"{name}{s}": f"max(IF(day = _thinned_on, {column}{s}, NULL)) {everywhere}"
         for column, name in THINNING_VALUES.items()
+        for s in (suffixes if column in GROWN else ("",))
     }
     start = "IF(treatment_start = 1, day, NULL)"
     picked |= {
         "treatment_day": f"min({start}) {everywhere}",
         "_treated_birds": f"min_by(total_birds, {start}) {everywhere}",
-        "_treated_kg": f"min_by(total_weight, {start}) {everywhere}",
     }
-    last = marked.selectExpr("* EXCEPT (thinned_weight)", *named(picked)).filter("day = _last_day")
+    picked |= {f"_kg{s}": f"min_by(total_weight{s}, {start}) {everywhere}" for s in suffixes}
+    replaced = ", ".join(f"thinned_weight{s}" for s in suffixes)
+    last = marked.selectExpr(f"* EXCEPT ({replaced})", *named(picked)).filter("day = _last_day")
     # A treated flock keeps its own values, also missing ones.
     treated = {
         "treated": "1",
         "treated_flock_size": "_treated_birds",
-        "treated_kg": "_treated_kg",
         "treated_days": str(TREATED_DAYS),
     }
     values = {c: f"IF(treatment_day IS NOT NULL, {v}, {UNTREATED[c]})" for c, v in treated.items()}
-    return derive(last, **values).drop("_last_day", "_thinned_on", "_treated_birds", "_treated_kg")
+    for s in suffixes:
+        kg = f"IF(treatment_day IS NOT NULL, _kg{s}, {UNTREATED['treated_kg']})"
+        values[f"treated_kg{s}"] = kg
+    helpers = ["_last_day", "_thinned_on", "_treated_birds", *[f"_kg{s}" for s in suffixes]]
+    return derive(last, **values).drop(*helpers)
+
+
+def per_factor(collapsed: DataFrame, factors: list[str]) -> DataFrame:
+    """One row per flock and growth factor from the columns that ``collapse`` gave each."""
+    names = [*GROWN, "FCR_thinning", "weight_per_bird_thinning", "treated_kg"]
+    rows = ", ".join(
+        f"struct('{f}' AS growth_factor, {', '.join(f'{n}_{f} AS {n}' for n in names)})"
+        for f in factors
+    )
+    suffixed = ", ".join(f"{n}_{f}" for f in factors for n in names)
+    return collapsed.selectExpr(f"* EXCEPT ({suffixed})", f"inline(array({rows}))")
 
 
 def economics(collapsed: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from broodspark.functions.frames import derive, named
-from broodspark.functions.small import broadcast_if_small, literal_table
+from broodspark.functions.small import broadcast_if_small, is_small, literal_table
 
 # Response of gain and feed conversion, and its strength per growth factor.
 DISEASE_RESPONSE = {
@@ -21,18 +21,23 @@ LAST_DAY_WITHOUT_FEED = 1
 RESPONSES = ["DG_IB", "DG_B", "FI_IB", "FI_B"]
 
 
-def multipliers(spark: SparkSession, response: dict[str, float] | None = None) -> DataFrame:
-    """Per growth factor: multipliers of gain, feed conversion and feed intake by class."""
+def with_multipliers(rows: DataFrame, response: dict[str, float] | None = None) -> DataFrame:
+    """Multipliers of gain, feed conversion and feed intake from the column ``strength``."""
     response = response or DISEASE_RESPONSE
-    rows = [{"growth_factor": name, "strength": s} for name, s in GROWTH_STRENGTH.items()]
-    strengths = literal_table(spark, rows, "growth_factor string, strength double")
     single = {
         f"{kind}_mult_{group}": f"1 + strength * {response[f'{change}_change_{group}']}D"
         for group in ("IB", "B")
         for kind, change in (("dg", "DG"), ("fcr", "FCR"))
     }
     feed = {f"fi_mult_{g}": f"dg_mult_{g} * fcr_mult_{g}" for g in ("IB", "B")}
-    return derive(derive(strengths, **single), **feed)
+    return derive(derive(rows, **single), **feed)
+
+
+def multipliers(spark: SparkSession, response: dict[str, float] | None = None) -> DataFrame:
+    """One row of multipliers per growth factor."""
+    rows = [{"growth_factor": name, "strength": s} for name, s in GROWTH_STRENGTH.items()]
+    table = literal_table(spark, rows, "growth_factor string, strength double")
+    return with_multipliers(table, response)
 
 
 def healthy_table(healthy: DataFrame) -> DataFrame:
@@ -44,27 +49,26 @@ def healthy_table(healthy: DataFrame) -> DataFrame:
     )
 
 
-def production_table(
-    spark: SparkSession, healthy: DataFrame, response: dict[str, float] | None = None
-) -> DataFrame:
+def production_table(healthy: DataFrame, response: dict[str, float] | None = None) -> DataFrame:
     """Long form: one row per day and growth factor.
 
-    Each day is spread over the factors and joined with their multipliers. The result has
-    three rows per day; it is counted and marked for broadcast here, once, so that the
-    joins with it need no check of their own.
+    Each day is spread over the growth factors; no join. The input is counted here, once;
+    if it is small, the result is marked for broadcast in the joins to come.
     """
-    factors = ", ".join(f"'{g}'" for g in GROWTH_STRENGTH)
-    per_factor = derive(healthy_table(healthy), growth_factor=f"explode(array({factors}))")
-    # One row per growth factor, known on the driver.
-    joined = per_factor.join(F.broadcast(multipliers(spark, response)), "growth_factor")
+    factors = ", ".join(
+        f"struct('{g}' AS growth_factor, {s}D AS strength)" for g, s in GROWTH_STRENGTH.items()
+    )
+    days = healthy_table(healthy)
+    spread = days.selectExpr("*", f"inline(array({factors}))")
     diseased = {}
     for group in ("IB", "B"):
         gain = f"IF(day = 0, {HATCH_WEIGHT}D, dg_mult_{group} * DG_healthy)"
         diseased |= {f"DG_{group}": gain, f"FI_{group}": f"fi_mult_{group} * FI_healthy"}
     ordered = {c: diseased[c] for c in RESPONSES}
-    return broadcast_if_small(
-        joined.selectExpr("day", "growth_factor", "DG_healthy", "FI_healthy", *named(ordered))
+    table = with_multipliers(spread, response).selectExpr(
+        "day", "growth_factor", "DG_healthy", "FI_healthy", *named(ordered)
     )
+    return F.broadcast(table) if is_small(healthy) else table
 
 
 def wide(production: DataFrame) -> DataFrame:
@@ -92,6 +96,22 @@ def long(wide_table: DataFrame) -> DataFrame:
     return spread.select("day", "growth_factor", "DG_healthy", "FI_healthy", *RESPONSES)
 
 
+def attach_wide(daily: DataFrame, production: DataFrame, factors: list[str]) -> DataFrame:
+    """Left join on ``day`` with one set of response columns per growth factor."""
+    unknown = set(factors) - set(GROWTH_STRENGTH)
+    if unknown:
+        raise ValueError(f"unknown growth factor: {', '.join(sorted(unknown))}")
+    picks = [
+        f"max(IF(growth_factor = '{f}', {c}, NULL)) AS {c}_{f}" for f in factors for c in RESPONSES
+    ]
+    per_day = production.sparkSession.sql(
+        f"""SELECT day, max(DG_healthy) AS DG_healthy, max(FI_healthy) AS FI_healthy,
+        {', '.join(picks)} FROM {{production}} GROUP BY day""",
+        production=production,
+    )
+    return daily.join(broadcast_if_small(per_day), "day", "left")
+
+
 def attach(
     daily: DataFrame, production: DataFrame, growth: str | list[str], as_written: bool = False
 ) -> DataFrame:

@@ -59,14 +59,21 @@ def economic_outcomes(
 ) -> DataFrame:
     """One row per flock and parameter row.
 
-    Prices act on the collapsed grain only, so the daily grain is computed once per growth
-    factor in use. Parameter rows join on their growth factor; their number is known here.
+    Prices act on the collapsed grain only. The daily grain is passed once, whatever the
+    number of growth factors: each has columns of its own until the flock is one row.
+    Parameter rows join on their growth factor; their number is known here.
     """
     rows = rows or economic_rows()
     growth = sorted({row["growth_factor"] for row in rows})
-    several = growth if len(growth) > 1 else growth[0]
-    daily = daily_ops.interpret(counts, production, several, as_written)
-    collapsed = outcome_ops.collapse(daily, daily_ops.grain_keys(several))
+    if len(growth) == 1 or as_written:
+        daily = daily_ops.interpret(counts, production, growth[0], as_written)
+        collapsed = outcome_ops.collapse(daily).drop("growth_factor")
+        labels = ", ".join(f"'{g}'" for g in growth)
+        collapsed = derive(collapsed, growth_factor=f"explode(array({labels}))")
+    else:
+        daily = daily_ops.interpret_wide(counts, production, growth)
+        suffixes = tuple(f"_{g}" for g in growth)
+        collapsed = outcome_ops.per_factor(outcome_ops.collapse(daily, suffixes=suffixes), growth)
     params = economic_table(counts.sparkSession, rows)
     return outcome_ops.economics(collapsed.join(F.broadcast(params), "growth_factor"))
 

@@ -34,7 +34,7 @@ def build_production(
 ) -> str:
     """Production table from the healthy production input, one CSV row per day."""
     healthy = production_source.read_healthy_production(spark, healthy_path)
-    table = production_ops.wide(production_ops.production_table(spark, healthy, response))
+    table = production_ops.wide(production_ops.production_table(healthy, response))
     return sinks.write_csv(table.orderBy("day").coalesce(1), output_path)
 
 

@@ -18,6 +18,8 @@ def local_session(cores: int | str = "*", **conf: str) -> SparkSession:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
+        # A study generates several hundred classes; the default keeps 100 and recompiles.
+        .config("spark.sql.codegen.cache.maxEntries", "2000")
         # Call-site capture costs several round trips to the JVM for every column.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )

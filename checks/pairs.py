@@ -79,7 +79,7 @@ def by_days(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def table(spark: SparkSession) -> DataFrame:
-    return production.production_table(spark, feed.healthy_production(spark))
+    return production.production_table(feed.healthy_production(spark))
 
 
 def daily(spark: SparkSession, sf: str) -> DataFrame:
@@ -1221,8 +1221,7 @@ def r20_parameters(spark, sf):
     "GROUP BY ALL",
 )
 def r21(spark, sf):
-    schema = feed.read_events(spark, sf).schema
-    files = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    files = spark.readStream.schema(feed.EVENTS_SCHEMA).option("pathGlobFilter", "events.parquet").parquet(sf)
     deaths = files.filter("event_type = 'error'").selectExpr(
         "CAST(ts AS TIMESTAMP) AS ts",
         *named(feed.FLOCK_OF_USER),

@@ -73,7 +73,7 @@ def test_production_overrides_and_round_trip(spark):
     healthy = spark.range(4).selectExpr(
         "CAST(id AS INT) AS day", "10D * (id + 1) AS healthy_DG", "20D AS healthy_intake"
     )
-    table = production.production_table(spark, healthy)
+    table = production.production_table(healthy)
     rows = {(r["day"], r["growth_factor"]): r for r in table.collect()}
     assert len(rows) == 12
     assert rows[0, "high"]["DG_healthy"] == rows[0, "high"]["DG_B"] == 44.0

@@ -14,7 +14,7 @@ from broodspark.sources import events as feed
 
 @pytest.fixture(scope="module")
 def days(spark, sf_dir):
-    table = production.production_table(spark, feed.healthy_production(spark))
+    table = production.production_table(feed.healthy_production(spark))
     raw = feed.derived_panel(feed.read_events(spark, sf_dir))
     return daily.interpret(raw, table).cache()
 

@@ -294,3 +294,16 @@ def test_decisions_day_by_day(spark):
 def test_missing_column_is_an_error(spark):
     with pytest.raises(ValueError, match="RL"):
         daily.tidy(counts(spark, flock(2)).drop("RL"))
+
+
+def test_sweep_as_written_ignores_the_growth_factor(spark):
+    raw = counts(spark, flock(43, RGi=50, NG=50, cum_thinning=lambda d: 25 * (d >= 34)))
+    weights = {}
+    for as_written in (True, False):
+        rows = sweep.economic_sweep(raw, production_table(spark), as_written=as_written).collect()
+        weights[as_written] = {
+            r["growth_factor"]: r["mean_end_weight"] for r in rows if r["param_id"] in (0, 2, 3)
+        }
+    assert len(set(weights[True].values())) == 1
+    low, middle, high = (weights[False][f] for f in ("low", "middle", "high"))
+    assert low > middle > high and weights[True]["low"] == middle

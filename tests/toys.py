@@ -50,4 +50,4 @@ def production_table(spark: SparkSession, days: int = 43, gain: float = 50, feed
     healthy = spark.range(days).selectExpr(
         "CAST(id AS INT) AS day", f"{gain}D AS healthy_DG", f"{feed}D AS healthy_intake"
     )
-    return production.production_table(spark, healthy)
+    return production.production_table(healthy)
