@@ -7,7 +7,6 @@ are read and accumulated once and a lost executor repeats one stage, not the stu
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from broodspark.operators import daily as daily_ops
 from broodspark.operators import outcomes as outcome_ops
@@ -126,13 +125,11 @@ def sensitivity(
     production = production_source.read_production(spark, production_path)
     runs = counts_source.read_counts(spark, sensitivity_dir)
     default = default_runs(counts_source.read_counts(spark, scenario_dir))
-    folders = counts_source.list_files(spark, sensitivity_dir).agg(
-        F.count_distinct("scenario").alias("n")
-    )
+    folders = counts_source.file_count(spark, sensitivity_dir).first()["n_folders"]
     both = sweep.combined_sensitivity(
         sweep.simulator_sweep(runs, production),
         sweep.economic_sweep(default, production, as_written=as_written),
-        simulator_runs=folders.first()["n"],
+        simulator_runs=folders,
     )
     path = f"{output_dir}/sens_output_summarised"
     sinks.write_result(both, path, run_date, fmt)

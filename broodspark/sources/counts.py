@@ -62,7 +62,10 @@ def list_files(spark: SparkSession, path: str, pattern: str = "*.csv") -> DataFr
 
 
 def file_count(spark: SparkSession, path: str, pattern: str = "*.csv") -> DataFrame:
-    return list_files(spark, path, pattern).agg(F.count(F.lit(1)).alias("n_files"))
+    """Files below ``path``, and the scenario folders that hold them."""
+    return list_files(spark, path, pattern).agg(
+        F.count(F.lit(1)).alias("n_files"), F.count_distinct("scenario").alias("n_folders")
+    )
 
 
 def scenario_ordinals(files: DataFrame) -> DataFrame:

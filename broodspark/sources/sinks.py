@@ -18,21 +18,26 @@ def read_csv_back(spark: SparkSession, path: str, schema: T.StructType) -> DataF
     return spark.read.schema(schema).options(header=True, nullValue="NA").csv(path)
 
 
-def by_scenario(df: DataFrame, files_per_scenario: int = 1, day: str = "step") -> DataFrame:
+def by_scenario(
+    df: DataFrame, files_per_scenario: int | None = None, day: str = "step"
+) -> DataFrame:
     """Lay rows out for one folder per scenario, whole flocks together and in day order.
 
-    A scenario that holds much of the data is spread over ``files_per_scenario`` tasks.
+    The flocks of a scenario are spread over as many tasks as a shuffle has, so one that
+    holds a third of the data does not end in one task; small partitions are merged by
+    adaptive execution. ``files_per_scenario`` sets a lower number.
     """
-    salt = F.pmod(F.hash("simu_id"), F.lit(files_per_scenario))
+    spread = files_per_scenario or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salt = F.pmod(F.hash("simu_id"), F.lit(spread))
     return df.repartition("scenario", salt).sortWithinPartitions("scenario", "simu_id", day)
 
 
-def write_counts_tree(counts: DataFrame, path: str, files_per_scenario: int = 1) -> str:
+def write_counts_tree(counts: DataFrame, path: str, files_per_scenario: int | None = None) -> str:
     """CSV tree with one folder per scenario, as the simulation runs leave it."""
     return write_csv(by_scenario(counts, files_per_scenario), path, ["scenario"])
 
 
-def write_panel(counts: DataFrame, path: str, files_per_scenario: int = 1) -> str:
+def write_panel(counts: DataFrame, path: str, files_per_scenario: int | None = None) -> str:
     """Parquet by scenario: scenario filters prune folders, flocks lie together."""
     by_scenario(counts, files_per_scenario).write.partitionBy("scenario").parquet(path)
     return path

@@ -182,9 +182,14 @@ def s06(spark, sf):
     return numbered.groupBy("scenario", "ordinal").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-@query("s07_file_count", "SELECT count(DISTINCT scenario) AS n_files FROM panel")
+@query(
+    "s07_file_count",
+    "SELECT count(DISTINCT scenario) AS n_folders, 1 AS no_folder_is_empty FROM panel",
+)
 def s07(spark, sf):
-    return counts_source.file_count(spark, counts_tree(spark, sf))
+    # How many files a folder has is the writer's choice; that each has one is not.
+    found = counts_source.file_count(spark, counts_tree(spark, sf))
+    return found.selectExpr("n_folders", "IF(n_files >= n_folders, 1, 0) AS no_folder_is_empty")
 
 
 def _totals(df: DataFrame, grain: str, measure: str) -> DataFrame:

@@ -17,6 +17,10 @@ TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
     "benchmark labels conversations"
 ).split()
+TYPES = {
+    "int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR",
+    "date": "DATE", "boolean": "BOOLEAN",
+}
 
 
 def database(sf_dir: str) -> duckdb.DuckDBPyConnection:
@@ -37,10 +41,15 @@ def canonical(df: pd.DataFrame) -> pd.DataFrame:
 
 def compare(spark: SparkSession, con: duckdb.DuckDBPyConnection, name: str, sf_dir: str) -> str:
     """'' when rows, columns and values agree, else what differs."""
-    ours = QUERIES[name](spark, sf_dir).toPandas()
+    frame = QUERIES[name](spark, sf_dir)
+    ours = frame.toPandas()
     if name not in SQL:
         return "" if len(ours) else "no rows"
     theirs = con.execute(SQL[name]).df()
+    kinds = {r[0]: r[1] for r in con.execute(f"DESCRIBE {SQL[name]}").fetchall()}
+    other = {c: (t, kinds[c]) for c, t in frame.dtypes if c in kinds and TYPES.get(t) != kinds[c]}
+    if other:
+        return f"types {other}"
     if sorted(ours.columns) != sorted(theirs.columns):
         return f"columns {sorted(set(ours.columns) ^ set(theirs.columns))}"
     if len(ours) != len(theirs):
