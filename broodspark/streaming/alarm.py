@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -13,6 +15,9 @@ from pyspark.sql.streaming.stateful_processor import TimerValues
 
 from broodspark.schema import FLOCK
 
+# Send the processor with the query: the workers need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 ALARM_SCHEMA = "scenario string, simu_id int, day int, deaths long, daily_mortality double"
 STATE_SCHEMA = "cum_mort long, alarmed boolean"
 
