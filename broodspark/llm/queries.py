@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from broodspark.llm import decontaminate, exact_dedup, packing, quality, simhash, toxicity
+from broodspark.llm import decontaminate, exact_dedup, language, packing, pii, quality, secrets, simhash, toxicity
 from broodspark.llm.common import documents, fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,23 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(
         "doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
     )
+
+
+@query
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.with_secrets(documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select("doc_id", "secrets.*")
+
+
+@query
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = language.with_language(documents(spark, sf_dir).select("doc_id", "text", "lang"), folds=4, held_out=2)
+    return docs.select(
+        "doc_id", (fold("doc_id", 4) == 2).alias("held_out"), F.col("language")["lang"].alias("lang_pred"),
+        F.col("language")["score"].alias("score"),
+    )
+
+
+@query
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.with_personal_data(documents(spark, sf_dir))
