@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from broodspark.llm import decontaminate, exact_dedup, language, packing, pii, quality, secrets, simhash, toxicity
+from broodspark.llm import decontaminate, exact_dedup, language, packing, pii, quality, secrets, simhash, suffix_dedup, toxicity
 from broodspark.llm.common import documents, fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,3 +104,9 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.with_personal_data(documents(spark, sf_dir))
+
+
+@query
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffix_dedup.with_kept_bytes(documents(spark, sf_dir), length=50)
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
