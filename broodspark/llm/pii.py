@@ -89,6 +89,10 @@ def _spans(places: Column, kind: int, valid) -> Column:
     ).cast(SPAN)
 
 
+def _number(kind: int) -> Column:
+    return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint")
+
+
 def _listed(spans: Column) -> Column:
     names = F.array(*map(F.lit, KINDS))
     return F.array_join(
@@ -175,8 +179,7 @@ def with_personal_data(
         more, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("key") == F.col("_key")), "left"
     )
     context = F.coalesce("context", F.array().cast(SPAN))
-    number = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{KINDS[k]}") for k in range(4)]
     return rows.select(
-        "doc_id", *number, F.size(context).cast("bigint").alias("n_context"),
+        "doc_id", *(_number(kind).alias(f"n_{name}") for kind, name in enumerate(KINDS[:4])), F.size(context).cast("bigint").alias("n_context"),
         F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(F.concat("base", context)).alias("spans"),
     )
