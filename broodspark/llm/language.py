@@ -55,6 +55,10 @@ def word_counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text",
     return usable.mapInArrow(count, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
+def _grams(text: Column, size: Column, length: int) -> Column:
+    return F.transform(F.sequence(F.lit(1), size - (length - 1)), lambda i: F.substring(text, i, F.lit(length)))
+
+
 def _most_frequent(counts: DataFrame, group: list[str], known: int) -> DataFrame:
     """At most ``known`` rows of each group, by a least count that is read off the histogram of counts."""
     histogram = counts.groupBy(*group, "n").agg(F.count("*").alias("words")).toPandas().sort_values("n", ascending=False)
@@ -76,7 +80,7 @@ def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", use: Co
     size = F.char_length(marked)
     grams = None
     for length in LENGTHS:
-        each = F.transform(F.sequence(F.lit(1), size - (length - 1)), lambda i, n=length: F.substring(marked, i, F.lit(n)))
+        each = _grams(marked, size, length)
         part = words.filter(size >= length).select("lang", F.lit(length).alias("size"), F.explode(each).alias("gram"), F.sqrt("n").alias("w"))
         grams = part if grams is None else grams.union(part)
     grams = checkpointed(grams.groupBy("lang", "size", "gram").agg(F.ceil(F.sum("w")).cast("bigint").alias("n")))
