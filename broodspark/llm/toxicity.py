@@ -102,10 +102,12 @@ def _unpacked(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def fit(
     docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, bound: int = 12_000,
-    n_features: int = 4096, swap_weight: float = 1.0, shrink: float = 1e-4,
+    n_features: int = 4096, evidence: float = 8.0, swap_weight: float = 1.0, shrink: float = 3e-4,
 ) -> dict:
     """The model: base score and the weights of its features, as {"base": float, "weights": {hash: weight}}.
 
+    Features are kept that at least three sampled texts have and whose counts per label differ with a chi-squared
+    of ``evidence`` or more, ``n_features`` at most; identity terms are always kept.
     Labels of ids in fold ``held_out`` are never learned from (none is held out if it is None).
     Without rows of both labels every text gets the share of label 1 that was seen, or 0.
     """
@@ -124,10 +126,13 @@ def fit(
     both = np.bincount(column)
     expected = both * y.mean()
     chi = (ones - expected) ** 2 / (expected * (1 - both / len(y)) + 1)
-    chi[both < 5] = 0
+    chi[both < 3] = 0
     swaps = np.array([xxhash.xxh32_intdigest(t) for t in SWAPS], np.uint32)
     chi[np.isin(known, swaps)] = np.inf  # identity terms stay in, or there is nothing to penalise
-    chosen = np.sort(known[np.argsort(-chi, kind="stable")[:n_features]])
+    best = np.argsort(-chi, kind="stable")[:n_features]
+    chosen = np.sort(known[best[chi[best] >= evidence]])
+    if not len(chosen):
+        chosen = np.sort(known[best])
 
     def matrix(blobs: list[bytes]):
         row, key, value = _unpacked(blobs)
@@ -158,7 +163,7 @@ def fit(
         g[:n] += shrink * w[:n]
         return g
 
-    w = minimise(gradient, n + 1)
+    w = minimise(gradient, n + 1, steps=250)
     return {"base": float(w[n]), "weights": dict(zip(chosen.tolist(), w[:n].tolist(), strict=True))}
 
 
