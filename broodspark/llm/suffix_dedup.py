@@ -88,6 +88,8 @@ class Group:
     """The documents of a group, their segments, and the distinct ones in the order of (hash, digest)."""
 
     def __init__(self, table: pa.Table, length: int, k: int) -> None:
+        # Blocks run over the documents in this order, and a shuffle may deliver them in any.
+        table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
         ids = table.column("doc_id").combine_chunks()
         self.ids = ids.to_pylist()
         self.order = ids.fill_null(NEVER).to_numpy()

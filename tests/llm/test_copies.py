@@ -201,3 +201,17 @@ def test_column_wise_order():
 
 def test_kept_bytes_of_an_empty_table(nothing):
     assert run_kept(nothing) == []
+
+
+def test_a_group_does_not_depend_on_the_order_of_its_rows():
+    import pyarrow as pa
+
+    draw = random.Random(9)
+    rows = [(i // 2, "".join(draw.choice("abcdef gh") for _ in range(draw.randint(0, 9000)))) for i in range(60)] + [(None, "x" * 700)] * 2
+    tables = []
+    for _ in range(3):
+        draw.shuffle(rows)
+        tables.append(suffix_dedup.Group(pa.table({"doc_id": pa.array([d for d, _ in rows], pa.int64()), "text": pa.array([t for _, t in rows])}), 50, 16))
+    for name in ("hashes", "digest", "least"):
+        a, b, c = (getattr(t, name) for t in tables)
+        assert np.array_equal(a, b) and np.array_equal(b, c)
