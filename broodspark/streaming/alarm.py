@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -11,23 +12,27 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.streaming.stateful_processor import TimerValues
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from broodspark.schema import FLOCK
 
 # Send the processor with the query: the workers need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-ALARM_SCHEMA = "scenario string, simu_id int, day int, deaths long, daily_mortality double"
+ALARM_SCHEMA = "scenario string, simu_id long, day int, deaths long, daily_mortality double"
 STATE_SCHEMA = "cum_mort long, alarmed boolean"
 
 
 @dataclass(frozen=True)
 class AlarmRule:
+    """When to raise the alarm. One thinning date holds for all flocks, so it fits flocks that are not
+    thinned early before their first alarm. After day ``last_day`` a flock is gone and forgotten."""
+
     initial_birds: int
     trigger: float
     thinning_time: int
     thinning_number: int
+    last_day: int = 42
 
 
 def deaths_per_day(feed: DataFrame, lateness: str) -> DataFrame:
@@ -47,13 +52,14 @@ class LatchedAlarm(StatefulProcessor):
     """Remembers the deaths of a flock so far; emits the first day over the trigger.
 
     A day has at most one row per flock, so the processor sees few rows; the adding up is
-    done before it.
+    done before it. A timer clears the flock when the watermark passes the end of its round.
     """
 
-    def __init__(self, rule: AlarmRule) -> None:
-        self.rule = rule
+    def __init__(self, rule: AlarmRule, end_ms: int) -> None:
+        self.rule, self.end_ms = rule, end_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.flock = handle.getValueState("flock", STATE_SCHEMA)
 
     def handleInputRows(
@@ -61,19 +67,25 @@ class LatchedAlarm(StatefulProcessor):
     ) -> Iterator[pd.DataFrame]:
         rule = self.rule
         cum_mort, alarmed = self.flock.get() if self.flock.exists() else (0, False)
-        days = pd.concat(list(rows)).sort_values("day")
-        alarms = []
-        for day, deaths in zip(days["day"], days["deaths"]):
-            thinned = rule.thinning_number if day - 1 >= rule.thinning_time else 0
-            birds = rule.initial_birds - cum_mort - thinned
-            if not alarmed and day > 0 and birds and deaths / birds > rule.trigger:
-                alarmed = True
-                alarms.append((*key, int(day), int(deaths), deaths / birds))
-            cum_mort += int(deaths)
-        self.flock.update((cum_mort, alarmed))
-        yield pd.DataFrame(
-            alarms, columns=["scenario", "simu_id", "day", "deaths", "daily_mortality"]
-        )
+        days = pd.concat(list(rows)).sort_values("day")[["day", "deaths"]]
+        thinned = rule.thinning_number * (days["day"] - 1 >= rule.thinning_time)
+        birds = rule.initial_birds - thinned - (cum_mort + days["deaths"].cumsum() - days["deaths"])
+        days["daily_mortality"] = days["deaths"] / birds.where(birds != 0)
+        over = days[(days["day"] > 0) & (days["daily_mortality"] > rule.trigger)].head(0 if alarmed else 1)
+        self.flock.update((int(cum_mort + days["deaths"].sum()), bool(alarmed or len(over))))
+        if timer_values.getCurrentWatermarkInMs() < self.end_ms:
+            self.handle.registerTimer(self.end_ms)
+        else:  # a feed that holds several rounds at once: nothing of this one is needed any more
+            self.flock.clear()
+        yield over.assign(scenario=key[0], simu_id=key[1])[
+            ["scenario", "simu_id", "day", "deaths", "daily_mortality"]
+        ]
+
+    def handleExpiredTimer(
+        self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo
+    ) -> Iterator[pd.DataFrame]:
+        self.flock.clear()
+        return iter(())
 
     def close(self) -> None:
         pass
@@ -86,12 +98,16 @@ def stream_alarms(
 
     ``first_day`` is the calendar date of day ``offset``. A day is judged once the watermark
     has passed it, and the days of one flock are judged in order. The chained state needs
-    the RocksDB state store (``with_rocksdb``).
+    the RocksDB state store (``with_rocksdb``). State is cleared when the watermark is a day past the last day.
     """
     day = F.date_diff(F.to_date(F.col("window.start")), F.to_date(F.lit(first_day))) + offset
-    closed = deaths_per_day(feed, lateness).select(*FLOCK, day.alias("day"), "deaths")
+    closed = deaths_per_day(feed, lateness).select(
+        *FLOCK, F.window_time("window").alias("closed"), day.alias("day"), "deaths"
+    )
+    end = datetime.datetime.fromisoformat(first_day).replace(tzinfo=datetime.UTC)
+    end += datetime.timedelta(days=rule.last_day + 2 - offset)
     return closed.groupBy(*FLOCK).transformWithStateInPandas(
-        LatchedAlarm(rule), ALARM_SCHEMA, "append", "none"
+        LatchedAlarm(rule, int(end.timestamp() * 1000)), ALARM_SCHEMA, "append", "eventTime"
     )
 
 

@@ -14,7 +14,7 @@ from broodspark.streaming import alarm as stream
 RULE = stream.AlarmRule(
     feed.INITIAL_BIRDS, feed.TREATMENT_TRIGGER, feed.THINNING_TIME, feed.THINNING_NUMBER
 )
-SCHEMA = "ts timestamp, scenario string, simu_id int, deaths int"
+SCHEMA = "ts timestamp, scenario string, simu_id long, deaths int"
 
 
 def run(spark, folder, tmp_path, per_trigger=None, state="state"):
@@ -59,7 +59,7 @@ def test_stream_equals_batch_over_several_batches(spark, sf_dir, tmp_path):
 
 
 def feed_rows(spark, rows):
-    text = ", ".join(f"(TIMESTAMP '{ts}', 'a', {simu}, {n})" for ts, simu, n in rows)
+    text = ", ".join(f"(TIMESTAMP '{ts}', 'a', {simu}L, {n})" for ts, simu, n in rows)
     return spark.sql(f"SELECT * FROM VALUES {text} AS t(ts, scenario, simu_id, deaths)")
 
 
@@ -77,6 +77,24 @@ def test_alarm_latches_and_late_rows_are_dropped(spark, tmp_path):
     assert sorted(r["simu_id"] for r in two) == [1]
 
 
+def test_state_is_cleared_after_the_round(spark, tmp_path):
+    folder = str(tmp_path / "feed")
+    feed_rows(spark, [("2024-01-02 08:00:00", i, 70) for i in range(5)]).coalesce(1).write.parquet(folder)
+    feed_rows(spark, [("2024-01-05 08:00:00", 9, 1)]).coalesce(1).write.mode("append").parquet(folder)
+    run(spark, folder, tmp_path, per_trigger=1).collect()
+
+    def flocks():
+        return spark.read.format("statestore").option("path", str(tmp_path / "state")).option("operatorId", 0).option("stateVarName", "flock").load().count()
+
+    assert flocks() == 5
+    # Day 12 is 1 January, so day 42 is 31 January.
+    feed_rows(spark, [("2024-02-09 08:00:00", 9, 1)]).coalesce(1).write.mode("append").parquet(folder)
+    run(spark, folder, tmp_path, per_trigger=1).collect()
+    feed_rows(spark, [("2024-02-19 08:00:00", 9, 1)]).coalesce(1).write.mode("append").parquet(folder)
+    run(spark, folder, tmp_path, per_trigger=1).collect()
+    assert flocks() == 0
+
+
 class Session:
     """The two things that ``shared_dir`` asks a session for."""
 
