@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 # A broadcast side may hold this many rows and no more.
 SMALL_ROWS = 50_000
+# Rows beyond this number are handed over as data, not as text of the query.
+VALUES_ROWS = 1_000
 
 
 def _cell(value, kind: str) -> str:
@@ -15,10 +17,13 @@ def _cell(value, kind: str) -> str:
 
 
 def literal_table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
-    """Rows known on the driver as a table; its size is bounded right here."""
-    if len(rows) > SMALL_ROWS:
-        raise ValueError(f"{len(rows)} literal rows; write them to a file and read it instead")
+    """Rows that the driver holds as a table, any number of them."""
     fields = [part.strip().rsplit(" ", 1) for part in schema.split(",")]
+    if not rows or len(rows) > VALUES_ROWS:
+        def cell(value, kind: str):
+            return None if value is None else float(value) if kind == "double" else value
+
+        return spark.createDataFrame([tuple(cell(row[name], kind) for name, kind in fields) for row in rows], schema)
     values = ", ".join(
         "(" + ", ".join(_cell(row[name], kind) for name, kind in fields) + ")" for row in rows
     )

@@ -84,7 +84,7 @@ def oat_grid(
     A varied column is NULL in the rows that vary another one; ``derive_parameters`` fills
     in the default there, so a grid row can be handed to it as is.
     """
-    variations = variations or VARIATIONS
+    variations = VARIATIONS if variations is None else variations
     defaults = defaults or DEFAULT_SCENARIO
     rows = [
         {"folder": n, "varied_param": name, "varied_value": value}

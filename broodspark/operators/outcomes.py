@@ -139,7 +139,8 @@ def economics(collapsed: DataFrame) -> DataFrame:
         delivered_weight_end="total_weight - DOA * total_weight",
         treatment_cost="""IF(treated = 1,
             ab_price_per_chick * treated_flock_size + ab_price_constant, 0D)""",
-        vaccination_cost="IF(vaccination_scenario = 0, 0D, vaccine_price_per_chick * n_birds)",
+        vaccination_cost="""CASE WHEN vaccination_scenario = 0 THEN 0D
+            WHEN vaccination_scenario IS NOT NULL THEN vaccine_price_per_chick * n_birds END""",
         feed_cost="cum_FI * feed_price",
         avg_BW=ratio("thinned_weight + total_weight", "n_thinned + total_birds"),
         DDD_year=f"{ratio('treated_days', 'day')} * 365",
@@ -239,5 +240,7 @@ def default_scenario(df: DataFrame, parameters: dict[str, float] | None = None)
 
 
 def without_introduction_time(df: DataFrame, day: int = 7) -> DataFrame:
-    """Leave out the scenarios whose virus introduction is on ``day``."""
-    return df.filter(F.col("introduction_time") != day)
+    """Leave out the scenarios whose virus introduction is on ``day``; a missing day is an error."""
+    time = F.col("introduction_time")
+    missing = F.raise_error(F.lit("introduction_time is missing"))
+    return df.filter(F.when(time.isNull(), missing).otherwise(time != day))

@@ -46,31 +46,43 @@ def cumulative_entries(daily: DataFrame, counters: dict[str, str]) -> DataFrame:
     )
 
 
-def dwell_occupancy(daily: DataFrame, durations: dict[str, tuple[str, int]]) -> DataFrame:
+def dwell_occupancy(daily: DataFrame, durations: dict[str, tuple]) -> DataFrame:
     """Birds present per day when each stays a fixed number of days after entering.
 
-    ``durations`` maps the new column to (entry column, days). Needs a row for every day.
+    ``durations`` maps the new column to (entry column, days) or, for a state that follows
+    another one, (entry column, days, days before it). Needs a row for every day.
     """
     return derive(
         daily,
-        **{name: f"sum({entry}) {last_days(days)}" for name, (entry, days) in durations.items()},
+        **{
+            name: f"coalesce(sum({entry}) {last_days(days, *before)}, 0)"
+            for name, (entry, days, *before) in durations.items()
+        },
     )
 
 
 def occupancy_from_log(
-    log: DataFrame, days: int | str, last_day: int, exit_day: str | None = None
+    log: DataFrame, days: int | str, last_day: int, exit_day: str | None = None, share: float = 1, after: int = 0
 ) -> DataFrame:
     """Birds present per flock and day from a log of entries (key, day, ``n`` birds).
 
-    Each entry stays ``days`` days, or until the day in column ``exit_day`` if that comes
-    first. Entries are first added up per flock, day and stay, then turned into one arrival
+    Each entry comes ``after`` days after its row and stays ``days`` days. On the day in column
+    ``exit_day`` a ``share`` of the birds that are present leaves; that happens once. It acts on the birds
+    at the start of the day: those that enter on that day or later stay their full time.
+    A flock without an exit day loses none. With a share below 1 the birds are fractions.
+
+    Entries are first added up per flock, day and stay, then turned into one arrival
     and one departure; days in between follow from a running sum, so rows never multiply by
     the stay length.
     """
-    leave = f"day + {days}"
-    if exit_day is not None:
-        leave = f"greatest(least({leave}, {exit_day}), day)"
-    stays = log.selectExpr(*FLOCK, "day", f"{leave} AS _leave", "n")
+    entered = log.selectExpr(*FLOCK, f"day + {after} AS day", f"day + {after} + {days} AS _end", f"{exit_day or 'NULL'} AS _exit", "n")
+    early = "IF(_exit > day, least(_end, _exit), _end)"
+    if exit_day is None or share == 1:
+        stays = entered.selectExpr(*FLOCK, "day", f"{early if exit_day else '_end'} AS _leave", "n")
+    else:
+        parts = f"struct({early} AS _leave, n * {share}D AS n), struct(_end AS _leave, n - n * {share}D AS n)"
+        stays = entered.selectExpr(*FLOCK, "day", f"inline(array({parts}))")
+    least_birds = "0" if exit_day is None or share == 1 else "1e-6"
     moves = (
         stays.groupBy(*FLOCK, "day", "_leave")
         .agg(F.sum("n").alias("n"))
@@ -85,7 +97,7 @@ def occupancy_from_log(
         moves,
         present=f"sum(change) {so_far()}",
         _until=f"least(lead(day, 1, {last_day + 1}) {by_day()} - 1, {last_day})",
-    ).filter("present > 0 AND day <= _until")
+    ).filter(f"present > {least_birds} AND day <= _until")
     return present.selectExpr(*FLOCK, "explode(sequence(day, _until)) AS day", "present")
 
 
@@ -99,13 +111,13 @@ def flock_size(panel: DataFrame, initial_birds: int) -> DataFrame:
 def daily_mortality(panel: DataFrame, initial_birds: int, lag_days: int = 0) -> DataFrame:
     """Deaths of the day as a share of the flock of the day before.
 
-    The first day has no day before: NULL. ``lag_days=1`` gives the value one day late, as
-    the simulation runs export it.
+    The first day has no day before, nor has a day after a missing one: NULL. ``lag_days=1``
+    gives the value one day late, as the simulation runs export it.
     """
     previous = rederive(
         flock_size(panel, initial_birds),
-        _deaths=f"cum_mort - lag(cum_mort) {by_day()}",
-        previous_flock_size=f"lag(flock_size) {by_day()}",
+        _deaths=f"cum_mort - IF(lag(day) {by_day()} = day - 1, lag(cum_mort) {by_day()}, NULL)",
+        previous_flock_size=f"IF(lag(day) {by_day()} = day - 1, lag(flock_size) {by_day()}, NULL)",
     )
     rate = rederive(previous, daily_mortality=ratio("_deaths", "previous_flock_size"))
     if lag_days:

@@ -18,7 +18,7 @@ INTEGER_TOLERANCE = 2.0**-26
 class Rule:
     """What a parameter column must satisfy."""
 
-    kind: str  # numeric, integer or text
+    kind: str  # numeric, integer, logical or text
     low: float | None = None
     high: float | None = None
 
@@ -40,14 +40,20 @@ ECONOMIC_RULES = {
 }
 
 
-def _problem(name: str, rule: Rule) -> Column:
-    """The first rule that a value breaks, or NULL."""
+def _problem(name: str, rule: Rule, kind: str) -> Column:
+    """The first rule that a value breaks, or NULL. A column's type counts: text is never a number."""
     value = F.col(name)
     text = value.cast("string")
     if rule.kind == "text":
+        if kind != "string":
+            return F.when(text.isNull(), "missing").otherwise("not text")
         return F.when(text.isNull(), "missing").when(text == "", "empty")
-    number = text.try_cast("double")
-    problem = F.when(text.isNull(), "missing").when(number.isNull() | F.isnan(number), "not numeric")
+    if rule.kind == "logical":
+        return F.when(text.isNull(), "missing").when(F.lit(kind != "boolean"), "not logical")
+    if kind in ("string", "boolean"):
+        return F.when(text.isNull(), "missing").otherwise("not numeric")
+    number = value.cast("double")
+    problem = F.when(text.isNull(), "missing").when(F.isnan(number), "not numeric")
     if rule.kind == "integer":
         problem = problem.when(F.abs(number - F.rint(number)) > INTEGER_TOLERANCE, "not an integer")
     if rule.low is not None:
@@ -62,12 +68,13 @@ def parameter_violations(
 ) -> DataFrame:
     """One row per key, parameter and broken rule. A required column that is absent fails."""
     absent = F.lit("column is absent")
+    kinds = dict(table.dtypes)
     checks = [
         F.struct(
             F.lit(name).alias("parameter"),
             (F.col(name).cast("string") if name in table.columns else F.lit(None).cast("string"))
             .alias("value"),
-            (_problem(name, rule) if name in table.columns else absent).alias("problem"),
+            (_problem(name, rule, kinds[name]) if name in table.columns else absent).alias("problem"),
         )
         for name, rule in rules.items()
     ]
@@ -91,40 +98,34 @@ def list_violations(
     return found.select(*keys, "parameter", "value", "problem")
 
 
-def duplicate_days(panel: DataFrame) -> DataFrame:
-    """Keys that occur more than once; combined before the exchange, so any number may."""
-    counted = panel.groupBy(*FLOCK, "day").agg(F.count(F.lit(1)).alias("n"))
-    return counted.filter(F.col("n") > 1).select(
-        *FLOCK, "day", F.lit("duplicate_day").alias("rule")
-    )
-
-
-def falling_counters(panel: DataFrame) -> DataFrame:
-    """Days on which a running total is lower than on the flock's day before."""
-    counters = ["cum_I", "cum_B", "cum_mort", "cum_thinning"]
-    before = derive(panel, **{f"_{c}": f"lag({c}) {by_day()}" for c in counters})
-    falls = ", ".join(f"IF({c} < _{c}, '{c}_falls', NULL)" for c in counters)
-    return before.selectExpr(*FLOCK, "day", f"explode(array_compact(array({falls}))) AS rule")
-
-
-def wrong_shares(panel: DataFrame) -> DataFrame:
-    """Days on which the growth classes do not add up to the birds present."""
-    off = panel.filter("NG + NGi + NGr + RGi + RGb <> P")
-    return off.selectExpr(*FLOCK, "day", "'shares' AS rule")
+COUNTERS = ["cum_I", "cum_B", "cum_mort", "cum_thinning"]
+SHARES = ["NG", "NGi", "NGr", "RGi", "RGb"]
 
 
 def panel_violations(panel: DataFrame) -> DataFrame:
-    """One row per flock, day and broken rule of the daily panel."""
-    return (
-        duplicate_days(panel)
-        .unionByName(falling_counters(panel))
-        .unionByName(wrong_shares(panel))
-    )
+    """One row per flock, day and broken rule of the daily panel.
+
+    All rules share one pass in the order of days: a day that occurs again (``duplicate_day``), days
+    that are left out before a row (``missing_day``), a running total below that of the row before
+    (``<counter>_falls``), growth classes that do not add up to the birds present (``shares``), and
+    values that are missing (``<column>_missing``), for which no other rule is tried.
+    """
+    before = derive(panel, _day=f"lag(day) {by_day()}", **{f"_{c}": f"lag({c}) {by_day()}" for c in COUNTERS})
+    rules = ["IF(day IS NULL, 'day_missing', NULL)", "IF(day = _day, 'duplicate_day', NULL)", "IF(day > _day + 1, 'missing_day', NULL)"]
+    rules += [f"IF({c} < _{c}, '{c}_falls', NULL)" for c in COUNTERS]
+    rules += [f"IF({' + '.join(SHARES)} <> P, 'shares', NULL)"]
+    rules += [f"IF({c} IS NULL, '{c}_missing', NULL)" for c in [*COUNTERS, *SHARES, "P"]]
+    return before.selectExpr(*FLOCK, "day", f"explode(array_compact(array({', '.join(rules)}))) AS rule")
 
 
 def varying_inputs(panel: DataFrame, inputs: list[str] = SCENARIO_INPUTS) -> DataFrame:
-    """Inputs that should hold one value per scenario but do not: scenario, input, range."""
+    """Inputs that should hold one value per scenario but do not: scenario, input, range, missing rows.
+
+    A value on some rows and none on others varies too.
+    """
     ranges = panel.groupBy("scenario").agg(
+        F.count(F.lit(1)).alias("_rows"),
+        *[F.count(c).alias(f"_count_{c}") for c in inputs],
         *[F.min(c).cast("double").alias(f"_min_{c}") for c in inputs],
         *[F.max(c).cast("double").alias(f"_max_{c}") for c in inputs],
     )
@@ -133,11 +134,13 @@ def varying_inputs(panel: DataFrame, inputs: list[str] = SCENARIO_INPUTS) -> Dat
             F.lit(c).alias("input"),
             F.col(f"_min_{c}").alias("lowest"),
             F.col(f"_max_{c}").alias("highest"),
+            (F.col("_rows") - F.col(f"_count_{c}")).alias("n_missing"),
         )
         for c in inputs
     ]
-    spread = ranges.select("scenario", F.inline(F.array(*rows)))
-    return spread.filter(F.col("lowest") != F.col("highest"))
+    spread = ranges.select("scenario", "_rows", F.inline(F.array(*rows)))
+    partly = (F.col("n_missing") > 0) & (F.col("n_missing") < F.col("_rows"))
+    return spread.filter((F.col("lowest") != F.col("highest")) | partly).drop("_rows")
 
 
 def column_presence(df: DataFrame, required: list[str]) -> DataFrame:

@@ -21,7 +21,7 @@ ECHOED = {
     "vaccine_price_per_chick": "vaccine_price",
 }
 
-# Measures with mean, min and max: name in the summary -> column of the outcome table.
+# Fixed names and order of the output. Measures with mean, min and max: name in the summary -> column of the outcome table.
 SPREAD = {
     "p_prevalence": "percentage_prevalence",
     "p_resp_signs": "resp_signs",
@@ -141,11 +141,14 @@ def per_scenario(
 def check(summary: DataFrame) -> DataFrame:
     """One row about a summary table: scenarios, rounds, whether these agree, values used.
 
-    The input has one row per scenario, so the sets are as small as the grid's lists.
+    The input has one row per scenario, so the sets are as small as the grid's lists. A missing
+    value is one of the values, the last one.
     """
 
     def values(column: str) -> Column:
-        return F.array_sort(F.collect_set(column))
+        found = F.array_sort(F.collect_set(column))
+        none = F.array(F.lit(None).cast(dict(summary.dtypes)[column]))
+        return F.when(F.count(column) < F.count(F.lit(1)), F.concat(found, none)).otherwise(found)
 
     return summary.agg(
         F.count(F.lit(1)).alias("n_simulations"),

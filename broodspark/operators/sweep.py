@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 from dataclasses import asdict
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from broodspark.functions.frames import derive
-from broodspark.functions.small import literal_table
+from broodspark.functions.small import SMALL_ROWS, literal_table
 from broodspark.operators import daily as daily_ops
 from broodspark.operators import outcomes as outcome_ops
 from broodspark.operators import summary as summary_ops
 from broodspark.operators.outcomes import Economics
+from broodspark.session import shared_dir
 
 # The variations of the economic parameters, in the order they are run.
 ECONOMIC_VARIATIONS = {
@@ -33,7 +35,7 @@ def economic_rows(
     """The base row (``param_id`` 0) and one row per changed value."""
     default = asdict(base) | {"growth_factor": growth}
     rows = [default | {"param_id": 0, "varied_param": "none", "varied_value": "base"}]
-    changes = (variations or ECONOMIC_VARIATIONS).items()
+    changes = (ECONOMIC_VARIATIONS if variations is None else variations).items()
     for name, value in ((name, value) for name, values in changes for value in values):
         changed = {"param_id": len(rows), "varied_param": name, "varied_value": str(value)}
         rows.append(default | {name: value} | changed)
@@ -51,20 +53,32 @@ def economic_table(spark: SparkSession, rows: list[dict] | None = None) -> DataF
     )
 
 
+def _in_blocks(params: DataFrame, block_rows: int) -> list[DataFrame]:
+    """Parameter rows in blocks that may be broadcast; almost always it is one."""
+    total = params.count()
+    n = max(1, -(-total // block_rows))
+    if n == 1:
+        return [params]
+    block = F.pmod(F.xxhash64("param_id", "varied_param", "varied_value"), F.lit(2 * n))
+    return [params.filter(block == i) for i in range(2 * n)]
+
+
 def economic_outcomes(
     counts: DataFrame,
     production: DataFrame,
-    rows: list[dict] | None = None,
+    rows: list[dict] | DataFrame | None = None,
     as_written: bool = False,
+    block_rows: int = SMALL_ROWS,
 ) -> DataFrame:
-    """One row per flock and parameter row.
+    """One row per flock and parameter row; the rows are a list or a table of any size.
 
     Prices act on the collapsed grain only. The daily grain is passed once, whatever the
     number of growth factors: each has columns of its own until the flock is one row.
-    Parameter rows join on their growth factor; their number is known here.
+    Parameter rows join on their growth factor, in blocks of a counted size.
     """
-    rows = rows or economic_rows()
-    growth = sorted({row["growth_factor"] for row in rows})
+    spark = counts.sparkSession
+    params = rows if isinstance(rows, DataFrame) else economic_table(spark, rows)
+    growth = sorted(r["growth_factor"] for r in params.select("growth_factor").distinct().collect())
     if len(growth) == 1 or as_written:
         daily = daily_ops.interpret(counts, production, growth[0], as_written)
         collapsed = outcome_ops.collapse(daily).drop("growth_factor")
@@ -74,14 +88,19 @@ def economic_outcomes(
         daily = daily_ops.interpret_wide(counts, production, growth)
         suffixes = tuple(f"_{g}" for g in growth)
         collapsed = outcome_ops.per_factor(outcome_ops.collapse(daily, suffixes=suffixes), growth)
-    params = economic_table(counts.sparkSession, rows)
-    return outcome_ops.economics(collapsed.join(F.broadcast(params), "growth_factor"))
+    blocks = _in_blocks(params, block_rows) if isinstance(rows, DataFrame) or len(rows or []) > block_rows else [params]
+    if len(blocks) > 1:  # the daily grain is passed once, not once per block
+        path = shared_dir(spark, "collapsed")
+        collapsed.write.parquet(path)
+        collapsed = spark.read.parquet(path)
+    joined = [collapsed.join(F.broadcast(block), "growth_factor") for block in blocks]
+    return outcome_ops.economics(reduce(DataFrame.unionByName, joined))
 
 
 def economic_sweep(
     counts: DataFrame,
     production: DataFrame,
-    rows: list[dict] | None = None,
+    rows: list[dict] | DataFrame | None = None,
     as_written: bool = False,
     na_rm: bool = False,
 ) -> DataFrame:
@@ -96,25 +115,45 @@ def one_parameter(name: str) -> list[dict]:
 
 
 def simulator_sweep(
-    counts: DataFrame, production: DataFrame, growth: str = "middle", na_rm: bool = False
+    counts: DataFrame, production: DataFrame, growth: str = "middle", na_rm: bool = False,
+    prices: Economics = Economics(),
 ) -> DataFrame:
     """Summary of the runs of a simulator sensitivity analysis, one row per run folder."""
     daily = daily_ops.interpret(counts, production, growth)
-    return summary_ops.per_scenario(outcome_ops.per_simulation(daily), na_rm)
+    return summary_ops.per_scenario(outcome_ops.per_simulation(daily, prices), na_rm)
+
+
+def name_runs(simulator: DataFrame, ordinals: DataFrame, grid: DataFrame) -> DataFrame:
+    """Adds ``run``, and what the run varies: ``varied_param`` and ``varied_value``.
+
+    ``run`` is the position of the folder in name order (``counts.scenario_ordinals``), whatever its
+    name is. A folder whose name is a number is that row of the one-at-a-time grid; other folders are
+    taken in their order. Both tables have one row per run.
+    """
+    numbered = ordinals.select("scenario", F.col("ordinal").alias("run")).withColumn(
+        "_folder", F.coalesce(F.col("scenario").try_cast("int"), F.col("run"))
+    )
+    varied = grid.select(
+        F.col("folder").alias("_folder"), "varied_param", F.col("varied_value").cast("string").alias("varied_value")
+    )
+    known = numbered.join(varied, "_folder", "left").drop("_folder")
+    return simulator.join(known, "scenario", "left")
 
 
 def continue_numbering(economic: DataFrame, simulator_runs: int) -> DataFrame:
-    """Number the economic rows on from the simulator runs; the base row gets no number."""
+    """Number the economic rows on from the last simulator run; the base row gets no number."""
     return derive(economic, run=f"IF(param_id > 0, param_id + {simulator_runs}, NULL)")
 
 
 def combined_sensitivity(
     simulator: DataFrame, economic: DataFrame, simulator_runs: int
 ) -> DataFrame:
-    """Both sensitivity summaries in one table; the base row is not part of it."""
+    """Both sensitivity summaries in one table; the base row is not part of it.
+
+    ``simulator`` comes from ``name_runs``, ``simulator_runs`` is its highest number.
+    """
     numbered = continue_numbering(economic, simulator_runs).filter("param_id > 0")
     return summary_ops.combine(
-        derive(simulator, run="CAST(scenario AS INT)", kind="'simulator'"),
-        derive(numbered, kind="'economic'"),
+        derive(simulator, kind="'simulator'"), derive(numbered, kind="'economic'")
     )
 

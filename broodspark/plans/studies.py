@@ -1,14 +1,21 @@
 """The whole studies: files in, result tables out.
 
-Each study writes its daily grain first and works on from the written table, so the counts
-are read and accumulated once and a lost executor repeats one stage, not the study.
+Each scenario study writes its daily grain first, bucketed by flock, and works on from the written
+table, so the counts are read and accumulated once and the next step needs no exchange of the days. The
+sensitivity study accumulates the days of each tree once and writes its summary. Every study checks its
+parameters first.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from broodspark.functions.small import literal_table
 from broodspark.operators import daily as daily_ops
+from broodspark.operators import grids
 from broodspark.operators import outcomes as outcome_ops
 from broodspark.operators import production as production_ops
 from broodspark.operators import quality, sweep
@@ -32,11 +39,33 @@ def build_production(
     response: dict[str, float] | None = None,
 ) -> str:
     """Production table from the healthy production input, one CSV row per day."""
+    check_prices(spark, sweep.economic_rows(variations={}), response)
     healthy = production_source.read_healthy_production(spark, healthy_path)
     table = production_ops.wide(production_ops.production_table(healthy, response))
+    # One row per day of a round, so one file.
     return sinks.write_csv(table.orderBy("day").coalesce(1), output_path)
 
 
+def check_prices(spark: SparkSession, rows: list[dict], response: dict[str, float] | None = None) -> None:
+    """Stop with the broken rules if a parameter is out of its range, missing, or of the wrong kind."""
+    names = ["param_id", *(n for n in quality.ECONOMIC_RULES if n in rows[0])]
+    kinds = {n: "string" if isinstance(rows[0][n], str) else "double" for n in names[1:]}
+    wrong = [(r["param_id"], n) for r in rows for n in names[1:] if isinstance(r[n], str) != (kinds[n] == "string") and r[n] is not None]
+    found = [f"row {i}: {n} has another kind than in the first row" for i, n in wrong]
+    if not found:
+        schema = ", ".join(["param_id int", *(f"{n} {k}" for n, k in kinds.items())])
+        table = literal_table(spark, rows, schema)
+        rules = {n: quality.ECONOMIC_RULES[n] for n in names[1:]}
+        broken = quality.parameter_violations(table, rules, ["param_id"]).orderBy("param_id", "parameter").take(20)
+        found = [f"row {r['param_id']}: {r['parameter']} = {r['value']} is {r['problem']}" for r in broken]
+    for name, value in (response or {}).items():
+        rule = quality.ECONOMIC_RULES.get(name)
+        if rule and (value is None or (rule.low is not None and value < rule.low) or (rule.high is not None and value > rule.high)):
+            found.append(f"{name} = {value} is out of range")
+    if found:
+        raise ValueError("; ".join(found))
+
+
 def _write_grains(
     counts: DataFrame,
     production: DataFrame,
@@ -53,7 +82,16 @@ def _write_grains(
         sinks.write_result(df, path, run_date, fmt)
         return sinks.read_result(spark, path, run_date, fmt, df.schema).drop("run_date")
 
-    days = stored(daily_ops.interpret(counts, production, growth), "days")
+    check_prices(spark, sweep.economic_rows(prices, growth, {}))
+    days = daily_ops.interpret(counts, production, growth)
+    path = f"{output_dir}/{GRAINS['days']}/run_date={run_date}"
+    table = sinks.save_bucketed(days, f"days_{uuid.uuid4().hex}", path, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    days = spark.table(table)
+    varying = quality.varying_inputs(days).take(20)
+    if varying:
+        raise ValueError("; ".join(f"{r['input']} varies within scenario {r['scenario']}" for r in varying))
+    if fmt != "parquet":
+        sinks.write_result(days, f"{output_dir}/{GRAINS['days']}_{fmt}", run_date, fmt)
     simulations = stored(outcome_ops.per_simulation(days, prices), "simulations")
     scenarios = stored(summary_ops.per_scenario(simulations), "summary")
     return {"days": days, "simulations": simulations, "summary": scenarios}
@@ -98,12 +136,30 @@ def healthy_baseline(
     return _write_grains(counts, production, output_dir, run_date, prices, growth, fmt)
 
 
-def default_runs(counts: DataFrame) -> DataFrame:
-    """Counts of the default scenario; none or several matching folders is an error."""
+def only_default(counts: DataFrame) -> str:
+    """The name of the default scenario; none or several matching scenarios is an error."""
     chosen = outcome_ops.default_scenario(counts)
     found = [row["scenario"] for row in quality.single_match(chosen).limit(2).collect()]
     if len(found) != 1:
         raise ValueError(f"the default scenario matches {found or 'no folder'}, one is needed")
+    return found[0]
+
+
+def default_runs(spark: SparkSession, scenario_dir: str) -> DataFrame:
+    """Counts of the default scenario of a tree.
+
+    Its inputs are the same in all files of a folder, so one file per folder, the smallest,
+    is read to find it; the other folders are not parsed. That the inputs do not vary is then checked on
+    the folder itself.
+    """
+    files = counts_source.list_files(spark, scenario_dir)
+    # One path per scenario folder, as many as the grid has rows.
+    folders = {r["scenario"]: r["path"] for r in files.groupBy("scenario").agg(F.min_by("path", F.struct("length", "path")).alias("path")).collect()}
+    name = only_default(counts_source.read_counts(spark, list(folders.values())))
+    chosen = counts_source.read_counts(spark, counts_source.parent_of(folders[name]))
+    varying = quality.varying_inputs(chosen, list(outcome_ops.DEFAULT_SCENARIO)).collect()
+    if varying:
+        raise ValueError(f"inputs vary within scenario {name}: {', '.join(r['input'] for r in varying)}")
     return chosen
 
 
@@ -116,21 +172,37 @@ def sensitivity(
     run_date: str,
     fmt: str = "parquet",
     as_written: bool = False,
+    prices: Economics = Economics(),
+    growth: str = "middle",
+    variations: dict[str, list] | None = None,
+    grid: DataFrame | None = None,
 ) -> DataFrame:
     """Summary rows of the simulator sensitivity runs and of the economic variations.
 
-    The economic part varies prices and growth in the default scenario of ``scenario_dir``.
-    Runs are numbered on from one part to the other.
+    The economic part varies prices and growth (``variations``) around ``prices`` and ``growth`` in the default scenario of
+    ``scenario_dir``. Runs are numbered on from one part to the other; ``grid`` says what each simulator
+    run varies (the one-at-a-time grid if none is given). How the simulator runs agree in
+    their rounds and inputs is in ``sensitivity_check``.
     """
+    rows = sweep.economic_rows(prices, growth, variations)
+    check_prices(spark, rows)
     production = production_source.read_production(spark, production_path)
     runs = counts_source.read_counts(spark, sensitivity_dir)
-    default = default_runs(counts_source.read_counts(spark, scenario_dir))
-    folders = counts_source.file_count(spark, sensitivity_dir).first()["n_folders"]
+    ordinals = counts_source.scenario_ordinals(counts_source.list_files(spark, sensitivity_dir))
+    named_runs = sweep.name_runs(
+        sweep.simulator_sweep(runs, production, growth, prices=prices), ordinals,
+        grids.oat_grid(spark) if grid is None else grid,
+    )
     both = sweep.combined_sensitivity(
-        sweep.simulator_sweep(runs, production),
-        sweep.economic_sweep(default, production, as_written=as_written),
-        simulator_runs=folders,
+        named_runs,
+        sweep.economic_sweep(default_runs(spark, scenario_dir), production, rows, as_written=as_written),
+        simulator_runs=ordinals.agg(F.max("ordinal")).first()[0],
     )
     path = f"{output_dir}/sens_output_summarised"
     sinks.write_result(both, path, run_date, fmt)
     return sinks.read_result(spark, path, run_date, fmt, both.schema).drop("run_date")
+
+
+def sensitivity_check(both: DataFrame) -> DataFrame:
+    """The scenario check over the simulator rows of a sensitivity table."""
+    return summary_ops.check(both.filter("kind = 'simulator'"))

@@ -11,16 +11,19 @@ FLOCK = ["scenario", "simu_id"]
 LAST_DAY = 42
 GROWTH_FACTORS = ["low", "middle", "high"]
 
-_INT, _DOUBLE, _STRING = T.IntegerType(), T.DoubleType(), T.StringType()
+_INT, _LONG, _DOUBLE, _STRING = T.IntegerType(), T.LongType(), T.DoubleType(), T.StringType()
 
 # One row per simulation and day, as written by the simulation runs.
 COUNTS_SCHEMA = T.StructType(
-    [T.StructField(n, _INT) for n in ("simu_id", "step")]
+    [T.StructField("simu_id", _LONG), T.StructField("step", _INT)]
     + [T.StructField("level", _STRING), T.StructField("agent_id", _INT)]
+    + [
+        T.StructField(n, _LONG)
+        for n in ("NG", "NGi", "NGr", "RGi", "RGb", "B", "RL", "I0", "I", "RS", "P", "De")
+    ]
     + [
         T.StructField(n, _INT)
         for n in (
-            "NG", "NGi", "NGr", "RGi", "RGb", "B", "RL", "I0", "I", "RS", "P", "De",
             "introduction_time", "early_slaughter", "time_before_reduced_growth",
             "duration_reduced_growth", "t_until_bact_inf", "length_B",
         )
@@ -36,10 +39,13 @@ COUNTS_SCHEMA = T.StructType(
         T.StructField(n, _INT)
         for n in (
             "treatment_allowed", "treatment_triggered", "not_yet_treated",
-            "thinning_time", "slaughter_time", "previous_flock_size",
-            "cum_I", "cum_B", "cum_thinning", "cum_mort",
+            "thinning_time", "slaughter_time",
         )
     ]
+    + [
+        T.StructField(n, _LONG)
+        for n in ("previous_flock_size", "cum_I", "cum_B", "cum_thinning", "cum_mort")
+    ]
     + [
         T.StructField(n, _DOUBLE)
         for n in (

@@ -21,13 +21,14 @@ CSV_OPTIONS = {
 FOLDER = r"/(?:[^/=]+=)?([^/=]+)/[^/]+$"
 
 
-def folder_of(path: Column | str) -> Column:
-    return F.regexp_extract(path, FOLDER, 1)
+def folder_of(path: Column | str = "_metadata.file_path") -> Column:
+    """The folder of a file as it is named on disk; file paths of Spark are URL-encoded, a plus sign is not."""
+    return F.url_decode(F.replace(F.regexp_extract(path, FOLDER, 1), F.lit("+"), F.lit("%2B")))
 
 
 def read_counts(
     spark: SparkSession,
-    path: str,
+    path: str | list[str],
     scenario: str | None = None,
     run_kind: str | None = None,
     pattern: str = "*.csv",
@@ -46,19 +47,23 @@ def read_counts(
     known = {field.name: field.dataType for field in COUNTS_SCHEMA.fields}
     schema = T.StructType([T.StructField(n, known.get(n, T.StringType())) for n in header])
     reader = spark.read.schema(schema).options(**CSV_OPTIONS, pathGlobFilter=pattern)
-    identity = F.lit(scenario) if scenario else folder_of("_metadata.file_path")
+    identity = F.lit(scenario) if scenario else folder_of()
     counts = reader.csv(path).select("*", identity.alias("scenario"))
     return counts.withColumn("run_kind", F.lit(run_kind)) if run_kind else counts
 
 
+def parent_of(path: str) -> str:
+    return path.rsplit("/", 1)[0]
+
+
 def list_files(spark: SparkSession, path: str, pattern: str = "*.csv") -> DataFrame:
-    """One row per file below ``path`` with its scenario folder; no file content is read."""
+    """One row per file below ``path`` with its size and scenario folder; no file content is read."""
     files = (
         spark.read.format("binaryFile")
         .options(recursiveFileLookup=True, pathGlobFilter=pattern)
         .load(path)
     )
-    return files.select("path", folder_of("path").alias("scenario"))
+    return files.select("path", "length", folder_of().alias("scenario"))
 
 
 def file_count(spark: SparkSession, path: str, pattern: str = "*.csv") -> DataFrame:

@@ -32,10 +32,8 @@ ENTRIES = ["new_i", "new_b", "new_d", "new_s"]
 
 FLOCK_OF_USER = {
     "scenario": f"CAST(user_id % {SCENARIOS} AS STRING)",
-    "simu_id": f"CAST(user_id DIV {SCENARIOS} AS INT)",
+    "simu_id": f"user_id DIV {SCENARIOS}",
 }
-EVENT_DAY = f"date_diff(CAST(ts AS DATE), DATE '{FEED_START}') + {FIRST_EVENT_DAY}"
-
 
 EVENTS_SCHEMA = (
     "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -47,9 +45,15 @@ def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(EVENTS_SCHEMA).parquet(f"{sf_dir}/events.parquet")
 
 
-def entry_log(events: DataFrame) -> DataFrame:
-    """(scenario, simu_id, day, state): one row per entry of a bird group into a state."""
-    return events.selectExpr(*named(FLOCK_OF_USER), f"{EVENT_DAY} AS day", "event_type AS state")
+def entry_log(
+    events: DataFrame, start: datetime.date = FEED_START, first_day: int = FIRST_EVENT_DAY
+) -> DataFrame:
+    """(scenario, simu_id, day, state): one row per entry of a bird group into a state.
+
+    The date ``start`` is day ``first_day`` of every flock.
+    """
+    day = f"date_diff(CAST(ts AS DATE), DATE '{start}') + {first_day}"
+    return events.selectExpr(*named(FLOCK_OF_USER), f"{day} AS day", "event_type AS state")
 
 
 def daily_entries(log: DataFrame) -> DataFrame:
@@ -59,7 +63,7 @@ def daily_entries(log: DataFrame) -> DataFrame:
     sends at most one row per day and task through the exchange.
     """
     entered = [
-        f"CAST({birds} * count_if(state = '{event}') AS INT) AS {ENTRY_NAMES[event]}"
+        f"{birds} * count_if(state = '{event}') AS {ENTRY_NAMES[event]}"
         for event, birds in BIRDS_PER_EVENT.items()
     ]
     return log.sparkSession.sql(
@@ -74,21 +78,37 @@ def on_every_day(
 ) -> DataFrame:
     """Fill the days without rows with zeros, for every flock, from ``first`` to ``last``.
 
-    Each row spreads over the days up to the next row of its flock; no spine join.
+    Each row spreads over the days up to the next row of its flock; no spine join. Rows outside
+    the days keep their flock in the result, as a row before the first day, but do not count;
+    ``outside_days`` gives them out.
     """
-    rows = daily.filter(f"day BETWEEN {first} AND {last}").selectExpr(
+    placed = derive(daily.withColumnRenamed("day", "_event_day"), day=f"IF(_event_day BETWEEN {first} AND {last}, _event_day, {first - 1})")
+    rows = placed.selectExpr(
         *FLOCK, "day AS _event_day", *columns,
-        f"IF(row_number() {by_day()} = 1, {first}, day) AS _from",
+        f"IF(row_number() {by_day()} = 1, {first}, greatest(day, {first})) AS _from",
         f"lead(day, 1, {last + 1}) {by_day()} - 1 AS _until",
-    )
+    ).filter("_until >= _from")
     return derive(rows, day="explode(sequence(_from, _until))").selectExpr(
         *FLOCK, "day", *[f"IF(day = _event_day, {c}, 0) AS {c}" for c in columns]
     )
 
 
-def derived_panel(events: DataFrame, truncate: bool = True) -> DataFrame:
-    """The counts table of the raw schema, plus ``scenario``, built from the feed."""
-    entries = on_every_day(daily_entries(entry_log(events)), ENTRIES)
+def outside_days(daily: DataFrame, first: int = 0, last: int = LAST_DAY) -> DataFrame:
+    """The rows that ``on_every_day`` does not count, with the rule they break."""
+    outside = daily.filter(f"day IS NULL OR day NOT BETWEEN {first} AND {last}")
+    return derive(outside, rule=f"IF(day IS NULL, 'no_day', IF(day < {first}, 'before_first_day', 'after_last_day'))")
+
+
+def derived_panel(
+    events: DataFrame, truncate: bool = True,
+    start: datetime.date = FEED_START, first_day: int = FIRST_EVENT_DAY,
+) -> DataFrame:
+    """The counts table of the raw schema, plus ``scenario``, built from the feed.
+
+    Days 0 to 42 count, from a feed whose date ``start`` is day ``first_day``. Every flock of
+    the feed is in the panel, also one whose events all lie outside.
+    """
+    entries = on_every_day(daily_entries(entry_log(events, start, first_day)), ENTRIES)
     dwell, reduced = DURATIONS["time_before_reduced_growth"], DURATIONS["duration_reduced_growth"]
     counted = derive(
         entries,

@@ -46,7 +46,7 @@ def write_panel(counts: DataFrame, path: str, files_per_scenario: int | None = N
 def save_bucketed(df: DataFrame, table: str, path: str, buckets: int, day: str = "day") -> str:
     """Table bucketed by flock: flock windows and joins on it need no exchange."""
     (
-        df.write.bucketBy(buckets, "scenario", "simu_id")
+        df.write.mode("overwrite").bucketBy(buckets, "scenario", "simu_id")
         .sortBy("scenario", "simu_id", day)
         .option("path", path)
         .saveAsTable(table)

@@ -41,7 +41,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Run], Run]:
 
 # Digits of the comparison: six, fewer where exact ties are frequent at the sixth. Which way
 # a tie goes depends on the order of summation, and the two engines add in different orders.
-DIGITS = {"total_weight": 3}
+DIGITS = {"total_weight": 3, "mean_cum_FI": 3}
 
 
 def rounded(measure: str, digits: int | None = None) -> str:
@@ -192,12 +192,17 @@ def s06(spark, sf):
 
 @query(
     "s07_file_count",
-    "SELECT count(DISTINCT scenario) AS n_folders, 1 AS no_folder_is_empty FROM panel",
+    "SELECT count(DISTINCT scenario) AS n_folders, count(DISTINCT (scenario, simu_id % 2)) AS n_files FROM panel",
 )
 def s07(spark, sf):
-    # How many files a folder has is the writer's choice; that each has one is not.
-    found = counts_source.file_count(spark, counts_tree(spark, sf))
-    return found.selectExpr("n_folders", "IF(n_files >= n_folders, 1, 0) AS no_folder_is_empty")
+    # One file per folder and half of its flocks.
+    path = shared_dir(spark, "counts")
+    halves = counts(spark, sf).withColumn("half", F.col("simu_id") % 2)
+    for half in (0, 1):
+        sinks.by_scenario(halves.filter(F.col("half") == half).drop("half"), 1).write.mode("append").options(
+            header=True, nullValue="NA"
+        ).partitionBy("scenario").csv(path)
+    return counts_source.file_count(spark, path)
 
 
 def _totals(df: DataFrame, grain: str, measure: str) -> DataFrame:
@@ -215,11 +220,13 @@ def _totals(df: DataFrame, grain: str, measure: str) -> DataFrame:
     "UNION ALL SELECT 'summary', count(*), round(sum(mean_delta), 3) FROM summary",
 )
 def s08(spark, sf):
-    days, flocks, scenarios = daily(spark, sf), per_flock(spark, sf), summarised(spark, sf)
-    read = []
-    for df in (days, flocks, scenarios):
+    def stored(df):
         path = sinks.write_csv(df, shared_dir(spark, "grain"))
-        read.append(sinks.read_csv_back(spark, path, df.schema))
+        return sinks.read_csv_back(spark, path, df.schema)
+
+    read = [stored(daily(spark, sf))]
+    read.append(stored(outcomes.per_simulation(read[0])))
+    read.append(stored(summary.per_scenario(read[1])))
     return (
         _totals(read[0], "days", "total_weight")
         .unionByName(_totals(read[1], "simulations", "delta"))
@@ -316,14 +323,20 @@ def p06(spark, sf):
 
 # --- filters -----------------------------------------------------------------------
 
+def several_introductions(spark, sf):
+    """The panel with the introduction on day 7, 14, 21 or 28, by scenario."""
+    return counts(spark, sf).withColumn("introduction_time", F.expr("7 * (1 + CAST(scenario AS INT) % 4)"))
+
+
 DEFAULT = (
     "vaccination_scenario = 0 AND introduction_time = 14 "
     "AND early_slaughter = 0 AND prop_bact_factor = 1"
 )
 same(
     "f01_exclude_introduction_time",
-    lambda spark, sf: outcomes.without_introduction_time(counts(spark, sf), 7),
-    "panel WHERE introduction_time <> 7",
+    lambda spark, sf: outcomes.without_introduction_time(several_introductions(spark, sf), 7),
+    "(SELECT * EXCLUDE (introduction_time), CAST(7 * (1 + CAST(scenario AS INTEGER) % 4) AS INTEGER) AS introduction_time "
+    "FROM panel) WHERE introduction_time <> 7",
     f"{KEY} step introduction_time P",
 )
 same(
@@ -641,7 +654,9 @@ same(
     f"SELECT {cols(DAY, 'weight_per_bird')} FROM daily ORDER BY scenario, simu_id, day",
 )
 def o01(spark, sf):
-    return pick(daily(spark, sf), DAY, "weight_per_bird").orderBy(*FLOCK, "day")
+    # In order within a flock, which is all that the running sums need; no global sort.
+    rows = pick(daily(spark, sf), DAY, "weight_per_bird")
+    return rows.repartition(*FLOCK).sortWithinPartitions(*FLOCK, "day")
 
 
 @query(
@@ -679,7 +694,13 @@ def o03(spark, sf):
     "UNION ALL SELECT 'healthy', 'summary', 1",
 )
 def u01(spark, sf):
-    days, flocks = daily(spark, sf), per_flock(spark, sf)
+    def stored(df, grain):
+        path = shared_dir(spark, grain)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    days = stored(daily(spark, sf), "days")
+    flocks = stored(outcomes.per_simulation(days), "flocks")
     # A flock number is unique within a scenario only: number again when scenarios merge.
     whole = flocks.withColumns(
         {
@@ -699,23 +720,63 @@ def u01(spark, sf):
 U02_COLUMNS = cols("scenario n", "mean_delta mean_FCR mean_feed_cost")
 
 
+def sensitivity_tree(spark, sf):
+    """A tree of 18 run folders, named 1 to 18: each scenario's flocks dealt over three runs."""
+    runs = counts(spark, sf).withColumns({
+        "scenario": F.expr("CAST(1 + (simu_id % 3) * 6 + CAST(scenario AS INT) AS STRING)"), "simu_id": F.expr("simu_id DIV 3")
+    })
+    return sinks.write_counts_tree(runs, shared_dir(spark, "sensitivity"))
+
+
+# What each run varies, in the order of the folders' numbers; fixed values of the one-at-a-time grid.
+VARIED_SQL = "(VALUES " + ", ".join(
+    f"({i}, '{n}', '{v}')"
+    for i, (n, v) in enumerate(
+        [
+            ("beta_factor", "0.5"), ("beta_factor", "2.0"), ("recovery_factor", "0.5"), ("recovery_factor", "2.0"),
+            ("prop_clinical_base", "0.8"), ("prop_clinical_base", "0.95"), ("mortality_I", "7.25E-4"),
+            ("mortality_I", "0.001885"), ("mortality_B", "0.0142"), ("mortality_B", "0.0571"),
+            ("time_before_reduced_growth", "1.0"), ("time_before_reduced_growth", "4.0"),
+            ("duration_reduced_growth", "4.0"), ("duration_reduced_growth", "16.0"), ("t_until_bact_inf", "3.0"),
+            ("t_until_bact_inf", "10.0"), ("length_B", "7.0"), ("length_B", "28.0"),
+        ],
+        start=1,
+    )
+) + ") AS v(folder, varied_param, varied_value)"
+SIMULATOR_MEASURES = {"mean_delta": "delta", "mean_FCR": "FCR_daily", "mean_feed_cost": "feed_cost", "mean_cum_FI": "cum_FI", "mean_mort": "mortality"}
+
+
+def simulator_sql(measures: str) -> str:
+    means = ", ".join(f"round(avg({SIMULATOR_MEASURES[m]}), {DIGITS.get(m, 6)}) AS {m}" for m in measures.split())
+    return (
+        f"SELECT kind, run, varied_param, varied_value, scenario, n, {', '.join(measures.split())} FROM (SELECT 'simulator' AS kind, "
+        f"folder, CAST(folder AS VARCHAR) AS scenario, count(*) AS n, {means}, "
+        "CAST(dense_rank() OVER (ORDER BY CAST(folder AS VARCHAR)) AS INTEGER) AS run FROM "
+        "(SELECT *, 1 + (simu_id % 3) * 6 + CAST(scenario AS INTEGER) AS folder FROM outcomes) GROUP BY folder) "
+        f"JOIN {VARIED_SQL} USING (folder)"
+    )
+
+
+def simulated(spark, sf):
+    path = sensitivity_tree(spark, sf)
+    ordinals = counts_source.scenario_ordinals(counts_source.list_files(spark, path))
+    runs = sweep.simulator_sweep(counts_source.read_counts(spark, path), table(spark))
+    return sweep.name_runs(runs, ordinals, grids.oat_grid(spark))
+
+
+U02_MEASURES = "mean_delta mean_FCR mean_feed_cost"
+
+
 @query(
     "u02_union_of_sensitivities",
-    f"SELECT 'simulator' AS kind, CAST(scenario AS INTEGER) AS run, NULL AS varied_param, {U02_COLUMNS} "
-    "FROM summary UNION ALL "
-    f"SELECT 'economic', param_id + 6, varied_param, {U02_COLUMNS} FROM sweep_summary "
+    f"{simulator_sql(U02_MEASURES)} UNION ALL "
+    f"SELECT 'economic', param_id + 18, varied_param, varied_value, {U02_COLUMNS} FROM sweep_summary "
     "WHERE param_id > 0 AND scenario = '0'",
 )
 def u02(spark, sf):
-    raw = counts(spark, sf)
-    runs = sweep.simulator_sweep(raw, table(spark))
-    default = sweep.economic_sweep(outcomes.default_scenario(raw), table(spark))
-    both = sweep.combined_sensitivity(runs, default, simulator_runs=6)
-    return pick(
-        both,
-        "kind run varied_param scenario n",
-        "mean_delta mean_FCR mean_feed_cost",
-    )
+    default = sweep.economic_sweep(outcomes.default_scenario(counts(spark, sf)), table(spark))
+    both = sweep.combined_sensitivity(simulated(spark, sf), default, simulator_runs=18)
+    return pick(both, "kind run varied_param varied_value scenario n", U02_MEASURES)
 
 
 same(
@@ -867,13 +928,12 @@ _one_parameter("x03_growth_sweep", "growth_factor")
 _one_parameter("x04_slaughter_price_sweep", "slaughter_price")
 _one_parameter("x05_feed_price_sweep", "feed_price")
 _one_parameter("x06_antibiotic_price_sweep", "ab_price_per_chick")
-same(
-    "x07_simulator_sweep",
-    lambda spark, sf: sweep.simulator_sweep(tree(spark, sf), table(spark)),
-    "summary",
-    "scenario n",
-    "mean_delta mean_FCR mean_cum_FI mean_mort mean_p_prevalence",
-)
+X07_MEASURES = "mean_delta mean_FCR mean_cum_FI mean_mort"
+
+
+@query("x07_simulator_sweep", f"SELECT * EXCLUDE (kind) FROM ({simulator_sql(X07_MEASURES)})")
+def x07(spark, sf):
+    return pick(simulated(spark, sf), "run varied_param varied_value scenario n", X07_MEASURES)
 
 
 @query(
@@ -980,6 +1040,29 @@ def r05(spark, sf):
     return running.select(*FLOCK, "day", *COUNTERS.values())
 
 
+@query(
+    "r05_cumulative_thinning",
+    "SELECT scenario, simu_id, day, cum_thinning FROM flagged",
+)
+def r05_thinning(spark, sf):
+    days = counts(spark, sf, truncate=False).withColumnRenamed("step", "day").drop("cum_thinning")
+    thinned = derive(days, new_thinned=f"IF(day = thinning_time, {feed.THINNING_NUMBER}L, 0L)")
+    return panel.cumulative_entries(thinned, {"new_thinned": "cum_thinning"}).select(*FLOCK, "day", "cum_thinning")
+
+
+@query(
+    "r05_entries_outside_days",
+    "SELECT scenario, simu_id, day, new_b, 'counted' AS rule FROM entries WHERE day BETWEEN 20 AND 30 UNION ALL "
+    "SELECT scenario, simu_id, day, new_b, CASE WHEN day < 20 THEN 'before_first_day' ELSE 'after_last_day' END "
+    "FROM logged WHERE day NOT BETWEEN 20 AND 30",
+)
+def r05_outside(spark, sf):
+    logged = feed.daily_entries(log(spark, sf))
+    counted = derive(feed.on_every_day(logged, ["new_b"], 20, 30), rule="'counted'")
+    wanted = [*FLOCK, "day", "new_b", "rule"]
+    return counted.select(wanted).unionByName(feed.outside_days(logged, 20, 30).select(wanted))
+
+
 same(
     "r06_flock_size",
     lambda spark, sf: panel.flock_size(by_days(spark, sf), feed.INITIAL_BIRDS),
@@ -1135,8 +1218,9 @@ def r17(spark, sf):
 
 @query(
     "r18_dwell_occupancy",
-    "SELECT scenario, simu_id, day, CAST(B AS BIGINT) AS B, CAST(RS AS BIGINT) AS RS, "
-    "CAST(NGi AS BIGINT) AS NGi FROM counted",
+    "SELECT scenario, simu_id, day, B, RS, NGi, RGi, "
+    f"CAST(sum(new_i) OVER ({FLOCK_DAY} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS BIGINT) AS PB, "
+    "new_s AS Hi FROM counted",
 )
 def r18(spark, sf):
     days = grids.DURATIONS
@@ -1144,6 +1228,10 @@ def r18(spark, sf):
         "B": ("new_b", days["length_B"]),
         "RS": ("new_s", grids.DURATION_RESP_SIGNS),
         "NGi": ("new_i", days["time_before_reduced_growth"]),
+        # Follows NGi: comes when that stay ends.
+        "RGi": ("new_i", days["duration_reduced_growth"], days["time_before_reduced_growth"]),
+        "PB": ("new_i", days["t_until_bact_inf"]),
+        "Hi": ("new_s", grids.TIME_BEFORE_RESP_SIGNS),
     }
     return panel.dwell_occupancy(entries(spark, sf), stays).select(*FLOCK, "day", *stays)
 
@@ -1162,16 +1250,35 @@ def r18_log(spark, sf):
     return panel.occupancy_from_log(bacterial_entries(spark, sf), stay, last_day=42)
 
 
+# Treatment moves, once, the birds that are in the state when its day begins: an entry is cut short
+# if it came before that day, and counts in full if it comes on that day or later.
+EXIT_SQL = (
+    "FROM entries e LEFT JOIN (SELECT scenario, simu_id, min(day) AS treated FROM panel WHERE not_yet_treated = 0 "
+    "GROUP BY ALL) t ON t.scenario = e.scenario AND t.simu_id = e.simu_id "
+    "JOIN days d ON d.day >= e.day AND d.day < e.day + 14 WHERE e.new_b > 0"
+)
+LEFT_SQL = "t.treated IS NOT NULL AND e.day < t.treated AND d.day >= t.treated"
+
+
 @query(
     "r19_early_exit_dwell",
-    "SELECT e.scenario, e.simu_id, d.day, CAST(sum(e.new_b) AS BIGINT) AS present FROM entries e "
-    "LEFT JOIN (SELECT scenario, simu_id, min(day) AS treated FROM panel WHERE not_yet_treated = 0 "
-    "GROUP BY ALL) t ON t.scenario = e.scenario AND t.simu_id = e.simu_id "
-    "JOIN days d ON d.day >= e.day AND d.day < e.day + 14 "
-    "AND (t.treated IS NULL OR d.day < t.treated OR t.treated > e.day + 14) "
-    "WHERE e.new_b > 0 AND (t.treated IS NULL OR e.day < t.treated) GROUP BY ALL",
+    f"SELECT e.scenario, e.simu_id, d.day, CAST(sum(e.new_b) AS BIGINT) AS present {EXIT_SQL} AND NOT ({LEFT_SQL}) GROUP BY ALL",
 )
 def r19(spark, sf):
+    return early_exits(spark, sf)
+
+
+@query(
+    "r19_early_exit_share",
+    "SELECT e.scenario, e.simu_id, d.day, round(sum(e.new_b - e.new_b * CASE WHEN "
+    f"{LEFT_SQL} THEN 0.9::DOUBLE ELSE 0 END), 6) AS present {EXIT_SQL} GROUP BY ALL",
+)
+def r19_share(spark, sf):
+    # The published effect of the treatment: nine birds in ten recover.
+    return early_exits(spark, sf, share=0.9).withColumn("present", F.round("present", 6))
+
+
+def early_exits(spark, sf, share=1):
     treated = (
         counts(spark, sf)
         .filter(F.col("not_yet_treated") == 0)
@@ -1181,30 +1288,57 @@ def r19(spark, sf):
     # Entries are one row per flock and day before this join, so no flock is large in it.
     entered = bacterial_entries(spark, sf).join(treated, FLOCK, "left")
     return panel.occupancy_from_log(
-        entered, grids.DURATIONS["length_B"], last_day=42, exit_day="treated_on"
+        entered, grids.DURATIONS["length_B"], last_day=42, exit_day="treated_on", share=share
     )
 
 
 # --- quality and stream ------------------------------------------------------------
 
 
+BROKEN = {
+    "NG": "IF(day = 20 AND simu_id % 3 = 0, NG + 1, IF(day = 21 AND simu_id % 5 = 0, NULL, NG))",
+    "cum_mort": "IF(day = 25 AND simu_id % 4 = 0, cum_mort + 100000, cum_mort)",
+    "beta": "IF(scenario = '2' AND simu_id % 2 = 0, NULL, IF(scenario = '4', beta + day, beta))",
+    "copies": "IF(day = 10 AND simu_id % 7 = 1, 2, IF(day = 15 AND simu_id % 6 = 2, 0, 1))",
+}
+BROKEN_SQL = (
+    "(SELECT scenario, simu_id, day, P, NGi, NGr, RGi, RGb, vaccination_scenario, cum_I, cum_B, cum_thinning, "
+    "CASE WHEN day = 20 AND simu_id % 3 = 0 THEN NG + 1 WHEN day = 21 AND simu_id % 5 = 0 THEN NULL ELSE NG END AS NG, "
+    "CASE WHEN day = 25 AND simu_id % 4 = 0 THEN cum_mort + 100000 ELSE cum_mort END AS cum_mort, "
+    "CASE WHEN scenario = '2' AND simu_id % 2 = 0 THEN NULL WHEN scenario = '4' THEN beta + day ELSE beta END AS beta "
+    "FROM panel JOIN (SELECT range AS copy FROM range(2)) c ON c.copy < CASE WHEN day = 10 AND simu_id % 7 = 1 THEN 2 "
+    "WHEN day = 15 AND simu_id % 6 = 2 THEN 0 ELSE 1 END)"
+)
+
+
 @query(
     "r20_panel_quality",
-    "SELECT 'cells' AS item, count(*) AS n FROM (SELECT DISTINCT scenario, simu_id, step FROM panel) "
-    "UNION ALL SELECT 'broken_days', count(*) FROM panel WHERE NG + NGi + NGr + RGi + RGb <> P "
-    "UNION ALL SELECT 'varying_inputs', count(*) FROM (SELECT scenario FROM panel GROUP BY scenario "
-    "HAVING min(vaccination_scenario) <> max(vaccination_scenario) OR min(beta) <> max(beta))",
+    f"SELECT 'cells' AS item, count(*) AS n FROM (SELECT DISTINCT scenario, simu_id, day FROM {BROKEN_SQL}) "
+    f"UNION ALL SELECT 'shares', count(*) FROM {BROKEN_SQL} WHERE NG + NGi + NGr + RGi + RGb <> P "
+    f"UNION ALL SELECT 'NG_missing', count(*) FROM {BROKEN_SQL} WHERE NG IS NULL "
+    f"UNION ALL SELECT 'duplicate_day', coalesce(sum(n - 1), 0)::BIGINT FROM (SELECT count(*) AS n FROM {BROKEN_SQL} GROUP BY scenario, simu_id, day) "
+    f"UNION ALL SELECT 'missing_day', count(*) FROM (SELECT day - lag(day) OVER (PARTITION BY scenario, simu_id ORDER BY day) AS step "
+    f"FROM (SELECT DISTINCT scenario, simu_id, day FROM {BROKEN_SQL})) WHERE step > 1 "
+    f"UNION ALL SELECT 'cum_mort_falls', count(*) FROM (SELECT cum_mort - lag(cum_mort) OVER (PARTITION BY scenario, simu_id ORDER BY day) AS step "
+    f"FROM {BROKEN_SQL}) WHERE step < 0 "
+    "UNION ALL SELECT 'varying_inputs', count(*) FROM (SELECT scenario FROM "
+    f"{BROKEN_SQL} GROUP BY scenario HAVING min(beta) <> max(beta) OR (count(beta) > 0 AND count(beta) < count(*)))",
 )
 def r20(spark, sf):
+    path = shared_dir(spark, "broken-panel")
     rows = by_days(spark, sf)
+    changed = rows.withColumns({c: F.expr(e) for c, e in BROKEN.items()})
+    changed.withColumn("copies", F.expr("explode(array_repeat(0, copies))")).drop("copies").write.parquet(path)
+    # From here on the stored panel is read; the feed is scanned once.
+    rows = spark.read.schema(rows.schema).parquet(path)
 
     def counted(df, item):
         return df.agg(F.lit(item).alias("item"), F.count(F.lit(1)).alias("n"))
 
     return summary.combine(
         counted(rows.select(*FLOCK, "day").distinct(), "cells"),
-        counted(quality.panel_violations(rows), "broken_days"),
-        counted(quality.varying_inputs(rows), "varying_inputs"),
+        quality.panel_violations(rows).groupBy(F.col("rule").alias("item")).agg(F.count(F.lit(1)).alias("n")),
+        counted(quality.varying_inputs(rows, ["vaccination_scenario", "beta"]), "varying_inputs"),
     )
 
 
@@ -1224,6 +1358,26 @@ def r20_parameters(spark, sf):
     return quality.parameter_violations(counts(spark, sf), rules, [*FLOCK, "step"])
 
 
+LISTS_SQL = (
+    "(SELECT scenario, simu_id, list(CASE WHEN day % 10 = 0 THEN NULL ELSE cum_mort END ORDER BY day) "
+    "FILTER (day > 38) AS deaths FROM panel GROUP BY ALL)"
+)
+
+
+@query(
+    "r20_list_quality",
+    "SELECT scenario, simu_id, 'deaths' AS parameter, CAST(NULL AS VARCHAR) AS value, 'fewer than 4 elements' AS problem "
+    f"FROM {LISTS_SQL} WHERE coalesce(len(deaths), 0) < 4 UNION ALL "
+    "SELECT scenario, simu_id, 'deaths', CAST(d AS VARCHAR), CASE WHEN d IS NULL THEN 'missing' ELSE 'above 3000' END "
+    f"FROM (SELECT scenario, simu_id, unnest(deaths) AS d FROM {LISTS_SQL}) WHERE d IS NULL OR d > 3000",
+)
+def r20_lists(spark, sf):
+    late = by_days(spark, sf).groupBy(*FLOCK).agg(
+        F.expr("transform(array_sort(collect_list(IF(day > 38, struct(day, IF(day % 10 = 0, NULL, cum_mort) AS n), NULL))), x -> x.n)").alias("deaths")
+    )
+    return quality.list_violations(late, {"deaths": quality.Rule("integer", high=3000)}, FLOCK, min_length=4)
+
+
 @query(
     "r21_streaming_alarm",
     "SELECT scenario, simu_id, alarm AS day, CAST(max(CASE WHEN day = alarm THEN new_d END) AS BIGINT) AS deaths "

@@ -5,8 +5,23 @@ Written for DuckDB, over the ``events`` view. Each query in ``pairs`` adds a fin
 
 from __future__ import annotations
 
-from broodspark.operators.summary import ECHOED, PERCENT, SPREAD
-from broodspark.schema import SCENARIO_INPUTS
+# Fixed values, written out here on their own: inputs of a scenario, echoed parameters, and the
+# measures of the summary with the column and the divisor that each is taken from.
+INPUTS = (
+    "vaccination_scenario introduction_time early_slaughter beta recovery t_until_bact_inf prop_bact_factor "
+    "duration_reduced_growth length_B mortality_I mortality_B treatment_trigger"
+).split()
+ECHOES = (
+    "condemnation_B AS condemnation_B, growth_factor AS growth_factor, slaughter_price AS slaughter_price, "
+    "feed_price AS feed_price, ab_price_per_chick AS ab_price_per_chick, ab_price_constant AS ab_price_constant, "
+    "vaccine_price_per_chick AS vaccine_price"
+).split(", ")
+MEASURES = (
+    "p_prevalence=percentage_prevalence/100 p_resp_signs=resp_signs/1 p_secondary=percentage_prevalence_secondary/100 "
+    "peak_resp_signs=peak_resp_signs/1 cum_clin_IB=cum_I/1 cum_secondary=cum_B/1 end_weight=total_weight/1 avg_BW=avg_BW/1 "
+    "weight_revenue=weight_revenue/1 cum_FI=cum_FI/1 FCR=FCR_daily/1 delta=delta/1 cond=condemned_total/1 feed_cost=feed_cost/1 "
+    "mort=mortality/1 treatment_cost=treatment_cost/1 kg_treated=treated_kg/1 DDD_year=DDD_year/1"
+).split()
 
 FLOCK_DAY = "PARTITION BY scenario, simu_id ORDER BY day"
 GROWN_DAY = "PARTITION BY scenario, simu_id, growth_factor ORDER BY day"
@@ -15,7 +30,7 @@ RUNNING = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
 LOG = """
 log AS (
   SELECT CAST(user_id % 6 AS VARCHAR) AS scenario,
-         CAST((user_id - user_id % 6) // 6 AS INTEGER) AS simu_id,
+         CAST((user_id - user_id % 6) // 6 AS BIGINT) AS simu_id,
          CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS INTEGER) + 12 AS day,
          event_type AS state
   FROM events
@@ -24,10 +39,10 @@ days AS (SELECT CAST(range AS INTEGER) AS day FROM range(43)),
 flocks AS (SELECT DISTINCT scenario, simu_id FROM log),
 logged AS (
   SELECT scenario, simu_id, day,
-         CAST(100 * count(*) FILTER (state = 'click') AS INTEGER) AS new_i,
-         CAST(40 * count(*) FILTER (state = 'purchase') AS INTEGER) AS new_b,
-         CAST(25 * count(*) FILTER (state = 'error') AS INTEGER) AS new_d,
-         CAST(20 * count(*) FILTER (state = 'view') AS INTEGER) AS new_s
+         CAST(100 * count(*) FILTER (state = 'click') AS BIGINT) AS new_i,
+         CAST(40 * count(*) FILTER (state = 'purchase') AS BIGINT) AS new_b,
+         CAST(25 * count(*) FILTER (state = 'error') AS BIGINT) AS new_d,
+         CAST(20 * count(*) FILTER (state = 'view') AS BIGINT) AS new_s
   FROM log GROUP BY ALL
 ),
 entries AS (
@@ -41,13 +56,13 @@ entries AS (
 PANEL = f"""
 counted AS (
   SELECT *,
-    CAST(sum(new_i) OVER ({FLOCK_DAY} {RUNNING}) AS INTEGER) AS cum_I,
-    CAST(sum(new_b) OVER ({FLOCK_DAY} {RUNNING}) AS INTEGER) AS cum_B,
-    CAST(sum(new_d) OVER ({FLOCK_DAY} {RUNNING}) AS INTEGER) AS cum_mort,
-    CAST(sum(new_i) OVER ({FLOCK_DAY} ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS INTEGER) AS NGi,
-    CAST(coalesce(sum(new_i) OVER ({FLOCK_DAY} ROWS BETWEEN 9 PRECEDING AND 2 PRECEDING), 0) AS INTEGER) AS RGi,
-    CAST(sum(new_b) OVER ({FLOCK_DAY} ROWS BETWEEN 13 PRECEDING AND CURRENT ROW) AS INTEGER) AS B,
-    CAST(sum(new_s) OVER ({FLOCK_DAY} ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS INTEGER) AS RS
+    CAST(sum(new_i) OVER ({FLOCK_DAY} {RUNNING}) AS BIGINT) AS cum_I,
+    CAST(sum(new_b) OVER ({FLOCK_DAY} {RUNNING}) AS BIGINT) AS cum_B,
+    CAST(sum(new_d) OVER ({FLOCK_DAY} {RUNNING}) AS BIGINT) AS cum_mort,
+    CAST(sum(new_i) OVER ({FLOCK_DAY} ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS BIGINT) AS NGi,
+    CAST(coalesce(sum(new_i) OVER ({FLOCK_DAY} ROWS BETWEEN 9 PRECEDING AND 2 PRECEDING), 0) AS BIGINT) AS RGi,
+    CAST(sum(new_b) OVER ({FLOCK_DAY} ROWS BETWEEN 13 PRECEDING AND CURRENT ROW) AS BIGINT) AS B,
+    CAST(sum(new_s) OVER ({FLOCK_DAY} ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS BIGINT) AS RS
   FROM entries
 ),
 alarmed AS (
@@ -70,7 +85,7 @@ flagged AS (
     CASE WHEN (day > thinning_time - 5 AND day <= thinning_time) OR day > slaughter_time - 5
          THEN 0 ELSE 1 END AS treatment_allowed,
     CASE WHEN day >= alarm THEN 1 ELSE 0 END AS treatment_triggered,
-    CASE WHEN day >= thinning_time THEN 7500 ELSE 0 END AS cum_thinning,
+    CAST(CASE WHEN day >= thinning_time THEN 7500 ELSE 0 END AS BIGINT) AS cum_thinning,
     CASE WHEN day > 0 THEN 30000 - (cum_mort - new_d)
          - CASE WHEN day > thinning_time THEN 7500 ELSE 0 END ELSE 0 END AS previous_flock_size
   FROM dated
@@ -80,7 +95,7 @@ full_panel AS (
     1 - max(treatment_allowed * treatment_triggered) OVER ({FLOCK_DAY} {RUNNING}) AS not_yet_treated,
     30000 - cum_mort - cum_thinning AS P,
     30000 - cum_mort - cum_thinning - NGi - RGi - B AS NG,
-    0 AS NGr, B AS RGb, cum_B - B AS RL, 0 AS I0, NGi + RGi AS I, 0 AS De,
+    0::BIGINT AS NGr, B AS RGb, cum_B - B AS RL, 0::BIGINT AS I0, NGi + RGi AS I, 0::BIGINT AS De,
     'population' AS level, 0 AS agent_id,
     14 AS introduction_time, 1.0::DOUBLE AS prop_bact_factor,
     CASE vaccination_scenario WHEN 0 THEN 0.78::DOUBLE WHEN 0.5 THEN 0.48::DOUBLE ELSE 0.17::DOUBLE END AS beta,
@@ -164,6 +179,7 @@ daily3 AS (
 ),
 daily AS (SELECT * FROM daily3 WHERE growth_factor = 'middle')"""
 
+# Base prices, and one change per row of the sweep.
 _BASE = {
     "growth_factor": "middle", "DOA": 0.0014, "condemnation_base": 0.005, "condemnation_B": 1.0,
     "slaughter_price": 1.12, "feed_price": 0.374, "ab_price_per_chick": 0.02,
@@ -231,7 +247,7 @@ priced AS (
     total_weight - DOA * total_weight AS delivered_weight_end,
     CASE WHEN treated = 1 THEN ab_price_per_chick * treated_flock_size + ab_price_constant
          ELSE 0 END AS treatment_cost,
-    CASE WHEN vaccination_scenario = 0 THEN 0 ELSE vaccine_price_per_chick * n_birds END AS vaccination_cost,
+    CASE WHEN vaccination_scenario = 0 THEN 0 WHEN vaccination_scenario IS NOT NULL THEN vaccine_price_per_chick * n_birds END AS vaccination_cost,
     cum_FI * feed_price AS feed_cost,
     (thinned_weight + total_weight) / (n_thinned + total_birds) AS avg_BW,
     treated_days::DOUBLE / day * 365 AS DDD_year,
@@ -262,10 +278,12 @@ outcomes AS (SELECT * FROM sweep_outcomes WHERE param_id = 0)"""
 def _summary_expressions() -> str:
     parts = ["scenario", "param_id", "any_value(varied_param) AS varied_param",
              "any_value(varied_value) AS varied_value", "count(*) AS n"]
-    parts += [f"arg_min({c}, simu_id) AS {c}" for c in SCENARIO_INPUTS]
-    parts += [f"any_value({c}) AS {name}" for c, name in ECHOED.items()]
-    for name, column in SPREAD.items():
-        scale = " / 100" if name in PERCENT else ""
+    parts += [f"arg_min({c}, simu_id) AS {c}" for c in INPUTS]
+    parts += [f"any_value({c}) AS {name}" for c, name in (e.split(" AS ") for e in ECHOES)]
+    for measure in MEASURES:
+        name, _, source = measure.partition("=")
+        column, _, divisor = source.partition("/")
+        scale = f" / {divisor}" if divisor != "1" else ""
         for stat, function in (("mean", "avg"), ("min", "min"), ("max", "max")):
             parts.append(f"{function}({column}){scale} AS {stat}_{name}")
     parts += [

@@ -1,5 +1,6 @@
 """Panel and log operators against plain loops, and invariants of the derived panel."""
 
+import datetime
 import random
 
 import pytest
@@ -62,20 +63,72 @@ def stays(spark, seed=3):
     return rows, spark.createDataFrame(rows, "scenario string, simu_id int, day int, n int")
 
 
-@pytest.mark.parametrize("escape", [None, 9])
-def test_occupancy_from_log_against_a_loop(spark, escape):
+@pytest.mark.parametrize("share", [1, 0.75])
+@pytest.mark.parametrize("escape", [None, 0, 5, 9, 30])
+@pytest.mark.parametrize("after", [0, 3])
+def test_occupancy_from_log_day_by_day(spark, escape, share, after):
+    """Each day: birds whose time is up leave, those that are there are treated, then birds enter."""
     rows, log = stays(spark)
-    expected = {}
-    for scenario, simu, day, n in rows:
-        end = day + 4 if escape is None else max(min(day + 4, escape), day)
-        for present in range(day, min(end, 21)):
-            key = (scenario, simu, present)
-            expected[key] = expected.get(key, 0) + n
-    with_exit = derive(log, out="9")
-    found = panel.occupancy_from_log(
-        with_exit, 4, last_day=20, exit_day=None if escape is None else "out"
+    expected, there = {}, {}
+    for today in range(21):
+        for key, groups in list(there.items()):
+            groups = [(end, n) for end, n in groups if end > today]
+            if today == escape:
+                groups = [(end, n * (1 - share)) for end, n in groups]
+            there[key] = groups
+        for scenario, simu, day, n in rows:
+            if day + after == today:
+                there.setdefault((scenario, simu), []).append((today + 4, n))
+        for key, groups in there.items():
+            if sum(n for _, n in groups) > 0:
+                expected[*key, today] = sum(n for _, n in groups)
+    with_exit = derive(log, out="NULL" if escape is None else str(escape))
+    found = panel.occupancy_from_log(with_exit, 4, 20, exit_day="out", share=share, after=after)
+    assert {tuple(r)[:3]: pytest.approx(r["present"]) for r in found.collect()} == expected
+    if escape is None:
+        plain = panel.occupancy_from_log(log, 4, 20, after=after)
+        assert {tuple(r)[:3]: r["present"] for r in plain.collect()} == expected
+
+
+def test_every_flock_stays_whatever_its_days(spark, sf_dir):
+    events = feed.read_events(spark, sf_dir).selectExpr(
+        "event_id", "ts + IF(user_id = 3, INTERVAL 90 DAYS, INTERVAL 0 DAYS) AS ts", "user_id", "event_type", "value", "props"
     )
-    assert {tuple(r)[:3]: r["present"] for r in found.collect()} == expected
+    logged = feed.daily_entries(feed.entry_log(events))
+    dense = feed.on_every_day(logged, feed.ENTRIES)
+    flocks = logged.select(*FLOCK).distinct().count()
+    assert dense.count() == 43 * flocks == dense.select(*FLOCK, "day").distinct().count()
+    late = feed.outside_days(logged)
+    assert {(r["scenario"], r["simu_id"], r["rule"]) for r in late.collect()} == {("3", 0, "after_last_day")}
+    panel_rows = feed.derived_panel(events)
+    assert panel_rows.select(*FLOCK).distinct().count() == flocks
+    moved = feed.derived_panel(events, start=feed.FEED_START + datetime.timedelta(days=90))
+    assert moved.filter("scenario = '3' AND simu_id = 0 AND cum_I > 0").count() > 0
+
+    import duckdb
+
+    from checks.sqltext import over
+
+    con = duckdb.connect()
+    con.register("events_frame", events.toPandas())
+    con.execute("CREATE VIEW events AS SELECT * FROM events_frame")
+    theirs = set(con.execute(over("SELECT scenario, simu_id, step, cum_I, B, P FROM panel")).fetchall())
+    ours = {tuple(r) for r in panel_rows.select(*FLOCK, "step", "cum_I", "B", "P").collect()}
+    assert ours == theirs
+
+
+def test_a_very_large_count_does_not_overflow(spark):
+    log = spark.range(3).selectExpr("'a' AS scenario", "1L AS simu_id", "3 AS day", "'click' AS state")
+    one = feed.daily_entries(log).selectExpr("scenario", "simu_id", "day", "new_i * 1000000000 AS new_i", "new_b", "new_d", "new_s")
+    total = panel.cumulative_entries(feed.on_every_day(one, ["new_i"]), {"new_i": "cum_I"})
+    assert total.agg({"cum_I": "max"}).first()[0] == 300_000_000_000
+
+
+def test_mortality_after_a_missing_day_is_missing(spark):
+    rows = [r for r in flock(5, cum_mort=lambda d: 10 * d) if r["step"] != 2]
+    rated = panel.daily_mortality(counts(spark, rows).withColumnRenamed("step", "day"), 1000)
+    known = {r["day"]: r["daily_mortality"] is not None for r in rated.collect()}
+    assert known == {0: False, 1: True, 3: False, 4: True}
 
 
 def test_dwell_equals_occupancy_from_log(spark, sf_dir):
@@ -106,6 +159,13 @@ def test_quality_rules_find_bad_rows(spark):
     found = sorted(tuple(r) for r in quality.panel_violations(raw).collect())
     assert ("1", 1, 0, "duplicate_day") in found and ("1", 2, 0, "shares") in found
     assert [r[3] for r in found].count("cum_mort_falls") == 3 and len(found) == 5
+    holes = flock(6, NG=lambda d: None if d == 1 else 100, cum_B=lambda d: None if d == 3 else 0)
+    holes = [r for r in holes if r["step"] != 4]
+    raw = counts(spark, holes).withColumnRenamed("step", "day")
+    found = sorted(tuple(r)[2:] for r in quality.panel_violations(raw).collect())
+    assert found == [(1, "NG_missing"), (3, "cum_B_missing"), (5, "missing_day")]
+    partly = quality.varying_inputs(counts(spark, flock(3, recovery=lambda d: 0.1 if d else None))).collect()
+    assert [(r["input"], r["n_missing"]) for r in partly] == [("recovery", 1)]
     varying = quality.varying_inputs(
         counts(spark, flock(2, beta=lambda d: 0.1 * d) + flock(2, scenario="2"))
     )
@@ -124,7 +184,7 @@ def test_parameter_rules(spark):
     problems = {(r["id"], r["parameter"]): r["problem"] for r in found}
     assert problems == {
         (2, "DOA"): "above 1", (2, "growth_factor"): "empty", (2, "feed_price"): "not numeric",
-        (2, "DG_change_IB"): "above 0", (2, "n_birds"): "not an integer",
+        (1, "feed_price"): "not numeric", (2, "DG_change_IB"): "above 0", (2, "n_birds"): "not an integer",
         (3, "DOA"): "missing", (3, "growth_factor"): "missing", (3, "feed_price"): "missing",
         (1, "slaughter_price"): "column is absent", (2, "slaughter_price"): "column is absent",
         (3, "slaughter_price"): "column is absent",

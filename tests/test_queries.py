@@ -33,8 +33,9 @@ def test_query_agrees_with_its_sql(spark, con, sf_dir, name):
 
 
 def test_contract(spark):
-    assert contract.queries().keys() == QUERIES.keys()
-    assert set(contract.oracle_sql()) == set(SQL) == set(QUERIES)
+    more = contract.queries().keys() - QUERIES.keys()
+    assert contract.queries().keys() >= QUERIES.keys() and all(re.match(r"op\d+_|pipeline$", n) for n in more)
+    assert contract.oracle_sql().items() >= SQL.items() and set(SQL) == set(QUERIES)
     result = contract.entry(spark)
     assert result.count() == 6 and "mean_delta" in result.columns
 

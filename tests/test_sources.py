@@ -5,7 +5,7 @@ from plans import exchanges, plan_of
 from pyspark.sql import functions as F
 from toys import counts, flock, production_table
 
-from broodspark.operators import daily, outcomes, production
+from broodspark.operators import daily, grids, outcomes, production, sweep
 from broodspark.plans import studies
 from broodspark.schema import COUNTS_SCHEMA, FLOCK
 from broodspark.sources import counts as counts_source
@@ -138,14 +138,86 @@ def test_sensitivity_study(spark, runs, tmp_path):
     )
     rows = both.collect()
     assert len(rows) == 6 + 9
-    assert sorted(r["run"] for r in rows if r["kind"] == "economic") == list(range(7, 16))
+    assert sorted(r["run"] for r in rows) == list(range(1, 16))
+    # Folder 0 is no row of the grid; folders 1 to 5 are its first five.
+    varied = {r["scenario"]: (r["varied_param"], r["varied_value"]) for r in rows if r["kind"] == "simulator"}
+    assert varied["0"] == (None, None) and varied["3"] == ("recovery_factor", "0.5")
+    assert studies.sensitivity_check(both).first()["n_simulations"] == 6
 
 
-def test_default_scenario_must_be_one_folder(spark):
+def test_sensitivity_study_with_its_own_configuration(spark, runs, tmp_path):
+    both = studies.sensitivity(
+        spark, str(runs / "scenarios"), str(runs / "scenarios"), str(runs / "production"), str(tmp_path), "2024-02-01",
+        prices=outcomes.Economics(feed_price=0.5), growth="low", variations={"slaughter_price": [1.0, 2.0, 3.0]},
+    )
+    rows = [r for r in both.collect() if r["kind"] == "economic"]
+    assert [(r["varied_param"], r["growth_factor"], r["feed_price"]) for r in rows] == [("slaughter_price", "low", 0.5)] * 3
+
+
+def test_runs_are_numbered_by_position(spark):
+    rows = [r for s in ("beta_low", "9", "7", "x y") for r in flock(2, scenario=s)]
+    ordinals = counts(spark, rows).groupBy("scenario").count().selectExpr("scenario", "dense_rank() OVER (ORDER BY scenario) AS ordinal")
+    grid = grids.oat_grid(spark)
+    simulator = spark.createDataFrame([(s,) for s in ("beta_low", "9", "7", "x y")], "scenario string")
+    named = {r["scenario"]: (r["run"], r["varied_param"]) for r in sweep.name_runs(simulator, ordinals, grid).collect()}
+    assert named == {"7": (1, "mortality_I"), "9": (2, "mortality_B"), "beta_low": (3, "recovery_factor"), "x y": (4, "recovery_factor")}
+
+
+@pytest.mark.parametrize("change", [{"DOA": 5.0}, {"slaughter_price": None}, {"feed_price": "0.3"}])
+def test_bad_prices_stop_a_study(spark, runs, tmp_path, change):
+    prices = outcomes.Economics(**change)
+    with pytest.raises(ValueError, match=next(iter(change))):
+        studies.compare_scenarios(spark, str(runs / "scenarios"), str(runs / "production"), str(tmp_path), "2024-02-01", prices)
+    with pytest.raises(ValueError, match="DG_change_B"):
+        studies.build_production(spark, str(runs / "inputs"), str(tmp_path / "p"), {"DG_change_B": 0.2})
+
+
+def test_stored_days_need_no_exchange(spark, panel, runs, tmp_path):
+    tables = studies.compare_scenarios(
+        spark, str(runs / "scenarios"), str(runs / "production"), str(tmp_path), "2024-02-01"
+    )
+    assert exchanges(outcomes.per_simulation(tables["days"])) == []
+    stored = spark.read.parquet(str(tmp_path / "output_all_days"))
+    assert stored.count() == panel.count() and "run_date" in stored.columns
+
+
+def test_default_scenario_must_be_one_folder(spark, runs, tmp_path):
     two = counts(spark, flock(1, scenario="1") + flock(1, scenario="2"))
     with pytest.raises(ValueError, match="one is needed"):
-        studies.default_runs(two)
-    assert studies.default_runs(two.filter("scenario = '1'")).count() == 1
+        studies.only_default(two)
+    assert studies.only_default(two.filter("scenario = '1'")) == "1"
+    found = studies.default_runs(spark, str(runs / "scenarios"))
+    assert {r["scenario"] for r in found.select("scenario").distinct().collect()} == {"0"}
+    # Only the folder of the default scenario is in the plan that the study runs.
+    assert all("scenario=0/" in f or f.endswith("scenario=0") for f in found.inputFiles())
+
+
+def test_folder_names_are_read_as_they_are(spark, panel, tmp_path):
+    names = ["run a", "100%", "a%20b", "x+y", "é"]
+    for name in names:
+        one = panel.filter("scenario = '1'").drop("scenario").limit(3)
+        sinks.write_csv(one, str(tmp_path / "tree" / name))
+    sinks.write_csv(panel.filter("scenario = '1'").drop("scenario").limit(3), str(tmp_path / "tree" / "key=b c"))
+    ordinals = counts_source.scenario_ordinals(counts_source.list_files(spark, str(tmp_path / "tree")))
+    found = counts_source.with_ordinal(counts_source.read_counts(spark, str(tmp_path / "tree")), ordinals)
+    numbers = {r["scenario"]: r["ordinal"] for r in found.select("scenario", "ordinal").distinct().collect()}
+    assert numbers == {name: i for i, name in enumerate(sorted([*names, "b c"]), start=1)}
+
+
+def test_missing_introduction_time_is_an_error(spark):
+    with pytest.raises(Exception, match="introduction_time is missing"):
+        outcomes.without_introduction_time(counts(spark, flock(2, introduction_time=None))).collect()
+
+
+def test_parameter_tables_of_any_size(spark):
+    rows = sweep.economic_rows(variations={"slaughter_price": [i / 1000 for i in range(50_001)]})
+    assert sweep.economic_table(spark, rows).count() == 50_002
+    assert grids.oat_grid(spark, {"beta_factor": [float(i) for i in range(50_001)]}).count() == 50_001
+    few = sweep.economic_rows(variations={"slaughter_price": [1.0 + i for i in range(40)]})
+    raw, table = counts(spark, flock(5)), production_table(spark)
+    whole = sweep.economic_outcomes(raw, table, few).select("param_id", "delta")
+    blocks = sweep.economic_outcomes(raw, table, sweep.economic_table(spark, few), block_rows=7).select("param_id", "delta")
+    assert blocks.count() == 41 and whole.exceptAll(blocks).count() == 0
 
 
 def test_healthy_study(spark, runs, tmp_path):
