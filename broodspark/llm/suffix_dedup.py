@@ -125,14 +125,14 @@ class Group:
         mask = mask[self.entry]
         doc = self.order[self.piece] if len(self.piece) else np.zeros(0, np.int64)
         mask[doc > self.least[self.entry]] = ~np.uint64(0)
-        hit = np.flatnonzero(mask)
-        reach = np.repeat(hit, self.count[hit])
-        within = np.arange(len(reach)) - np.repeat(np.cumsum(self.count[hit]) - self.count[hit], self.count[hit])
-        found = (self.first[reach] + within)[(mask[reach] >> within.astype(np.uint64)) & np.uint64(1) == 1]
         change = np.zeros(len(self.data) + 1, np.int32)
-        np.add.at(change, found, 1)
-        np.add.at(change, found + self.length, -1)
-        gone = np.cumsum(change[:-1]) > 0
+        hit = np.flatnonzero(mask)
+        for string in range(int(self.count.max(initial=0))):
+            hit = hit[self.count[hit] > string]
+            found = self.first[hit[(mask[hit] >> np.uint64(string)) & np.uint64(1) == 1]] + string
+            change[found] += 1  # a string starts once at a place
+            change[found + self.length] -= 1
+        gone = np.cumsum(change[:-1], dtype=np.int32) > 0
         rows = []
         for i, text in enumerate(self.texts):
             cut = gone[self.starts[i] : self.starts[i + 1]]
@@ -146,59 +146,61 @@ class Group:
 def column_wise(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All suffixes of a collection in order: string, length of the suffix, common prefix with the one before.
 
-    Round j inserts the suffix of length j + 1 of every string that is long enough. The symbol before the suffix of
-    round j - 1 is written into the transform; sorting the transform stably gives the place of the longer suffix. The
-    common prefix with a neighbour is one more than the least one between the two symbols in the transform.
+    Round j inserts the suffix of length j + 1 of every string that is long enough. The transform is kept as
+    its positions per symbol, ascending: writing the symbol before the suffix of round j - 1 into it gives, by
+    its rank, the place of the longer suffix. The common prefix with a neighbour is one more than the least
+    one between the two equal symbols in the transform. Each round passes over the arrays in sequence.
     """
     m = len(starts)
-    values = np.unique(data)
-    codes = np.zeros(256, np.uint8)
-    codes[values] = np.arange(1, len(values) + 1)
+    bits, place_bits = 48, (1 << 48) - 1
+    codes = np.arange(256, dtype=np.int64) << bits
     last = starts + sizes - 1
-    transform, common = np.zeros(m, np.uint8), np.zeros(m + 1, np.uint8)
-    owner, size = np.arange(m, dtype=np.int32), np.zeros(m, np.uint8)
+    transform = np.zeros(0, np.int64)  # symbol and position of every entry that has a symbol
+    common, owner, size = np.zeros(m + 1, np.uint8), np.arange(m, dtype=np.int32), np.zeros(m, np.uint8)
     place = np.arange(m)
     active = np.arange(m)
     for j in range(int(sizes.max(initial=0))):
         active = active[sizes[active] > j]
         active = active[np.argsort(place[active])]
         at = place[active]
-        symbol = codes[data[last[active] - j]]
-        transform[at] = symbol
-        n = len(transform)
-        order = np.argsort(transform, kind="stable")
-        rank = np.empty(n, np.int64)
-        rank[order] = np.arange(n)
-        ended = n - np.count_nonzero(transform)
-        mine = rank[at]
-        new = m + mine - ended
-        before = order[np.maximum(mine - 1, 0)]
-        follows = (mine > ended) & (transform[before] == symbol)
-        after = order[np.minimum(mine + 1, n - 1)]
-        leads = (mine + 1 < n) & (transform[after] == symbol)
+        written = codes[data[last[active] - j]] | at
+        turn = np.argsort(written)
+        rank = np.searchsorted(transform, written[turn]) + np.arange(len(at))
+        n, total = len(transform) + len(at), len(owner) + len(at)
+        kept = np.ones(n, bool)
+        kept[rank] = False
+        merged = np.empty(n, np.int64)
+        merged[kept], merged[rank] = transform, written[turn]
+        mine = np.empty(len(at), np.int64)
+        mine[turn] = rank
+        new = m + mine
+        before = merged[np.maximum(mine - 1, 0)]
+        after = merged[np.minimum(mine + 1, n - 1)]
+        follows = (mine > 0) & (before >> bits == written >> bits)
+        leads = (mine + 1 < n) & (after >> bits == written >> bits)
         own = np.zeros(len(at), np.uint8)
-        bounds = np.column_stack((before + 1, at + 1))[follows].ravel()
+        bounds = np.column_stack(((before & place_bits) + 1, at + 1))[follows].ravel()
         if len(bounds):
             own[follows] = np.minimum.reduceat(common, bounds)[::2] + 1
-        bounds = np.column_stack((at + 1, after + 1))[leads].ravel()
-        total = n + len(at)
+        bounds = np.column_stack((at + 1, (after & place_bits) + 1))[leads].ravel()
         old = np.ones(total, bool)
         old[new] = False
         longer = np.zeros(total + 1, np.uint8)
-        longer[:-1][old] = common[:n]
+        longer[:-1][old] = common[:-1]
         longer[new] = own
         if len(bounds):
             longer[new[leads] + 1] = np.minimum.reduceat(common, bounds)[::2] + 1
         common = longer
-        spread = np.zeros(total, np.uint8)
-        spread[old] = transform
-        transform = spread
         spread = np.empty(total, np.int32)
         spread[old], spread[new] = owner, active
         owner = spread
         spread = np.empty(total, np.uint8)
         spread[old], spread[new] = size, j + 1
         size = spread
+        held = merged & place_bits
+        merged += np.flatnonzero(old)[held]
+        merged -= held
+        transform = merged
         place[active] = new
     return owner, size, common[:-1]
 
@@ -272,7 +274,7 @@ def _packed(group: np.ndarray, **columns: np.ndarray) -> dict[str, list]:
 
 def with_kept_bytes(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, k: int = 16,
-    group_bytes: int = 8 << 20, bucket_bytes: int = 8 << 20, batch: int = 1024,
+    group_bytes: int = 4 << 20, bucket_bytes: int = 4 << 20, batch: int = 1024,
 ) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (binary) for every row.
 
