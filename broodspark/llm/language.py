@@ -61,7 +61,7 @@ def _grams(text: Column, size: Column, length: int) -> Column:
 
 def _most_frequent(counts: DataFrame, group: list[str], known: int) -> DataFrame:
     """At most ``known`` rows of each group, by a least count that is read off the histogram of counts."""
-    histogram = counts.groupBy(*group, "n").agg(F.count("*").alias("words")).toPandas().sort_values("n", ascending=False)
+    histogram = counts.groupBy(*group, "n").agg(F.count("*").alias("words")).toArrow().to_pandas().sort_values("n", ascending=False)
     histogram["above"] = histogram.groupby(group)["words"].cumsum()
     fits = histogram[histogram["above"] <= known].groupby(group)["n"].min().reset_index()
     if not len(fits):
@@ -96,8 +96,8 @@ def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", use: Co
         np.add.at(values, (row, place), frame["n"].to_numpy(float))
         return {"keys": keys.tolist(), "logs": np.log(values / sums).astype(np.float32)}
 
-    model = {"languages": languages, "words": table(_most_frequent(words, ["lang"], known).toPandas(), "word", list(totals[x] for x in languages))}
-    top = _most_frequent(grams, ["lang", "size"], known).toPandas()
+    model = {"languages": languages, "words": table(_most_frequent(words, ["lang"], known).toArrow().to_pandas(), "word", list(totals[x] for x in languages))}
+    top = _most_frequent(grams, ["lang", "size"], known).toArrow().to_pandas()
     model["grams"] = {
         n: table(top[top["size"] == n], "gram", [gram_totals.get((x, n), 1) for x in languages]) for n in LENGTHS
     }

@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -95,13 +96,39 @@ def _rows(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 def _unpacked(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, feature and value of every entry."""
     sizes = [len(b) // 8 for b in blobs]
-    keys = np.concatenate([np.frombuffer(b, np.uint32, n) for b, n in zip(blobs, sizes, strict=True)] or [np.zeros(0, np.uint32)])
-    values = np.concatenate([np.frombuffer(b, np.float32, n, 4 * n) for b, n in zip(blobs, sizes, strict=True)] or [np.zeros(0, np.float32)])
+    keys = np.concatenate([np.zeros(0, np.uint32), *(np.frombuffer(b, np.uint32, n) for b, n in zip(blobs, sizes, strict=True))])
+    values = np.concatenate([np.zeros(0, np.float32), *(np.frombuffer(b, np.float32, n, 4 * n) for b, n in zip(blobs, sizes, strict=True))])
     return np.repeat(np.arange(len(blobs)), sizes), keys, values
 
 
+def _document_counts(blobs: pa.Array, y: np.ndarray, part: int = 500) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each feature, the texts that have it, and those of them with label 1; a part of the texts at a time."""
+    known, both, ones = np.zeros(0, np.uint32), np.zeros(0), np.zeros(0)
+    for at in range(0, len(y), part):
+        row, key, _ = _unpacked(blobs[at : at + part].to_pylist())
+        here, column = np.unique(key, return_inverse=True)
+        n, n1 = np.bincount(column, minlength=len(here)), np.bincount(column, y[at + row], minlength=len(here))
+        merged, column = np.unique(np.concatenate((known, here)), return_inverse=True)
+        both = np.bincount(column, np.concatenate((both, n)), len(merged))
+        ones = np.bincount(column, np.concatenate((ones, n1)), len(merged))
+        known = merged
+    return known, both, ones
+
+
+def _matrix(blobs: pa.Array, chosen: np.ndarray, part: int = 500) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, column and value of the entries whose features are chosen."""
+    parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    for at in range(0, len(blobs), part):
+        row, key, value = _unpacked(blobs[at : at + part].to_pylist())
+        column = np.minimum(np.searchsorted(chosen, key), len(chosen) - 1)
+        inside = chosen[column] == key
+        parts.append((at + row[inside], column[inside], value[inside].astype(float)))
+    row, column, value = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return row, column, value
+
+
 def fit(
-    docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, bound: int = 12_000,
+    docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, bound: int = 10_000,
     n_features: int = 4096, evidence: float = 8.0, swap_weight: float = 1.0, shrink: float = 3e-4,
 ) -> dict:
     """The model: base score and the weights of its features, as {"base": float, "weights": {hash: weight}}.
@@ -114,16 +141,14 @@ def fit(
     use = F.lit(True) if held_out is None else fold("doc_id", folds) != held_out
     sample = labelled_sample(docs, labels, "toxic", use, bound)
     rows = F.pandas_udf(_rows, "own binary, other binary").asNondeterministic()
-    table = sample.select("doc_id", "label", rows("text").alias("x")).dropDuplicates(["doc_id"]).orderBy("doc_id").select("label", "x.*").toPandas()
-    y = table["label"].to_numpy(float)
+    found = sample.select("doc_id", "label", rows("text").alias("x")).dropDuplicates(["doc_id"]).select("doc_id", "label", "x.*")
+    table = found.toArrow().sort_by("doc_id")
+    own, other = (table.column(c).combine_chunks() for c in ("own", "other"))
+    y = table.column("label").to_numpy().astype(float)
     if not len(y) or y.min() == y.max():
         share = float(y.mean()) if len(y) else 0.0
         return {"base": float(np.log(max(share, 1e-6) / max(1 - share, 1e-6))), "weights": {}}
-    named = table["other"].notna().to_numpy()
-    row, key, value = _unpacked(list(table["own"]))
-    known, column = np.unique(key, return_inverse=True)
-    ones = np.bincount(column, y[row])
-    both = np.bincount(column)
+    known, both, ones = _document_counts(own, y)
     expected = both * y.mean()
     chi = (ones - expected) ** 2 / (expected * (1 - both / len(y)) + 1)
     chi[both < 3] = 0
@@ -134,17 +159,11 @@ def fit(
     if not len(chosen):
         chosen = np.sort(known[best])
 
-    def matrix(blobs: list[bytes]):
-        row, key, value = _unpacked(blobs)
-        at = np.minimum(np.searchsorted(chosen, key), len(chosen) - 1)
-        inside = chosen[at] == key
-        return row[inside], at[inside], value[inside].astype(float)
-
-    row, column, value = matrix(list(table["own"]))
-    first = np.flatnonzero(named)
+    row, column, value = _matrix(own, chosen)
+    first = np.flatnonzero(other.is_valid().to_numpy(zero_copy_only=False))
     pair = np.full(len(y), -1)
     pair[first] = np.arange(len(first))
-    r2, c2, v2 = matrix(list(table["other"][named]))
+    r2, c2, v2 = _matrix(other.drop_null(), chosen)
     mine = np.isin(row, first)
     # The change of a pair: own features minus those of the counterfactual.
     pr = np.concatenate((pair[row[mine]], r2))
