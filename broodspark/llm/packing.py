@@ -118,7 +118,7 @@ def pieces(docs: DataFrame, ranks_file: str, json_file: str, window: int = 1024,
 
     ``with_ids`` adds the ids themselves as ``ids``.
     """
-    kind = pa.schema([pa.field(c.split()[0], pa.int64()) for c in PIECES.split(", ")] + [pa.field("ids", pa.list_(pa.uint32()))] * with_ids)
+    kind = pa.schema([pa.field(c.split()[0], pa.int64()) for c in PIECES.split(", ")] + [pa.field("ids", pa.list_(pa.int32()))] * with_ids)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(ranks_file, json_file)
@@ -132,11 +132,11 @@ def pieces(docs: DataFrame, ranks_file: str, json_file: str, window: int = 1024,
                     part = data[4 * start : 4 * (start + window)]
                     rows.append((doc, start, len(part) // 4, zlib.crc32(part), total))
                     if with_ids:
-                        ids.append(np.frombuffer(part, "<u4"))
+                        ids.append(np.frombuffer(part, "<i4"))
             columns = [*map(list, zip(*rows, strict=True))] if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip([*columns, ids], kind, strict=False)], schema=kind)
 
-    return docs.mapInArrow(cut, PIECES + ", ids array<bigint>" * with_ids)
+    return docs.mapInArrow(cut, PIECES + ", ids array<int>" * with_ids)
 
 
 def place(parts: DataFrame, window: int = 1024) -> DataFrame:
