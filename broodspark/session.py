@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 import tempfile
 import uuid
 
@@ -39,12 +40,13 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = _local_base()
+        base = _local_base().name
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
 @functools.cache
-def _local_base() -> str:
-    return tempfile.mkdtemp(prefix="broodspark-")
+def _local_base() -> tempfile.TemporaryDirectory:
+    """One folder per process, gone when the process ends."""
+    return tempfile.TemporaryDirectory(prefix="broodspark-", ignore_cleanup_errors=True)
