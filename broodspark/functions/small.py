@@ -32,7 +32,13 @@ def literal_table(spark: SparkSession, rows: list[dict], schema: str) -> DataFra
 
 
 def is_small(df: DataFrame, max_rows: int = SMALL_ROWS) -> bool:
-    """Whether the frame has at most ``max_rows`` rows; counting stops there."""
+    """Whether the frame has at most ``max_rows`` rows; counting stops there.
+
+    Where the plan itself bounds the rows (literal rows, a range of days), nothing is run.
+    """
+    bound = df._jdf.queryExecution().optimizedPlan().maxRows()
+    if bound.isDefined() and bound.get() <= max_rows:
+        return True
     return df.limit(max_rows + 1).count() <= max_rows
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from broodspark.functions.frames import derive, named
-from broodspark.functions.small import broadcast_if_small, is_small, literal_table
+from broodspark.functions.small import is_small, literal_table
 
 # Response of gain and feed conversion, and its strength per growth factor.
 DISEASE_RESPONSE = {
@@ -109,7 +109,8 @@ def attach_wide(daily: DataFrame, production: DataFrame, factors: list[str]) ->
         {', '.join(picks)} FROM {{production}} GROUP BY day""",
         production=production,
     )
-    return daily.join(broadcast_if_small(per_day), "day", "left")
+    # At most as many rows as the table it groups, so that one is counted, not the groups.
+    return daily.join(F.broadcast(per_day) if is_small(production) else per_day, "day", "left")
 
 
 def attach(
