@@ -90,8 +90,17 @@ def test_quality_on_held_out_documents(docs, labels):
 
 def test_the_cut_is_a_quantile_of_all_documents(docs, labels):
     model = quality.fit(docs, labels)
-    low = quality.scored(docs, labels).filter("NOT good").count() / docs.count()
-    assert abs(low - model["bad"]) < 0.02
+    rows = quality.scored(docs, labels).collect()
+    level = np.mean([r.raw < model["point"] for r in rows])
+    cut = np.quantile([r.raw for r in rows], level, method="inverted_cdf") if level else None
+    assert abs(level - model["bad"]) < 0.03
+    assert all(r.good == (r.raw >= model["point"]) for r in rows) and cut <= min(r.raw for r in rows if r.good)
+
+
+def test_parting_point():
+    assert 2 < quality.parting(np.array([1.0, 2.0, 3.0, 4.0]), np.array([0, 0, 1, 1])) < 3
+    assert quality.parting(np.array([5.0, 1.0, 3.0]), np.array([1, 1, 1])) < 1
+    assert 3 < quality.parting(np.array([1.0, 2.0, 3.0, 4.0, 5.0]), np.array([0, 1, 0, 1, 1])) < 4
 
 
 def test_quality_of_a_messy_table(messy, odd_labels, nothing):
