@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from math import log1p
 
 import numpy as np
 import pandas as pd
@@ -58,17 +59,22 @@ SWAPS = {
 }
 
 
+def features_of(word: bytes) -> tuple[int, ...]:
+    """Hashes of the word and of its first four and five bytes."""
+    hashed = xxhash.xxh32_intdigest
+    whole = hashed(word)
+    if len(word) < 5:
+        return (whole,)
+    return (whole, hashed(word[:4], 4)) if len(word) < 6 else (whole, hashed(word[:4], 4), hashed(word[:5], 5))
+
+
 def features(words: Counter) -> dict[int, float]:
-    """Hash to log(1 + count) of each word and of each first four and five bytes."""
+    """Hash to log(1 + count) of each feature of the words."""
     counts: Counter = Counter()
-    hashed = xxhash.xxh32_intdigest
     for word, n in words.items():
-        counts[hashed(word)] += n
-        if len(word) > 4:
-            counts[hashed(word[:4], 4)] += n
-        if len(word) > 5:
-            counts[hashed(word[:5], 5)] += n
-    return {k: float(np.log1p(n)) for k, n in counts.items()}
+        for k in features_of(word):
+            counts[k] += n
+    return {k: log1p(n) for k, n in counts.items()}
 
 
 def swapped(words: Counter) -> Counter:
@@ -186,17 +192,34 @@ def fit(
     return {"base": float(w[n]), "weights": dict(zip(chosen.tolist(), w[:n].tolist(), strict=True))}
 
 
+class _Known(dict):
+    """Word to those of its features that the model has; a bounded number of words is remembered."""
+
+    def __init__(self, weights: dict[int, float], remember: int = 300_000) -> None:
+        super().__init__()
+        self.weights, self.remember = weights, remember
+
+    def __missing__(self, word: bytes) -> tuple[int, ...]:
+        found = tuple(k for k in features_of(word) if k in self.weights)
+        if len(self) < self.remember:
+            self[word] = found
+        return found
+
+
 def score_column(model: dict):
     """A function of the text column: the probability of the label 1. A missing text counts as empty."""
 
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         weights = model["weights"]
-        known = weights.keys()
+        known = _Known(weights)
         for batch in texts:
             sums = []
             for text in batch:
-                found = features(Counter(letter_words(text or "")))
-                sums.append(model["base"] + sum(found[k] * weights[k] for k in known & found.keys()))
+                counts: Counter = Counter()
+                for word in letter_words(text or ""):
+                    for k in known[word]:
+                        counts[k] += 1
+                sums.append(model["base"] + sum(log1p(counts[k]) * weights[k] for k in sorted(counts)))
             yield pd.Series(sigmoid(np.array(sums, float)))
 
     return F.pandas_udf(score, "double").asNondeterministic()
