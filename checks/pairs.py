@@ -441,6 +441,7 @@ def j04(spark, sf):
     return pick(updated, f"{KEY} {TREATMENT}", "treated_kg")
 
 
+# The published lists of the scenario grid.
 GRID_SQL = """
 SELECT CAST(g.folder AS INTEGER) AS folder, g.vaccination_scenario, g.introduction_time,
        g.prop_bact_factor, g.early_slaughter, coalesce(p.n_flocks, 0) AS n_flocks,
@@ -951,6 +952,7 @@ def x08(spark, sf):
 
 query("r01_scenario_grid", GRID_SQL)(_grid_use)
 
+# The published one-at-a-time variations.
 OAT = [
     (name, float(value))
     for name, values in (
