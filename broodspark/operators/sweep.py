@@ -77,8 +77,12 @@ def economic_outcomes(
     Parameter rows join on their growth factor, in blocks of a counted size.
     """
     spark = counts.sparkSession
-    params = rows if isinstance(rows, DataFrame) else economic_table(spark, rows)
-    growth = sorted(r["growth_factor"] for r in params.select("growth_factor").distinct().collect())
+    if isinstance(rows, DataFrame):
+        params = rows
+        growth = sorted(r["growth_factor"] for r in params.select("growth_factor").distinct().collect())
+    else:
+        rows = rows or economic_rows()
+        params, growth = economic_table(spark, rows), sorted({r["growth_factor"] for r in rows})
     if len(growth) == 1 or as_written:
         daily = daily_ops.interpret(counts, production, growth[0], as_written)
         collapsed = outcome_ops.collapse(daily).drop("growth_factor")
@@ -88,7 +92,7 @@ def economic_outcomes(
         daily = daily_ops.interpret_wide(counts, production, growth)
         suffixes = tuple(f"_{g}" for g in growth)
         collapsed = outcome_ops.per_factor(outcome_ops.collapse(daily, suffixes=suffixes), growth)
-    blocks = _in_blocks(params, block_rows) if isinstance(rows, DataFrame) or len(rows or []) > block_rows else [params]
+    blocks = _in_blocks(params, block_rows) if isinstance(rows, DataFrame) or len(rows) > block_rows else [params]
     if len(blocks) > 1:  # the daily grain is passed once, not once per block
         path = shared_dir(spark, "collapsed")
         collapsed.write.parquet(path)
