@@ -8,6 +8,9 @@ all bytes so far. So the collection is first divided without losing a match:
 - Every string of ``length`` bytes has an anchor: the leftmost of its k-grams with the least hash. Neighbouring
   strings with the same anchor form a segment. Equal strings have equal anchors, so they
   meet if segments are dealt out by the hash of the anchor. A segment is at most 2 * length - k long.
+- An anchor with more than ``most`` different segments is divided further: each of its strings is a segment of
+  its own, dealt out by a hash of the anchor and of the whole string. Equal strings still meet, and different
+  ones share no key, however common what they have in common is.
 - Documents are dealt into groups of bounded size. A group sends each distinct segment once, as a digest with
   its least document id, so a passage with very many copies sends one entry per group.
 - A range of anchor hashes sees all digests. Where one digest is all there is, its least id is the answer. Where
@@ -16,11 +19,13 @@ all bytes so far. So the collection is first divided without losing a match:
 - The answers go back to the groups as one bit per string, and each group finishes its documents.
 
 Digests are 64 bits within equal anchor hashes. The arrays of a collection stay in memory, as a
-collection is bounded (``batch`` segments); every pass over them is sequential.
+collection is bounded (``batch`` segments, or ``most`` of one anchor); every pass over them is sequential.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,6 +35,7 @@ from broodspark.llm.common import slim
 
 BLOCK_BITS = 17
 BLOCK = 1 << BLOCK_BITS  # positions that are hashed at once
+COUNTED = 4 << 20  # bytes of text in which the segments of an anchor are counted together
 NEVER = np.iinfo(np.int64).max  # the id of documents without one: never smaller than another
 _BASE = 0x9E3779B97F4A7C15
 _MIX = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xBF58476D1CE4E5B9))
@@ -85,10 +91,71 @@ def _block_segments(data: np.ndarray, piece: np.ndarray, length: int, k: int, po
     return first, end - first, _mixed(hashes[anchor[first]]), digest
 
 
+def _segments(data: np.ndarray, ends: np.ndarray, length: int, k: int) -> list[np.ndarray]:
+    """Segments of documents that end at ``ends``: first string, number of strings, anchor hash, digest, document."""
+    parts, powers = [], _powers()
+    for at in range(0, max(0, len(data) - length + 1), BLOCK - length + 1):
+        block = data[at : at + BLOCK]
+        piece = np.searchsorted(ends, np.arange(at, at + len(block)), side="right")
+        first, count, hashes, digest = _block_segments(block, piece, length, k, powers)
+        parts.append((first + at, count, hashes, digest, piece[first]))
+    empty = [np.zeros(0, t) for t in (np.int64, np.int64, np.uint64, np.uint64, np.int64)]
+    return [np.concatenate(x) for x in zip(empty, *parts, strict=True)]
+
+
+def _divided(data: np.ndarray, segments: list[np.ndarray], length: int, frequent: np.ndarray) -> list[np.ndarray]:
+    """The segments, with one for each string where the anchor is frequent; those have a hash of anchor and string."""
+    hot = np.isin(segments[2], frequent)
+    if not hot.any():
+        return segments
+    first, count, hashes, _, piece = (x[hot] for x in segments)
+    before = np.repeat(np.cumsum(count) - count, count)
+    starts = np.repeat(first, count) + np.arange(len(before)) - before
+    table, up, _ = _powers()
+    total = np.zeros(len(starts), np.uint64)
+    for i in range(length):
+        total += table[data[starts + i]] * up[i]
+    digest = _mixed(total + np.uint64(1))  # as the digest of a segment of one string
+    single = (starts, np.ones(len(starts), np.int64), _mixed(np.repeat(hashes, count) ^ digest), digest, np.repeat(piece, count))
+    return [np.concatenate((x[~hot], y)) for x, y in zip(segments, single, strict=True)]
+
+
+def _counts(batches: Iterator[pa.RecordBatch], length: int, k: int) -> Iterator[pa.RecordBatch]:
+    """(anchor, n): anchors with several different segments in some MB of text, and how many."""
+    kind = pa.schema([("anchor", pa.int64()), ("n", pa.int64())])
+
+    def counted(texts: list[bytes]) -> pa.RecordBatch:
+        _, _, hashes, digest, _ = _segments(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([len(t) for t in texts]), length, k)
+        order = np.argsort(digest)
+        hashes, n = np.unique(hashes[order[np.flatnonzero(np.diff(digest[order], prepend=~digest[order][:1]))]], return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(hashes[n > 1].view(np.int64)), pa.array(n[n > 1])], schema=kind)
+
+    texts, held = [], 0
+    for batch in batches:
+        for text in batch.column("text"):
+            texts.append(text.as_py().encode())
+            held += len(texts[-1])
+            if held >= COUNTED:
+                yield counted(texts)
+                texts, held = [], 0
+    yield counted(texts)
+
+
+def frequent_anchors(source: DataFrame, length: int, k: int, most: int) -> np.ndarray:
+    """Hashes of the anchors with more than ``most`` different segments, added up over parts of the text.
+
+    A segment counts once per part, and one that is alone with its anchor there does not. So a few more
+    or fewer anchors may be divided; this moves work only, as all groups divide the same ones.
+    """
+    parts = source.select("text").mapInArrow(lambda batches: _counts(batches, length, k), "anchor bigint, n bigint")
+    rows = parts.groupBy("anchor").agg(F.sum("n").alias("n")).filter(F.col("n") > most).select("anchor").collect()
+    return np.sort(np.array([r.anchor for r in rows], np.int64).view(np.uint64))
+
+
 class Group:
     """The documents of a group, their segments, and the distinct ones in the order of (hash, digest)."""
 
-    def __init__(self, table: pa.Table, length: int, k: int) -> None:
+    def __init__(self, table: pa.Table, length: int, k: int, frequent: np.ndarray | None = None) -> None:
         # Blocks run over the documents in this order, and a shuffle may deliver them in any.
         table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
         ids = table.column("doc_id").combine_chunks()
@@ -99,14 +166,10 @@ class Group:
         self.data = np.frombuffer(b"".join(self.texts), np.uint8)
         ends = np.cumsum([len(t) for t in self.texts])
         self.starts = np.concatenate(([0], ends))
-        parts, powers = [], _powers()
-        for at in range(0, max(0, len(self.data) - length + 1), BLOCK - length + 1):
-            block = self.data[at : at + BLOCK]
-            piece = np.searchsorted(ends, np.arange(at, at + len(block)), side="right")
-            first, count, hashes, digest = _block_segments(block, piece, length, k, powers)
-            parts.append((first + at, count, hashes, digest, piece[first]))
-        empty = [np.zeros(0, t) for t in (np.int64, np.int64, np.uint64, np.uint64, np.int64)]
-        self.first, self.count, hashes, digest, self.piece = (np.concatenate(x) for x in zip(empty, *parts, strict=True))
+        segments = _segments(self.data, ends, length, k)
+        if frequent is not None and len(frequent):
+            segments = _divided(self.data, segments, length, frequent)
+        self.first, self.count, hashes, digest, self.piece = segments
         doc = self.order[self.piece] if len(self.piece) else np.zeros(0, np.int64)
         by_digest = np.argsort(digest, kind="stable")
         turn = np.flatnonzero(np.diff(digest[by_digest], prepend=~digest[by_digest][:1]))
@@ -275,7 +338,7 @@ def _packed(group: np.ndarray, **columns: np.ndarray) -> dict[str, list]:
 
 def with_kept_bytes(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, k: int = 16,
-    group_bytes: int = 4 << 20, bucket_bytes: int = 4 << 20, batch: int = 1024,
+    group_bytes: int = 4 << 20, bucket_bytes: int = 4 << 20, batch: int = 1024, most: int = 8192,
 ) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (binary) for every row.
 
@@ -290,10 +353,11 @@ def with_kept_bytes(
     source = slim(docs, id_col, text_col)
     total = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups, buckets = 1 + total // group_bytes, 1 + total // bucket_bytes
+    frequent = frequent_anchors(source, length, k, most)
     dealt = source.withColumn("g", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)))
 
     def announce(table: pa.Table) -> pa.Table:
-        group = Group(table, length, k)
+        group = Group(table, length, k, frequent)
         bucket = _bucket(group.hashes, buckets)
         cuts = _runs(bucket)
         low = group.hashes.astype(np.uint32)
@@ -319,7 +383,7 @@ def with_kept_bytes(
         kind = pa.schema([("b", pa.int64()), ("g", pa.int64()), ("entries", pa.binary()), ("sizes", pa.binary()), ("data", pa.binary())])
         if not asked.num_rows or not table.num_rows:
             return kind.empty_table()
-        group = Group(table, length, k)
+        group = Group(table, length, k, frequent)
         chosen = np.sort(np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in asked.column("entries")]))
         sample = group.sample[chosen]
         sizes = group.count[sample] + length - 1
@@ -353,7 +417,7 @@ def with_kept_bytes(
                     at += size
             rows = np.flatnonzero(bucket.mixed)
             anchor = bucket.anchor[wanted]
-            # Whole anchors only, about ``batch`` distinct segments at a time.
+            # Whole anchors only, about ``batch`` distinct segments at a time; larger anchors than ``most`` were divided.
             cuts, at = [0], 0
             while at < len(wanted):
                 at = int(np.searchsorted(anchor, anchor[min(at + batch, len(wanted)) - 1], side="right"))
@@ -382,7 +446,7 @@ def with_kept_bytes(
             return kind.empty_table()
         found = [np.frombuffer(x.as_py(), np.uint32) for x in answered.column("entries")] if answered.num_rows else []
         masks = [np.frombuffer(x.as_py(), np.uint64) for x in answered.column("masks")] if answered.num_rows else []
-        rows = Group(table, length, k).removed(
+        rows = Group(table, length, k, frequent).removed(
             np.concatenate([np.zeros(0, np.uint32), *found]), np.concatenate([np.zeros(0, np.uint64), *masks])
         )
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kind, strict=True)], schema=kind)

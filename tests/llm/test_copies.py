@@ -186,6 +186,26 @@ def test_kept_bytes_of_a_text_longer_than_a_block(spark):
     assert found[1][2] == 0 and found[2][2] == len(base) - 100_000 + 300
 
 
+def test_a_frequent_anchor_is_divided(spark):
+    """One stem in all documents, with different neighbours: no collection may hold all its segments."""
+    import pyarrow as pa
+
+    draw = random.Random(5)
+    stem, tails = "https://www.example.com/articles/2021/no", ["".join(draw.choice("abcdefgh/") for _ in range(60)) for _ in range(300)]
+    rows = [(i, draw.choice(tails)[:48] + stem + draw.choice(tails)[draw.randint(0, 20) :]) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    frequent = suffix_dedup.frequent_anchors(docs, 50, 16, 40)
+    assert len(frequent)
+    table = pa.table({"doc_id": pa.array([d for d, _ in rows], pa.int64()), "text": pa.array([t for _, t in rows])})
+
+    def largest(group):
+        return np.unique(group.hashes, return_counts=True)[1].max()
+
+    assert largest(suffix_dedup.Group(table, 50, 16)) > 40 >= largest(suffix_dedup.Group(table, 50, 16, frequent))
+    for options in ({"most": 40}, {"most": 2, "group_bytes": 3000, "bucket_bytes": 900, "batch": 2}, {"most": 40, "group_bytes": 2000}):
+        assert run_kept(docs, **options) == plain_kept(rows, 50)
+
+
 def test_column_wise_order():
     draw = random.Random(1)
     texts = [bytes(draw.choice(b"ab\0") for _ in range(draw.randint(0, 25))) for _ in range(120)]
