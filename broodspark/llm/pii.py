@@ -1,12 +1,13 @@
 """Personal data: base patterns, and bootstrapped contextual extraction, with DataFrame functions only.
 
-Seeds are the tokens that a base pattern covers. The word before a token is its lexical pattern. Patterns
-and token values form a bipartite graph; in each round a pattern scores by the share
-of its values that are believed to be personal, and a value by the patterns it occurs with. Values in
-patterns of high confidence that no base pattern knows are reported as further spans.
-
-The texts are read once. Spans, tokens and contexts are written to the shared folder; the rounds and
-the last join work on those small rows.
+Seeds are the tokens that a base pattern covers, with or without a digit. The word before a token is its lexical
+pattern. Patterns and token values form a bipartite graph; a pattern scores by the share
+of its distinct values that are personal. All tokens after patterns of high confidence that no base pattern
+knows are reported as further spans.
+
+One pass over the texts writes spans and seeds to the shared folder. A second reads the tokens after the patterns that
+have enough seeds, a third finds the tokens after the patterns that scored high, and only documents with such are
+read once more for the places. So the part of the graph that no seed touches is never shuffled.
 """
 
 from __future__ import annotations
@@ -25,8 +26,13 @@ CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){13,18}+(?![\x20-]?[0-
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone", "context")
 SPAN = "array<struct<start:int,kind:int,end:int>>"
-#: A token with a digit, between white space.
-TOKEN = r"(?<!\S)(?=\S{0,200}[0-9])\S+"
+#: The value in a token: from its first letter or digit to its last.
+CORE = r"(?s)[\p{L}\p{N}](?:.*[\p{L}\p{N}])?"
+#: A value that is not a plain word.
+OTHER = r"[^\p{L}]"
+WHITE = " \t\n\x0b\f\r"
+PAIRS = "array<struct<pattern:string,value:string>>"
+FEW = 100_000  # rows that may go to all tasks
 
 
 def _digits(value: Column) -> Column:
@@ -100,9 +106,26 @@ def _listed(spans: Column) -> Column:
     )
 
 
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
+
+
+def _seeds(flat: Column, span: Column) -> Column:
+    """(pattern, value) of each token that a span touches; ``flat`` is the text with blanks as its only white space."""
+    left = F.substring(flat, F.lit(1), span["start"])
+    head = F.substring_index(left, " ", -1)
+    before = F.substring_index(F.rtrim(F.substring(left, F.lit(1), F.char_length(left) - F.char_length(head))), " ", -1)
+    inside = F.substring(flat, span["start"] + 1, span["end"] - span["start"])
+    tail = F.substring_index(F.substring(flat, span["end"] + 1, F.char_length(flat)), " ", 1)
+    words = F.split(F.lower(F.concat(before, F.lit(" "), head, inside, tail)), " +")
+    return F.zip_with(
+        F.slice(words, F.lit(1), F.size(words) - 1), F.slice(words, F.lit(2), F.size(words) - 1),
+        lambda p, w: F.named_struct(F.lit("pattern"), p, F.lit("value"), F.regexp_extract(w, CORE, 0)),
+    ).cast(PAIRS)
+
+
 def read(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, key of the text, base spans, and tokens with a digit: (start, end, value, pattern, seed)."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    """doc_id, key of the text, base spans, and seeds: (pattern, value) of every token that a base span touches."""
     text = F.col("text")
     digit = text.rlike("[0-9]")
     at, plus, dot = F.contains(text, F.lit("@")), F.contains(text, F.lit("+")), F.contains(text, F.lit("."))
@@ -112,47 +135,65 @@ def read(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         "card": _spans(_places(text, CARD, F.col("_digit")), 2, _is_card),
         "phone": _spans(_places(text, PHONE, F.col("_digit") & plus), 3, _is_phone),
     }
-    base = rows.withColumn("_digit", digit).select(
-        "doc_id", F.xxhash64("text").alias("key"), *(s.alias(k) for k, s in spans.items()),
-        _places(text, TOKEN, F.col("_digit")).alias("tokens"),
+    base = _rows(docs, id_col, text_col).withColumn("_digit", digit).select(
+        "doc_id", "key", *(s.alias(k) for k, s in spans.items()), F.translate("text", WHITE, " " * len(WHITE)).alias("flat"),
     ).withColumn("base", F.concat("email", "ip", "card", "phone"))
+    seeds = F.array_distinct(F.flatten(F.transform("base", lambda s: _seeds(F.col("flat"), s))))
+    return base.select("doc_id", "key", "base", seeds.alias("seeds"))
+
+
+def _pairs(rows: DataFrame) -> DataFrame:
+    """(pattern, word) of every two neighbouring words, in lower case."""
+    words = rows.select(F.split(F.lower("text"), r"\s+").alias("w"))
+    return words.selectExpr("inline(arrays_zip(slice(w, 1, size(w) - 1), slice(w, 2, size(w) - 1)))").toDF("pattern", "word")
 
-    def token(t: Column) -> Column:
-        core = F.regexp_replace(t["value"], r"^[^\p{L}\p{N}]++", "")
-        start = t["start"] + F.char_length(t["value"]) - F.char_length(core)
-        value = F.regexp_extract(core, r"^.*[\p{L}\p{N}]", 0)
-        end = start + F.char_length(value)
-        before = F.substring_index(F.rtrim(F.translate(t["left"], "\t\n\r", "   ")), " ", -1)
-        seed = F.exists("base", lambda s: (s["start"] < end) & (s["end"] > start))
-        return F.named_struct(
-            F.lit("start"), start, F.lit("end"), end, F.lit("value"), F.lower(value), F.lit("pattern"), F.lower(before), F.lit("seed"), seed
-        )
 
-    return base.withColumn("tokens", F.transform("tokens", token))
+def _small(table: DataFrame) -> DataFrame:
+    """A written table, for all tasks if it has few rows."""
+    return F.broadcast(table) if table.count() <= FEW else table
 
 
-def scored_patterns(tokens: DataFrame, rounds: int = 3, prior: float = 1.0) -> DataFrame:
-    """(pattern, score, seeds): the belief that a value after this word is personal data.
+def _edges(rows: DataFrame, patterns: DataFrame) -> DataFrame:
+    """The distinct (pattern, value) of all tokens after some patterns; plain words are no values."""
+    after = _pairs(rows).join(_small(patterns), "pattern", "left_semi")
+    return after.select("pattern", F.regexp_extract("word", CORE, 0).alias("value")).filter(F.col("value").rlike(OTHER)).distinct()
 
-    A value that is a seed anywhere is believed fully. A round sets a pattern to the sum of the beliefs
-    of its distinct values over their number plus ``prior``, and a value that is no seed to the belief that not all
-    of its patterns are wrong. The edges of the graph are distinct and counted before every shuffle.
+
+def good_patterns(rows: DataFrame, seeds: DataFrame, confidence: float, support: int, prior: float = 1.0) -> DataFrame:
+    """(pattern): words with ``support`` different personal values after them, which are ``confidence`` of all.
+
+    The share is the number of distinct personal values over the number of distinct values plus ``prior``.
     """
-    edges = checkpointed(tokens.groupBy("pattern", "value").agg(F.max("seed").alias("seed")))
-    known = edges.groupBy("value").agg(F.max("seed").alias("seed"))
-    values = known.select("value", "seed", F.col("seed").cast("double").alias("belief"))
-    patterns = None
-    for _ in range(rounds):
-        patterns = checkpointed(
-            edges.drop("seed").join(values, "value").groupBy("pattern")
-            .agg((F.sum("belief") / (F.count("*") + prior)).alias("score"), F.sum(F.col("seed").cast("bigint")).alias("seeds"))
-        )
-        doubt = F.sum(F.log(F.greatest(1 - F.col("score"), F.lit(1e-9))))
-        values = (
-            edges.drop("seed").join(patterns, "pattern").groupBy("value").agg((1 - F.exp(doubt)).alias("belief"))
-            .join(known, "value").select("value", "seed", F.when(F.col("seed"), F.lit(1.0)).otherwise(F.col("belief")).alias("belief"))
-        )
-    return patterns
+    personal = checkpointed(seeds.distinct())
+    # A pattern with less support cannot be good; its other values need not be read.
+    supported = checkpointed(personal.groupBy("pattern").agg(F.count("*").alias("n")).filter(F.col("n") >= support))
+    totals = _edges(rows, supported.select("pattern")).groupBy("pattern").agg(F.count("*").alias("values"))
+    score = F.col("n") / (F.col("values") + prior)
+    return checkpointed(supported.join(totals, "pattern").filter(score >= confidence).select("pattern"))
+
+
+def _context(rows: DataFrame, good: DataFrame) -> DataFrame:
+    """(_doc, _key, context): the places of all tokens after the patterns, for documents that have any."""
+    good = _small(good)
+    words = F.split(F.lower("text"), r"\s+")
+    numbered = rows.select("doc_id", "key", words.alias("w")).selectExpr("doc_id", "key", "size(w) AS n", "posexplode(w) AS (at, pattern)")
+    numbered = numbered.filter("at < n - 1").withColumn("i", F.col("at") + 1)
+    hits = checkpointed(
+        numbered.join(good, "pattern", "left_semi").groupBy(F.col("doc_id").alias("_doc"), F.col("key").alias("_key"))
+        .agg(F.array_sort(F.collect_set("i")).alias("at"))
+    )
+    found = rows.join(_small(hits), F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("key") == F.col("_key")))
+    # Pieces are the words with the white space after them.
+    found = found.dropDuplicates(["_doc", "_key"]).select("_doc", "_key", "at", F.split("text", r"(?<=\s)(?=\S)").alias("piece"))
+    each = found.select("_doc", "_key", "piece", F.explode("at").alias("i")).select(
+        "_doc", "_key", F.char_length(F.array_join(F.slice("piece", F.lit(1), F.col("i")), "")).alias("before"),
+        F.regexp_extract(F.get("piece", F.col("i")), r"^\S+", 0).alias("word"),
+    )
+    core = F.regexp_extract("word", CORE, 0)
+    left = F.regexp_replace("word", r"^[^\p{L}\p{N}]++", "")
+    start = F.col("before") + F.char_length("word") - F.char_length(left)
+    span = F.named_struct(F.lit("start"), start, F.lit("kind"), F.lit(4), F.lit("end"), start + F.char_length(core))
+    return each.filter(core.rlike(OTHER)).groupBy("_doc", "_key").agg(F.collect_set(span).cast(SPAN).alias("context"))
 
 
 def with_personal_data(
@@ -160,25 +201,22 @@ def with_personal_data(
 ) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, n_context, base_sha256, spans for every row.
 
-    ``context`` spans are tokens with a digit after a word that has at least ``support`` different seeds and at least
+    ``context`` spans are tokens, other than plain words (letters only), after a word that has at least ``support`` different personal values and at least
     ``confidence`` as its score. Spans are kind:start:end in code points, end exclusive, by start
     and then by kind. A missing or empty text has none. Repeated rows stay, each with the same
     result; rows without an id are kept. An empty table gives no rows.
     """
+    source = _rows(docs, id_col, text_col)
     found = checkpointed(read(docs, id_col, text_col))
-    tokens = found.filter(F.size("tokens") > 0).select("doc_id", "key", F.explode("tokens").alias("t")).select("doc_id", "key", "t.*")
-    tokens = tokens.filter("pattern <> '' AND value <> ''")
-    good = scored_patterns(tokens, rounds).filter((F.col("score") >= confidence) & (F.col("seeds") >= support)).select("pattern")
-    context = F.named_struct(F.lit("start"), F.col("start"), F.lit("kind"), F.lit(4), F.lit("end"), F.col("end"))
-    more = (
-        tokens.filter(~F.col("seed")).join(good, "pattern", "left_semi").groupBy("doc_id", "key")
-        .agg(F.collect_set(context).cast(SPAN).alias("context"))
-        .select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key"), "context")
-    )
+    seeds = found.filter(F.size("seeds") > 0).selectExpr("inline(seeds)").filter((F.col("pattern") != "") & F.col("value").rlike(OTHER))
+    more = _context(source, good_patterns(source, seeds, confidence, support))
     rows = found.select("doc_id", "key", "base").join(
         more, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("key") == F.col("_key")), "left"
     )
-    context = F.coalesce("context", F.array().cast(SPAN))
+    context = F.filter(
+        F.coalesce("context", F.array().cast(SPAN)),
+        lambda c: ~F.exists("base", lambda s: (s["start"] < c["end"]) & (s["end"] > c["start"])),
+    )
     return rows.select(
         "doc_id", *(_number(kind).alias(f"n_{name}") for kind, name in enumerate(KINDS[:4])), F.size(context).cast("bigint").alias("n_context"),
         F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(F.concat("base", context)).alias("spans"),

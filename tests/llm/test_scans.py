@@ -129,6 +129,18 @@ def test_contexts_of_seeds_find_unseen_identifiers(spark):
     assert sorted(found) == [(20, "context:17:28", 1)] * 2 + [(21, "", 0), (22, "", 0)]
 
 
+def test_contexts_need_no_digit(spark):
+    names = "ann bob cid dora eve fay gus hal ida joe kim lea".split()
+    rows = [(i, f"\u2003é please contact: {n}.doe@example.com soon") for i, n in enumerate(names)]
+    rows += [(20, "\tx contact:\n (jane.doe(at)example), now contact: max-doe"), (21, "see jane soon"), (22, "contact:"), (23, "contact: \U0001f600 contact: ann.doe@example.com")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = {r.doc_id: (r.spans, r.n_context) for r in pii.with_personal_data(docs).collect()}
+    text = rows[12][1]
+    a, b = text.index("jane"), text.index("max")
+    assert found[20] == (f"context:{a}:{a + len('jane.doe(at)example')},context:{b}:{b + 7}", 2)
+    assert [found[i][1] for i in range(12)] == [0] * 12 and found[21] == found[22] == ("", 0) and found[23][1] == 0
+
+
 def test_personal_data_is_native(messy):
     plan = pii.read(messy)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
