@@ -3,11 +3,11 @@
 Seeds are the tokens that a base pattern covers, with or without a digit. The word before a token is its lexical
 pattern. Patterns and token values form a bipartite graph; a pattern scores by the share
 of its distinct values that are personal. All tokens after patterns of high confidence that no base pattern
-knows are reported as further spans.
+knows are reported as further spans, and count as seeds of the next round, wherever they are.
 
-One pass over the texts writes spans and seeds to the shared folder. A second reads the tokens after the patterns that
-have enough seeds, a third finds the tokens after the patterns that scored high, and only documents with such are
-read once more for the places. So the part of the graph that no seed touches is never shuffled.
+One pass over the texts writes spans and seeds to the shared folder. Each round reads the tokens after the patterns that
+have enough seeds and, if it finds new values, the words before those. A last pass finds the tokens after the patterns
+that scored high, and documents with such are read once more for the places. So the part of the graph that no seed touches is never shuffled.
 """
 
 from __future__ import annotations
@@ -153,23 +153,47 @@ def _small(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= FEW else table
 
 
-def _edges(rows: DataFrame, patterns: DataFrame) -> DataFrame:
-    """The distinct (pattern, value) of all tokens after some patterns; plain words are no values."""
-    after = _pairs(rows).join(_small(patterns), "pattern", "left_semi")
-    return after.select("pattern", F.regexp_extract("word", CORE, 0).alias("value")).filter(F.col("value").rlike(OTHER)).distinct()
+def _edges(rows: DataFrame, side: str, wanted: DataFrame) -> DataFrame:
+    """The distinct (pattern, value) of all tokens whose ``side`` is wanted; plain words are no values."""
+    pairs = _pairs(rows)
+    if side == "pattern":
+        pairs = pairs.join(_small(wanted), "pattern", "left_semi")
+    values = pairs.filter(F.col("word").rlike(OTHER)).select("pattern", F.regexp_extract("word", CORE, 0).alias("value"))
+    if side == "value":
+        values = values.join(_small(wanted), "value", "left_semi")
+    return values.filter((F.col("pattern") != "") & F.col("value").rlike(OTHER)).distinct()
 
 
-def good_patterns(rows: DataFrame, seeds: DataFrame, confidence: float, support: int, prior: float = 1.0) -> DataFrame:
+def good_patterns(
+    rows: DataFrame, seeds: DataFrame, rounds: int, confidence: float, support: int, prior: float = 1.0
+) -> DataFrame:
     """(pattern): words with ``support`` different personal values after them, which are ``confidence`` of all.
 
-    The share is the number of distinct personal values over the number of distinct values plus ``prior``.
+    The share is the number of distinct personal values over the number of distinct values plus ``prior``. After each
+    round but the last the values that good patterns found are personal too, if good patterns are at
+    least ``1 - confidence`` of all words before them: a value that most contexts share says nothing.
     """
     personal = checkpointed(seeds.distinct())
-    # A pattern with less support cannot be good; its other values need not be read.
-    supported = checkpointed(personal.groupBy("pattern").agg(F.count("*").alias("n")).filter(F.col("n") >= support))
-    totals = _edges(rows, supported.select("pattern")).groupBy("pattern").agg(F.count("*").alias("values"))
-    score = F.col("n") / (F.col("values") + prior)
-    return checkpointed(supported.join(totals, "pattern").filter(score >= confidence).select("pattern"))
+    good = None
+    for turn in range(max(1, rounds)):
+        # A pattern with less support cannot be good; its other values need not be read.
+        supported = checkpointed(personal.groupBy("pattern").agg(F.count("*").alias("n")).filter(F.col("n") >= support))
+        edges = checkpointed(_edges(rows, "pattern", supported.select("pattern")))
+        totals = edges.groupBy("pattern").agg(F.count("*").alias("values"))
+        score = F.col("n") / (F.col("values") + prior)
+        good = checkpointed(supported.join(totals, "pattern").filter(score >= confidence).select("pattern"))
+        if turn + 1 >= rounds:
+            break
+        found = checkpointed(edges.join(good, "pattern", "left_semi").join(personal, ["pattern", "value"], "left_anti").select("value").distinct())
+        if found.isEmpty():
+            break
+        around = checkpointed(_edges(rows, "value", found))
+        share = around.join(good.withColumn("good", F.lit(1)), "pattern", "left").groupBy("value").agg((F.count("good") / F.count("*")).alias("share"))
+        promoted = around.join(share.filter(F.col("share") >= 1 - confidence).select("value"), "value", "left_semi")
+        before, personal = personal.count(), checkpointed(personal.union(promoted.select("pattern", "value")).distinct())
+        if personal.count() == before:
+            break
+    return good
 
 
 def _context(rows: DataFrame, good: DataFrame) -> DataFrame:
@@ -209,7 +233,7 @@ def with_personal_data(
     source = _rows(docs, id_col, text_col)
     found = checkpointed(read(docs, id_col, text_col))
     seeds = found.filter(F.size("seeds") > 0).selectExpr("inline(seeds)").filter((F.col("pattern") != "") & F.col("value").rlike(OTHER))
-    more = _context(source, good_patterns(source, seeds, confidence, support))
+    more = _context(source, good_patterns(source, seeds, rounds, confidence, support))
     rows = found.select("doc_id", "key", "base").join(
         more, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("key") == F.col("_key")), "left"
     )

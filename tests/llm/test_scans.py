@@ -141,6 +141,17 @@ def test_contexts_need_no_digit(spark):
     assert [found[i][1] for i in range(12)] == [0] * 12 and found[21] == found[22] == ("", 0) and found[23][1] == 0
 
 
+def test_found_values_are_seeds_of_the_next_round(spark):
+    rows = [(i, f"contact: p{i}x@mail.example.com soon") for i in range(60)]
+    rows += [(100 + i, f"contact: u{i}/box please, else reach: u{i}/box now") for i in range(10)]
+    rows += [(200, "reach: other#17 today"), (201, "see: other#18 today")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = {r.doc_id: r.spans for r in pii.with_personal_data(docs).collect()}
+    assert found[200] == "context:7:15" and found[201] == ""
+    assert all(found[100 + i].count("context") == 2 for i in range(10))
+    assert {r.doc_id: r.spans for r in pii.with_personal_data(docs, rounds=1).collect()}[200] == ""
+
+
 def test_personal_data_is_native(messy):
     plan = pii.read(messy)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
