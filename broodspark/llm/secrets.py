@@ -27,9 +27,14 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 #: Words of which one must be in the text, in lower case, for an assignment.
 HINTS = ("passw", "secret", "token", "api_key", "apikey")
 #: Weak parts.
-ENDPOINT = re.compile(r"(?a:\b(?:[a-z][a-z0-9+.-]{1,20}://[^\s\"'<>]{4,}|(?:[a-z0-9-]{1,63}\.){2,8}(?:com|net|org|io|dev|cloud)(?::[0-9]{2,5})?\b))")
-ENDPOINT_HINTS = ("://", ".com", ".net", ".org", ".io", ".dev", ".cloud")
-RANDOM = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,128}(?![A-Za-z0-9+/_=-])")
+#: URLs, hosts with a port, IPv4 addresses, and hosts of three labels or more, in either case.
+ENDPOINT = re.compile(
+    r"(?ai:\b[a-z][a-z0-9+.-]{1,20}://[^\s\"'<>]{4,}"
+    r"|(?<![a-z0-9.-])(?=[0-9.-]*[a-z])[a-z0-9.-]++:[0-9]{2,5}(?![0-9])"
+    r"|(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?::[0-9]{1,5})?(?![0-9]|\.[0-9])"
+    r"|(?<![a-z0-9-])(?:[a-z0-9-]{1,63}\.){2,126}[a-z]{2,63}(?![a-z0-9-]))"
+)
+RANDOM = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+")
 
 KINDS = ("assign", "access", "hex", "random", "endpoint")
 #: What must meet a weak part: one kind of each group.
@@ -56,7 +61,7 @@ def _bits(value: str) -> float:
 
 def weak(text: str, base: list[Span]) -> list[Span]:
     """Endpoints, and random strings outside the strong findings."""
-    found = [(m.start(), 4, m.end()) for m in ENDPOINT.finditer(text)] if any(h in text for h in ENDPOINT_HINTS) else []
+    found = [(m.start(), 4, m.end()) for m in ENDPOINT.finditer(text)] if "." in text or ":" in text else []
     if found or any(kind == 1 for _, kind, _ in base):
         starts, ends = [s for s, _, _ in base], []
         for _, _, end in base:

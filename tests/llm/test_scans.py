@@ -93,6 +93,16 @@ def test_weak_parts_need_their_complement(spark):
     assert kinds == [[], [], ["random"], [], ["random"], [], ["random", "endpoint"], ["endpoint"], []]
 
 
+def test_long_secrets_and_all_endpoints():
+    key, value = "AKIA" + "B7" * 8, "q9Zr+Tt7Lw/Xk2Pv8Ns4Jd"
+    hosts = ["example.com:5432", "db.example.de", "10.0.0.5:5432", "10.0.0.5", "HTTPS://API.X.COM", "..api.example.com.", "localhost:8080"]
+    for text in [f"{h} {v}" for h in hosts for v in (value, value * 6, value * 40)] + [f"{key} {value * 6}"]:
+        found = secrets.linked(secrets.strong(text), secrets.weak(text, secrets.strong(text)), 200)
+        assert [(text[a:b], k) for a, k, b in found] == [(text.split()[1], 3)], text
+    for text in (value * 6, f"12:30 {value}", f"1.2.3 {value}", f"300.1.1.1 {value}"):
+        assert not secrets.linked([], secrets.weak(text, []), 200)
+
+
 def test_links_against_all_pairs():
     draw = random.Random(2)
     for _ in range(300):
