@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from broodspark.llm import decontaminate, exact_dedup, language, packing, pii, quality, secrets, simhash, suffix_dedup, toxicity
+from broodspark.llm import (
+    byte_bpe,
+    conversations,
+    decontaminate,
+    exact_dedup,
+    language,
+    packing,
+    periodic,
+    pii,
+    quality,
+    secrets,
+    simhash,
+    suffix_dedup,
+    toxicity,
+)
 from broodspark.llm.common import documents, fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,3 +124,36 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = suffix_dedup.with_kept_bytes(documents(spark, sf_dir), length=50)
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = token_files()[1]
+    docs = byte_bpe.with_ids(documents(spark, sf_dir).select("doc_id", "text"), vocabulary).drop("text")
+    return byte_bpe.with_decoded(docs, vocabulary).select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic.with_repeated_tails(documents(spark, sf_dir).select("doc_id", "text"))
+    runs = F.col("periodic")["runs"]
+    lines = F.transform(runs, lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return (
+        periodic.with_runs(docs)
+        .withColumn("most", periodic.longest(runs))
+        .select(
+            "doc_id", F.size(runs).cast("bigint").alias("n_runs"), "most.start", "most.length", "most.period",
+            F.floor(F.col("most")["length"] * 1000 / F.col("most")["period"]).cast("bigint").alias("exponent_milli"),
+            F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2(F.col("periodic")["collapsed"], 256).alias("collapsed_sha256"),
+        )
+    )
+
+
+@query
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    talks = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    repaired = conversations.repaired(conversations.with_damage(talks))
+    return conversations.with_all(repaired, talks)
