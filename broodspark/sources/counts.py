@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import csv
+import re
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,7 +18,7 @@ from broodspark.schema import COUNTS_SCHEMA, REQUIRED_COUNTS
 CSV_OPTIONS = {
     "header": True,
     "nullValue": "NA",
-    # Each file's header must match; a moved column fails instead of being misread.
+    # Each file's header must be that of its group; a file that changes in between fails instead of being misread.
     "enforceSchema": False,
     "mode": "FAILFAST",
     "recursiveFileLookup": True,
@@ -26,6 +32,32 @@ def folder_of(path: Column | str = "_metadata.file_path") -> Column:
     return F.url_decode(F.replace(F.regexp_extract(path, FOLDER, 1), F.lit("+"), F.lit("%2B")))
 
 
+def file_headers(spark: SparkSession, path: str | list[str], pattern: str = "*.csv") -> dict[str, tuple[str, ...]]:
+    """The column names of every file below ``path``, by its path; files without a line are left out.
+
+    Only the first line of a file is read. The driver has the listing anyway; it opens the files side by side.
+    """
+    listing = spark.read.format("binaryFile").options(recursiveFileLookup=True, pathGlobFilter=pattern).load(path)
+    files = [unquote(uri) for uri in listing.inputFiles()]
+    java, context = spark.sparkContext._jvm, spark.sparkContext._jsc
+    conf = context.hadoopConfiguration()
+    codecs = java.org.apache.hadoop.io.compress.CompressionCodecFactory(conf)
+
+    def first_line(file: str) -> str | None:
+        place = java.org.apache.hadoop.fs.Path(file)
+        stream = place.getFileSystem(conf).open(place)
+        try:
+            codec = codecs.getCodec(place)
+            source = codec.createInputStream(stream) if codec else stream
+            return java.java.io.BufferedReader(java.java.io.InputStreamReader(source, "UTF-8")).readLine()
+        finally:
+            stream.close()
+
+    with ThreadPoolExecutor(16) as pool:
+        lines = dict(zip(files, pool.map(first_line, files), strict=True))
+    return {f: tuple(next(csv.reader([line.removeprefix("\ufeff")]), ())) for f, line in lines.items() if line}
+
+
 def read_counts(
     spark: SparkSession,
     path: str | list[str],
@@ -36,20 +68,37 @@ def read_counts(
     """Scan every CSV below ``path`` as one table with a ``scenario`` column.
 
     The scenario is the name of the file's folder, or ``scenario`` if given (a healthy
-    baseline, say). Column order is taken from the header, types from the counts schema;
-    no data is read to infer them.
+    baseline, say). Columns go by their names: files may hold them in another order, and a column that a file
+    lacks is NULL in its rows, unless it is one that the daily step needs. There is one scan per header.
+    Types come from the counts schema; no data is read to infer them.
     """
-    reader = spark.read.options(**CSV_OPTIONS, pathGlobFilter=pattern)
-    header = reader.csv(path).columns
-    missing = sorted(set(REQUIRED_COUNTS) - set(header))
-    if missing:
-        raise ValueError(f"{path} lacks the columns: {', '.join(missing)}")
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for file, header in file_headers(spark, path, pattern).items():
+        groups.setdefault(header, []).append(file)
+    if not groups:
+        raise ValueError(f"{path} has no file {pattern} with a header")
+    for header, files in groups.items():
+        if missing := sorted(set(REQUIRED_COUNTS) - set(header)):
+            raise ValueError(f"{min(files)} lacks the columns: {', '.join(missing)}")
+        if len({c.lower() for c in header}) < len(header):
+            raise ValueError(f"{min(files)} names a column twice")
+    # Columns in the order of the first file.
+    order = sorted(groups, key=lambda h: min(groups[h]))
+    scans = [_scan(spark, h, path if len(groups) == 1 else [_literal(f) for f in groups[h]], scenario, pattern) for h in order]
+    counts = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), scans)
+    return counts.withColumn("run_kind", F.lit(run_kind)) if run_kind else counts
+
+
+def _literal(path: str) -> str:
+    """A path that stands for itself where patterns are allowed."""
+    return re.sub(r"([\\{}\[\]*?^])", r"\\\1", path)
+
+
+def _scan(spark: SparkSession, header: tuple[str, ...], path: str | list[str], scenario: str | None, pattern: str) -> DataFrame:
     known = {field.name: field.dataType for field in COUNTS_SCHEMA.fields}
     schema = T.StructType([T.StructField(n, known.get(n, T.StringType())) for n in header])
     reader = spark.read.schema(schema).options(**CSV_OPTIONS, pathGlobFilter=pattern)
-    identity = F.lit(scenario) if scenario else folder_of()
-    counts = reader.csv(path).select("*", identity.alias("scenario"))
-    return counts.withColumn("run_kind", F.lit(run_kind)) if run_kind else counts
+    return reader.csv(path).select("*", (F.lit(scenario) if scenario else folder_of()).alias("scenario"))
 
 
 def parent_of(path: str) -> str:

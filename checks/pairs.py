@@ -127,6 +127,23 @@ def tree(spark: SparkSession, sf: str) -> DataFrame:
 same("s01_csv_tree_scan", tree, "panel", f"{KEY} {RAW_INTS}", RAW_DOUBLES)
 
 
+@query(
+    "s01_three_headers",
+    f"SELECT {cols(f'{KEY} {RAW_INTS}')}, " + ", ".join(
+        f"round(CASE WHEN CAST(scenario AS INTEGER) % 3 = 2 THEN NULL ELSE {c} END, 6) AS {c}" if c in ("beta", "recovery")
+        else rounded(c) for c in RAW_DOUBLES.split()
+    ) + " FROM panel",
+)
+def s01_three_headers(spark, sf):
+    # One tree: columns as they are, columns in reverse order, and two columns absent.
+    path, whole = shared_dir(spark, "counts"), counts(spark, sf)
+    third = F.col("scenario").cast("int") % 3
+    kinds = [whole, whole.select(whole.columns[::-1]), whole.drop("beta", "recovery")]
+    for number, rows in enumerate(kinds):
+        sinks.by_scenario(rows.filter(third == number)).write.mode("append").options(header=True, nullValue="NA").partitionBy("scenario").csv(path)
+    return pick(counts_source.read_counts(spark, path), f"{KEY} {RAW_INTS}", RAW_DOUBLES)
+
+
 @query(
     "s02_sensitivity_tree_scan",
     f"SELECT {cols(f'{KEY} {RAW_INTS}', RAW_DOUBLES)}, 'sens' AS run_kind FROM panel",

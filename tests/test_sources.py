@@ -58,15 +58,44 @@ def test_ordinal_follows_name_order(spark, tmp_path):
     assert found == {"1": 1, "10": 2, "2": 3}
 
 
-def test_missing_columns_and_unequal_headers_fail(spark, tmp_path):
+def test_a_missing_column_fails(spark, tmp_path):
     rows = counts(spark, flock(2)).drop("scenario")
-    sinks.write_csv(rows.drop("RL"), str(tmp_path / "bad" / "1"))
-    with pytest.raises(ValueError, match="RL"):
+    sinks.write_csv(rows, str(tmp_path / "bad" / "1"))
+    sinks.write_csv(rows.drop("RL"), str(tmp_path / "bad" / "2"))
+    with pytest.raises(ValueError, match=r"bad/2.* lacks the columns: RL"):
         counts_source.read_counts(spark, str(tmp_path / "bad"))
-    sinks.write_csv(rows, str(tmp_path / "mixed" / "1"))
-    sinks.write_csv(rows.select(rows.columns[::-1]), str(tmp_path / "mixed" / "2"))
-    with pytest.raises(Exception, match="(?i)header"):
-        counts_source.read_counts(spark, str(tmp_path / "mixed")).collect()
+    (tmp_path / "empty" / "1").mkdir(parents=True)
+    (tmp_path / "empty" / "1" / "a.csv").write_text("")
+    with pytest.raises(ValueError, match="no file"):
+        counts_source.read_counts(spark, str(tmp_path / "empty"))
+    (tmp_path / "empty" / "1" / "b.csv").write_text(",".join([*rows.columns, "rl"]) + "\n")
+    with pytest.raises(ValueError, match="twice"):
+        counts_source.read_counts(spark, str(tmp_path / "empty"))
+
+
+def test_columns_go_by_name_in_every_file(spark, panel, tmp_path):
+    """Three headers in one tree, two of them in one folder, in folders whose names are patterns."""
+    optional = ["mortality_B", "beta", "percentage_prevalence"]
+    whole = panel.drop("scenario")
+    parts = {s: whole.filter(panel.scenario == s) for s in ("0", "1", "2")}
+    sinks.write_csv(parts["0"], str(tmp_path / "tree" / "a[1]"))
+    sinks.write_csv(parts["1"].select(whole.columns[::-1]), str(tmp_path / "tree" / "b{x}*"))
+    sinks.write_csv(parts["2"].drop(*optional).withColumn("more", F.lit("x")), str(tmp_path / "more"))
+    file = next((tmp_path / "more").glob("*.csv"))
+    file.rename(tmp_path / "tree" / "a[1]" / "z.csv")
+    (tmp_path / "tree" / "a[1]" / "nothing.csv").write_text("")
+    read = counts_source.read_counts(spark, str(tmp_path / "tree"))
+    assert read.columns == [*whole.columns, "scenario", "more"]
+    lacking = parts["2"].withColumns({c: F.lit(None).cast(whole.schema[c].dataType) for c in optional})
+    first = read.filter("scenario = 'a[1]'")
+    assert same_rows(first.filter("more IS NULL").select(whole.columns), parts["0"])
+    assert same_rows(first.filter("more = 'x'").select(whole.columns), lacking)
+    assert same_rows(read.filter("scenario = 'b{x}*'").select(whole.columns), parts["1"])
+
+
+def test_one_header_is_one_scan(spark, panel, tmp_path):
+    sinks.write_counts_tree(panel, str(tmp_path / "tree"))
+    assert plan_of(counts_source.read_counts(spark, str(tmp_path / "tree"))).count("FileScan csv") == 1
 
 
 def test_bad_number_fails(spark, tmp_path):
