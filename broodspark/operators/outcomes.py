@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from broodspark.functions.frames import derive, named, whole_flock
@@ -239,8 +239,14 @@ def default_scenario(df: DataFrame, parameters: dict[str, float] | None = None)
     return df
 
 
-def without_introduction_time(df: DataFrame, day: int = 7) -> DataFrame:
-    """Leave out the scenarios whose virus introduction is on ``day``; a missing day is an error."""
+def without_introduction_time(df: DataFrame, day: int = 7, left_out: Observation | None = None) -> DataFrame:
+    """Leave out the scenarios whose virus introduction is on ``day``; a missing day is an error.
+
+    The rows go one by one. ``left_out`` observes, in the pass that reads them, which scenarios lost rows
+    (``quality.partly_left_out`` says whether one of them kept some); there are as many names as folders.
+    """
     time = F.col("introduction_time")
     missing = F.raise_error(F.lit("introduction_time is missing"))
+    if left_out is not None:
+        df = df.observe(left_out, F.collect_set(F.when(time == day, F.col("scenario"))).alias("scenarios"))
     return df.filter(F.when(time.isNull(), missing).otherwise(time != day))

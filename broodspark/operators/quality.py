@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from broodspark.functions.frames import by_day, derive
@@ -143,6 +143,16 @@ def varying_inputs(panel: DataFrame, inputs: list[str] = SCENARIO_INPUTS) -> Dat
     return spread.filter((F.col("lowest") != F.col("highest")) | partly).drop("_rows")
 
 
+def partly_left_out(kept: DataFrame, left_out: Observation) -> DataFrame:
+    """(scenario): those that a filter by scenario split, from the rows it kept and what it observed.
+
+    The frame that was observed must have been written before; ``kept`` is what was written.
+    """
+    names = [(name,) for name in left_out.get["scenarios"]]
+    lost = kept.sparkSession.createDataFrame(names, "scenario string")
+    return kept.select("scenario").distinct().join(lost, "scenario", "left_semi")
+
+
 def column_presence(df: DataFrame, required: list[str]) -> DataFrame:
     """Per required column: whether it is there and how many rows have a value."""
     counts = df.agg(

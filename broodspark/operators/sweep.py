@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from broodspark.functions.frames import derive
 from broodspark.functions.small import SMALL_ROWS, literal_table
 from broodspark.operators import daily as daily_ops
+from broodspark.operators import grids
 from broodspark.operators import outcomes as outcome_ops
 from broodspark.operators import summary as summary_ops
 from broodspark.operators.outcomes import Economics
@@ -127,21 +128,74 @@ def simulator_sweep(
     return summary_ops.per_scenario(outcome_ops.per_simulation(daily, prices), na_rm)
 
 
-def name_runs(simulator: DataFrame, ordinals: DataFrame, grid: DataFrame) -> DataFrame:
-    """Adds ``run``, and what the run varies: ``varied_param`` and ``varied_value``.
+# Inputs of a run that tell what it varies, and the columns that its default follows from.
+RUN_INPUTS = [
+    "beta", "recovery", "prop_clinical", "mortality_I", "mortality_B", "time_before_reduced_growth",
+    "duration_reduced_growth", "t_until_bact_inf", "length_B",
+]
+RUN_BASE = ["vaccination_scenario", "prop_bact_factor"]
+# How a varied parameter of the grid shows in the inputs of a run (``d_`` is the default); others are inputs themselves.
+SHOWS_AS = {
+    "beta_factor": "beta / nullif(d_beta, 0)",
+    "recovery_factor": "recovery / nullif(d_recovery, 0)",
+    "prop_clinical_base": f"prop_clinical - d_prop_clinical + {grids.PROP_CLINICAL_BASE}D",
+}
+UNVARIED = {"beta_factor": "1D", "recovery_factor": "1D", "prop_clinical_base": f"{grids.PROP_CLINICAL_BASE}D"}
+# Values are the same if they agree to nine digits; they went through text and through products.
+SAME = "%.8e"
 
-    ``run`` is the position of the folder in name order (``counts.scenario_ordinals``), whatever its
-    name is. A folder whose name is a number is that row of the one-at-a-time grid; other folders are
-    taken in their order. Both tables have one row per run.
+
+def run_inputs(runs: DataFrame) -> DataFrame:
+    """One row per run: its inputs, and ``problem`` where they vary or are missing in it."""
+    names = [*RUN_INPUTS, *RUN_BASE]
+    absent = [c for c in names if c not in runs.columns]
+    runs = derive(runs, **{c: "CAST(NULL AS DOUBLE)" for c in absent})
+    varies = " OR ".join(f"min({c}) <> max({c}) OR count({c}) NOT IN (0, count(1))" for c in names)
+    missing = " OR ".join(f"min({c}) IS NULL" for c in names)
+    problem = f"CASE WHEN {varies} THEN 'inputs vary within the run' WHEN {missing} THEN 'an input is missing' END"
+    return runs.groupBy("scenario").agg(*[F.expr(f"CAST(min({c}) AS DOUBLE) AS {c}") for c in names], F.expr(problem).alias("problem"))
+
+
+def run_labels(runs: DataFrame, grid: DataFrame) -> DataFrame:
+    """(scenario, varied_param, varied_value, problem): what each run varies, from its inputs and not from its name.
+
+    The inputs of a run are compared with the defaults of its own vaccination scenario. If just one of them differs and its value is
+    in the one-at-a-time grid, that row names it; otherwise both names are NULL and ``problem`` says why. ``runs`` needs
+    any rows of each run, one file each will do. One row per run is joined with the grid by value.
     """
-    numbered = ordinals.select("scenario", F.col("ordinal").alias("run")).withColumn(
-        "_folder", F.coalesce(F.col("scenario").try_cast("int"), F.col("run"))
+    found = run_inputs(runs)
+    default = grids.derive_parameters(found.select("scenario", *RUN_BASE), given=[]).select(
+        "scenario", *[F.col(c).cast("double").alias(f"d_{c}") for c in RUN_INPUTS]
+    )
+    shown = {c: SHOWS_AS.get(c, c) for c in grids.VARIATIONS}
+    usual = {c: UNVARIED.get(c, f"d_{c}") for c in grids.VARIATIONS}
+    text = {c: f"format_string('{SAME}', CAST({v} AS DOUBLE))" for c, v in shown.items()}
+    changes = ", ".join(
+        f"IF({text[c]} <> format_string('{SAME}', CAST({usual[c]} AS DOUBLE)), struct('{c}' AS varied_param, {text[c]} AS _value), NULL)"
+        for c in shown
     )
-    varied = grid.select(
-        F.col("folder").alias("_folder"), "varied_param", F.col("varied_value").cast("string").alias("varied_value")
+    compared = derive(found.join(default, "scenario"), _changes=f"array_compact(array({changes}))")
+    one = derive(compared, _one="IF(problem IS NULL AND size(_changes) = 1, _changes[0], NULL)")
+    known = grid.select(
+        F.col("varied_param").alias("_grid_param"), F.format_string(SAME, F.col("varied_value").cast("double")).alias("_grid_value"),
+        F.col("varied_value").cast("string").alias("varied_value"),
     )
-    known = numbered.join(varied, "_folder", "left").drop("_folder")
-    return simulator.join(known, "scenario", "left")
+    joined = one.join(known, (F.col("_one.varied_param") == F.col("_grid_param")) & (F.col("_one._value") == F.col("_grid_value")), "left")
+    return joined.selectExpr(
+        "scenario", "_grid_param AS varied_param", "varied_value",
+        """CASE WHEN problem IS NOT NULL THEN problem WHEN size(_changes) = 0 THEN 'nothing varies'
+           WHEN size(_changes) > 1 THEN 'several inputs vary' WHEN _grid_param IS NULL THEN 'not in the grid' END AS problem""",
+    )
+
+
+def name_runs(simulator: DataFrame, ordinals: DataFrame, labels: DataFrame) -> DataFrame:
+    """Adds ``run``, and what the run varies: ``varied_param`` and ``varied_value``.
+
+    ``run`` is the position of the folder in name order (``counts.scenario_ordinals``), whatever its
+    name is; ``labels`` comes from ``run_labels``. All tables have one row per run.
+    """
+    numbered = ordinals.select("scenario", F.col("ordinal").alias("run"))
+    return simulator.join(numbered, "scenario", "left").join(labels.drop("problem"), "scenario", "left")
 
 
 def continue_numbering(economic: DataFrame, simulator_runs: int) -> DataFrame:

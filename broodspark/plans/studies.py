@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from broodspark.functions.small import literal_table
@@ -74,6 +74,7 @@ def _write_grains(
     prices: Economics,
     growth: str,
     fmt: str,
+    left_out: Observation | None = None,
 ) -> dict[str, DataFrame]:
     spark = counts.sparkSession
 
@@ -87,9 +88,11 @@ def _write_grains(
     path = f"{output_dir}/{GRAINS['days']}/run_date={run_date}"
     table = sinks.save_bucketed(days, f"days_{uuid.uuid4().hex}", path, int(spark.conf.get("spark.sql.shuffle.partitions")))
     days = spark.table(table)
-    varying = quality.varying_inputs(days).take(20)
+    varying = [(r["input"], r["scenario"]) for r in quality.varying_inputs(days).take(20)]
+    if left_out is not None:
+        varying += [("introduction_time", r["scenario"]) for r in quality.partly_left_out(days, left_out).take(20)]
     if varying:
-        raise ValueError("; ".join(f"{r['input']} varies within scenario {r['scenario']}" for r in varying))
+        raise ValueError("; ".join(f"{name} varies within scenario {scenario}" for name, scenario in sorted(set(varying))))
     if fmt != "parquet":
         sinks.write_result(days, f"{output_dir}/{GRAINS['days']}_{fmt}", run_date, fmt)
     simulations = stored(outcome_ops.per_simulation(days, prices), "simulations")
@@ -112,11 +115,12 @@ def compare_scenarios(
 
     Also returns ``check``: how many scenarios, whether their rounds agree, values used.
     """
+    left_out = Observation("left_out")
     counts = outcome_ops.without_introduction_time(
-        counts_source.read_counts(spark, input_dir), skip_introduction
+        counts_source.read_counts(spark, input_dir), skip_introduction, left_out
     )
     production = production_source.read_production(spark, production_path)
-    tables = _write_grains(counts, production, output_dir, run_date, prices, growth, fmt)
+    tables = _write_grains(counts, production, output_dir, run_date, prices, growth, fmt, left_out)
     return tables | {"check": summary_ops.check(tables["summary"])}
 
 
@@ -136,6 +140,13 @@ def healthy_baseline(
     return _write_grains(counts, production, output_dir, run_date, prices, growth, fmt)
 
 
+def smallest_files(spark: SparkSession, path: str) -> dict[str, str]:
+    """One file of each scenario folder, the smallest; one path per folder, as many as the grid has rows."""
+    files = counts_source.list_files(spark, path)
+    one = files.groupBy("scenario").agg(F.min_by("path", F.struct("length", "path")).alias("path"))
+    return {r["scenario"]: r["path"] for r in one.collect()}
+
+
 def only_default(counts: DataFrame) -> str:
     """The name of the default scenario; none or several matching scenarios is an error."""
     chosen = outcome_ops.default_scenario(counts)
@@ -152,9 +163,7 @@ def default_runs(spark: SparkSession, scenario_dir: str) -> DataFrame:
     is read to find it; the other folders are not parsed. That the inputs do not vary is then checked on
     the folder itself.
     """
-    files = counts_source.list_files(spark, scenario_dir)
-    # One path per scenario folder, as many as the grid has rows.
-    folders = {r["scenario"]: r["path"] for r in files.groupBy("scenario").agg(F.min_by("path", F.struct("length", "path")).alias("path")).collect()}
+    folders = smallest_files(spark, scenario_dir)
     name = only_default(counts_source.read_counts(spark, list(folders.values())))
     chosen = counts_source.read_counts(spark, counts_source.parent_of(folders[name]))
     varying = quality.varying_inputs(chosen, list(outcome_ops.DEFAULT_SCENARIO)).collect()
@@ -180,19 +189,21 @@ def sensitivity(
     """Summary rows of the simulator sensitivity runs and of the economic variations.
 
     The economic part varies prices and growth (``variations``) around ``prices`` and ``growth`` in the default scenario of
-    ``scenario_dir``. Runs are numbered on from one part to the other; ``grid`` says what each simulator
-    run varies (the one-at-a-time grid if none is given). How the simulator runs agree in
-    their rounds and inputs is in ``sensitivity_check``.
+    ``scenario_dir``. Runs are numbered on from one part to the other. What a simulator run varies is read off its inputs, in one
+    file of each folder, by the values of ``grid`` (the one-at-a-time grid if none is given); runs without a name are
+    listed in ``sens_label_problems``. How the simulator runs agree in their rounds and inputs is in ``sensitivity_check``.
     """
     rows = sweep.economic_rows(prices, growth, variations)
     check_prices(spark, rows)
     production = production_source.read_production(spark, production_path)
     runs = counts_source.read_counts(spark, sensitivity_dir)
     ordinals = counts_source.scenario_ordinals(counts_source.list_files(spark, sensitivity_dir))
-    named_runs = sweep.name_runs(
-        sweep.simulator_sweep(runs, production, growth, prices=prices), ordinals,
+    labels = sweep.run_labels(
+        counts_source.read_counts(spark, list(smallest_files(spark, sensitivity_dir).values())),
         grids.oat_grid(spark) if grid is None else grid,
     )
+    sinks.write_result(labels.filter("problem IS NOT NULL"), f"{output_dir}/sens_label_problems", run_date, fmt)
+    named_runs = sweep.name_runs(sweep.simulator_sweep(runs, production, growth, prices=prices), ordinals, labels)
     both = sweep.combined_sensitivity(
         named_runs,
         sweep.economic_sweep(default_runs(spark, scenario_dir), production, rows, as_written=as_written),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from broodspark.functions.frames import by_day, derive, named, so_far, whole_flock
@@ -356,6 +356,23 @@ same(
     "FROM panel) WHERE introduction_time <> 7",
     f"{KEY} step introduction_time P",
 )
+
+
+@query(
+    "f01_scenarios_partly_left_out",
+    "SELECT scenario FROM (SELECT scenario, 7 * (1 + (CAST(scenario AS INTEGER) % 3 + CASE WHEN simu_id % 5 < CAST(scenario AS INTEGER) % 2 "
+    "THEN 1 ELSE 0 END) % 4) AS introduction_time FROM panel) GROUP BY scenario "
+    "HAVING count(*) FILTER (introduction_time = 7) > 0 AND count(*) FILTER (introduction_time <> 7) > 0",
+)
+def f01_partly(spark, sf):
+    # In odd scenarios a fifth of the flocks has the next day: scenario 3 is split, 0 goes as a whole.
+    later = "7 * (1 + (CAST(scenario AS INT) % 3 + IF(simu_id % 5 < CAST(scenario AS INT) % 2, 1, 0)) % 4)"
+    left_out, path = Observation("left_out"), shared_dir(spark, "kept")
+    mixed = counts(spark, sf).withColumn("introduction_time", F.expr(later))
+    outcomes.without_introduction_time(mixed, 7, left_out).write.parquet(path)
+    return quality.partly_left_out(spark.read.parquet(path), left_out)
+
+
 same(
     "f02_default_scenario_daily",
     lambda spark, sf: outcomes.default_scenario(daily(spark, sf)),
@@ -743,7 +760,17 @@ def sensitivity_tree(spark, sf):
     runs = counts(spark, sf).withColumns({
         "scenario": F.expr("CAST(1 + (simu_id % 3) * 6 + CAST(scenario AS INT) AS STRING)"), "simu_id": F.expr("simu_id DIV 3")
     })
-    return sinks.write_counts_tree(runs, shared_dir(spark, "sensitivity"))
+    return sinks.write_counts_tree(varied(runs, grids.oat_grid(spark)), shared_dir(spark, "sensitivity"))
+
+
+def varied(runs: DataFrame, grid: DataFrame) -> DataFrame:
+    """Runs in folders named by the rows of the grid, with the input that each row varies; others stay as they are."""
+    row = F.broadcast(grid.selectExpr("CAST(folder AS STRING) AS scenario", "varied_param AS _p", "varied_value AS _v"))
+    changed = {"beta": ("beta_factor", "beta * _v"), "recovery": ("recovery_factor", "recovery * _v"), "prop_clinical": ("prop_clinical_base", "prop_clinical - 0.9D + _v")}
+    changed |= {c: (c, "_v") for c in sweep.RUN_INPUTS if c not in changed}
+    kinds = dict(runs.dtypes)
+    inputs = {c: F.expr(f"CAST(IF(_p = '{p}', {v}, {c}) AS {kinds[c]})") for c, (p, v) in changed.items()}
+    return runs.join(row, "scenario", "left").withColumns(inputs).drop("_p", "_v")
 
 
 # What each run varies, in the order of the folders' numbers; fixed values of the one-at-a-time grid.
@@ -778,8 +805,8 @@ def simulator_sql(measures: str) -> str:
 def simulated(spark, sf):
     path = sensitivity_tree(spark, sf)
     ordinals = counts_source.scenario_ordinals(counts_source.list_files(spark, path))
-    runs = sweep.simulator_sweep(counts_source.read_counts(spark, path), table(spark))
-    return sweep.name_runs(runs, ordinals, grids.oat_grid(spark))
+    read = counts_source.read_counts(spark, path)
+    return sweep.name_runs(sweep.simulator_sweep(read, table(spark)), ordinals, sweep.run_labels(read, grids.oat_grid(spark)))
 
 
 U02_MEASURES = "mean_delta mean_FCR mean_feed_cost"
@@ -954,6 +981,24 @@ def x07(spark, sf):
     return pick(simulated(spark, sf), "run varied_param varied_value scenario n", X07_MEASURES)
 
 
+@query(
+    "x07_labels_by_value",
+    "SELECT 'run ' || chr(CAST(90 - folder AS INTEGER)) AS scenario, CASE WHEN folder <= 18 THEN varied_param END AS varied_param, "
+    "CASE WHEN folder <= 18 THEN varied_value END AS varied_value, CASE folder WHEN 19 THEN 'nothing varies' "
+    "WHEN 20 THEN 'several inputs vary' WHEN 21 THEN 'not in the grid' END AS problem "
+    "FROM (SELECT DISTINCT 1 + simu_id % 21 AS folder FROM panel) "
+    f"LEFT JOIN {VARIED_SQL} USING (folder)",
+)
+def x07_labels(spark, sf):
+    # Eighteen runs of the grid, one without a change, one with two, one with a value that is not in the grid; the names tell nothing.
+    dealt = counts(spark, sf).drop(*sweep.RUN_INPUTS).withColumns({"vaccination_scenario": F.lit(0.0), "scenario": F.expr("CAST(1 + simu_id % 21 AS STRING)")})
+    runs = varied(grids.derive_parameters(dealt, given=[]), grids.oat_grid(spark)).withColumns({
+        "beta": F.expr("IF(scenario = '20', beta / 2, beta)"), "length_B": F.expr("CASE scenario WHEN '20' THEN 7 WHEN '21' THEN 9 ELSE length_B END"),
+        "scenario": F.expr("'run ' || chr(90 - CAST(scenario AS INT))"),
+    })
+    return sweep.run_labels(runs, grids.oat_grid(spark))
+
+
 @query(
     "x08_continued_numbering",
     "SELECT scenario, param_id, varied_param, varied_value, "

@@ -80,7 +80,7 @@ def test_columns_go_by_name_in_every_file(spark, panel, tmp_path):
     parts = {s: whole.filter(panel.scenario == s) for s in ("0", "1", "2")}
     sinks.write_csv(parts["0"], str(tmp_path / "tree" / "a[1]"))
     sinks.write_csv(parts["1"].select(whole.columns[::-1]), str(tmp_path / "tree" / "b{x}*"))
-    sinks.write_csv(parts["2"].drop(*optional).withColumn("more", F.lit("x")), str(tmp_path / "more"))
+    sinks.write_csv(parts["2"].coalesce(1).drop(*optional).withColumn("more", F.lit("x")), str(tmp_path / "more"))
     file = next((tmp_path / "more").glob("*.csv"))
     file.rename(tmp_path / "tree" / "a[1]" / "z.csv")
     (tmp_path / "tree" / "a[1]" / "nothing.csv").write_text("")
@@ -95,7 +95,7 @@ def test_columns_go_by_name_in_every_file(spark, panel, tmp_path):
 
 def test_one_header_is_one_scan(spark, panel, tmp_path):
     sinks.write_counts_tree(panel, str(tmp_path / "tree"))
-    assert plan_of(counts_source.read_counts(spark, str(tmp_path / "tree"))).count("FileScan csv") == 1
+    assert plan_of(counts_source.read_counts(spark, str(tmp_path / "tree"))).count("(1) Scan csv") == 1
 
 
 def test_bad_number_fails(spark, tmp_path):
@@ -168,9 +168,11 @@ def test_sensitivity_study(spark, runs, tmp_path):
     rows = both.collect()
     assert len(rows) == 6 + 9
     assert sorted(r["run"] for r in rows) == list(range(1, 16))
-    # Folder 0 is no row of the grid; folders 1 to 5 are its first five.
+    # Folders 0 to 5 are no runs of the one-at-a-time grid, whatever their numbers: their inputs are those of the default.
     varied = {r["scenario"]: (r["varied_param"], r["varied_value"]) for r in rows if r["kind"] == "simulator"}
-    assert varied["0"] == (None, None) and varied["3"] == ("recovery_factor", "0.5")
+    assert set(varied.values()) == {(None, None)} and len(varied) == 6
+    problems = sinks.read_result(spark, str(tmp_path / "sens_label_problems"), "2024-02-01").collect()
+    assert sorted((r["scenario"], r["problem"]) for r in problems) == [(str(i), "nothing varies") for i in range(6)]
     assert studies.sensitivity_check(both).first()["n_simulations"] == 6
 
 
@@ -183,13 +185,37 @@ def test_sensitivity_study_with_its_own_configuration(spark, runs, tmp_path):
     assert [(r["varied_param"], r["growth_factor"], r["feed_price"]) for r in rows] == [("slaughter_price", "low", 0.5)] * 3
 
 
+def oat_runs(spark, names):
+    """Runs whose folder stands for a change: {folder: {column: value}}; other inputs are those of the default scenario."""
+    inputs = {r: v for r, v in grids.derive_parameters(grids.oat_grid(spark), given=[]).first().asDict().items() if r in sweep.RUN_INPUTS}
+    rows = [r for name, change in names.items() for r in flock(2, scenario=name, **(inputs | change))]
+    return counts(spark, rows)
+
+
+def test_runs_are_named_by_their_inputs(spark):
+    names = {
+        "beta_low": {"beta": 0.5 * 0.78}, "9": {"mortality_B": 0.0571}, "7": {}, "x y": {"recovery": 2 / 12},
+        "clinical": {"prop_clinical": 0.8}, "both": {"beta": 0.39, "length_B": 7}, "odd": {"length_B": 8}, "gone": {"length_B": None},
+        "vaccinated": {"vaccination_scenario": 1.0, "beta": 0.34, "recovery": 1 / 3.5},
+    }
+    runs = oat_runs(spark, names).union(oat_runs(spark, {"two": {}})).union(oat_runs(spark, {"two": {"t_until_bact_inf": 3}}))
+    labels = {r["scenario"]: (r["varied_param"], r["varied_value"], r["problem"]) for r in sweep.run_labels(runs, grids.oat_grid(spark)).collect()}
+    assert labels == {
+        "beta_low": ("beta_factor", "0.5", None), "9": ("mortality_B", "0.0571", None), "7": (None, None, "nothing varies"),
+        "x y": ("recovery_factor", "2.0", None), "clinical": ("prop_clinical_base", "0.8", None), "both": (None, None, "several inputs vary"),
+        "odd": (None, None, "not in the grid"), "gone": (None, None, "an input is missing"), "two": (None, None, "inputs vary within the run"),
+        "vaccinated": ("beta_factor", "2.0", None),
+    }
+
+
 def test_runs_are_numbered_by_position(spark):
-    rows = [r for s in ("beta_low", "9", "7", "x y") for r in flock(2, scenario=s)]
-    ordinals = counts(spark, rows).groupBy("scenario").count().selectExpr("scenario", "dense_rank() OVER (ORDER BY scenario) AS ordinal")
-    grid = grids.oat_grid(spark)
-    simulator = spark.createDataFrame([(s,) for s in ("beta_low", "9", "7", "x y")], "scenario string")
-    named = {r["scenario"]: (r["run"], r["varied_param"]) for r in sweep.name_runs(simulator, ordinals, grid).collect()}
-    assert named == {"7": (1, "mortality_I"), "9": (2, "mortality_B"), "beta_low": (3, "recovery_factor"), "x y": (4, "recovery_factor")}
+    names = {"beta_low": {"beta": 0.39}, "9": {}, "7": {"length_B": 28}, "x y": {}}
+    runs = oat_runs(spark, names)
+    ordinals = runs.groupBy("scenario").count().selectExpr("scenario", "dense_rank() OVER (ORDER BY scenario) AS ordinal")
+    simulator = spark.createDataFrame([(s,) for s in names], "scenario string")
+    named = sweep.name_runs(simulator, ordinals, sweep.run_labels(runs, grids.oat_grid(spark)))
+    found = {r["scenario"]: (r["run"], r["varied_param"]) for r in named.collect()}
+    assert found == {"7": (1, "length_B"), "9": (2, None), "beta_low": (3, "beta_factor"), "x y": (4, None)}
 
 
 @pytest.mark.parametrize("change", [{"DOA": 5.0}, {"slaughter_price": None}, {"feed_price": "0.3"}])
@@ -233,6 +259,17 @@ def test_folder_names_are_read_as_they_are(spark, panel, tmp_path):
     assert numbers == {name: i for i, name in enumerate(sorted([*names, "b c"]), start=1)}
 
 
+def test_an_introduction_day_that_varies_stops_the_study(spark, panel, runs, tmp_path):
+    mixed = panel.withColumn("introduction_time", F.expr("IF(scenario = '3' AND simu_id % 2 = 0, 7, IF(scenario = '4', 7, 14))"))
+    sinks.write_counts_tree(mixed, str(tmp_path / "mixed"))
+    with pytest.raises(ValueError, match="introduction_time varies within scenario 3$"):
+        studies.compare_scenarios(spark, str(tmp_path / "mixed"), str(runs / "production"), str(tmp_path / "out"), "2024-02-01")
+    whole = panel.withColumn("introduction_time", F.expr("IF(scenario = '4', 7, 14)"))
+    sinks.write_counts_tree(whole, str(tmp_path / "whole"))
+    tables = studies.compare_scenarios(spark, str(tmp_path / "whole"), str(runs / "production"), str(tmp_path / "out"), "2024-02-01")
+    assert tables["summary"].count() == 5
+
+
 def test_missing_introduction_time_is_an_error(spark):
     with pytest.raises(Exception, match="introduction_time is missing"):
         outcomes.without_introduction_time(counts(spark, flock(2, introduction_time=None))).collect()
