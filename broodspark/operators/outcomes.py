@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from broodspark.functions.frames import derive, named, whole_flock
@@ -198,23 +198,34 @@ def treatment_rows(daily: DataFrame, keys: list[str] = FLOCK) -> DataFrame:
 def keyed_update(target: DataFrame, source: DataFrame, by: list[str]) -> DataFrame:
     """Overwrite the shared columns of matched rows, also with NULL; keep the others.
 
-    ``source`` must have unique keys that are all present in ``target``.
+    A key of ``source`` that occurs twice, or that ``target`` does not have, stops the job: it is seen where the two meet,
+    without another pass (``key_problems`` lists such keys).
     """
     columns = [c for c in source.columns if c not in by]
-    renamed = source.withColumnsRenamed({c: f"_new_{c}" for c in columns}).withColumn(
-        "_matched", F.lit(True)
+    counted = source.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*by)))
+    renamed = counted.withColumnsRenamed({c: f"_new_{c}" for c in columns})
+    joined = target.withColumn("_there", F.lit(True)).join(renamed, by, "full")
+    key = F.concat_ws(", ", *[F.concat(F.lit(f"{c} = "), F.coalesce(F.col(c).cast("string"), F.lit("NULL"))) for c in by])
+
+    def stop(problem: str) -> Column:
+        return F.raise_error(F.concat(F.lit(f"the update has a key {problem}: "), key))
+
+    checked = joined.filter(
+        F.when(F.col("_there").isNull(), stop("without a row")).when(F.col("_n") > 1, stop("twice")).otherwise(F.lit(True))
     )
-    joined = target.join(renamed, by, "left")
-    return joined.select(
-        *[
-            F.when(F.col("_matched"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c)
-            if c in columns
-            else F.col(c)
-            for c in target.columns
-        ]
+    return checked.select(
+        *[F.when(F.col("_n") == 1, F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in target.columns]
     )
 
 
+def key_problems(target: DataFrame, source: DataFrame, by: list[str]) -> DataFrame:
+    """The keys that stop ``keyed_update``: once per key, ``twice`` or ``without a row``. A missing key matches nothing."""
+    keys = source.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    there = target.select(*by).distinct().withColumn("_there", F.lit(True))
+    problem = F.when(F.col("_there").isNull(), "without a row").when(F.col("n") > 1, "twice")
+    return keys.join(there, by, "left").select(*by, "n", problem.alias("problem")).filter("problem IS NOT NULL")
+
+
 def last_rows(daily: DataFrame, keys: list[str] = FLOCK) -> DataFrame:
     """The latest day of each flock."""
     latest = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("day")))

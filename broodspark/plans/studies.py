@@ -3,15 +3,14 @@
 Each scenario study writes its daily grain first, bucketed by flock, and works on from the written
 table, so the counts are read and accumulated once and the next step needs no exchange of the days. The
 sensitivity study accumulates the days of each tree once and writes its summary. Every study checks its
-parameters first.
+parameters first, and publishes its tables together at its end.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from broodspark.functions.small import literal_table
 from broodspark.operators import daily as daily_ops
@@ -77,27 +76,38 @@ def _write_grains(
     left_out: Observation | None = None,
 ) -> dict[str, DataFrame]:
     spark = counts.sparkSession
+    check_prices(spark, sweep.economic_rows(prices, growth, {}))
+    publication = sinks.Publication(spark, output_dir, run_date)
 
     def stored(df: DataFrame, grain: str) -> DataFrame:
-        path = f"{output_dir}/{GRAINS[grain]}"
+        path = publication.staged(GRAINS[grain])
         sinks.write_result(df, path, run_date, fmt)
         return sinks.read_result(spark, path, run_date, fmt, df.schema).drop("run_date")
 
-    check_prices(spark, sweep.economic_rows(prices, growth, {}))
-    days = daily_ops.interpret(counts, production, growth)
-    path = f"{output_dir}/{GRAINS['days']}/run_date={run_date}"
-    table = sinks.save_bucketed(days, f"days_{uuid.uuid4().hex}", path, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    days = spark.table(table)
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = f"{publication.staged(GRAINS['days'])}/run_date={run_date}"
+    days = sinks.bucketed(daily_ops.interpret(counts, production, growth), path, buckets)
     varying = [(r["input"], r["scenario"]) for r in quality.varying_inputs(days).take(20)]
     if left_out is not None:
         varying += [("introduction_time", r["scenario"]) for r in quality.partly_left_out(days, left_out).take(20)]
     if varying:
         raise ValueError("; ".join(f"{name} varies within scenario {scenario}" for name, scenario in sorted(set(varying))))
+    names = list(GRAINS.values())
     if fmt != "parquet":
-        sinks.write_result(days, f"{output_dir}/{GRAINS['days']}_{fmt}", run_date, fmt)
+        names.append(f"{GRAINS['days']}_{fmt}")
+        sinks.write_result(days, publication.staged(names[-1]), run_date, fmt)
     simulations = stored(outcome_ops.per_simulation(days, prices), "simulations")
     scenarios = stored(summary_ops.per_scenario(simulations), "summary")
-    return {"days": days, "simulations": simulations, "summary": scenarios}
+    publication.publish(names)
+
+    def published(grain: str, schema: T.StructType) -> DataFrame:
+        return sinks.read_result(spark, f"{output_dir}/{GRAINS[grain]}", run_date, fmt, schema).drop("run_date")
+
+    return {
+        "days": sinks.read_bucketed(spark, days.schema, f"{output_dir}/{GRAINS['days']}/run_date={run_date}", buckets),
+        "simulations": published("simulations", simulations.schema),
+        "summary": published("summary", scenarios.schema),
+    }
 
 
 def compare_scenarios(
@@ -202,16 +212,19 @@ def sensitivity(
         counts_source.read_counts(spark, list(smallest_files(spark, sensitivity_dir).values())),
         grids.oat_grid(spark) if grid is None else grid,
     )
-    sinks.write_result(labels.filter("problem IS NOT NULL"), f"{output_dir}/sens_label_problems", run_date, fmt)
+    publication = sinks.Publication(spark, output_dir, run_date)
+    problems, summarised = "sens_label_problems", "sens_output_summarised"
+    # A partition of its own even if no run has a problem.
+    labels.filter("problem IS NOT NULL").write.format(fmt).options(header=True).save(f"{publication.staged(problems)}/run_date={run_date}")
     named_runs = sweep.name_runs(sweep.simulator_sweep(runs, production, growth, prices=prices), ordinals, labels)
     both = sweep.combined_sensitivity(
         named_runs,
         sweep.economic_sweep(default_runs(spark, scenario_dir), production, rows, as_written=as_written),
         simulator_runs=ordinals.agg(F.max("ordinal")).first()[0],
     )
-    path = f"{output_dir}/sens_output_summarised"
-    sinks.write_result(both, path, run_date, fmt)
-    return sinks.read_result(spark, path, run_date, fmt, both.schema).drop("run_date")
+    sinks.write_result(both, publication.staged(summarised), run_date, fmt)
+    publication.publish([problems, summarised])
+    return sinks.read_result(spark, f"{output_dir}/{summarised}", run_date, fmt, both.schema).drop("run_date")
 
 
 def sensitivity_check(both: DataFrame) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,6 +57,123 @@ def save_bucketed(df: DataFrame, table: str, path: str, buckets: int, day: str =
     return table
 
 
+def bucketed(df: DataFrame, path: str, buckets: int, day: str = "day") -> DataFrame:
+    """Rows written to ``path`` by flock, as a frame that knows so; no table stays in the catalog."""
+    table = save_bucketed(df, f"bucketed_{uuid.uuid4().hex}", path, buckets, day)
+    return _taken(df.sparkSession, table)
+
+
+def read_bucketed(spark: SparkSession, schema: T.StructType, path: str, buckets: int, day: str = "day") -> DataFrame:
+    """What ``bucketed`` wrote, also after its folder was moved."""
+    table = f"bucketed_{uuid.uuid4().hex}"
+    place = path.replace("\\", "\\\\").replace("'", "\\'")
+    spark.sql(
+        f"CREATE TABLE {table} ({', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in schema)}) USING parquet "
+        f"CLUSTERED BY (scenario, simu_id) SORTED BY (scenario, simu_id, {day}) INTO {buckets} BUCKETS LOCATION '{place}'"
+    )
+    return _taken(spark, table)
+
+
+def _taken(spark: SparkSession, table: str) -> DataFrame:
+    """A table's frame; its name goes, its files stay."""
+    try:
+        return spark.table(table)
+    finally:
+        spark.sql(f"DROP TABLE {table}")
+
+
+class Publication:
+    """Result tables of one run date that are published together.
+
+    Results are written to a staging folder. ``publish`` first writes a manifest of what is to be moved and
+    then moves it over the results of that date. A run that ends before the manifest leaves the old results as they are; one that
+    ends after it is completed by the next run or by ``recover``. So the tables of a date are always of one run.
+    Renames are done by the file system of the output folder; no row is copied.
+    """
+
+    def __init__(self, spark: SparkSession, output_dir: str, run_date: str) -> None:
+        self.spark, self.output_dir, self.run_date = spark, output_dir.rstrip("/"), run_date
+        self.files = _Files(spark, output_dir)
+        self.part = f"run_date={run_date}"
+        self.staging = f"{self.output_dir}/_staging/{self.part}"
+        recover(spark, output_dir)
+        self.files.delete(self.staging)
+
+    def staged(self, name: str) -> str:
+        """Where to write a table that will be called ``name``."""
+        return f"{self.staging}/{name}"
+
+    def publish(self, names: list[str]) -> None:
+        """Everything that is staged under the names replaces the results of the run date."""
+        absent = [n for n in names if not self.files.exists(f"{self.staged(n)}/{self.part}")]
+        if absent:
+            raise ValueError(f"not written: {', '.join(absent)}")
+        moves = [[f"{self.staged(n)}/{self.part}", f"{self.output_dir}/{n}/{self.part}"] for n in names]
+        self.files.write(_manifest(self.output_dir, self.run_date), json.dumps({"moves": moves, "staging": self.staging}))
+        recover(self.spark, self.output_dir)
+
+
+def _manifest(output_dir: str, run_date: str) -> str:
+    return f"{output_dir.rstrip('/')}/_publishing/{run_date}.json"
+
+
+def recover(spark: SparkSession, output_dir: str) -> list[str]:
+    """Complete the publications that were begun in a folder; the run dates that were completed."""
+    files, done = _Files(spark, output_dir), []
+    for manifest in files.list(f"{output_dir.rstrip('/')}/_publishing", ".json"):
+        begun = json.loads(files.read(manifest))
+        for source, target in begun["moves"]:
+            if files.exists(source):  # else it was moved before
+                files.delete(target)
+                files.rename(source, target)
+        files.delete(begun["staging"])
+        files.delete(manifest)
+        done.append(manifest.rsplit("/", 1)[1].removesuffix(".json"))
+    return done
+
+
+class _Files:
+    """The few operations that a publication needs of the file system that holds a folder."""
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self.java = spark.sparkContext._jvm
+        self.system = self._path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _path(self, path: str):
+        return self.java.org.apache.hadoop.fs.Path(path)
+
+    def exists(self, path: str) -> bool:
+        return self.system.exists(self._path(path))
+
+    def delete(self, path: str) -> None:
+        self.system.delete(self._path(path), True)
+
+    def rename(self, source: str, target: str) -> None:
+        self.system.mkdirs(self._path(target).getParent())
+        if not self.system.rename(self._path(source), self._path(target)):
+            raise OSError(f"{source} could not be moved to {target}")
+
+    def list(self, folder: str, ending: str) -> list[str]:
+        found = self.system.listStatus(self._path(folder)) if self.exists(folder) else []
+        return sorted(f.getPath().toString() for f in found if f.getPath().toString().endswith(ending))
+
+    def read(self, path: str) -> str:
+        stream = self.system.open(self._path(path))
+        try:
+            return self.java.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def write(self, path: str, text: str) -> None:
+        """A file that is there as a whole or not at all."""
+        part = f"{path}.{uuid.uuid4().hex}.part"
+        stream = self.system.create(self._path(part), True)
+        stream.write(bytearray(text.encode()))
+        stream.close()
+        self.delete(path)
+        self.rename(part, path)
+
+
 def write_result(
     df: DataFrame, path: str, run_date: str, fmt: str = "parquet", by: list[str] | None = None
 ) -> str:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from broodspark.functions.frames import by_day, derive, named, so_far, whole_flock
 from broodspark.operators import daily as daily_ops
 from broodspark.operators import grids, outcomes, panel, production, quality, summary, sweep
+from broodspark.plans import studies
 from broodspark.schema import FLOCK, REQUIRED_COUNTS, drop_existing
 from broodspark.session import shared_dir
 from broodspark.sources import counts as counts_source
@@ -251,6 +252,23 @@ def s08(spark, sf):
     )
 
 
+@query(
+    "s08_published_study",
+    "SELECT 'days' AS grain, count(*) AS n_rows, round(sum(total_weight), 3) AS total FROM daily "
+    "UNION ALL SELECT 'simulations', count(*), round(sum(delta), 3) FROM outcomes "
+    "UNION ALL SELECT 'summary', count(*), round(sum(mean_delta), 3) FROM summary",
+)
+def s08_published(spark, sf):
+    # The whole study from files, twice on one date; the second run replaces the tables of the first.
+    output = shared_dir(spark, "study")
+    prices = sinks.write_csv(production.wide(table(spark)).orderBy("day").coalesce(1), shared_dir(spark, "production"))
+    tree = counts_tree(spark, sf)
+    for growth in ("low", "middle"):
+        tables = studies.compare_scenarios(spark, tree, prices, output, "2024-02-01", growth=growth)
+    parts = [_totals(tables[g], g, c) for g, c in (("days", "total_weight"), ("simulations", "delta"), ("summary", "mean_delta"))]
+    return summary.combine(*parts)
+
+
 @query(
     "s09_csv_sink_sensitivity",
     f"SELECT {cols('scenario param_id varied_param varied_value n', 'mean_delta max_delta mean_FCR')} "
@@ -475,6 +493,18 @@ def j04(spark, sf):
     return pick(updated, f"{KEY} {TREATMENT}", "treated_kg")
 
 
+@query(
+    "j04_key_problems",
+    "SELECT scenario, simu_id, count(*) AS n, CASE WHEN max(day) > 30 THEN 'without a row' ELSE 'twice' END AS problem FROM log "
+    "WHERE state = 'error' GROUP BY scenario, simu_id HAVING count(*) > 1 OR max(day) > 30",
+)
+def j04_problems(spark, sf):
+    # The rows of an update: one per event of a kind; the flocks whose last such event is late are no targets.
+    errors = log(spark, sf).filter("state = 'error'")
+    targets = errors.groupBy(*FLOCK).agg(F.max("day").alias("last")).filter("last <= 30")
+    return outcomes.key_problems(targets, errors, FLOCK)
+
+
 # The published lists of the scenario grid.
 GRID_SQL = """
 SELECT CAST(g.folder AS INTEGER) AS folder, g.vaccination_scenario, g.introduction_time,

@@ -236,6 +236,60 @@ def test_stored_days_need_no_exchange(spark, panel, runs, tmp_path):
     assert stored.count() == panel.count() and "run_date" in stored.columns
 
 
+def totals(tables):
+    return [tables[g].agg(F.count(F.lit(1)), F.round(F.sum(c), 6)).first() for g, c in (("days", "cum_FI"), ("simulations", "delta"), ("summary", "mean_delta"))]
+
+
+def stored_totals(spark, folder):
+    paths = {g: f"{folder}/{n}/run_date=2024-02-01" for g, n in studies.GRAINS.items()}
+    return totals({g: spark.read.parquet(p) for g, p in paths.items()})
+
+
+class Killed(Exception):
+    pass
+
+
+def killed(*args, **options):
+    raise Killed
+
+
+def test_a_study_that_ends_early_leaves_the_old_result(spark, runs, tmp_path, monkeypatch):
+    def study(**options):
+        return studies.compare_scenarios(spark, str(runs / "scenarios"), str(runs / "production"), str(tmp_path), "2024-02-01", **options)
+
+    tables = [t.name for t in spark.catalog.listTables()]
+    old = totals(study())
+    assert stored_totals(spark, tmp_path) == old
+    assert totals(study()) == old, "a rerun of one date is equal"
+    dearer = outcomes.Economics(feed_price=0.9)
+    with monkeypatch.context() as patched:
+        patched.setattr(studies.summary_ops, "per_scenario", killed)
+        with pytest.raises(Killed):
+            study(prices=dearer)
+    assert stored_totals(spark, tmp_path) == old
+    # Killed between two moves: the next reader or study completes what the manifest says.
+    rename, moved = sinks._Files.rename, []
+
+    def second_fails(self, source, target):
+        if "_publishing" not in target:
+            moved.append(target)
+            if len(moved) == 2:
+                raise Killed
+        rename(self, source, target)
+
+    with monkeypatch.context() as patched:
+        patched.setattr(sinks._Files, "rename", second_fails)
+        with pytest.raises(Killed):
+            study(prices=dearer)
+    assert sinks.recover(spark, str(tmp_path)) == ["2024-02-01"] and sinks.recover(spark, str(tmp_path)) == []
+    new = stored_totals(spark, tmp_path)
+    assert new != old and new == totals(study(prices=dearer))
+    assert [t.name for t in spark.catalog.listTables()] == tables
+    assert not list((tmp_path / "_staging").glob("*")) and not list((tmp_path / "_publishing").glob("*.json"))
+    with pytest.raises(ValueError, match="not written: x"):
+        sinks.Publication(spark, str(tmp_path), "2024-02-02").publish(["x"])
+
+
 def test_default_scenario_must_be_one_folder(spark, runs, tmp_path):
     two = counts(spark, flock(1, scenario="1") + flock(1, scenario="2"))
     with pytest.raises(ValueError, match="one is needed"):

@@ -307,3 +307,23 @@ def test_sweep_as_written_ignores_the_growth_factor(spark):
     assert len(set(weights[True].values())) == 1
     low, middle, high = (weights[False][f] for f in ("low", "middle", "high"))
     assert low > middle > high and weights[True]["low"] == middle
+
+
+def test_an_update_with_bad_keys_stops(spark):
+    target = spark.createDataFrame([(1, "a", 1.0), (2, "b", 2.0), (3, "c", None), (None, "d", 4.0)], "k int, name string, v double")
+
+    def update(rows):
+        return outcomes.keyed_update(target, spark.createDataFrame(rows, "k int, v double"), ["k"])
+
+    assert sorted((r.name, r.v) for r in update([(1, None), (3, 5.0)]).collect()) == [("a", None), ("b", 2.0), ("c", 5.0), ("d", 4.0)]
+    assert update([]).count() == 4
+    with pytest.raises(Exception, match="a key twice: k = 1"):
+        update([(1, 1.0), (1, 2.0)]).collect()
+    for key, text in ((9, "9"), (None, "NULL")):
+        with pytest.raises(Exception, match=f"a key without a row: k = {text}"):
+            update([(key, 1.0)]).collect()
+    # Also where no updated column is asked for.
+    with pytest.raises(Exception, match="a key twice"):
+        update([(2, 1.0), (2, 1.0)]).select("name").collect()
+    problems = outcomes.key_problems(target, spark.createDataFrame([(1, 1.0), (1, 2.0), (9, 1.0), (2, 0.0)], "k int, v double"), ["k"])
+    assert {tuple(r) for r in problems.collect()} == {(1, 2, "twice"), (9, 1, "without a row")}
