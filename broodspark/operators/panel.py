@@ -101,6 +101,42 @@ def occupancy_from_log(
     return present.selectExpr(*FLOCK, "explode(sequence(day, _until)) AS day", "present")
 
 
+def birds_by_day(
+    stays: DataFrame, first_day: int, last_day: int, signs: str = "signs", bacterial: str = "bacterial",
+    bird: str = "bird", keys: list[str] = FLOCK,
+) -> DataFrame:
+    """Birds per flock and day in either of two kinds of state, from stays of single birds.
+
+    ``stays`` has (keys, bird, dimension, from_day, until_day): a bird is in a state of the dimension on these days, both
+    included; no ``until_day`` means to the end. Stays of one bird may overlap. A bird counts once per day as RS (``signs``), B
+    (``bacterial``), ``B_and_RS`` and ``total_resp_signs``, on all days of every flock that has a stay.
+
+    A sweep over the changes: per bird and dimension the open stays are added up, and where a bird enters or leaves, the
+    flock's counts change by one. Changes are added up per flock and day before they are shuffled; no bird is repeated per day.
+    """
+    inside = stays.selectExpr(
+        *keys, bird, "dimension", f"greatest(from_day, {first_day}) AS _from", f"least(coalesce(until_day, {last_day}), {last_day}) AS _until"
+    ).filter(f"_from <= _until AND dimension IN ('{signs}', '{bacterial}')")
+    edges = inside.selectExpr(*keys, bird, "dimension", "inline(array(struct(_from AS day, 1 AS step), struct(_until + 1 AS day, -1 AS step)))")
+    changes = edges.groupBy(*keys, bird, "day").agg(
+        *[F.sum(F.when(F.col("dimension") == d, F.col("step")).otherwise(0)).alias(f"_{d}") for d in (signs, bacterial)]
+    )
+    of_bird = so_far([*keys, bird])
+    present = derive(changes, _s=f"CAST(sum(_{signs}) {of_bird} > 0 AS INT)", _b=f"CAST(sum(_{bacterial}) {of_bird} > 0 AS INT)")
+    counted = {"RS": "_s", "B": "_b", "B_and_RS": "_s * _b", "total_resp_signs": "greatest(_s, _b)"}
+    now = derive(present, **counted)
+    entered = now.selectExpr(*keys, "day", *[f"{c} - lag({c}, 1, 0) {by_day([*keys, bird])} AS {c}" for c in counted])
+    per_day = entered.groupBy(*keys, "day").agg(*[F.sum(c).alias(c) for c in counted])
+    running = per_day.selectExpr(
+        *keys, "day", f"lead(day, 1, {last_day + 1}) {by_day(keys)} AS _next", f"row_number() {by_day(keys)} AS _n",
+        *[f"sum({c}) {so_far(keys)} AS {c}" for c in counted],
+    )
+    before = f"struct({first_day} AS _from, day AS _next, {', '.join(f'0L AS {c}' for c in counted)})"
+    after = f"struct(day AS _from, _next, {', '.join(counted)})"
+    spans = running.selectExpr(*keys, f"inline(IF(_n = 1, array({before}, {after}), array({after})))").filter(f"_from < _next AND _from <= {last_day}")
+    return spans.selectExpr(*keys, "explode(sequence(_from, _next - 1)) AS day", *counted)
+
+
 # --- rates -------------------------------------------------------------------------
 
 
@@ -220,3 +256,33 @@ def removal_by_stratum(panel: DataFrame, strata: list[str], number: int) -> Data
     )
     quota = half_even(ratio(f"birds * {number}D", "total"))
     return derive(rows, removed=f"CAST({quota} AS INT)")
+
+
+def allocation(strata: DataFrame, number: int, keys: list[str] = FLOCK) -> DataFrame:
+    """Birds to take from each stratum so that they add up to ``number``: one row per flock and stratum, with ``removed``.
+
+    ``strata`` has (keys, stratum, birds). Each stratum gives its share rounded down; what is left goes to the largest
+    remainders, ties in the order of the names. A flock of fewer birds gives them all.
+    """
+    total = f"sum(birds) OVER (PARTITION BY {', '.join(keys)})"
+    shares = derive(strata, _total=total)
+    taken = f"least({number}, _total)"
+    parts = derive(shares, _down=f"birds * {taken} DIV _total", _rest=f"birds * {taken} % _total")
+    left = derive(
+        parts, _left=f"{taken} - sum(_down) OVER (PARTITION BY {', '.join(keys)})",
+        _place=f"row_number() OVER (PARTITION BY {', '.join(keys)} ORDER BY _rest DESC, stratum)",
+    )
+    return left.selectExpr(*keys, "stratum", "birds", "CAST(_down + IF(_place <= _left, 1, 0) AS INT) AS removed")
+
+
+def removed_birds(birds: DataFrame, number: int, bird: str = "bird", keys: list[str] = FLOCK) -> DataFrame:
+    """The birds that thinning takes: (keys, stratum, bird), ``number`` of each flock, in proportion to its strata.
+
+    ``birds`` has a row per bird with its stratum. Which birds go is fixed by the MD5 of the bird's name, so a rerun
+    takes the same ones. Strata are counted before the shuffle; the choice is made per flock and stratum.
+    """
+    strata = birds.groupBy(*keys, "stratum").agg(F.count(F.lit(1)).alias("birds"))
+    quota = allocation(strata, number, keys).select(*keys, "stratum", "removed")
+    order = f"row_number() OVER (PARTITION BY {', '.join(keys)}, stratum ORDER BY md5(CAST({bird} AS STRING)), {bird})"
+    placed = derive(birds.select(*keys, "stratum", bird), _place=order)
+    return placed.join(quota, [*keys, "stratum"]).filter("_place <= removed").select(*keys, "stratum", bird)

@@ -1,4 +1,4 @@
-"""Mortality alarm on an unbounded feed of deaths, one latched alarm per flock."""
+"""Mortality alarm on an unbounded feed of deaths, one latched alarm per flock or per round of a flock."""
 
 from __future__ import annotations
 
@@ -20,6 +20,8 @@ from broodspark.schema import FLOCK
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 ALARM_SCHEMA = "scenario string, simu_id long, day int, deaths long, daily_mortality double"
+ROUND = [*FLOCK, "start"]
+ROUND_ALARM_SCHEMA = "scenario string, simu_id long, start date, day int, deaths long, daily_mortality double"
 STATE_SCHEMA = "cum_mort long, alarmed boolean"
 
 
@@ -55,8 +57,15 @@ class LatchedAlarm(StatefulProcessor):
     done before it. A timer clears the flock when the watermark passes the end of its round.
     """
 
-    def __init__(self, rule: AlarmRule, end_ms: int) -> None:
-        self.rule, self.end_ms = rule, end_ms
+    def __init__(self, rule: AlarmRule, first_day: int, start: datetime.date | None = None) -> None:
+        """``start`` is the date of ``first_day`` of all flocks; without it the third part of the key is."""
+        self.rule, self.first_day, self.start = rule, first_day, start
+
+    def end_ms(self, key: tuple) -> int:
+        """When the flock is gone: the watermark has passed its last day."""
+        start = self.start or key[2]
+        day = datetime.datetime(start.year, start.month, start.day, tzinfo=datetime.UTC)
+        return int((day + datetime.timedelta(days=self.rule.last_day + 2 - self.first_day)).timestamp() * 1000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -73,13 +82,22 @@ class LatchedAlarm(StatefulProcessor):
         days["daily_mortality"] = days["deaths"] / birds.where(birds != 0)
         over = days[(days["day"] > 0) & (days["daily_mortality"] > rule.trigger)].head(0 if alarmed else 1)
         self.flock.update((int(cum_mort + days["deaths"].sum()), bool(alarmed or len(over))))
-        if timer_values.getCurrentWatermarkInMs() < self.end_ms:
-            self.handle.registerTimer(self.end_ms)
+        self.set_timer(key, timer_values)
+        yield over.assign(**dict(zip(ROUND, key, strict=False)))[
+            [*ROUND[: len(key)], "day", "deaths", "daily_mortality"]
+        ]
+
+    def set_timer(self, key: tuple, timer_values: TimerValues) -> None:
+        if timer_values.getCurrentWatermarkInMs() < self.end_ms(key):
+            self.handle.registerTimer(self.end_ms(key))
         else:  # a feed that holds several rounds at once: nothing of this one is needed any more
             self.flock.clear()
-        yield over.assign(scenario=key[0], simu_id=key[1])[
-            ["scenario", "simu_id", "day", "deaths", "daily_mortality"]
-        ]
+
+    def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues: TimerValues) -> None:
+        """What a batch job found of a round that began before the stream: deaths so far, and whether the alarm was raised."""
+        row = initialState.iloc[0]
+        self.flock.update((int(row["cum_mort"]), bool(row["alarmed"])))
+        self.set_timer(key, timerValues)
 
     def handleExpiredTimer(
         self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo
@@ -97,20 +115,50 @@ def stream_alarms(
     """First day per flock on which deaths exceed the trigger share of the flock before.
 
     ``first_day`` is the calendar date of day ``offset``. A day is judged once the watermark
-    has passed it, and the days of one flock are judged in order. The chained state needs
-    the RocksDB state store (``with_rocksdb``). State is cleared when the watermark is a day past the last day.
+    has passed it, and the days of one flock are judged in order. Days after the last day belong to no flock and
+    raise nothing. The chained state needs the RocksDB state store (``with_rocksdb``). State is cleared when the
+    watermark is a day past the last day.
     """
     day = F.date_diff(F.to_date(F.col("window.start")), F.to_date(F.lit(first_day))) + offset
     closed = deaths_per_day(feed, lateness).select(
         *FLOCK, F.window_time("window").alias("closed"), day.alias("day"), "deaths"
-    )
-    end = datetime.datetime.fromisoformat(first_day).replace(tzinfo=datetime.UTC)
-    end += datetime.timedelta(days=rule.last_day + 2 - offset)
+    ).filter(F.col("day") <= rule.last_day)
     return closed.groupBy(*FLOCK).transformWithStateInPandas(
-        LatchedAlarm(rule, int(end.timestamp() * 1000)), ALARM_SCHEMA, "append", "eventTime"
+        LatchedAlarm(rule, offset, datetime.date.fromisoformat(first_day)), ALARM_SCHEMA, "append", "eventTime"
+    )
+
+
+def stream_rounds(
+    feed: DataFrame, rounds: DataFrame, rule: AlarmRule, first_day: int = 0, lateness: str = "1 day",
+    begun: DataFrame | None = None,
+) -> DataFrame:
+    """The same for flocks with rounds of their own: the first day per round over the trigger.
+
+    ``rounds`` has (scenario, simu_id, start): ``start`` is the date of ``first_day`` of that round. Each round has a state of its own and
+    a timer that clears it once the watermark has passed its last day. Deaths on days of no round raise nothing, so a late
+    feed cannot raise an alarm again. Rounds of one flock must not overlap (``overlapping_rounds``).
+
+    ``begun`` hands over rounds that a batch job has followed so far: (scenario, simu_id, start, cum_mort, alarmed), deaths up
+    to the day before the feed begins.
+    """
+    deaths = deaths_per_day(feed, lateness).select(
+        *FLOCK, F.window_time("window").alias("closed"), F.to_date("window.start").alias("date"), "deaths"
+    )
+    day = F.date_diff("date", "start") + first_day
+    placed = deaths.join(rounds.select(*ROUND), FLOCK).withColumn("day", day).filter(F.col("day").between(first_day, rule.last_day))
+    state = begun.select(*ROUND, "cum_mort", "alarmed").groupBy(*ROUND) if begun is not None else None
+    return placed.select(*ROUND, "closed", "day", "deaths").groupBy(*ROUND).transformWithStateInPandas(
+        LatchedAlarm(rule, first_day), ROUND_ALARM_SCHEMA, "append", "eventTime", initialState=state
     )
 
 
+def overlapping_rounds(rounds: DataFrame, rule: AlarmRule, first_day: int = 0) -> DataFrame:
+    """Rounds that begin before the one before them has ended: (scenario, simu_id, start, previous)."""
+    length = rule.last_day - first_day
+    before = rounds.selectExpr(*ROUND, "lag(start) OVER (PARTITION BY scenario, simu_id ORDER BY start) AS previous")
+    return before.filter(f"date_diff(start, previous) <= {length}")
+
+
 def with_rocksdb(spark: SparkSession) -> SparkSession:
     """Session setting for the state store that chained state needs."""
     spark.conf.set(

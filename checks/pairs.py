@@ -11,7 +11,7 @@ from broodspark.functions.frames import by_day, derive, named, so_far, whole_flo
 from broodspark.operators import daily as daily_ops
 from broodspark.operators import grids, outcomes, panel, production, quality, summary, sweep
 from broodspark.plans import studies
-from broodspark.schema import FLOCK, REQUIRED_COUNTS, drop_existing
+from broodspark.schema import FLOCK, LAST_DAY, REQUIRED_COUNTS, drop_existing
 from broodspark.session import shared_dir
 from broodspark.sources import counts as counts_source
 from broodspark.sources import events as feed
@@ -1227,6 +1227,24 @@ def r09(spark, sf):
     return panel.birds_with_signs(wide)
 
 
+@query(
+    "r09_birds_by_day",
+    "SELECT scenario, day, count(*) FILTER (signs) AS RS, count(*) FILTER (bacterial) AS B, "
+    "count(*) FILTER (signs AND bacterial) AS B_and_RS, count(*) FILTER (signs OR bacterial) AS total_resp_signs FROM "
+    "(SELECT l.scenario, l.simu_id, d.day, bool_or(l.state = 'view' AND d.day BETWEEN l.day AND l.day + 6) AS signs, "
+    "bool_or(l.state = 'purchase' AND d.day BETWEEN l.day AND l.day + 13) AS bacterial "
+    "FROM log l, (SELECT CAST(unnest(range(0, 43)) AS INTEGER) AS day) d GROUP BY ALL) GROUP BY ALL",
+)
+def r09_birds(spark, sf):
+    # Each flock of the feed as one bird of its scenario, with a stay per entry.
+    days = F.when(F.col("state") == "view", grids.DURATION_RESP_SIGNS).otherwise(grids.DURATIONS["length_B"])
+    kind = F.when(F.col("state") == "view", "signs").when(F.col("state") == "purchase", "bacterial")
+    stays = log(spark, sf).select(
+        "scenario", F.col("simu_id").alias("bird"), kind.alias("dimension"), F.col("day").alias("from_day"), (F.col("day") + days - 1).alias("until_day")
+    )
+    return panel.birds_by_day(stays, 0, LAST_DAY, keys=["scenario"])
+
+
 @query(
     "r10_state_co_occurrence",
     "SELECT scenario, day, bacterial, signs, count(*) AS n FROM "
@@ -1310,6 +1328,41 @@ def r17(spark, sf):
     return removed.select(*FLOCK, "day", "stratum", "birds", "removed")
 
 
+NUMBER = 20
+SHARES_SQL = (
+    "SELECT scenario, simu_id, stratum, birds, rest, down, least(20, total) - sum(down) OVER (PARTITION BY scenario, simu_id) AS spare FROM "
+    "(SELECT *, birds * least(20, total) // total AS down, birds * least(20, total) % total AS rest FROM "
+    "(SELECT *, CAST(sum(birds) OVER (PARTITION BY scenario, simu_id) AS BIGINT) AS total FROM "
+    "(SELECT scenario, simu_id, state AS stratum, count(*) AS birds FROM log GROUP BY ALL)))"
+)
+QUOTA_SQL = (
+    "SELECT scenario, simu_id, stratum, birds, CAST(down + CASE WHEN row_number() OVER (PARTITION BY scenario, simu_id ORDER BY rest DESC, stratum) "
+    f"<= spare THEN 1 ELSE 0 END AS INTEGER) AS removed FROM ({SHARES_SQL})"
+)
+
+
+def single_birds(spark, sf):
+    """Every event of the feed as a bird of its flock; its kind is the stratum."""
+    return feed.read_events(spark, sf).selectExpr(*named(feed.FLOCK_OF_USER), "event_type AS stratum", "event_id AS bird")
+
+
+@query("r17_allocation", QUOTA_SQL)
+def r17_allocation(spark, sf):
+    strata = single_birds(spark, sf).groupBy(*FLOCK, "stratum").agg(F.count(F.lit(1)).alias("birds"))
+    return panel.allocation(strata, NUMBER)
+
+
+@query(
+    "r17_removed_birds",
+    "SELECT b.scenario, b.simu_id, b.stratum, b.bird FROM (SELECT *, row_number() OVER (PARTITION BY scenario, simu_id, stratum "
+    "ORDER BY md5(CAST(bird AS VARCHAR)), bird) AS place FROM (SELECT CAST(user_id % 6 AS VARCHAR) AS scenario, user_id // 6 AS simu_id, "
+    "event_type AS stratum, event_id AS bird FROM events)) b "
+    f"JOIN ({QUOTA_SQL}) q ON b.scenario = q.scenario AND b.simu_id = q.simu_id AND b.stratum = q.stratum AND b.place <= q.removed",
+)
+def r17_birds(spark, sf):
+    return panel.removed_birds(single_birds(spark, sf), NUMBER)
+
+
 @query(
     "r18_dwell_occupancy",
     "SELECT scenario, simu_id, day, B, RS, NGi, RGi, "
@@ -1498,6 +1551,37 @@ def r21(spark, sf):
     return spark.read.schema(alarms.schema).parquet(output).select(*FLOCK, "day", "deaths")
 
 
+ROUND_RULE = alarm_stream.AlarmRule(feed.INITIAL_BIRDS, 0.0008, 8, feed.THINNING_NUMBER, last_day=11)
+
+
+@query(
+    "r21_rounds_in_stream",
+    "SELECT * FROM (WITH d AS (SELECT CAST(user_id % 6 AS VARCHAR) AS scenario, user_id // 6 AS simu_id, CAST(ts AS DATE) AS date, "
+    "CAST(25 * count(*) AS BIGINT) AS deaths FROM events WHERE event_type = 'error' GROUP BY ALL), "
+    "r AS (SELECT DISTINCT scenario, simu_id, CAST(DATE '2024-01-02' + CAST(simu_id % 3 + k AS INTEGER) AS DATE) AS start "
+    "FROM d, (SELECT unnest([0, 14]) AS k)), "
+    "c AS (SELECT scenario, simu_id, start, CAST(date_diff('day', start, date) AS INTEGER) AS day, deaths FROM d JOIN r USING (scenario, simu_id) "
+    "WHERE date_diff('day', start, date) BETWEEN 0 AND 11 AND date < (SELECT CAST(max(ts) - INTERVAL 1 DAY AS DATE) FROM events WHERE event_type = 'error')), "
+    "s AS (SELECT *, 30000 - CASE WHEN day - 1 >= 8 THEN 7500 ELSE 0 END - coalesce(sum(deaths) OVER "
+    "(PARTITION BY scenario, simu_id, start ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS birds FROM c) "
+    "SELECT scenario, simu_id, CAST(start AS VARCHAR) AS start, min(day) AS day, arg_min(deaths, day) AS deaths FROM s "
+    "WHERE day > 0 AND deaths / birds > 0.0008 GROUP BY ALL)",
+)
+def r21_rounds(spark, sf):
+    # Every flock has two rounds of twelve days, at dates of its own.
+    files = spark.readStream.schema(feed.EVENTS_SCHEMA).option("pathGlobFilter", "events.parquet").parquet(sf)
+    deaths = files.filter("event_type = 'error'").selectExpr(
+        "CAST(ts AS TIMESTAMP) AS ts", *named(feed.FLOCK_OF_USER), f"{feed.BIRDS_PER_EVENT['error']} AS deaths"
+    )
+    flocks = feed.read_events(spark, sf).selectExpr(*named(feed.FLOCK_OF_USER)).distinct()
+    rounds = flocks.selectExpr(*FLOCK, "explode(array(0, 14)) AS _k").selectExpr(*FLOCK, "date_add(DATE '2024-01-02', CAST(simu_id % 3 + _k AS INT)) AS start")
+    alarm_stream.with_rocksdb(spark)
+    alarms = alarm_stream.stream_rounds(deaths, rounds, ROUND_RULE)
+    output = shared_dir(spark, "alarms")
+    alarm_stream.run_until_drained(alarms, output, shared_dir(spark, "alarm-state"))
+    return spark.read.schema(alarms.schema).parquet(output).select(*FLOCK, F.col("start").cast("string").alias("start"), "day", "deaths")
+
+
 # --- public functions --------------------------------------------------------------
 
 same(

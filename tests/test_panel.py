@@ -1,6 +1,7 @@
 """Panel and log operators against plain loops, and invariants of the derived panel."""
 
 import datetime
+import hashlib
 import random
 
 import pytest
@@ -201,3 +202,43 @@ def test_list_rules(spark):
     assert {(r["id"], r["parameter"], r["problem"]) for r in found} == {
         (2, "sens_condemnation", "fewer than 1 elements"), (2, "sens_growth", "missing"),
     }
+
+
+def test_birds_by_day_equals_the_wide_form(spark):
+    rnd = random.Random(4)
+    stays = [
+        ("s", f, bird, rnd.choice(["signs", "bacterial", "other"]), day, rnd.choice([day - 1, day, day + rnd.randrange(9), None]))
+        for f in range(3) for bird in range(12) for _ in range(rnd.randrange(4)) for day in [rnd.randrange(-4, 24)]
+    ]
+    frame = spark.createDataFrame(stays, "scenario string, simu_id long, bird int, dimension string, from_day int, until_day int")
+    found = {(r.simu_id, r.day): (r.RS, r.B, r.B_and_RS, r.total_resp_signs) for r in panel.birds_by_day(frame, 0, 20).collect()}
+
+    def inside(flock, bird, kind, day):
+        return any(s[1:4] == (flock, bird, kind) and s[4] <= day <= (99 if s[5] is None else s[5]) for s in stays)
+
+    flocks = {s[1] for s in stays if s[3] != "other" and s[4] <= 20 and (s[5] is None or s[5] >= max(0, s[4]))}
+    expected = {}
+    for flock in flocks:
+        for day in range(21):
+            seen = [(inside(flock, b, "signs", day), inside(flock, b, "bacterial", day)) for b in range(12)]
+            expected[flock, day] = (sum(a for a, _ in seen), sum(b for _, b in seen), sum(a and b for a, b in seen), sum(a or b for a, b in seen))
+    assert found == expected
+    wide = panel.birds_with_signs(panel.birds_by_day(frame, 0, 20).withColumnRenamed("total_resp_signs", "by_bird"))
+    assert wide.filter("total_resp_signs <> by_bird").count() == 0
+
+
+def test_allocation_adds_up_and_birds_are_fixed(spark):
+    sizes = {0: {"a": 10, "b": 10, "c": 10}, 1: {"a": 1, "b": 999}, 2: {"a": 3}, 3: {"a": 7, "b": 5, "c": 3, "d": 1}}
+    rows = [("s", f, k, f"{f}-{k}-{i}") for f, kinds in sizes.items() for k, n in kinds.items() for i in range(n)]
+    birds = spark.createDataFrame(rows, "scenario string, simu_id long, stratum string, bird string")
+    strata = birds.groupBy(*FLOCK, "stratum").agg(F.count("*").alias("birds"))
+    taken = {(r.simu_id, r.stratum): r.removed for r in panel.allocation(strata, 10).collect()}
+    assert taken == {
+        (0, "a"): 4, (0, "b"): 3, (0, "c"): 3, (1, "a"): 0, (1, "b"): 10, (2, "a"): 3, (3, "a"): 4, (3, "b"): 3, (3, "c"): 2, (3, "d"): 1,
+    }
+    chosen = panel.removed_birds(birds, 10)
+    first, again = ({tuple(r) for r in f.collect()} for f in (chosen, panel.removed_birds(birds.repartition(3), 10)))
+    assert first == again and len(first) == 33
+    for (flock, stratum), n in taken.items():
+        names = sorted((f"{flock}-{stratum}-{i}" for i in range(sizes[flock][stratum])), key=lambda b: hashlib.md5(b.encode()).hexdigest())
+        assert {b for _, f, k, b in first if (f, k) == (flock, stratum)} == set(names[:n])

@@ -95,6 +95,84 @@ def test_state_is_cleared_after_the_round(spark, tmp_path):
     assert flocks() == 0
 
 
+def round_alarms(spark, folder, tmp_path, rounds, rule, name="rounds", **options):
+    stream.with_rocksdb(spark)
+    alarms = stream.stream_rounds(spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(folder), rounds, rule, **options)
+    stream.run_until_drained(alarms, str(tmp_path / f"{name}-out"), str(tmp_path / name))
+    return spark.read.schema(alarms.schema).parquet(str(tmp_path / f"{name}-out"))
+
+
+SMALL = stream.AlarmRule(1000, 0.01, 6, 250, last_day=9)
+
+
+def batch_rounds(spark, rows, rounds, rule=SMALL):
+    """Batch alarm over every day of every round of a feed (ts, scenario, simu_id, deaths)."""
+    days = rounds.selectExpr(*FLOCK, "start", f"explode(sequence(0, {rule.last_day})) AS day").selectExpr("*", "date_add(start, day) AS date")
+    per_day = rows.groupBy(*FLOCK, F.to_date("ts").alias("date")).agg(F.sum("deaths").alias("n"))
+    named = days.join(per_day, [*FLOCK, "date"], "left").fillna(0, "n").withColumn("scenario", F.concat_ws("|", "scenario", "start"))
+    so_far = "OVER (PARTITION BY scenario, simu_id ORDER BY day)"
+    counted = named.selectExpr(
+        *FLOCK, "day", f"CAST(sum(n) {so_far} AS BIGINT) AS cum_mort",
+        f"IF(day >= {rule.thinning_time}, {rule.thinning_number}, 0) AS cum_thinning", f"{rule.trigger}D AS treatment_trigger",
+    )
+    alarmed = panel.mortality_alarm(panel.daily_mortality(counted, rule.initial_birds))
+    return {tuple(r) for r in alarmed.filter("day = alarm_day").select(*FLOCK, "day").collect()}
+
+
+def two_rounds(spark, tmp_path):
+    """Forty days of deaths of five flocks; each has two rounds of ten days, at its own dates."""
+    rows = spark.range(200).selectExpr(
+        "timestampadd(HOUR, CAST(id % 24 AS INT), timestampadd(DAY, CAST(id DIV 5 AS INT), TIMESTAMP '2024-01-01')) AS ts",
+        "'a' AS scenario", "id % 5 AS simu_id", "CAST(IF(hash(id) % 5 = 0, 25, abs(hash(id)) % 7) AS INT) AS deaths",
+    )
+    rounds = spark.range(10).selectExpr("'a' AS scenario", "id % 5 AS simu_id", "date_add(DATE '2024-01-02', CAST(id % 5 + 15 * (id DIV 5) AS INT)) AS start")
+    folder = str(tmp_path / "feed")
+    for first in (1, 15, 26):
+        last = {1: 14, 15: 25, 26: 40}[first]
+        rows.filter(F.date_diff("ts", F.lit("2023-12-31")).between(first, last)).coalesce(1).write.mode("append").parquet(folder)
+    late = spark.sql("SELECT TIMESTAMP '2024-05-01' AS ts, 'z' AS scenario, 1L AS simu_id, 1 AS deaths")
+    late.coalesce(1).write.mode("append").parquet(folder)
+    return rows, rounds, folder
+
+
+def test_rounds_of_a_flock_equal_batch(spark, tmp_path):
+    rows, rounds, folder = two_rounds(spark, tmp_path)
+    assert stream.overlapping_rounds(rounds, SMALL).count() == 0
+    found = round_alarms(spark, folder, tmp_path, rounds, SMALL)
+    expected = batch_rounds(spark, rows, rounds)
+    assert {(f"{r.scenario}|{r.start}", r.simu_id, r.day) for r in found.collect()} == expected
+    assert len({(s.split("|")[1], i) for s, i, _ in expected}) > 5, "alarms in both rounds"
+    closer = rounds.union(spark.sql("SELECT 'a', 0L, DATE '2024-01-11'"))
+    assert sorted(str(r.start) for r in stream.overlapping_rounds(closer, SMALL).collect()) == ["2024-01-11", "2024-01-17"]
+
+
+def test_rounds_go_on_from_a_batch_state(spark, tmp_path):
+    rows, rounds, folder = two_rounds(spark, tmp_path)
+    expected = batch_rounds(spark, rows, rounds)
+    # The batch job knows the days up to 7 January; the feed begins on the 8th.
+    cut = "2024-01-08"
+    early = batch_rounds(spark, rows.filter(F.col("ts") < cut), rounds)
+    begun = rounds.filter(F.col("start") < cut).join(rows.filter(F.col("ts") < cut), FLOCK, "left").groupBy(*FLOCK, "start").agg(
+        F.coalesce(F.sum(F.when(F.to_date("ts") >= F.col("start"), F.col("deaths"))), F.lit(0)).alias("cum_mort")
+    )
+    names = [(s, i) for s, i, _ in early]
+    known = spark.createDataFrame([(s.split("|")[0], i, s.split("|")[1]) for s, i in names] or [("", 0, "2024-01-01")], "scenario string, simu_id long, start string")
+    begun = begun.join(known.selectExpr("scenario", "simu_id", "CAST(start AS DATE) AS start", "true AS alarmed"), [*FLOCK, "start"], "left").fillna(False, "alarmed")
+    rest = str(tmp_path / "rest")
+    spark.read.schema(SCHEMA).parquet(folder).filter(F.col("ts") >= cut).coalesce(1).write.parquet(rest)
+    later = round_alarms(spark, rest, tmp_path, rounds, SMALL, name="later", begun=begun)
+    found = {(f"{r.scenario}|{r.start}", r.simu_id, r.day) for r in later.collect()}
+    assert early and found | early == expected and not found & early
+
+
+def test_nothing_after_the_last_day(spark, tmp_path):
+    folder = str(tmp_path / "feed")
+    # Day 12 is 1 January, so day 42 is 31 January; an alarm before, and many deaths long after.
+    feed_rows(spark, [("2024-01-02 08:00:00", 1, 70), ("2024-02-20 08:00:00", 1, 900)]).coalesce(1).write.parquet(folder)
+    feed_rows(spark, [("2024-03-20 08:00:00", 2, 900), ("2024-05-20 08:00:00", 9, 1)]).coalesce(1).write.mode("append").parquet(folder)
+    assert [(r["simu_id"], r["day"]) for r in run(spark, folder, tmp_path, per_trigger=1).collect()] == [(1, 13)]
+
+
 class Session:
     """The two things that ``shared_dir`` asks a session for."""
 
