@@ -1,17 +1,20 @@
 """Personal data: base patterns, and bootstrapped contextual extraction, with DataFrame functions only.
 
-Seeds are the tokens that a base pattern covers, with or without a digit. The word before a token is its lexical
-pattern. Patterns and token values form a bipartite graph; a pattern scores by the share
-of its distinct values that are personal. All tokens after patterns of high confidence that no base pattern
-knows are reported as further spans, and count as seeds of the next round, wherever they are.
-
-One pass over the texts writes spans and seeds to the shared folder. Each round reads the tokens after the patterns that
-have enough seeds and, if it finds new values, the words before those. A last pass finds the tokens after the patterns
-that scored high, and documents with such are read once more for the places. So the part of the graph that no seed touches is never shuffled.
+Seeds are the tokens that a base pattern covers, with or without a digit. The lexical pattern of a token is the two words before
+it, or the one before it if that ends like a label (``contact:``, ``id=``). Patterns and token values form a bipartite
+graph; a pattern scores by the share of its distinct values, plain words among them, that are personal. All tokens after patterns of
+high confidence that no base pattern knows are reported as further spans, and count as seeds of the next round, wherever they are.
+
+One pass over the texts writes spans, seeds, and the edges of all tokens that are no plain words, as pairs of hashes; the rounds run on that
+table. Another pass counts the plain words after the patterns that may be good, and if any is good a last one finds the
+places. Patterns go to these passes as sets of a bounded size, one pass per block of them, so the texts are never shuffled.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,11 +31,13 @@ KINDS = ("email", "ip", "card", "phone", "context")
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 #: The value in a token: from its first letter or digit to its last.
 CORE = r"(?s)[\p{L}\p{N}](?:.*[\p{L}\p{N}])?"
-#: A value that is not a plain word.
-OTHER = r"[^\p{L}]"
+#: A token whose value is not a plain word: it has a digit, or letters on both sides of something else.
+OTHER = r"\p{N}|\p{L}[^\p{L}\p{N}]+\p{L}"
+LABEL = (":", "=")
 WHITE = " \t\n\x0b\f\r"
 PAIRS = "array<struct<pattern:string,value:string>>"
-FEW = 100_000  # rows that may go to all tasks
+EDGES = "array<struct<p:bigint,v:bigint>>"
+BLOCK = 10_000  # patterns that one pass over the texts looks for
 
 
 def _digits(value: Column) -> Column:
@@ -110,22 +115,67 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
 
 
+def _pattern(second: Column, first: Column) -> Column:
+    """The pattern that two words make, the nearer one last; without one before it, a word follows the start of the text."""
+    label = F.lit(False)
+    for end in LABEL:
+        label = label | first.endswith(end)
+    return F.when(label, first).otherwise(F.concat(F.coalesce(second, F.lit("^")), F.lit(" "), first))
+
+
+def _bound(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once, however often it occurs."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _last_word(text: Column) -> Column:
+    return F.substring_index(text, " ", -1)
+
+
+def _without_last(text: Column) -> Column:
+    return F.rtrim(F.substring(text, F.lit(1), F.char_length(text) - F.char_length(_last_word(text))))
+
+
 def _seeds(flat: Column, span: Column) -> Column:
     """(pattern, value) of each token that a span touches; ``flat`` is the text with blanks as its only white space."""
     left = F.substring(flat, F.lit(1), span["start"])
-    head = F.substring_index(left, " ", -1)
-    before = F.substring_index(F.rtrim(F.substring(left, F.lit(1), F.char_length(left) - F.char_length(head))), " ", -1)
     inside = F.substring(flat, span["start"] + 1, span["end"] - span["start"])
     tail = F.substring_index(F.substring(flat, span["end"] + 1, F.char_length(flat)), " ", 1)
-    words = F.split(F.lower(F.concat(before, F.lit(" "), head, inside, tail)), " +")
-    return F.zip_with(
-        F.slice(words, F.lit(1), F.size(words) - 1), F.slice(words, F.lit(2), F.size(words) - 1),
-        lambda p, w: F.named_struct(F.lit("pattern"), p, F.lit("value"), F.regexp_extract(w, CORE, 0)),
-    ).cast(PAIRS)
+
+    def pairs(before: Column) -> Column:
+        first, second = _last_word(before), _last_word(_without_last(before))
+        line = F.lower(F.concat(second, F.lit("  "), first, F.lit("  "), _last_word(left), inside, tail))
+        return _bound(F.split(line, "  | +"), lambda w: F.transform(
+            F.sequence(F.lit(2), F.size(w) - 1),
+            lambda i: F.named_struct(
+                F.lit("pattern"), F.when(F.get(w, i - 1) != "", _pattern(F.nullif(F.get(w, i - 2), F.lit("")), F.get(w, i - 1))),
+                F.lit("value"), F.regexp_extract(F.get(w, i), CORE, 0),
+            ),
+        ))
+
+    return _bound(_without_last(left), pairs).cast(PAIRS)
+
+
+def _words(flat: Column) -> Column:
+    return F.split(F.lower(F.trim(flat)), " +")
+
+
+def _edge(words: Column, i: Column) -> Column:
+    return F.named_struct(
+        F.lit("p"), F.xxhash64(_pattern(F.get(words, i - 2), F.get(words, i - 1))),
+        F.lit("v"), F.xxhash64(F.regexp_extract(F.get(words, i), CORE, 0)),
+    )
+
+
+def _edges(words: Column) -> Column:
+    """Hashes of (pattern, value) of all tokens that are no plain words."""
+    return _bound(words, lambda w: F.transform(
+        F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: (i > 0) & F.get(w, i).rlike(OTHER)), lambda i: _edge(w, i)
+    )).cast(EDGES)
 
 
 def read(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, key of the text, base spans, and seeds: (pattern, value) of every token that a base span touches."""
+    """doc_id, key of the text, base spans, seeds: (pattern, value) of every token that a base span touches, and edges."""
     text = F.col("text")
     digit = text.rlike("[0-9]")
     at, plus, dot = F.contains(text, F.lit("@")), F.contains(text, F.lit("+")), F.contains(text, F.lit("."))
@@ -136,88 +186,117 @@ def read(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         "phone": _spans(_places(text, PHONE, F.col("_digit") & plus), 3, _is_phone),
     }
     base = _rows(docs, id_col, text_col).withColumn("_digit", digit).select(
-        "doc_id", "key", *(s.alias(k) for k, s in spans.items()), F.translate("text", WHITE, " " * len(WHITE)).alias("flat"),
+        "doc_id", "key", *(s.alias(k) for k, s in spans.items()), _flat("text").alias("flat"),
     ).withColumn("base", F.concat("email", "ip", "card", "phone"))
     seeds = F.array_distinct(F.flatten(F.transform("base", lambda s: _seeds(F.col("flat"), s))))
-    return base.select("doc_id", "key", "base", seeds.alias("seeds"))
+    return base.select("doc_id", "key", "base", seeds.alias("seeds"), F.array_distinct(_edges(_words(F.col("flat")))).alias("edges"))
+
+
+def _flat(text: str) -> Column:
+    return F.translate(text, WHITE, " " * len(WHITE))
+
 
+def _blocks(patterns: DataFrame) -> Iterator[list[int]]:
+    """The hashes ``p`` in blocks of about BLOCK; each block is one query set over all texts."""
+    n = -(-patterns.count() // BLOCK)
+    for block in range(n):
+        yield [r[0] for r in patterns.filter(F.pmod("p", F.lit(n)) == block).select("p").collect()]
 
-def _pairs(rows: DataFrame) -> DataFrame:
-    """(pattern, word) of every two neighbouring words, in lower case."""
-    words = rows.select(F.split(F.lower("text"), r"\s+").alias("w"))
-    return words.selectExpr("inline(arrays_zip(slice(w, 1, size(w) - 1), slice(w, 2, size(w) - 1)))").toDF("pattern", "word")
 
+def _tokens_after(block: list[int], words: Column, plain: bool) -> Column:
+    """The numbers of the tokens after patterns of a block, either the plain words or the others."""
+    def wanted(i: Column) -> Column:
+        other = F.get(words, i).rlike(OTHER)
+        return (i > 0) & F.xxhash64(_pattern(F.get(words, i - 2), F.get(words, i - 1))).isin(block) & (~other if plain else other)
 
-def _small(table: DataFrame) -> DataFrame:
-    """A written table, for all tasks if it has few rows."""
-    return F.broadcast(table) if table.count() <= FEW else table
+    return F.filter(F.sequence(F.lit(0), F.size(words) - 1), wanted)
 
 
-def _edges(rows: DataFrame, side: str, wanted: DataFrame) -> DataFrame:
-    """The distinct (pattern, value) of all tokens whose ``side`` is wanted; plain words are no values."""
-    pairs = _pairs(rows)
-    if side == "pattern":
-        pairs = pairs.join(_small(wanted), "pattern", "left_semi")
-    values = pairs.filter(F.col("word").rlike(OTHER)).select("pattern", F.regexp_extract("word", CORE, 0).alias("value"))
-    if side == "value":
-        values = values.join(_small(wanted), "value", "left_semi")
-    return values.filter((F.col("pattern") != "") & F.col("value").rlike(OTHER)).distinct()
+def _plain_edges(block: list[int]):
+    return lambda w: F.transform(_tokens_after(block, w, plain=True), lambda i: _edge(w, i))
+
+
+def _plain_words(rows: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(p, v): the distinct plain words after each pattern."""
+    parts = []
+    for block in _blocks(patterns):
+        edges = _bound(_words(_flat("text")), _plain_edges(block))
+        parts.append(checkpointed(rows.select(F.inline(F.array_distinct(edges.cast(EDGES)))).distinct()))
+    return reduce(DataFrame.union, parts) if parts else patterns.selectExpr("p", "p AS v").filter("false")
 
 
 def good_patterns(
-    rows: DataFrame, seeds: DataFrame, rounds: int, confidence: float, support: int, prior: float = 1.0
+    rows: DataFrame, found: DataFrame, rounds: int, confidence: float, support: int, prior: float = 1.0
 ) -> DataFrame:
-    """(pattern): words with ``support`` different personal values after them, which are ``confidence`` of all.
+    """(p): hashes of the patterns with ``support`` different personal values after them, which are ``confidence`` of all.
 
     The share is the number of distinct personal values over the number of distinct values plus ``prior``. After each
     round but the last the values that good patterns found are personal too, if good patterns are at
-    least ``1 - confidence`` of all words before them: a value that most contexts share says nothing.
+    least ``1 - confidence`` of all patterns before them: a value that most contexts share says nothing.
     """
-    personal = checkpointed(seeds.distinct())
+    seeds = found.filter(F.size("seeds") > 0).selectExpr("inline(seeds)").filter(F.col("pattern").isNotNull() & F.col("value").rlike(OTHER))
+    personal = checkpointed(seeds.select(F.xxhash64("pattern").alias("p"), F.xxhash64("value").alias("v")).distinct())
+    edges = checkpointed(found.filter(F.size("edges") > 0).selectExpr("inline(edges)").distinct())
+    others = edges.groupBy("p").agg(F.count("*").alias("other"))
+    plain = None  # of the patterns that may be good, once each
     good = None
     for turn in range(max(1, rounds)):
-        # A pattern with less support cannot be good; its other values need not be read.
-        supported = checkpointed(personal.groupBy("pattern").agg(F.count("*").alias("n")).filter(F.col("n") >= support))
-        edges = checkpointed(_edges(rows, "pattern", supported.select("pattern")))
-        totals = edges.groupBy("pattern").agg(F.count("*").alias("values"))
-        score = F.col("n") / (F.col("values") + prior)
-        good = checkpointed(supported.join(totals, "pattern").filter(score >= confidence).select("pattern"))
-        if turn + 1 >= rounds:
+        supported = personal.groupBy("p").agg(F.count("*").alias("n")).filter(F.col("n") >= support)
+        may = checkpointed(supported.join(others, "p").filter(F.col("n") / (F.col("other") + prior) >= confidence))
+        new = may if plain is None else may.join(plain, "p", "left_anti")
+        words = may.select("p").join(_plain_words(rows, new), "p", "left").groupBy("p").agg(F.count("v").alias("plain"))
+        words = words.join(new.select("p"), "p", "left_semi")
+        plain = checkpointed(words if plain is None else plain.union(words))
+        score = F.col("n") / (F.col("other") + F.col("plain") + prior)
+        good = checkpointed(may.join(plain, "p").filter(score >= confidence).select("p"))
+        if turn + 1 >= rounds or good.isEmpty():
             break
-        found = checkpointed(edges.join(good, "pattern", "left_semi").join(personal, ["pattern", "value"], "left_anti").select("value").distinct())
-        if found.isEmpty():
+        values = checkpointed(edges.join(good, "p", "left_semi").join(personal, ["p", "v"], "left_anti").select("v").distinct())
+        if values.isEmpty():
             break
-        around = checkpointed(_edges(rows, "value", found))
-        share = around.join(good.withColumn("good", F.lit(1)), "pattern", "left").groupBy("value").agg((F.count("good") / F.count("*")).alias("share"))
-        promoted = around.join(share.filter(F.col("share") >= 1 - confidence).select("value"), "value", "left_semi")
-        before, personal = personal.count(), checkpointed(personal.union(promoted.select("pattern", "value")).distinct())
+        around = edges.join(values, "v", "left_semi")
+        share = around.join(good.withColumn("good", F.lit(1)), "p", "left").groupBy("v").agg((F.count("good") / F.count("*")).alias("share"))
+        promoted = around.join(share.filter(F.col("share") >= 1 - confidence).select("v"), "v", "left_semi")
+        before, personal = personal.count(), checkpointed(personal.union(promoted.select("p", "v")).distinct())
         if personal.count() == before:
             break
     return good
 
 
-def _context(rows: DataFrame, good: DataFrame) -> DataFrame:
-    """(_doc, _key, context): the places of all tokens after the patterns, for documents that have any."""
-    good = _small(good)
-    words = F.split(F.lower("text"), r"\s+")
-    numbered = rows.select("doc_id", "key", words.alias("w")).selectExpr("doc_id", "key", "size(w) AS n", "posexplode(w) AS (at, pattern)")
-    numbered = numbered.filter("at < n - 1").withColumn("i", F.col("at") + 1)
-    hits = checkpointed(
-        numbered.join(good, "pattern", "left_semi").groupBy(F.col("doc_id").alias("_doc"), F.col("key").alias("_key"))
-        .agg(F.array_sort(F.collect_set("i")).alias("at"))
-    )
-    found = rows.join(_small(hits), F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("key") == F.col("_key")))
-    # Pieces are the words with the white space after them.
-    found = found.dropDuplicates(["_doc", "_key"]).select("_doc", "_key", "at", F.split("text", r"(?<=\s)(?=\S)").alias("piece"))
-    each = found.select("_doc", "_key", "piece", F.explode("at").alias("i")).select(
-        "_doc", "_key", F.char_length(F.array_join(F.slice("piece", F.lit(1), F.col("i")), "")).alias("before"),
-        F.regexp_extract(F.get("piece", F.col("i")), r"^\S+", 0).alias("word"),
-    )
-    core = F.regexp_extract("word", CORE, 0)
-    left = F.regexp_replace("word", r"^[^\p{L}\p{N}]++", "")
-    start = F.col("before") + F.char_length("word") - F.char_length(left)
-    span = F.named_struct(F.lit("start"), start, F.lit("kind"), F.lit(4), F.lit("end"), start + F.char_length(core))
-    return each.filter(core.rlike(OTHER)).groupBy("_doc", "_key").agg(F.collect_set(span).cast(SPAN).alias("context"))
+def _context(rows: DataFrame, good: DataFrame) -> DataFrame | None:
+    """(_doc, _key, context): the places of all tokens after the patterns, for documents that have any; None without patterns.
+
+    Pieces are the words with the blanks after them, so their lengths give the places; only hits look back.
+    """
+    parts = []
+    flat = rows.select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key"), _flat("text").alias("flat"))
+    for block in _blocks(good):
+        lead = F.char_length("flat") - F.char_length(F.ltrim("flat"))
+        found = flat.withColumn("_lead", lead).withColumn("context", _bound(F.split(F.ltrim("flat"), "(?<= )(?=[^ ])"), _places_after(block)))
+        shifted = F.transform("context", lambda s: F.named_struct(
+            F.lit("start"), s["start"] + F.col("_lead"), F.lit("kind"), s["kind"], F.lit("end"), s["end"] + F.col("_lead")
+        ))
+        parts.append(found.filter(F.size("context") > 0).select("_doc", "_key", shifted.cast(SPAN).alias("context")))
+    if not parts:
+        return None
+    every = reduce(DataFrame.union, parts).dropDuplicates()
+    return every.groupBy("_doc", "_key").agg(F.array_distinct(F.flatten(F.collect_list("context"))).alias("context"))
+
+
+def _places_after(block: list[int]):
+    def spans(pieces: Column) -> Column:
+        words = F.transform(pieces, lambda p: F.lower(F.rtrim(p)))
+        return _bound(words, lambda w: F.transform(_tokens_after(block, w, plain=False), lambda i: _place(pieces, i)))
+
+    return spans
+
+
+def _place(pieces: Column, i: Column) -> Column:
+    """The span of the value in a piece, counted from the first piece."""
+    word = F.rtrim(F.get(pieces, i))
+    before = F.char_length(F.array_join(F.slice(pieces, F.lit(1), i), ""))
+    start = before + F.char_length(word) - F.char_length(F.regexp_replace(word, r"^[^\p{L}\p{N}]++", ""))
+    return F.named_struct(F.lit("start"), start, F.lit("kind"), F.lit(4), F.lit("end"), start + F.char_length(F.regexp_extract(word, CORE, 0)))
 
 
 def with_personal_data(
@@ -225,18 +304,19 @@ def with_personal_data(
 ) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, n_context, base_sha256, spans for every row.
 
-    ``context`` spans are tokens, other than plain words (letters only), after a word that has at least ``support`` different personal values and at least
+    ``context`` spans are tokens, other than plain words (letters only), after a pattern that has at least ``support`` different personal values and at least
     ``confidence`` as its score. Spans are kind:start:end in code points, end exclusive, by start
     and then by kind. A missing or empty text has none. Repeated rows stay, each with the same
     result; rows without an id are kept. An empty table gives no rows.
     """
     source = _rows(docs, id_col, text_col)
     found = checkpointed(read(docs, id_col, text_col))
-    seeds = found.filter(F.size("seeds") > 0).selectExpr("inline(seeds)").filter((F.col("pattern") != "") & F.col("value").rlike(OTHER))
-    more = _context(source, good_patterns(source, seeds, rounds, confidence, support))
-    rows = found.select("doc_id", "key", "base").join(
-        more, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("key") == F.col("_key")), "left"
-    )
+    more = _context(source, good_patterns(source, found, rounds, confidence, support))
+    base = found.select("doc_id", "key", "base")
+    if more is None:
+        rows = base.withColumn("context", F.array().cast(SPAN))
+    else:
+        rows = base.join(more, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("key") == F.col("_key")), "left")
     context = F.filter(
         F.coalesce("context", F.array().cast(SPAN)),
         lambda c: ~F.exists("base", lambda s: (s["start"] < c["end"]) & (s["end"] > c["start"])),

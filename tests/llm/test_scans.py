@@ -162,9 +162,54 @@ def test_found_values_are_seeds_of_the_next_round(spark):
     assert {r.doc_id: r.spans for r in pii.with_personal_data(docs, rounds=1).collect()}[200] == ""
 
 
-def test_personal_data_is_native(messy):
-    plan = pii.read(messy)._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan and "Arrow" not in plan
+def test_common_words_are_no_patterns(spark):
+    rows = [(i, f"see the 10.0.{i}.5 host") for i in range(9)]
+    rows += [(20 + i, t) for i, t in enumerate(["the covid-19 wave", "in the mid-1990s", "after the covid-19 wave", "they see the house", "we see the old one"])]
+    rows += [(40 + i, f"we see the {w} now") for i, w in enumerate("house tree river boat hill field town road bridge".split())]
+    docs = spark.createDataFrame(rows + [(60, "see the covid-19 now")], "doc_id bigint, text string")
+    assert all(r.n_context == 0 for r in pii.with_personal_data(docs).collect())
+
+
+def test_planted_identifiers_are_found_and_other_text_is_not(spark):
+    """Identifiers of a form that no base pattern knows, in contexts of known ones; the same forms elsewhere are left alone."""
+    draw = random.Random(6)
+    common = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)]
+
+    def words(n):
+        return " ".join(draw.choice(common) for _ in range(n))
+
+    contexts = ["account owner", "reachable under", "wrote from", "e-mail:", "billed to"]
+    rows, planted = [], {}
+    for i in range(600):
+        kind = draw.random() < 0.15
+        value = f"user{i}/box{i % 9}" if kind else draw.choice([f"p{i}.x@mail{i % 7}.example.com", f"10.{i % 250}.3.{i % 99}"])
+        context = draw.choice(contexts)
+        head = f"{words(draw.randint(0, 30))} {context} "
+        rows.append((i, f"{head}{value} {words(draw.randint(0, 30))}"))
+        if kind:
+            planted[i] = f"context:{len(head)}:{len(head) + len(value)}"
+    rows += [(1000 + i, f"{words(20)} chapter{i}/part{i % 9} {words(9)} covid-{i}") for i in range(400)]
+    found = {r.doc_id: r.spans for r in pii.with_personal_data(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    reported = {(d, s) for d, spans in found.items() for s in spans.split(",") if s.startswith("context")}
+    hits = reported & set(planted.items())
+    assert len(hits) / len(planted) >= 0.95 and len(hits) / len(reported) >= 0.95
+
+
+def test_many_patterns_go_in_blocks(spark, monkeypatch):
+    rows = [(i, f"{name} at p{i}x@mail.example.com") for name in ("ask", "tell", "call", "meet", "find") for i in range(12)]
+    docs = spark.createDataFrame([*rows, (90, " ask at me/17, \n call at  you/18 find at no one")], "doc_id bigint, text string")
+    whole = sorted(map(str, pii.with_personal_data(docs).collect()))
+    assert any("context:8:13,context:26:32" in r for r in whole)
+    monkeypatch.setattr(pii, "BLOCK", 2)
+    assert sorted(map(str, pii.with_personal_data(docs).collect())) == whole
+
+
+def test_personal_data_is_native(spark, messy):
+    one = spark.createDataFrame([(1,)], "p bigint")
+    source = pii._rows(messy, "doc_id", "text")
+    for frame in (pii.read(messy), pii._context(source, one), pii._plain_words(source, one), pii.with_personal_data(messy)):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Arrow" not in plan
 
 
 def test_personal_data_of_an_empty_table(nothing):
