@@ -6,7 +6,7 @@ graph; a pattern scores by the share of its distinct values, plain words among t
 high confidence that no base pattern knows are reported as further spans, and count as seeds of the next round, wherever they are.
 
 One pass over the texts writes spans, seeds, and the edges of all tokens that are no plain words, as pairs of hashes; the rounds run on that
-table. Another pass counts the plain words after the patterns that may be good, and if any is good a last one finds the
+table. Another pass, in parts, counts the plain words after the patterns that may be good, and if any is good a last one finds the
 places. Patterns go to these passes as sets of a bounded size, one pass per block of them, so the texts are never shuffled.
 """
 
@@ -38,6 +38,7 @@ WHITE = " \t\n\x0b\f\r"
 PAIRS = "array<struct<pattern:string,value:string>>"
 EDGES = "array<struct<p:bigint,v:bigint>>"
 BLOCK = 10_000  # patterns that one pass over the texts looks for
+PARTS = ((0, 1), (1, 8), (8, 64))  # sixty-fourths of the texts in which patterns are tried
 
 
 def _digits(value: Column) -> Column:
@@ -225,6 +226,21 @@ def _plain_words(rows: DataFrame, patterns: DataFrame) -> DataFrame:
     return reduce(DataFrame.union, parts) if parts else patterns.selectExpr("p", "p AS v").filter("false")
 
 
+def _scored(rows: DataFrame, patterns: DataFrame, confidence: float, prior: float) -> DataFrame:
+    """(p, n, other, plain) of the patterns that score ``confidence`` or more, with all plain words after them.
+
+    The texts are read in three parts, by a hash: more texts only add words, so a pattern that falls below the confidence in
+    the first texts is done with, and the words after common patterns are not gathered from all of them.
+    """
+    alive, seen = patterns.select("p", "n", "other"), None
+    for first, end in PARTS:
+        words = _plain_words(rows.filter(F.pmod("key", F.lit(PARTS[-1][1])).between(first, end - 1)), alive)
+        seen = words if seen is None else seen.join(alive.select("p"), "p", "left_semi").union(words).distinct()
+        counted = alive.select("p", "n", "other").join(seen.groupBy("p").agg(F.count("*").alias("plain")), "p", "left").fillna(0, "plain")
+        alive = checkpointed(counted.filter(F.col("n") / (F.col("other") + F.col("plain") + prior) >= confidence))
+    return alive
+
+
 def good_patterns(
     rows: DataFrame, found: DataFrame, rounds: int, confidence: float, support: int, prior: float = 1.0
 ) -> DataFrame:
@@ -238,17 +254,15 @@ def good_patterns(
     personal = checkpointed(seeds.select(F.xxhash64("pattern").alias("p"), F.xxhash64("value").alias("v")).distinct())
     edges = checkpointed(found.filter(F.size("edges") > 0).selectExpr("inline(edges)").distinct())
     others = edges.groupBy("p").agg(F.count("*").alias("other"))
-    plain = None  # of the patterns that may be good, once each
-    good = None
+    plain = good = None  # the plain words after good patterns are counted once; a pattern that was good stays so
     for turn in range(max(1, rounds)):
         supported = personal.groupBy("p").agg(F.count("*").alias("n")).filter(F.col("n") >= support)
         may = checkpointed(supported.join(others, "p").filter(F.col("n") / (F.col("other") + prior) >= confidence))
-        new = may if plain is None else may.join(plain, "p", "left_anti")
-        words = may.select("p").join(_plain_words(rows, new), "p", "left").groupBy("p").agg(F.count("v").alias("plain"))
-        words = words.join(new.select("p"), "p", "left_semi")
-        plain = checkpointed(words if plain is None else plain.union(words))
-        score = F.col("n") / (F.col("other") + F.col("plain") + prior)
-        good = checkpointed(may.join(plain, "p").filter(score >= confidence).select("p"))
+        known = may.limit(0).withColumn("plain", F.lit(0).cast("bigint")) if plain is None else may.join(plain, "p")
+        new = may.join(known.select("p"), "p", "left_anti")
+        good = checkpointed(known.union(_scored(rows, new, confidence, prior)).select("p", "plain"))
+        plain = good
+        good = good.select("p")
         if turn + 1 >= rounds or good.isEmpty():
             break
         values = checkpointed(edges.join(good, "p", "left_semi").join(personal, ["p", "v"], "left_anti").select("v").distinct())
