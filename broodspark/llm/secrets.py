@@ -12,7 +12,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -59,33 +59,54 @@ def _bits(value: str) -> float:
     return -sum(n / len(value) * math.log2(n / len(value)) for n in Counter(value).values())
 
 
+def _mixed(value: str) -> bool:
+    """Whether half of a run lies in parts that mix letters with digits, or cases; parts of paths and names are words or numbers."""
+    parts = re.findall("[A-Za-z0-9]+", value)
+    mixed = [p for p in parts if not p.isalpha() and not p.isdigit() or not (p.isdigit() or p.islower() or p.isupper() or p.istitle())]
+    return 2 * sum(map(len, mixed)) >= sum(map(len, parts))
+
+
+def randoms(text: str, base: list[Span]) -> list[Span]:
+    """Random strings outside the strong findings."""
+    if max(map(len, text.split()), default=0) < 20:
+        return []
+    starts, ends, found = [s for s, _, _ in base], [], []
+    for _, _, end in base:
+        ends.append(max(end, ends[-1]) if ends else end)
+    for m in RANDOM.finditer(text):
+        before = bisect_left(starts, m.end()) - 1
+        value = m.group()
+        if (before < 0 or ends[before] <= m.start()) and _bits(value) >= 3.5 and any(map(str.isdigit, value)) and any(map(str.isalpha, value)) and _mixed(value):
+            found.append((m.start(), 3, m.end()))
+    return found
+
+
 def weak(text: str, base: list[Span]) -> list[Span]:
-    """Endpoints, and random strings outside the strong findings."""
-    found = [(m.start(), 4, m.end()) for m in ENDPOINT.finditer(text)] if "." in text or ":" in text else []
+    """Random strings and endpoints; no endpoints where no part is that could meet them."""
+    found = randoms(text, base)
     if found or any(kind == 1 for _, kind, _ in base):
-        starts, ends = [s for s, _, _ in base], []
-        for _, _, end in base:
-            ends.append(max(end, ends[-1]) if ends else end)
-        for m in RANDOM.finditer(text):
-            before = bisect_left(starts, m.end()) - 1
-            value = m.group()
-            if (before < 0 or ends[before] <= m.start()) and _bits(value) >= 3.5 and any(map(str.isdigit, value)) and any(map(str.isalpha, value)):
-                found.append((m.start(), 3, m.end()))
+        found += [(m.start(), 4, m.end()) for m in ENDPOINT.finditer(text)] if "." in text or ":" in text else []
     return sorted(found)
 
 
 def linked(base: list[Span], candidates: list[Span], reach: int) -> list[Span]:
-    """Weak parts that all the kinds they need lie within ``reach`` of; kinds are joined one by one, without pairs."""
+    """Weak parts that all the kinds they need lie within ``reach`` of; kinds are joined one by one, without pairs.
+
+    Parts that overlap do not complete each other: a path is no secret because of the address that it belongs to.
+    """
     places: dict[str, tuple[list[int], list[int]]] = {}
-    for start, kind, end in sorted([*base, *candidates]):
+    for start, kind, end in [*base, *candidates]:
         starts, ends = places.setdefault(KINDS[kind], ([], []))
         starts.append(start)
-        ends.append(max(end, ends[-1]) if ends else end)
+        ends.append(end)
+    for starts, ends in places.values():
+        starts.sort()
+        ends.sort()
 
     def meets(kind: str, start: int, end: int) -> bool:
         starts, ends = places.get(kind, ([], []))
-        before = bisect_left(starts, end + reach + 1) - 1
-        return before >= 0 and ends[before] >= start - reach
+        after, before = bisect_left(starts, end), bisect_right(ends, start) - 1
+        return after < len(starts) and starts[after] <= end + reach or before >= 0 and ends[before] >= start - reach
 
     return [
         (start, kind, end) for start, kind, end in candidates
