@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from broodspark.llm.common import checkpointed, fold
@@ -59,15 +59,36 @@ def _grams(text: Column, size: Column, length: int) -> Column:
     return F.transform(F.sequence(F.lit(1), size - (length - 1)), lambda i: F.substring(text, i, F.lit(length)))
 
 
-def _most_frequent(counts: DataFrame, group: list[str], known: int) -> DataFrame:
-    """At most ``known`` rows of each group, by a least count that is read off the histogram of counts."""
-    histogram = counts.groupBy(*group, "n").agg(F.count("*").alias("words")).toArrow().to_pandas().sort_values("n", ascending=False)
+SHARES = 1 << 16  # parts of the words of one count, by their hash
+
+
+def _most_frequent(counts: DataFrame, group: list[str], name: str, known: int) -> DataFrame:
+    """The ``known`` rows of each group with the largest counts, or all of them; of equal counts those with the least hash.
+
+    The least count is read off the histogram of counts, and where its words do not all fit, the least hashes off a
+    histogram of hashes. Only the words of one hash part per group are put in order.
+    """
+    hashed = counts.withColumn("_hash", F.xxhash64(name))
+    histogram = hashed.groupBy(*group, "n").agg(F.count("*").alias("words")).toArrow().to_pandas().sort_values("n", ascending=False)
     histogram["above"] = histogram.groupby(group)["words"].cumsum()
-    fits = histogram[histogram["above"] <= known].groupby(group)["n"].min().reset_index()
-    if not len(fits):
-        return counts.filter("false")
-    least = counts.sparkSession.createDataFrame(fits.rename(columns={"n": "least"}))
-    return counts.join(F.broadcast(least), group).filter("n >= least").drop("least")
+    over = histogram[histogram["above"] > known]
+    if not len(over):
+        return counts
+    spark = counts.sparkSession
+    border = over.loc[over.groupby(group)["n"].idxmax()].assign(left=lambda h: known - (h["above"] - h["words"]))
+    edge = F.broadcast(spark.createDataFrame(border[[*group, "n", "left"]].rename(columns={"n": "_n"})))
+    placed = hashed.join(edge, group, "left").withColumn("_part", F.pmod("_hash", F.lit(SHARES)))
+    at_edge = placed.filter("n = _n")
+    parts = at_edge.groupBy(*group, "_part", "left").agg(F.count("*").alias("words")).toArrow().to_pandas().sort_values("_part")
+    parts["above"] = parts.groupby(group)["words"].cumsum()
+    last = parts[parts["above"] >= parts["left"]].groupby(group).first().reset_index()
+    last["take"] = last["left"] - (last["above"] - last["words"])
+    cut = F.broadcast(spark.createDataFrame(last[[*group, "_part", "take"]].rename(columns={"_part": "_last"})))
+    placed = placed.join(cut, group, "left")
+    whole = placed.filter("_n IS NULL OR n > _n OR (n = _n AND _part < _last)").select(*counts.columns)
+    order = Window.partitionBy(*group).orderBy("_hash", name)
+    some = placed.filter("n = _n AND _part = _last").withColumn("_place", F.row_number().over(order)).filter("_place <= take")
+    return whole.union(some.select(*counts.columns))
 
 
 def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", use: Column | None = None, known: int = 40_000) -> dict:
@@ -96,8 +117,8 @@ def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", use: Co
         np.add.at(values, (row, place), frame["n"].to_numpy(float))
         return {"keys": keys.tolist(), "logs": np.log(values / sums).astype(np.float32)}
 
-    model = {"languages": languages, "words": table(_most_frequent(words, ["lang"], known).toArrow().to_pandas(), "word", list(totals[x] for x in languages))}
-    top = _most_frequent(grams, ["lang", "size"], known).toArrow().to_pandas()
+    model = {"languages": languages, "words": table(_most_frequent(words, ["lang"], "word", known).toArrow().to_pandas(), "word", list(totals[x] for x in languages))}
+    top = _most_frequent(grams, ["lang", "size"], "gram", known).toArrow().to_pandas()
     model["grams"] = {
         n: table(top[top["size"] == n], "gram", [gram_totals.get((x, n), 1) for x in languages]) for n in LENGTHS
     }
