@@ -140,10 +140,10 @@ def raw_score(model: dict):
     return F.pandas_udf(score, "double").asNondeterministic()
 
 
-def scored(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **options) -> DataFrame:
+def scored(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, level: float | None = None, **options) -> DataFrame:
     """(doc_id, raw, score, good) for every row, repeated rows too.
 
-    The cut is the quantile of all documents' raw scores at the level that the labels give; a
+    The cut is the quantile of all documents' raw scores at ``level``, by default the share of bad labels; a
     score of ``threshold`` or more means at or above the cut. Empty and missing texts are measured as zeros and
     scored like others. Without labels of both kinds every score is 0.5. An empty table gives no rows.
     """
@@ -151,11 +151,11 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **options
     raw = checkpointed(measured(docs).select("doc_id", raw_score(model)("x").alias("raw")))
     if model["weights"] is None:
         return raw.select("doc_id", "raw", F.lit(0.5).alias("score"), F.lit(0.5 >= threshold).alias("good"))
-    # The quantile at the level (share below the point) is the least score that is not below it.
-    cut = raw.agg(F.min(F.when(F.col("raw") >= model["point"], F.col("raw")))).first()[0]
+    share = model["bad"] if level is None else level
+    cut = raw.agg(F.percentile_approx("raw", F.lit(float(share)), F.lit(100_000))).first()[0]
     cut = model["point"] if cut is None else cut
-    level = float(np.log(threshold / (1 - threshold)))
-    score = 1 / (1 + F.exp(-((F.col("raw") - F.lit(float(cut))) + level)))
+    logit = float(np.log(threshold / (1 - threshold)))
+    score = 1 / (1 + F.exp(-((F.col("raw") - F.lit(float(cut))) + logit)))
     score = F.when(F.col("raw") >= F.lit(float(cut)), F.greatest(score, F.lit(threshold))).otherwise(
         F.least(score, F.lit(np.nextafter(threshold, 0).item()))
     )

@@ -89,12 +89,23 @@ def test_quality_on_held_out_documents(docs, labels):
 
 
 def test_the_cut_is_a_quantile_of_all_documents(docs, labels):
+    """The level decides, not a value of the score: without most of the bad documents the same share is cut off."""
     model = quality.fit(docs, labels)
     rows = quality.scored(docs, labels).collect()
-    level = np.mean([r.raw < model["point"] for r in rows])
-    cut = np.quantile([r.raw for r in rows], level, method="inverted_cdf") if level else None
-    assert abs(level - model["bad"]) < 0.03
-    assert all(r.good == (r.raw >= model["point"]) for r in rows) and cut <= min(r.raw for r in rows if r.good)
+    raw = sorted(r.raw for r in rows)
+    below = sum(not r.good for r in rows)
+    cut = min(r.raw for r in rows if r.good)
+    assert abs(below / len(rows) - model["bad"]) <= 2 / len(rows) or raw.count(cut) > 1
+    assert all(r.good == (r.raw >= cut) == (r.score >= 0.7) for r in rows)
+    shifted = docs.join(labels.filter("quality = 0 AND doc_id % 5 > 0"), "doc_id", "left_anti")
+    other = quality.scored(shifted, labels).collect()
+    share = quality.fit(shifted, labels)["bad"]
+    higher = min(r.raw for r in quality.scored(docs, labels, level=0.5).collect() if r.good)
+    assert higher > cut and share < model["bad"]
+    assert abs(sum(not r.good for r in other) / len(other) - share) <= 0.02
+    half = quality.scored(docs, labels, level=0.5).collect()
+    assert abs(sum(not r.good for r in half) / len(half) - 0.5) <= 0.02
+    assert all(r.good for r in quality.scored(docs, labels, level=0.0).collect())
 
 
 def test_parting_point():
@@ -126,6 +137,26 @@ def test_word_counts_cover_all_rows(docs):
     assert {(r.lang, r.word): r.n for r in counts} == words
 
 
+def test_the_number_of_known_words_never_falls(spark):
+    """Words of one count fill the table up to its bound, in the order of their hashes."""
+    rows = [("en", f"w{chr(97 + i % 26)}{chr(97 + i // 26)}", 1) for i in range(120)] + [("en", "often", 9), ("de", "wort", 1), ("de", "auch", 2)]
+    counts = spark.createDataFrame(rows, "lang string, word string, n bigint")
+    before = set()
+    for known in (1, 2, 60, 119, 120, 121, 130):
+        kept = language._most_frequent(counts, ["lang"], "word", known)
+        words = {r.word for r in kept.filter("lang = 'en'").collect()}
+        assert len(words) == min(known, 121) and before <= words and "often" in words
+        assert kept.filter("lang = 'de'").count() == min(known, 2)
+        before = words
+
+
+def test_language_with_the_bound_in_force(docs):
+    """A table of 150 words per language is far below the vocabulary; rare words back off."""
+    found = language.with_language(docs, known=150).select("doc_id", "lang", "language.lang").toDF("doc_id", "lang", "found").toPandas()
+    held = found[found.doc_id.map(lambda d: remainder(d, 4) == 2)]
+    assert (held.lang == held.found).mean() > 0.95
+
+
 def test_unseen_words_back_off(spark):
     docs = spark.createDataFrame(
         [(1, "the thing then this that", "en"), (2, "schnell schule schön schaf", "de")] * 3, "doc_id bigint, text string, lang string"
