@@ -5,17 +5,23 @@ it; the state after each word is the longest sequence, ending there, that some i
 Sequences of at least a window's length mark the window's words as hit, and the state of the
 window knows the items that hold it. Items shorter than a window count as one window.
 
-The items are the query set. They are read in blocks of bounded bytes; each block is one
-automaton, built in the task, and one pass over the texts. Documents are never shuffled.
+The items are the query set. They reach the tasks in blocks of bounded bytes, one broadcast each. A task
+takes some MB of texts at a time as word numbers and streams them through one block after the other: the
+automaton of a block is built, used and dropped before the next one. The driver holds one block
+at a time; an item longer than a block is cut into parts that overlap by a window less one word, so no
+window is lost. Documents are never shuffled, and read once.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Callable, Iterable, Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,6 +53,8 @@ class Automaton:
                 for n in numbers:
                     last = self._extend(last, n)
         self.shortest = min((min(len(s), window) for _, s in sequences), default=window)
+        pairs = [np.array(s[:-1], np.int64) * len(self.vocabulary) + np.array(s[1:], np.int64) for _, s in sequences]
+        self.pairs = np.unique(np.concatenate([np.zeros(0, np.int64), *pairs]))
         self.owners: list[set[str] | None] = [None] * len(self.len)
         self.whole: list[dict[int, set[str]] | None] = [None] * len(self.len)
         for item, numbers in sequences:
@@ -118,11 +126,8 @@ class Automaton:
                 state = self._window_state(state)
                 self.owners[state] = (self.owners[state] or set()) | names
 
-    def match(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
+    def match(self, numbers: list[int]) -> tuple[list[tuple[int, int]], set[str]]:
         """Hit spans of words (start, end), apart from each other and ascending, and the items hit."""
-        numbers = np.fromiter((self.vocabulary.get(w, -1) for w in words), np.int64, len(words))
-        known = np.concatenate(([False], numbers >= 0, [False]))
-        turns = np.flatnonzero(known[1:] != known[:-1])
         spans: list[tuple[int, int]] = []
         items: set[str] = set()
 
@@ -132,34 +137,101 @@ class Automaton:
                 start, end = min(start, before[0]), max(end, before[1])
             spans.append((start, end))
 
-        for start, end in zip(turns[::2].tolist(), turns[1::2].tolist(), strict=True):
-            if end - start < self.shortest:
-                continue
-            for at, (state, length) in enumerate(self._walk(numbers[start:end].tolist()), start + 1):
-                if length >= self.window:
-                    hit(at - self.window, at)
-                    items |= self.owners[self._window_state(state)] or set()
-                short = self.short_at[state]
-                while short > 0:
-                    for size, names in self.whole[short].items():
-                        if size <= length:
-                            hit(at - size, at)
-                            items |= names
-                    short = self.short_at[self.link[short]]
+        for at, (state, length) in enumerate(self._walk(numbers), 1):
+            if length >= self.window:
+                hit(at - self.window, at)
+                items |= self.owners[self._window_state(state)] or set()
+            short = self.short_at[state]
+            while short > 0:
+                for size, names in self.whole[short].items():
+                    if size <= length:
+                        hit(at - size, at)
+                        items |= names
+                short = self.short_at[self.link[short]]
         return spans, items
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> list[list[tuple[str | None, str | None]]]:
-    """The items in blocks of about ``block_bytes``; each block is one query set."""
-    rows = benchmark.select(F.col(item_col).cast("string"), F.col(text_col)).filter(F.col(text_col).isNotNull())
-    blocks, size = [[]], 0
+class Slice:
+    """Some MB of texts as word numbers, a zero before each text, and what the blocks hit in them."""
+
+    def __init__(self, texts: Iterable[str | None]) -> None:
+        numbers = count(1)
+        self.vocabulary: dict[bytes, int] = defaultdict(numbers.__next__)
+        parts = []
+        for text in texts:
+            words = words_of(text)
+            parts.append(np.fromiter(map(self.vocabulary.__getitem__, words), np.int32, len(words)))
+        self.sizes = [len(p) for p in parts]
+        self.starts = np.cumsum([0, *(n + 1 for n in self.sizes)])[:-1]
+        gap = np.zeros(1, np.int32)
+        self.numbers = np.concatenate([gap, *(x for p in parts for x in (p, gap))])
+        self.spans: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        self.items: dict[int, set[str]] = defaultdict(set)
+
+    def stream(self, automaton: Automaton) -> None:
+        """Marks what the items of the automaton hit. Stretches without a pair of neighbours of an item are not walked."""
+        table = np.full(len(self.vocabulary) + 1, -1, np.int64)
+        for word, n in automaton.vocabulary.items():
+            if word in self.vocabulary:
+                table[self.vocabulary[word]] = n
+        numbers = table[self.numbers]
+        known = numbers >= 0
+        joined = np.zeros(len(numbers), bool)  # with the word after it
+        at = np.flatnonzero(known[:-1] & known[1:])
+        pairs = automaton.pairs
+        if len(at) and len(pairs):
+            wanted = numbers[at] * len(automaton.vocabulary) + numbers[at + 1]
+            joined[at[pairs[np.minimum(np.searchsorted(pairs, wanted), len(pairs) - 1)] == wanted]] = True
+        first = np.flatnonzero(known & ~np.concatenate(([False], joined[:-1])))
+        last = np.flatnonzero(known & ~joined) + 1
+        long = last - first >= automaton.shortest
+        first, last = first[long], last[long]
+        docs = np.searchsorted(self.starts, first, side="right") - 1
+        for doc, start, end in zip(docs.tolist(), first.tolist(), last.tolist(), strict=True):
+            spans, items = automaton.match(numbers[start:end].tolist())
+            if spans:
+                offset = start - int(self.starts[doc]) - 1
+                self.spans[doc] += [(a + offset, b + offset) for a, b in spans]
+                self.items[doc] |= items
+
+    def hits(self, doc: int) -> tuple[list[tuple[int, int]], list[str]]:
+        """Spans of a text over all blocks, apart from each other and ascending, and the items."""
+        spans: list[tuple[int, int]] = []
+        for start, end in sorted(self.spans.get(doc, ())):
+            if spans and start <= spans[-1][1]:
+                spans[-1] = (spans[-1][0], max(end, spans[-1][1]))
+            else:
+                spans.append((start, end))
+        return spans, sorted(self.items.get(doc, ()))
+
+
+def _parts(text: str, window: int, block_bytes: int) -> Iterator[str]:
+    """The words of an item in parts of about ``block_bytes``; every window lies in one of them."""
+    words = words_of(text)
+    first = held = 0
+    for end, word in enumerate(words, 1):
+        held += len(word) + 1
+        if held >= block_bytes and end - first >= window and end < len(words):
+            yield b" ".join(words[first:end]).decode()
+            first, held = end - window + 1, 0
+    yield b" ".join(words[first:]).decode()
+
+
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, block_bytes: int) -> list[Broadcast]:
+    """The different items in blocks of about ``block_bytes``, one broadcast each; the driver holds one at a time."""
+    context = benchmark.sparkSession.sparkContext
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")).filter("text IS NOT NULL")
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    rows = items.repartition(1 + total // block_bytes, "item", "text").distinct()
+    blocks, block, size = [], [], 0
     for item, text in rows.toLocalIterator():
-        if size > block_bytes:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((item, text))
-        size += len(text)
-    return blocks
+        for part in _parts(text, window, block_bytes):
+            if block and size + len(part) > block_bytes:
+                blocks.append(context.broadcast(block))
+                block, size = [], 0
+            block.append((item, part))
+            size += len(part)
+    return [*blocks, context.broadcast(block)] if block else blocks
 
 
 def with_contamination(
@@ -171,6 +243,7 @@ def with_contamination(
     window: int = 13,
     coverage: float = 0.05,
     block_bytes: int = 1 << 20,
+    slice_bytes: int = 32 << 20,
     into: str = "contamination",
 ) -> DataFrame:
     """Adds a struct column: n_words, n_hit, items (sorted strings), spans (of words), contaminated, clean_text.
@@ -183,63 +256,78 @@ def with_contamination(
     without an id hit words but are not listed; items that repeat an id are listed once. An empty
     benchmark leaves all documents clean. Any other columns of the two tables are kept or ignored.
     """
-    hits = []
-    for block in _blocks(benchmark, item_col, item_text_col, block_bytes):
-        name = fresh(docs, f"_block{len(hits)}")
-        docs = docs.withColumn(name, _matcher(block, window)(text_col))
-        hits.append(name)
-    result = _merge(coverage)(F.col(text_col), F.array(*(F.col(h)["spans"] for h in hits)), F.array(*(F.col(h)["items"] for h in hits)))
-    return docs.withColumn(into, result).drop(*hits)
-
-
-def _matcher(items: list[tuple[str | None, str | None]], window: int):
-    def match(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        automaton = Automaton(items, window)
-        for batch in texts:
-            found = [automaton.match(words_of(t)) for t in batch]
-            yield pd.DataFrame({
-                "spans": [[n for span in spans for n in span] for spans, _ in found],
-                "items": [sorted(items) for _, items in found],
-            })
-
-    return F.pandas_udf(match, "spans array<int>, items array<string>").asNondeterministic()
-
-
-def _merge(coverage: float):
-    word = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
-
-    def without(text: str, spans: list[tuple[int, int]]) -> str:
-        data = text.encode()
-        places = [m.span() for m in word.finditer(data)]
-        kept, at = [], 0
-        for start, end in spans:
-            kept.append(data[at : places[start][0]])
-            at = places[end - 1][1]
-        return b"".join([*kept, data[at:]]).decode()
-
-    def merge(columns: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for texts, all_spans, all_items in columns:
+    blocks = _blocks(benchmark, item_col, item_text_col, window, block_bytes)
+    return docs.withColumn(into, _marker(blocks, window, coverage, slice_bytes)(text_col))
+
+
+_WORDS = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
+
+
+def _without(text: str, spans: list[tuple[int, int]]) -> str:
+    """The text without the words of the spans."""
+    data = text.encode()
+    places = [m.span() for m in _WORDS.finditer(data)]
+    kept, at = [], 0
+    for start, end in spans:
+        kept.append(data[at : places[start][0]])
+        at = places[end - 1][1]
+    return b"".join([*kept, data[at:]]).decode()
+
+
+def _slices(batches: Iterable[pd.Series], slice_bytes: int) -> Iterator[list[pd.Series]]:
+    held, size = [], 0
+    for texts in batches:
+        held.append(texts)
+        size += sum(len(t) for t in texts if t)
+        if size >= slice_bytes:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def mark(
+    batches: Iterable[pd.Series], automata: Callable[[], Iterable[Automaton]], coverage: float, slice_bytes: int
+) -> Iterator[pd.DataFrame]:
+    """The result of every text, batch by batch; ``automata`` gives those of all blocks, one after the other."""
+    for held in _slices(batches, slice_bytes):
+        part = Slice(text for texts in held for text in texts)
+        for automaton in automata():
+            part.stream(automaton)
+            del automaton  # before the next one is built
+        doc = 0
+        for texts in held:
             rows = []
-            for text, blocks, items in zip(texts, all_spans, all_items, strict=True):
-                n_words = len(words_of(text))
-                spans: list[tuple[int, int]] = []
-                for start, end in sorted(tuple(b[i : i + 2]) for b in blocks for i in range(0, len(b), 2)):
-                    if spans and start <= spans[-1][1]:
-                        spans[-1] = (spans[-1][0], max(end, spans[-1][1]))
-                    else:
-                        spans.append((int(start), int(end)))
-                n_hit = sum(b - a for a, b in spans)
+            for text in texts:
+                spans, items = part.hits(doc)
+                n_words, n_hit = part.sizes[doc], sum(b - a for a, b in spans)
                 rows.append((
-                    n_words, int(n_hit), sorted({i for block in items for i in block}), [{"start": a, "end": int(b)} for a, b in spans],
-                    n_hit > 0 and n_hit >= coverage * n_words, without(text, spans) if spans else None,
+                    n_words, n_hit, items, [{"start": a, "end": b} for a, b in spans],
+                    n_hit > 0 and n_hit >= coverage * n_words, _without(text, spans) if spans else None,
                 ))
+                doc += 1
             yield pd.DataFrame(rows, columns=["n_words", "n_hit", "items", "spans", "contaminated", "clean_text"])
 
+
+def _marker(blocks: list[Broadcast], window: int, coverage: float, slice_bytes: int):
+    def marked(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        # A single block serves all slices; of several, only the one in use is in memory, its text too.
+        single = [Automaton(b.value, window) for b in blocks] if len(blocks) == 1 else None
+
+        def items(block: Broadcast) -> list[tuple[str | None, str]]:
+            path = getattr(block, "_path", None)  # none if Spark encrypts its files: the value is there already
+            return block.load_from_path(path) if path else block.value
+
+        def automata() -> Iterable[Automaton]:
+            return single or (Automaton(items(b), window) for b in blocks)
+
+        yield from mark(batches, automata, coverage, slice_bytes)
+
     kind = (
         "n_words bigint, n_hit bigint, items array<string>, spans array<struct<start: bigint, end: bigint>>, "
         "contaminated boolean, clean_text string"
     )
-    return F.pandas_udf(merge, kind).asNondeterministic()
+    return F.pandas_udf(marked, kind).asNondeterministic()
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

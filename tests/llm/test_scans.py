@@ -277,9 +277,11 @@ def test_contamination_against_all_windows(spark, messy):
     benchmark = spark.createDataFrame(items, "item_id string, text string")
     rows = [(i, " - ".join([text(draw.randint(0, 20)), draw.choice(items)[1] or "", text(draw.randint(0, 9))])) for i in range(60)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    for block_bytes in (1 << 20, 8):
+    for block_bytes, slice_bytes in ((1 << 20, 1 << 20), (8, 100)):
         for table in (docs, messy):
-            marked = decontaminate.with_contamination(table, benchmark, window=6, coverage=0.3, block_bytes=block_bytes, into="found")
+            marked = decontaminate.with_contamination(
+                table, benchmark, window=6, coverage=0.3, block_bytes=block_bytes, slice_bytes=slice_bytes, into="found"
+            )
             assert marked.columns == [*table.columns, "found"]
             for r in marked.select("text", "found").collect():
                 n, hit, names = plain_hits(r.text, items, 6)
@@ -294,6 +296,43 @@ def test_contamination_against_all_windows(spark, messy):
     assert decontaminate.drop_contaminated(messy.filter("false"), benchmark).count() == 0
 
 
+def test_long_items_lose_no_window():
+    for n in (0, 1, 5, 6, 7, 40):
+        words = [f"w{i}" for i in range(n)]
+        parts = [p.split() for p in decontaminate._parts(" ".join(words), 6, 12)]
+        windows = {tuple(p[i : i + 6]) for p in parts for i in range(max(1, len(p) - 5))}
+        assert windows == {tuple(words[i : i + 6]) for i in range(max(1, n - 5))}
+        assert all(len(" ".join(p)) < 60 for p in parts)
+
+
+def test_one_automaton_at_a_time_whatever_the_number_of_blocks():
+    import gc
+    import weakref
+
+    import pandas as pd
+
+    draw = random.Random(9)
+    words = [f"w{i}" for i in range(400)]
+    items = [[(f"{b}-{i}", " ".join(draw.choices(words, k=20))) for i in range(10)] for b in range(30)]
+    texts = [" ".join([*draw.choices(words, k=30), draw.choice(draw.choice(items))[1], *draw.choices(words, k=9)]) for _ in range(200)]
+    alive, most = weakref.WeakSet(), []
+
+    def automata():
+        for block in items:
+            gc.collect()
+            most.append(len(alive))
+            automaton = decontaminate.Automaton(block, 13)
+            alive.add(automaton)
+            yield automaton
+            del automaton
+
+    batches = [pd.Series(texts[i : i + 50]) for i in range(0, 200, 50)]
+    rows = pd.concat(decontaminate.mark(batches, automata, 0.05, 10_000))
+    assert max(most) == 0 and len(most) > len(items)
+    for text, n_words, n_hit, names in zip(texts, rows.n_words, rows.n_hit, rows["items"], strict=True):
+        assert (n_words, n_hit, names) == plain_hits(text, [i for block in items for i in block], 13)
+
+
 def test_decontamination_query(spark, sf_dir):
     import duckdb
 
