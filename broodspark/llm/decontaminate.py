@@ -17,7 +17,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Callable, Iterable, Iterator
-from itertools import count
+from itertools import count, repeat
 
 import numpy as np
 import pandas as pd
@@ -152,15 +152,18 @@ class Automaton:
 
 
 class Slice:
-    """Some MB of texts as word numbers, a zero before each text, and what the blocks hit in them."""
+    """Some MB of texts as word numbers, a zero before each text, and what the blocks hit in them.
 
-    def __init__(self, texts: Iterable[str | None]) -> None:
-        numbers = count(1)
-        self.vocabulary: dict[bytes, int] = defaultdict(numbers.__next__)
+    Words are numbered from one as they come, or by ``vocabulary`` if that has all words of all blocks; others are zero.
+    """
+
+    def __init__(self, texts: Iterable[str | None], vocabulary: dict[bytes, int] | None = None) -> None:
+        self.vocabulary = defaultdict(count(1).__next__) if vocabulary is None else vocabulary
         parts = []
         for text in texts:
             words = words_of(text)
-            parts.append(np.fromiter(map(self.vocabulary.__getitem__, words), np.int32, len(words)))
+            numbers = map(self.vocabulary.__getitem__, words) if vocabulary is None else map(vocabulary.get, words, repeat(0))
+            parts.append(np.fromiter(numbers, np.int32, len(words)))
         self.sizes = [len(p) for p in parts]
         self.starts = np.cumsum([0, *(n + 1 for n in self.sizes)])[:-1]
         gap = np.zeros(1, np.int32)
@@ -170,7 +173,7 @@ class Slice:
 
     def stream(self, automaton: Automaton) -> None:
         """Marks what the items of the automaton hit. Stretches without a pair of neighbours of an item are not walked."""
-        table = np.full(len(self.vocabulary) + 1, -1, np.int64)
+        table = np.full(1 + max(self.vocabulary.values(), default=0), -1, np.int64)
         for word, n in automaton.vocabulary.items():
             if word in self.vocabulary:
                 table[self.vocabulary[word]] = n
@@ -287,11 +290,12 @@ def _slices(batches: Iterable[pd.Series], slice_bytes: int) -> Iterator[list[pd.
 
 
 def mark(
-    batches: Iterable[pd.Series], automata: Callable[[], Iterable[Automaton]], coverage: float, slice_bytes: int
+    batches: Iterable[pd.Series], automata: Callable[[], Iterable[Automaton]], coverage: float, slice_bytes: int,
+    vocabulary: dict[bytes, int] | None = None,
 ) -> Iterator[pd.DataFrame]:
     """The result of every text, batch by batch; ``automata`` gives those of all blocks, one after the other."""
     for held in _slices(batches, slice_bytes):
-        part = Slice(text for texts in held for text in texts)
+        part = Slice((text for texts in held for text in texts), vocabulary)
         for automaton in automata():
             part.stream(automaton)
             del automaton  # before the next one is built
@@ -313,6 +317,7 @@ def _marker(blocks: list[Broadcast], window: int, coverage: float, slice_bytes:
     def marked(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         # A single block serves all slices; of several, only the one in use is in memory, its text too.
         single = [Automaton(b.value, window) for b in blocks] if len(blocks) == 1 else None
+        vocabulary = {w: n + 1 for w, n in single[0].vocabulary.items()} if single else None
 
         def items(block: Broadcast) -> list[tuple[str | None, str]]:
             path = getattr(block, "_path", None)  # none if Spark encrypts its files: the value is there already
@@ -321,7 +326,7 @@ def _marker(blocks: list[Broadcast], window: int, coverage: float, slice_bytes:
         def automata() -> Iterable[Automaton]:
             return single or (Automaton(items(b), window) for b in blocks)
 
-        yield from mark(batches, automata, coverage, slice_bytes)
+        yield from mark(batches, automata, coverage, slice_bytes, vocabulary)
 
     kind = (
         "n_words bigint, n_hit bigint, items array<string>, spans array<struct<start: bigint, end: bigint>>, "
