@@ -34,7 +34,9 @@ from pyspark.sql import functions as F
 from broodspark.llm.common import slim
 
 BLOCK_BITS = 17
-BLOCK = 1 << BLOCK_BITS  # positions that are hashed at once
+BLOCK = 1 << BLOCK_BITS  # positions that the low bits of a hash have room for
+STEP = 1 << 14  # positions that are hashed at once; their arrays fit the cache of a core
+SLOT_BITS = 24  # frequent anchors are known by this many bits of their hash
 COUNTED = 4 << 20  # bytes of text in which the segments of an anchor are counted together
 NEVER = np.iinfo(np.int64).max  # the id of documents without one: never smaller than another
 _BASE = 0x9E3779B97F4A7C15
@@ -44,8 +46,8 @@ _MIX = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xBF58476D1CE4E5B9))
 def _powers() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A number per byte value, and powers of the base and of its inverse modulo 2**64."""
     table = np.random.default_rng(20).integers(0, 1 << 64, 256, dtype=np.uint64)
-    up = np.full(BLOCK + 1, _BASE, np.uint64)
-    down = np.full(BLOCK + 1, pow(_BASE, -1, 1 << 64), np.uint64)
+    up = np.full(STEP + 1, _BASE, np.uint64)
+    down = np.full(STEP + 1, pow(_BASE, -1, 1 << 64), np.uint64)
     up[0] = down[0] = 1
     return table, np.multiply.accumulate(up), np.multiply.accumulate(down)
 
@@ -71,21 +73,23 @@ def _block_segments(data: np.ndarray, piece: np.ndarray, length: int, k: int, po
     grams = n - k + 1
     hashes = _mixed((sums[k:] - sums[:grams]) * down[:grams])
     low = np.uint64(BLOCK - 1)
-    least = (hashes & ~low) | np.arange(grams, dtype=np.uint64)
+    least = hashes & ~low
+    least |= np.arange(grams, dtype=np.uint64)
     width, covered = length - k + 1, 1
     while 2 * covered <= width:
-        least = np.minimum(least[:-covered], least[covered:])
+        least = np.minimum(least[:-covered], least[covered:], out=least[:-covered])
         covered *= 2
     if covered < width:
-        least = np.minimum(least[: covered - width], least[width - covered :])
+        least = np.minimum(least[: covered - width], least[width - covered :], out=least[: covered - width])
     anchor = (least & low).astype(np.int64)
     strings = len(anchor)
     inside = piece[:strings] == piece[length - 1 :]
     starts = np.ones(strings, bool)
-    starts[1:] = (anchor[1:] != anchor[:-1]) | (piece[1:strings] != piece[: strings - 1])
-    first = np.flatnonzero(starts & inside)
+    np.not_equal(anchor[1:], anchor[:-1], out=starts[1:])
+    starts[1:] |= piece[1:strings] != piece[: strings - 1]
     stops = np.append(np.flatnonzero(starts | ~inside), strings)
-    end = stops[np.searchsorted(stops, first, side="right")]
+    turn = np.flatnonzero((starts & inside)[stops[:-1]])
+    first, end = stops[turn], stops[turn + 1]
     digest = _mixed((sums[end - 1 + length] - sums[first]) * down[first] + (end - first).astype(np.uint64))
     # Anchors are least hashes and so crowd near zero; mixed once more, they deal out evenly.
     return first, end - first, _mixed(hashes[anchor[first]]), digest
@@ -94,9 +98,11 @@ def _block_segments(data: np.ndarray, piece: np.ndarray, length: int, k: int, po
 def _segments(data: np.ndarray, ends: np.ndarray, length: int, k: int) -> list[np.ndarray]:
     """Segments of documents that end at ``ends``: first string, number of strings, anchor hash, digest, document."""
     parts, powers = [], _powers()
-    for at in range(0, max(0, len(data) - length + 1), BLOCK - length + 1):
-        block = data[at : at + BLOCK]
-        piece = np.searchsorted(ends, np.arange(at, at + len(block)), side="right")
+    for at in range(0, max(0, len(data) - length + 1), STEP - length + 1):
+        block = data[at : at + STEP]
+        low, high = np.searchsorted(ends, (at, at + len(block) - 1), side="right")
+        stops = np.minimum(ends[low : high + 1], at + len(block)) - at
+        piece = np.repeat(np.arange(low, high + 1), np.diff(stops, prepend=0))
         first, count, hashes, digest = _block_segments(block, piece, length, k, powers)
         parts.append((first + at, count, hashes, digest, piece[first]))
     empty = [np.zeros(0, t) for t in (np.int64, np.int64, np.uint64, np.uint64, np.int64)]
@@ -104,8 +110,9 @@ def _segments(data: np.ndarray, ends: np.ndarray, length: int, k: int) -> list[n
 
 
 def _divided(data: np.ndarray, segments: list[np.ndarray], length: int, frequent: np.ndarray) -> list[np.ndarray]:
-    """The segments, with one for each string where the anchor is frequent; those have a hash of anchor and string."""
-    hot = np.isin(segments[2], frequent)
+    """The segments, with one for each string where the anchor's slot is frequent; those have a hash of anchor and string."""
+    slot = segments[2] >> np.uint64(64 - SLOT_BITS)
+    hot = (frequent[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
     if not hot.any():
         return segments
     first, count, hashes, _, piece = (x[hot] for x in segments)
@@ -142,14 +149,24 @@ def _counts(batches: Iterator[pa.RecordBatch], length: int, k: int) -> Iterator[
 
 
 def frequent_anchors(source: DataFrame, length: int, k: int, most: int) -> np.ndarray:
-    """Hashes of the anchors with more than ``most`` different segments, added up over parts of the text.
+    """Bits of the slots of hashes in which an anchor has more than ``most`` different segments; empty if none has.
 
-    A segment counts once per part, and one that is alone with its anchor there does not. So a few more
-    or fewer anchors may be divided; this moves work only, as all groups divide the same ones.
+    The bits are 2 MB however many anchors are frequent; another anchor of such a slot is divided too. Segments are
+    added up over parts of the text: one counts once per part, and one that is alone with its anchor there does not. So a few
+    more or fewer anchors may be divided; all this moves work only, as all groups divide the same ones.
     """
     parts = source.select("text").mapInArrow(lambda batches: _counts(batches, length, k), "anchor bigint, n bigint")
-    rows = parts.groupBy("anchor").agg(F.sum("n").alias("n")).filter(F.col("n") > most).select("anchor").collect()
-    return np.sort(np.array([r.anchor for r in rows], np.int64).view(np.uint64))
+    page = 1 << 15  # bits of a bitmap of Spark
+    slots = parts.groupBy("anchor").agg(F.sum("n").alias("n")).filter(F.col("n") > most).select(
+        F.shiftrightunsigned("anchor", 64 - SLOT_BITS).alias("slot")
+    )
+    pages = slots.groupBy(F.floor(F.col("slot") / page).alias("page")).agg(F.bitmap_construct_agg(F.col("slot") % page).alias("bits")).collect()
+    if not pages:
+        return np.zeros(0, np.uint8)
+    bits = np.zeros((1 << SLOT_BITS) // 8, np.uint8)
+    for row in pages:
+        bits[row.page * page // 8 :][: page // 8] = np.frombuffer(row.bits, np.uint8)
+    return bits
 
 
 class Group:
