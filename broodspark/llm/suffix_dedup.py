@@ -14,8 +14,9 @@ all bytes so far. So the collection is first divided without losing a match:
 - Documents are dealt into groups of bounded size. A group sends each distinct segment once, as a digest with
   its least document id, so a passage with very many copies sends one entry per group.
 - A range of anchor hashes sees all digests. Where one digest is all there is, its least id is the answer. Where
-  different segments share an anchor, one copy of each is asked for, and the column-wise construction
-  orders all their suffixes. Runs with common prefixes of ``length`` or more are equal strings.
+  different segments share an anchor, one copy of each is asked for. Those that share with another one a stretch
+  nearly as long as a string go to the column-wise construction, which orders all their suffixes;
+  the others cannot share a string. Runs with common prefixes of ``length`` or more are equal strings.
 - The answers go back to the groups as one bit per string, and each group finishes its documents.
 
 Digests are 64 bits within equal anchor hashes. The arrays of a collection stay in memory, as a
@@ -37,6 +38,7 @@ BLOCK_BITS = 17
 BLOCK = 1 << BLOCK_BITS  # positions that the low bits of a hash have room for
 STEP = 1 << 14  # positions that are hashed at once; their arrays fit the cache of a core
 SLOT_BITS = 24  # frequent anchors are known by this many bits of their hash
+SLACK = 8  # bytes by which stretches that segments must share are shorter than a string
 COUNTED = 4 << 20  # bytes of text in which the segments of an anchor are counted together
 NEVER = np.iinfo(np.int64).max  # the id of documents without one: never smaller than another
 _BASE = 0x9E3779B97F4A7C15
@@ -301,6 +303,58 @@ def least_ids(segments: list[bytes], ids: np.ndarray, length: int, width: int) -
     return least
 
 
+def _neighbours(data: np.ndarray, n: int, powers: tuple[np.ndarray, ...]) -> np.ndarray:
+    """The sum that hashes every ``n`` neighbouring bytes, by doubling; the last n - 1 mean nothing."""
+    table, up, _ = powers
+    part, width, total, done = table[data], 1, np.zeros(len(data), np.uint64), 0
+    while width <= n:
+        if n & width:
+            total[: len(total) - done] += part[done:] * up[done]
+            done += width
+        longer = part.copy()
+        longer[:-width] += part[width:] * up[width]
+        part, width = longer, 2 * width
+    return total
+
+
+def may_share(segments: list[bytes], anchor: np.ndarray, length: int, k: int) -> np.ndarray:
+    """Which segments may share a string of ``length`` bytes with another one of the same anchor; never says no wrongly.
+
+    Equal strings have their anchor at the same place. The anchor is the least gram of its segment, and stretches
+    around it that are at most SLACK bytes shorter than a string lie so that every string holds one of them.
+    """
+    kept = np.zeros(len(segments), bool)
+    if not len(segments):
+        return kept
+    powers, slack = _powers(), min(SLACK, length - k)
+    data = np.frombuffer(b"".join(segments), np.uint8)
+    sizes = np.array([len(s) for s in segments], np.int64)
+    starts = np.cumsum(sizes) - sizes
+    low = np.uint64(BLOCK - 1)
+    place = np.arange(len(data)) - np.repeat(starts, sizes)
+    least = _mixed(_neighbours(data, k, powers)) & ~low | place.astype(np.uint64)
+    least[place + k > np.repeat(sizes, sizes)] = ~np.uint64(0)
+    at = (np.minimum.reduceat(least, starts) & low).astype(np.int64)
+    size = length - slack
+    stretches = _neighbours(data, size, powers)
+    for before in sorted({min(b, size - k) for b in range(0, length - k + 1, slack + 1)}):
+        some = np.flatnonzero((at >= before) & (at - before + size <= sizes))
+        key = stretches[starts[some] + at[some] - before]
+        order = np.lexsort((key, anchor[some]))
+        some, key = some[order], key[order]
+        same = (anchor[some[1:]] == anchor[some[:-1]]) & (key[1:] == key[:-1])
+        kept[some[1:][same]] = kept[some[:-1][same]] = True
+    return kept
+
+
+def _whole_anchors(anchor: np.ndarray, batch: int) -> list[tuple[int, int]]:
+    """Parts of about ``batch`` segments that hold whole anchors; larger anchors than ``most`` were divided."""
+    cuts = [0]
+    while cuts[-1] < len(anchor):
+        cuts.append(int(np.searchsorted(anchor, anchor[min(cuts[-1] + batch, len(anchor)) - 1], side="right")))
+    return list(zip(cuts, cuts[1:], strict=False))
+
+
 def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
@@ -432,19 +486,19 @@ def with_kept_bytes(
                 for entry, size in zip(np.frombuffer(row["entries"], np.uint32).tolist(), row["sizes"], strict=True):
                     content[row["g"], entry] = row["data"][at : at + size]
                     at += size
-            rows = np.flatnonzero(bucket.mixed)
+            texts = [content[g, e] for g, e in zip(bucket.group[wanted].tolist(), bucket.entry[wanted].tolist(), strict=True)]
             anchor = bucket.anchor[wanted]
-            # Whole anchors only, about ``batch`` distinct segments at a time; larger anchors than ``most`` were divided.
-            cuts, at = [0], 0
-            while at < len(wanted):
-                at = int(np.searchsorted(anchor, anchor[min(at + batch, len(wanted)) - 1], side="right"))
-                cuts.append(at)
+            shared = np.concatenate([may_share(texts[a:b], anchor[a:b], length, k) for a, b in _whole_anchors(anchor, 8 * batch)])
+            # The strings of the others are known by the digest of their segment alone.
+            turn = np.flatnonzero(shared)
+            wanted, anchor = wanted[turn], anchor[turn]
+            chosen = np.zeros(len(earliest), bool)
+            chosen[bucket.kind[wanted]] = True
+            rows = np.flatnonzero(chosen[bucket.kind])
             bits = np.uint64(1) << np.arange(width, dtype=np.uint64)
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                part = wanted[a:b]
-                texts = [content[g, e] for g, e in zip(bucket.group[part].tolist(), bucket.entry[part].tolist(), strict=True)]
-                kinds = bucket.kind[part]
-                least = least_ids(texts, earliest[kinds], length, width)
+            for a, b in _whole_anchors(anchor, batch):
+                kinds = bucket.kind[wanted[a:b]]
+                least = least_ids([texts[t] for t in turn[a:b].tolist()], earliest[kinds], length, width)
                 own = rows[np.searchsorted(bucket.anchor[rows], anchor[a]) : np.searchsorted(bucket.anchor[rows], anchor[b - 1], side="right")]
                 local = np.searchsorted(kinds, bucket.kind[own])
                 for i in range(0, len(own), 1 << 16):

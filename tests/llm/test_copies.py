@@ -219,6 +219,29 @@ def test_column_wise_order():
         assert common[i] == n
 
 
+@pytest.mark.parametrize(("length", "k"), [(50, 16), (20, 8), (12, 5), (9, 8)])
+def test_only_segments_that_share_no_string_stay_out_of_the_order(length, k):
+    import pyarrow as pa
+
+    draw = random.Random(length)
+    parts = ["".join(draw.choice("abcd ") for _ in range(draw.randint(5, 90))) for _ in range(40)]
+    texts = ["".join(draw.choice(parts)[draw.randint(0, 4) :] for _ in range(12)) for _ in range(150)]
+    group = suffix_dedup.Group(pa.table({"doc_id": pa.array(range(150), pa.int64()), "text": pa.array(texts)}), length, k)
+    data = group.data.tobytes()
+    segments = [data[a : a + n + length - 1] for a, n in zip(group.first[group.sample].tolist(), group.count[group.sample].tolist(), strict=True)]
+    anchor = np.unique(group.hashes, return_inverse=True)[1]
+    kept = suffix_dedup.may_share(segments, anchor, length, k)
+    holders = {}
+    for n, (segment, a) in enumerate(zip(segments, anchor.tolist(), strict=True)):
+        for i in range(len(segment) - length + 1):
+            holders.setdefault((a, segment[i : i + length]), set()).add(n)
+    shared = {n for some in holders.values() if len(some) > 1 for n in some}
+    found = set(np.flatnonzero(kept).tolist())
+    assert shared and shared <= found
+    assert len(found) < len(segments) or length < 12
+    assert not suffix_dedup.may_share([], anchor[:0], length, k).any()
+
+
 def test_kept_bytes_of_an_empty_table(nothing):
     assert run_kept(nothing) == []
 
