@@ -3,8 +3,7 @@
 Every labelled good document is preferred to every labelled bad one; a bounded number of such pairs
 is drawn for each document. The loss is logistic on the difference of the features of a
 pair, so the model learns an order. The cut is a quantile of the scores of all documents; its level is
-the share of them that lies below the point where the sample has the fewest labels on the wrong
-side. A logistic curve through that cut gives scores from 0 to 1.
+the share of bad labels. A logistic curve through that cut gives scores from 0 to 1.
 """
 
 from __future__ import annotations
