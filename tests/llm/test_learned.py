@@ -1,9 +1,12 @@
 """Toxicity, quality and language: held-out accuracy, the method's own promise, and odd tables."""
 
+import math
 import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from broodspark.llm import language, quality, toxicity
@@ -176,3 +179,104 @@ def test_language_of_a_messy_table(messy, nothing):
     assert language.with_language(nothing).count() == 0
     unlearned = language.with_language(messy.withColumn("lang", F.lit(None).cast("string")), into="p")
     assert {r.p.lang for r in unlearned.select("p").collect()} == {"und"}
+
+
+def plain_words(text):
+    """Letters of words: a to z, and all that is not ASCII."""
+    return "".join(c if "a" <= c <= "z" or c > "\x7f" else " " for c in (text or "").lower()).split(" ")
+
+
+def test_toxicity_scores_equal_a_plain_version(docs, labels, messy):
+    model = toxicity.fit(docs, labels)
+
+    def plain(text):
+        counts = Counter()
+        for word in filter(None, plain_words(text)):
+            data = word.encode()
+            sizes = [n for n in (4, 5) if len(data) > n]
+            counts.update([xxhash.xxh32(data).intdigest(), *(xxhash.xxh32(data[:n], seed=n).intdigest() for n in sizes)])
+        total = model["base"] + sum(math.log(1 + n) * model["weights"].get(k, 0.0) for k, n in counts.items())
+        return 1 / (1 + math.exp(-total))
+
+    for table in (docs, messy):
+        rows = toxicity.with_score(docs, labels).collect() if table is docs else messy.select("text", toxicity.score_column(model)("text").alias("score")).collect()
+        assert len(rows) == table.count()
+        assert max(abs(r.score - plain(r.text)) for r in rows) < 1e-9
+
+
+def test_quality_scores_equal_a_plain_version(docs, labels):
+    model = quality.fit(docs, labels)
+    texts = defaultdict(list)
+    for r in docs.select("doc_id", "text").collect():
+        texts[r.doc_id].append(r.text or "")
+
+    def plain(text):
+        x = quality.measures(text)
+        wide = [*x, *(max(0.0, a - k) for knots in model["knots"].tolist() for a, k in zip(x, knots, strict=True))]
+        return sum((v - c) / s * w for v, c, s, w in zip(wide, model["centre"], model["spread"], model["weights"], strict=True))
+
+    rows = quality.scored(docs, labels).collect()
+    assert Counter(r.doc_id for r in rows) == Counter({d: len(t) for d, t in texts.items()})
+    assert all(min(abs(r.raw - plain(t)) for t in texts[r.doc_id]) < 1e-6 for r in rows)
+    raw = sorted(r.raw for r in rows)
+    cut = raw[max(0, math.ceil(model["bad"] * len(raw)) - 1)]  # the least score that so many do not exceed
+    for r in rows:
+        curve = 1 / (1 + math.exp(-(r.raw - cut + math.log(0.7 / 0.3))))
+        assert abs(r.score - curve) < 1e-9 and r.good == (r.raw >= cut) == (r.score >= 0.7)
+    good = {r.doc_id for r in labels.collect() if r.quality == 1}
+    bad = {r.doc_id for r in labels.collect() if r.quality == 0}
+    ranks = {r.doc_id: r.raw for r in rows}
+    pairs = [(ranks[a], ranks[b]) for a in good for b in bad if a in ranks and b in ranks]
+    assert sum(a > b for a, b in pairs) > 0.98 * len(pairs)
+
+
+def test_languages_equal_a_plain_version(docs):
+    learned = [r for r in docs.select("doc_id", "text", "lang").collect() if r.lang is not None and remainder(r.doc_id, 4) != 2]
+    words, grams = defaultdict(Counter), defaultdict(Counter)
+    for r in learned:
+        words[r.lang].update(filter(None, plain_words(r.text)))
+    names = sorted(lang for lang in words if words[lang])
+    for lang in names:
+        for word, n in words[lang].items():
+            for size in (1, 2, 3, 4):
+                marked = f"<{word}>"
+                for i in range(len(marked) - size + 1):
+                    grams[lang, size][marked[i : i + size]] += math.sqrt(n)
+    for counts in grams.values():
+        counts.update({g: math.ceil(round(n, 9)) - n for g, n in counts.items()})
+    word_totals = [words[x].total() for x in names]
+    gram_totals = {n: [round(grams[x, n].total()) for x in names] for n in (1, 2, 3, 4)}
+    known = set().union(*words.values())
+    known_grams = {n: set().union(*(grams[x, n] for x in names)) for n in (1, 2, 3, 4)}
+
+    def row(word):
+        if word in known:
+            return [math.log((words[x][word] + 0.1) / t) for x, t in zip(names, word_totals, strict=True)]
+        marked = f"<{word}>"
+        for size in (4, 3, 2, 1):
+            each = [marked[i : i + size] for i in range(len(marked) - size + 1)]
+            found = [g for g in each if g in known_grams[size]]
+            if found and 2 * len(found) >= len(each):
+                logs = [[math.log((grams[x, size][g] + 0.1) / t) for x, t in zip(names, gram_totals[size], strict=True)] for g in found]
+                return [sum(column) / len(found) for column in zip(*logs, strict=True)]
+        return [0.0] * len(names)
+
+    remembered = {}
+    rows = language.with_language(docs, known=10_000_000).select("text", "language.lang", "language.score").collect()
+    assert len(rows) == docs.count()
+    unseen = 0
+    for r in rows:
+        if not any(map(str.isalpha, r.text or "")):
+            assert (r.lang, r.score) == ("und", 0.0)
+            continue
+        total = [0.0] * len(names)
+        for word in filter(None, plain_words(r.text)):
+            unseen += word not in known
+            if word not in remembered:
+                remembered[word] = row(word)
+            total = [a + b for a, b in zip(total, remembered[word], strict=True)]
+        best = max(total)
+        share = 1 / sum(math.exp(t - best) for t in total)
+        assert abs(r.score - share) < 1e-2
+        assert r.lang == names[total.index(best)] or share < 0.6
+    assert unseen > 0
