@@ -15,6 +15,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,7 +26,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: The pattern never joins what this one parts.
 PIECES = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 NONE = np.iinfo(np.int32).max
-SLICE = 1 << 21  # characters whose new words are merged together
+SLICE = 1 << 21  # bytes of texts whose new words are merged together, or ids that are decoded together
 GATHER = 1 << 18  # ids that are looked up together
 
 
@@ -184,14 +185,15 @@ class Encoder:
         self.known.update((p, b"".join([ids[w] for w in words])) for p, words in zip(new, parts, strict=True))
 
 
-def _slices(texts: list[str | None]) -> Iterator[list[str | None]]:
-    start, size = 0, 0
-    for n, text in enumerate(texts):
-        size += len(text or "")
-        if size > SLICE:
-            yield texts[start : n + 1]
-            start, size = n + 1, 0
-    yield texts[start:]
+def _slices(column: pa.Array, sizes: pa.Array) -> Iterator[pa.Array]:
+    """The column in parts of about SLICE by the sizes of its values, one value at least."""
+    ends = np.cumsum(sizes.fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    start = 0
+    while start < len(column):
+        before = ends[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, before + SLICE, side="right")))
+        yield column.slice(start, end - start)
+        start = end
 
 
 def with_ids(docs: DataFrame, json_file: str, text_col: str = "text", into: str = "ids") -> DataFrame:
@@ -204,8 +206,8 @@ def with_ids(docs: DataFrame, json_file: str, text_col: str = "text", into: str
 
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = Encoder(vocabulary(json_file))
-        for batch in batches:
-            ids = [i for some in _slices(batch.to_pylist()) for i in encoder(some)]
+        for some in (part for batch in batches for part in _slices(batch, pc.binary_length(batch))):
+            ids = encoder(some.to_pylist())
             ends = np.cumsum([0, *(len(i) // 4 for i in ids)])
             yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4"), pa.int32()))
 
@@ -221,9 +223,9 @@ def with_decoded(docs: DataFrame, json_file: str, ids_col: str = "ids", into: st
 
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         table = vocabulary(json_file)
-        for batch in batches:
+        for some in (part for batch in batches for part in _slices(batch, pc.list_value_length(batch))):
             texts = []
-            for row in batch:
+            for row in some:
                 ids = np.zeros(0, np.int64) if row.values is None else row.values.fill_null(-1).to_numpy(zero_copy_only=False)
                 texts.append(table.decode(ids).decode("utf-8", "replace"))
             yield pa.array(texts, pa.string())
