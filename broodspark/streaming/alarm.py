@@ -7,9 +7,8 @@ import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
@@ -71,37 +70,38 @@ class LatchedAlarm(StatefulProcessor):
         self.handle = handle
         self.flock = handle.getValueState("flock", STATE_SCHEMA)
 
-    def handleInputRows(
-        self, key: tuple, rows: Iterator[pd.DataFrame], timer_values: TimerValues
-    ) -> Iterator[pd.DataFrame]:
-        rule = self.rule
-        cum_mort, alarmed = self.flock.get() if self.flock.exists() else (0, False)
-        days = pd.concat(list(rows)).sort_values("day")[["day", "deaths"]]
-        thinned = rule.thinning_number * (days["day"] - 1 >= rule.thinning_time)
-        birds = rule.initial_birds - thinned - (cum_mort + days["deaths"].cumsum() - days["deaths"])
-        days["daily_mortality"] = days["deaths"] / birds.where(birds != 0)
-        over = days[(days["day"] > 0) & (days["daily_mortality"] > rule.trigger)].head(0 if alarmed else 1)
-        self.flock.update((int(cum_mort + days["deaths"].sum()), bool(alarmed or len(over))))
-        self.set_timer(key, timer_values)
-        yield over.assign(**dict(zip(ROUND, key, strict=False)))[
-            [*ROUND[: len(key)], "day", "deaths", "daily_mortality"]
-        ]
-
-    def set_timer(self, key: tuple, timer_values: TimerValues) -> None:
-        if timer_values.getCurrentWatermarkInMs() < self.end_ms(key):
-            self.handle.registerTimer(self.end_ms(key))
-        else:  # a feed that holds several rounds at once: nothing of this one is needed any more
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timer_values: TimerValues) -> Iterator[Row]:
+        # Plain rows and numbers: a round has few days, and a data frame for each round costs more than the rest of the stream.
+        rule, known, over = self.rule, self.flock.exists(), None
+        cum_mort, alarmed = self.flock.get() if known else (0, False)
+        for day, deaths in sorted((row["day"], row["deaths"]) for row in rows if row["deaths"] is not None):
+            birds = rule.initial_birds - (rule.thinning_number if day - 1 >= rule.thinning_time else 0) - cum_mort
+            if not alarmed and day > 0 and birds != 0 and deaths / birds > rule.trigger:
+                alarmed = True
+                over = Row(**dict(zip(ROUND, key, strict=False)), day=day, deaths=deaths, daily_mortality=deaths / birds)
+            cum_mort += deaths
+        if not self.has_ended(key, timer_values):
+            self.keep(key, cum_mort, alarmed)
+        elif known:  # a feed that holds several rounds at once: nothing of this one is needed any more
             self.flock.clear()
+        if over:
+            yield over
 
-    def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues: TimerValues) -> None:
+    def has_ended(self, key: tuple, timer_values: TimerValues) -> bool:
+        return timer_values.getCurrentWatermarkInMs() >= self.end_ms(key)
+
+    def keep(self, key: tuple, cum_mort: int, alarmed: bool) -> None:
+        self.flock.update((cum_mort, alarmed))
+        self.handle.registerTimer(self.end_ms(key))
+
+    def handleInitialState(self, key: tuple, initialState: Row, timerValues: TimerValues) -> None:
         """What a batch job found of a round that began before the stream: deaths so far, and whether the alarm was raised."""
-        row = initialState.iloc[0]
-        self.flock.update((int(row["cum_mort"]), bool(row["alarmed"])))
-        self.set_timer(key, timerValues)
+        if not self.has_ended(key, timerValues) and not self.flock.exists():  # of several rows of a round, the first
+            self.keep(key, int(initialState["cum_mort"]), bool(initialState["alarmed"]))
 
     def handleExpiredTimer(
         self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo
-    ) -> Iterator[pd.DataFrame]:
+    ) -> Iterator[Row]:
         self.flock.clear()
         return iter(())
 
@@ -123,7 +123,7 @@ def stream_alarms(
     closed = deaths_per_day(feed, lateness).select(
         *FLOCK, F.window_time("window").alias("closed"), day.alias("day"), "deaths"
     ).filter(F.col("day") <= rule.last_day)
-    return closed.groupBy(*FLOCK).transformWithStateInPandas(
+    return closed.groupBy(*FLOCK).transformWithState(
         LatchedAlarm(rule, offset, datetime.date.fromisoformat(first_day)), ALARM_SCHEMA, "append", "eventTime"
     )
 
@@ -147,7 +147,7 @@ def stream_rounds(
     day = F.date_diff("date", "start") + first_day
     placed = deaths.join(rounds.select(*ROUND), FLOCK).withColumn("day", day).filter(F.col("day").between(first_day, rule.last_day))
     state = begun.select(*ROUND, "cum_mort", "alarmed").groupBy(*ROUND) if begun is not None else None
-    return placed.select(*ROUND, "closed", "day", "deaths").groupBy(*ROUND).transformWithStateInPandas(
+    return placed.select(*ROUND, "closed", "day", "deaths").groupBy(*ROUND).transformWithState(
         LatchedAlarm(rule, first_day), ROUND_ALARM_SCHEMA, "append", "eventTime", initialState=state
     )
 

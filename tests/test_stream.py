@@ -1,9 +1,12 @@
 """The streamed alarm against the batch alarm."""
 
+import datetime
 import tempfile
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import TimerValues
 
 from broodspark.operators import panel
 from broodspark.schema import FLOCK
@@ -165,6 +168,93 @@ def test_rounds_go_on_from_a_batch_state(spark, tmp_path):
     assert early and found | early == expected and not found & early
 
 
+class Handle:
+    """State and timers of one round, and how often they were asked."""
+
+    def __init__(self) -> None:
+        self.value, self.timers, self.calls = None, set(), []
+
+    def getValueState(self, name, schema):
+        return self
+
+    def exists(self):
+        self.calls.append("exists")
+        return self.value is not None
+
+    def get(self):
+        self.calls.append("get")
+        return self.value
+
+    def update(self, value):
+        self.calls.append("update")
+        self.value = value
+
+    def clear(self):
+        self.calls.append("clear")
+        self.value = None
+
+    def registerTimer(self, at):
+        self.calls.append("timer")
+        self.timers.add(at)
+
+
+KEY = ("a", 1, datetime.date(2024, 1, 2))
+DAYS = [(0, 300), (3, 5), (1, 6), (2, None), (4, 7), (7, 4), (8, 5)]
+
+
+def follow(handle, days, watermark=0):
+    """Alarms of the round KEY from days that arrive in one batch."""
+    processor = stream.LatchedAlarm(SMALL, 0)
+    processor.init(handle)
+    rows = iter([Row(scenario="a", simu_id=1, start=KEY[2], day=day, deaths=n) for day, n in days])
+    return [tuple(r) for r in processor.handleInputRows(KEY, rows, TimerValues(0, watermark))]
+
+
+def test_a_round_costs_a_few_state_calls_and_no_data_frame():
+    """A feed has a million rounds: each is followed with plain rows, and one that has ended is not written."""
+    handle = Handle()
+    # 300 of 1,000 are dead before day 1; 6 and 5 are below a hundredth of 700 and 694, 7 of 689 are not.
+    assert follow(handle, DAYS) == [(*KEY, 4, 7, 7 / 689)]
+    assert handle.value == (327, True) and len(handle.timers) == 1
+    assert handle.calls == ["exists", "update", "timer"]
+    assert follow(handle, [(9, 600)]) == [], "latched"
+    assert handle.value == (927, True) and handle.calls[3:] == ["exists", "get", "update", "timer"]
+    end = handle.timers.pop()
+    late = Handle()
+    assert follow(late, DAYS, watermark=end) == [(*KEY, 4, 7, 7 / 689)]
+    assert late.calls == ["exists"] and late.value is None
+    begun = Handle()
+    assert follow(begun, DAYS[:1]) == [] and follow(begun, DAYS[1:], watermark=end) == [(*KEY, 4, 7, 7 / 689)]
+    assert begun.calls[3:] == ["exists", "get", "clear"] and begun.value is None
+
+
+def test_no_birds_left_and_days_across_batches():
+    assert follow(Handle(), [(0, 1000), (1, 5)]) == [], "no birds, no share"
+    # Thinned on day 6, so from day 7 on 250 birds fewer: 8 of 750 are over, of 1,000 they are not.
+    assert follow(Handle(), [(6, 8)]) == [] and follow(Handle(), [(7, 8)]) == [(*KEY, 7, 8, 8 / 750)]
+    for cut in range(len(DAYS) + 1):
+        handle, days = Handle(), sorted(DAYS)
+        assert follow(handle, days[:cut]) + follow(handle, days[cut:]) == [(*KEY, 4, 7, 7 / 689)]
+        assert handle.value == (327, True)
+
+
+def test_of_several_rows_of_a_begun_round_the_first_counts():
+    handle, processor = Handle(), stream.LatchedAlarm(SMALL, 0)
+    processor.init(handle)
+    for n in (50, 90):
+        processor.handleInitialState(KEY, Row(scenario="a", simu_id=1, start=KEY[2], cum_mort=n, alarmed=False), TimerValues(0, 0))
+    assert handle.value == (50, False) and len(handle.timers) == 1
+
+
+def test_a_flock_without_number_leaves_the_others_alone(spark, tmp_path):
+    folder = str(tmp_path / "feed")
+    rows = spark.sql("SELECT TIMESTAMP '2024-01-02 08:00:00' AS ts, 'a' AS scenario, IF(id = 0, NULL, id) AS simu_id, 70 AS deaths FROM range(41)")
+    rows.coalesce(1).write.parquet(folder)
+    feed_rows(spark, [("2024-01-10 00:00:00", 99, 1)]).coalesce(1).write.mode("append").parquet(folder)
+    found = run(spark, folder, tmp_path).collect()
+    assert sorted((r["simu_id"] or 0, r["day"]) for r in found) == [(i, 13) for i in range(41)]
+
+
 def test_nothing_after_the_last_day(spark, tmp_path):
     folder = str(tmp_path / "feed")
     # Day 12 is 1 January, so day 42 is 31 January; an alarm before, and many deaths long after.
